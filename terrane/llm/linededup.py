@@ -77,7 +77,8 @@ def duplicate_lines(
     )
     by_doc = ranges.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("first_pos"))
     held = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
-    repeated = held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper")
+    # Written first, so that the join below deals both sides anew and can split a hot line, or broadcasts a small table.
+    repeated = materialize(held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "repeated")
     lost = seen.join(repeated, ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
     return lost.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
