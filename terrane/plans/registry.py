@@ -1,17 +1,802 @@
-"""All queries of the graph, search, change and rule planes, with their SQL."""
+"""All queries of the graph, search, change and rule planes over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from terrane.functions.scratch import materialize
+from terrane.operators import change, decision, graph, layers, search, web
+from terrane.plans import adapters as A
+from terrane.plans.adapters import with_
+from terrane.plans.cypher import Graph
+from terrane.sources.tables import table
+from terrane.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        _QUERIES[name or f.__name__] = f
+        if sql is not None:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return put
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Layers -------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    with_("trade")
+    + """ SELECT src_module || '--' || dst_module AS id, src_module AS consumer, dst_module AS provider,
+    string_agg(DISTINCT name, ',' ORDER BY name) AS interface, count(*) AS n_calls FROM trade WHERE src_module <> dst_module GROUP BY 1, 2, 3"""
+)
+def contract_map(spark: SparkSession, sf: str) -> DataFrame:
+    return layers.contracts(A.trade(spark, sf))
+
+
+@query(
+    with_("trade")
+    + """, pairs AS (SELECT DISTINCT src_module, dst_module FROM trade WHERE src_module <> dst_module),
+    a AS (SELECT src_module AS module, string_agg(dst_module, ',' ORDER BY dst_module) AS depends_on FROM pairs GROUP BY 1),
+    b AS (SELECT dst_module AS module, string_agg(src_module, ',' ORDER BY src_module) AS depended_by FROM pairs GROUP BY 1)
+    SELECT coalesce(a.module, b.module) AS module, coalesce(depends_on, '') AS depends_on, coalesce(depended_by, '') AS depended_by FROM a FULL JOIN b ON a.module = b.module"""
+)
+def module_dependencies(spark: SparkSession, sf: str) -> DataFrame:
+    return layers.module_dependencies(A.trade(spark, sf))
+
+
+@query(
+    with_("trade")
+    + """, n AS (SELECT dst AS id, count(*) AS n FROM trade WHERE src_module <> dst_module GROUP BY 1),
+    s AS (SELECT 's' || s_suppkey AS id, n_name AS module FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0)
+    SELECT module, id AS entry, coalesce(n, 0) AS in_calls FROM s LEFT JOIN n USING (id)
+    QUALIFY row_number() OVER (PARTITION BY module ORDER BY coalesce(n, 0) DESC, id) = 1"""
+)
+def canonical_entry(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    symbols = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    symbols = symbols.select(F.concat(F.lit("s"), "s_suppkey").alias("id"), F.col("n_name").alias("module"), (F.col("s_acctbal") > 0).alias("exported"))
+    return layers.canonical_entry(symbols, A.trade(spark, sf))
+
+
+@query(
+    with_("tokens")
+    + """, once AS (SELECT DISTINCT unnest(w) AS term, doc_id AS symbol, source AS module FROM tokens),
+    m AS (SELECT term, module, count(*) AS n FROM once WHERE term NOT IN ('the', 'of', 'de', 'der') GROUP BY 1, 2),
+    t AS (SELECT term, sum(n)::BIGINT AS n_symbols, count(*) AS n_modules FROM m GROUP BY 1 HAVING sum(n) >= 3)
+    SELECT t.*, (SELECT module FROM m WHERE m.term = t.term ORDER BY n DESC, module LIMIT 1) AS home FROM t""",
+)
+def concepts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.explode(F.array_distinct(search.tokenize(F.col("text")))).alias("term"))
+    return layers.concepts(docs.select("term", F.col("doc_id").alias("symbol"), F.col("source").alias("module")), ["the", "of", "de", "der"])
+
+
+@query(with_("flow") + " SELECT flow, step, module FROM flow")
+def flow_steps(spark: SparkSession, sf: str) -> DataFrame:
+    steps = layers.flow_steps(A.flow(spark, sf), ["ts", "event_id"])
+    return steps.select("flow", F.col("step").cast("long").alias("step"), "module")
+
+
+@query(
+    with_("flow")
+    + """, p AS (SELECT lag(module) OVER (PARTITION BY flow ORDER BY step) AS source, module AS target FROM flow)
+    SELECT source, target, count(*) AS weight FROM p WHERE source <> target GROUP BY 1, 2"""
+)
+def flow_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return layers.flow_edges(layers.flow_steps(A.flow(spark, sf), ["ts", "event_id"]))
+
+
+@query(
+    """WITH f AS (SELECT o_custkey AS module, l_orderkey AS id, count(*) AS cyclomatic, max(l_linenumber)::BIGINT AS depth FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY depth * cyclomatic DESC, id) AS nth FROM f)
+    SELECT module, max(cyclomatic) AS max_cyclomatic, round(avg(cyclomatic), 2) AS avg_cyclomatic, count(*) AS n_functions,
+    string_agg(id::VARCHAR, ',' ORDER BY nth) FILTER (nth <= 3) AS hotspots FROM r GROUP BY 1"""
+)
+def complexity_hotspots(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    functions = lines.groupBy(F.col("o_custkey").alias("module"), F.col("l_orderkey").alias("id"))
+    functions = functions.agg(F.count("*").alias("cyclomatic"), F.max("l_linenumber").cast("long").alias("depth"))
+    return layers.complexity(functions)
+
+
+@query(
+    """WITH leaf AS (SELECT r_name AS region, n_name AS nation, c_mktsegment AS segment, 1::BIGINT AS n, length(c_name)::BIGINT AS size, c_acctbal AS risk
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    g AS (SELECT 'region' AS level, region AS name, * FROM leaf UNION ALL SELECT 'nation', nation, * FROM leaf UNION ALL SELECT 'segment', segment, * FROM leaf)
+    SELECT level, name, count(*) AS n, sum(size)::BIGINT AS size, max(size) AS peak, round(sum(size * risk) / sum(size), 4) AS risk FROM g GROUP BY 1, 2"""
+)
+def weighted_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    places = n.join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    leaves = table(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    leaves = leaves.select(
+        F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"), F.length("c_name").cast("long").alias("size"), F.col("c_acctbal").alias("risk")
+    )
+    return layers.rollup(leaves, ["region", "nation", "segment"]).withColumn("risk", F.round("risk", 4))
+
+
+@query(
+    with_("trade")
+    + """, l AS (SELECT src_module AS source, dst_module AS target, name, count(*) AS n FROM trade WHERE src_module <> dst_module GROUP BY 1, 2, 3)
+    SELECT source, target, sum(n)::BIGINT AS weight, array_to_string(list_sort(list(name))[1:3], ',') AS labels FROM l GROUP BY 1, 2"""
+)
+def component_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return layers.component_edges(A.trade(spark, sf))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey AS file, p_brand AS module FROM part), c AS (SELECT DISTINCT l_partkey AS file FROM lineitem WHERE l_returnflag = 'R')
+    SELECT module, round(count(c.file) / count(*), 2) AS density FROM f LEFT JOIN c USING (file) GROUP BY 1"""
+)
+def test_density(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "part").select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("module"))
+    return layers.test_density(files, table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("file")))
+
+
+# Graph --------------------------------------------------------------------------------------------------------------
+
+
+def _bfs_sql(seeds: str, depth: int, types: str, step: str) -> str:
+    return f"""{with_("hier_nodes", "hier_edges", recursive=True)}, e AS (SELECT {step} FROM hier_edges WHERE type IN ({types})),
+    seeds AS ({seeds}), walk AS (SELECT id, 0::BIGINT AS depth FROM seeds UNION SELECT e.b, walk.depth + 1 FROM walk JOIN e ON walk.id = e.a WHERE walk.depth < {depth})
+    SELECT id, min(depth) AS depth FROM walk WHERE id NOT IN (SELECT id FROM seeds) GROUP BY 1"""
+
+
+_ALL = "'CONTAINS', 'MEMBER_OF', 'CALLS'"
+
+
+def _depths(df: DataFrame) -> DataFrame:
+    return df.withColumn("depth", F.col("depth").cast("long"))
+
+
+@query(_bfs_sql("SELECT id FROM hier_nodes WHERE name = 'ASIA'", 3, "'CONTAINS', 'CALLS'", "src AS a, dst AS b"))
+def impact_downstream(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = A.hier_nodes(spark, sf).where("name = 'ASIA'").select("id")
+    return _depths(graph.k_hop(A.hier_edges(spark, sf), seeds, 3, "downstream", ["CONTAINS", "CALLS"]))
+
+
+@query(_bfs_sql("SELECT id FROM hier_nodes WHERE label = 'Order' AND name = '1-URGENT'", 2, _ALL, "dst AS a, src AS b"))
+def impact_upstream(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = A.hier_nodes(spark, sf).where("label = 'Order' AND name = '1-URGENT'").select("id")
+    return _depths(graph.k_hop(A.hier_edges(spark, sf), seeds, 2, "upstream"))
+
+
+@query(_bfs_sql("SELECT id FROM hier_nodes WHERE label = 'Region'", 4, _ALL, "src AS a, dst AS b"))
+def bfs_depths(spark: SparkSession, sf: str) -> DataFrame:
+    return _depths(graph.k_hop(A.hier_edges(spark, sf), A.hier_nodes(spark, sf).where("label = 'Region'").select("id"), 4))
+
+
+@query(
+    with_("hier_nodes", "hier_edges")
+    + """ SELECT n.id, dst AS neighbor, 'out' AS way, type FROM hier_edges JOIN hier_nodes n ON src = n.id WHERE label = 'Nation'
+    UNION ALL SELECT n.id, src, 'in', type FROM hier_edges JOIN hier_nodes n ON dst = n.id WHERE label = 'Nation'"""
+)
+def neighbors_both(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.neighbors(A.hier_edges(spark, sf), A.hier_nodes(spark, sf).where("label = 'Nation'").select("id"))
+
+
+@query(
+    with_("hier_nodes", "hier_edges")
+    + """, near AS (SELECT src AS id, dst AS neighbor, 'out' AS way, lower(type) AS type FROM hier_edges UNION ALL SELECT dst, src, 'in', lower(type) FROM hier_edges)
+    SELECT id, way, type, count(*) AS n, min(neighbor) AS first_neighbor, max(neighbor) AS last_neighbor, any_value(label) AS label FROM near JOIN hier_nodes USING (id) GROUP BY 1, 2, 3"""
+)
+def node_context(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = A.hier_nodes(spark, sf)
+    return graph.context(nodes, A.hier_edges(spark, sf), nodes.select("id"))
+
+
+@query(with_("hier_nodes") + " SELECT label, count(*) AS n, count(DISTINCT name) AS n_names FROM hier_nodes GROUP BY 1")
+def label_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return A.hier_nodes(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
+
+
+@query(
+    with_("hier_edges")
+    + """, domain AS (SELECT unnest(['CALLS', 'CONTAINS', 'IMPORTS', 'MEMBER_OF']) AS type) SELECT type, count(src) AS n FROM domain LEFT JOIN hier_edges USING (type) GROUP BY 1"""
+)
+def relation_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    domain = spark.createDataFrame([("CALLS",), ("CONTAINS",), ("IMPORTS",), ("MEMBER_OF",)], "type string")
+    counts = A.hier_edges(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+    return domain.join(counts, "type", "left").fillna(0, ["n"])
+
+
+def _rank_sql(rounds: int, focus: str) -> str:
+    out = f"""{with_("seq")}, nodes AS (SELECT p_partkey AS id FROM part), focus AS ({focus}),
+    t AS (SELECT id, CASE WHEN id IN (SELECT id FROM focus) THEN 1.0::DOUBLE / (SELECT count(*) FROM focus) ELSE 0.0 END AS t FROM nodes),
+    d AS (SELECT src, count(*) AS degree FROM seq GROUP BY 1), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS rank FROM nodes)"""
+    for k in range(rounds):
+        out += f""", l{k} AS (SELECT coalesce(sum(rank), 0) AS lost FROM r{k} WHERE id NOT IN (SELECT src FROM d)),
+        g{k} AS (SELECT dst AS id, sum(rank / degree) AS got FROM seq JOIN d USING (src) JOIN r{k} ON r{k}.id = src GROUP BY 1),
+        r{k + 1} AS (SELECT t.id, 0.15 * t + 0.85 * (coalesce(got, 0) + lost * t) AS rank FROM t LEFT JOIN g{k} USING (id) CROSS JOIN l{k})"""
+    return out + f" SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+
+
+@query(_rank_sql(5, "SELECT id FROM nodes"))
+def pagerank_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    out = graph.page_rank(_parts(spark, sf), A.seq(spark, sf), iterations=5, tolerance=0)
+    return out.withColumn("rank", F.round("rank", 9))
+
+
+@query(_rank_sql(4, "SELECT p_partkey AS id FROM part WHERE p_brand = 'Brand#3'"))
+def pagerank_personalized(spark: SparkSession, sf: str) -> DataFrame:
+    focus = table(spark, sf, "part").where("p_brand = 'Brand#3'").select(F.col("p_partkey").alias("id"))
+    out = graph.page_rank(_parts(spark, sf), A.seq(spark, sf), focus, iterations=4, tolerance=0)
+    return out.withColumn("rank", F.round("rank", 9))
+
+
+_PATHS = f"""{with_("seq", recursive=True)}, step AS (SELECT src, dst FROM seq QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 3),
+    walk AS (SELECT [p_partkey] AS path, p_partkey AS tip FROM part UNION ALL SELECT list_append(path, dst), dst FROM walk JOIN step ON tip = src WHERE len(path) < 4 AND NOT list_contains(path, dst)),
+    done AS (SELECT path FROM walk WHERE len(path) = 4 OR (len(path) = 3 AND NOT EXISTS (SELECT 1 FROM step WHERE src = tip AND NOT list_contains(path, dst))))"""
+
+
+@query(_PATHS + " SELECT path[1] AS start, path[-1] AS finish, array_to_string(path, '>') AS path FROM done")
+def simple_paths(spark: SparkSession, sf: str) -> DataFrame:
+    paths = graph.simple_paths(A.seq(spark, sf), _parts(spark, sf), hops=3, fan=3, least=3)
+    return paths.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+
+
+@query(
+    _PATHS
+    + """ SELECT path[1] AS start, path[-1] AS finish, array_to_string(path, '>') AS path FROM done
+    QUALIFY row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY len(path) DESC, path) = 1"""
+)
+def trace_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    paths = graph.longest_per_ends(graph.simple_paths(A.seq(spark, sf), _parts(spark, sf), hops=3, fan=3, least=3))
+    return paths.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), ">"))
+
+
+@query(
+    with_("hier_nodes", "hier_edges", recursive=True)
+    + """, walk AS (SELECT id, 0::BIGINT AS level FROM hier_nodes WHERE id NOT IN (SELECT dst FROM hier_edges)
+    UNION SELECT dst, level + 1 FROM walk JOIN hier_edges ON id = src) SELECT id, max(level) AS level FROM walk GROUP BY 1"""
+)
+def topo_levels(spark: SparkSession, sf: str) -> DataFrame:
+    out = graph.topological_levels(A.hier_nodes(spark, sf), A.hier_edges(spark, sf))
+    return out.withColumn("level", F.col("level").cast("long"))
+
+
+def _lpa_sql(rounds: int) -> str:
+    out = f"""{with_("trade")}, e AS (SELECT src, dst FROM trade UNION SELECT dst, src FROM trade), c0 AS (SELECT DISTINCT src AS id, src AS community FROM e)"""
+    for k in range(rounds):
+        out += f""", v{k} AS (SELECT src AS id, community, count(*) AS n FROM e JOIN c{k} ON dst = id GROUP BY 1, 2),
+        c{k + 1} AS (SELECT id, community FROM v{k} QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, community) = 1)"""
+    return out + f" SELECT id, community FROM c{rounds}"
+
+
+@query(_lpa_sql(3))
+def communities(spark: SparkSession, sf: str) -> DataFrame:
+    calls = materialize(A.trade(spark, sf).select("src", "dst").distinct(), "calls")
+    nodes = calls.select(F.col("src").alias("id")).union(calls.select("dst")).distinct()
+    return graph.label_propagation(nodes, calls, 3)
+
+
+@query(
+    with_("trade")
+    + """, m AS (SELECT src AS id, src_module AS community FROM trade UNION SELECT dst, dst_module FROM trade),
+    e AS (SELECT src_module AS community, dst_module AS other FROM trade UNION ALL SELECT dst_module, src_module FROM trade),
+    s AS (SELECT community, count(*) AS members FROM m GROUP BY 1)
+    SELECT community, members, count(*) FILTER (community = other) AS internal, count(*) AS total, round(count(*) FILTER (community = other) / count(*), 6) AS cohesion
+    FROM e JOIN s USING (community) GROUP BY 1, 2"""
+)
+def community_cohesion(spark: SparkSession, sf: str) -> DataFrame:
+    calls = A.trade(spark, sf)
+    members = calls.select(F.col("src").alias("id"), F.col("src_module").alias("community")).union(calls.select("dst", "dst_module")).distinct()
+    return graph.cohesion(members, calls).withColumn("cohesion", F.round("cohesion", 6))
+
+
+@query(
+    with_("seq")
+    + """, o AS (SELECT src AS id, count(*) AS callees FROM seq GROUP BY 1), i AS (SELECT dst AS id, count(*) AS callers FROM seq GROUP BY 1)
+    SELECT id, coalesce(callers, 0) AS callers, callees, round(callees / (coalesce(callers, 0) + 1) * CASE WHEN p_retailprice > 1000 THEN 2.0 ELSE 1.0 END, 6) AS score
+    FROM o JOIN part ON p_partkey = id LEFT JOIN i USING (id) WHERE p_type <> 'PROMO' ORDER BY score DESC, id LIMIT 200"""
+)
+def entry_points(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") > 1000).alias("exported"), (F.col("p_type") == "PROMO").alias("is_test"))
+    return graph.entry_points(nodes, A.seq(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    with_("hier_nodes")
+    + """, p AS (SELECT string_split(path, '/') AS p FROM hier_nodes), k AS (SELECT p, unnest(range(1, len(p) + 1)) AS depth FROM p)
+    SELECT DISTINCT array_to_string(p[1:depth], '/') AS id, CASE WHEN depth > 1 THEN array_to_string(p[1:depth - 1], '/') END AS parent, depth FROM k"""
+)
+def containment_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return _depths(graph.containment_tree(A.hier_nodes(spark, sf).select("path")))
+
+
+@query(with_("hier_nodes", "hier_edges") + " SELECT src, dst, type FROM hier_edges WHERE src IN (SELECT id FROM hier_nodes WHERE label <> 'Customer') AND dst IN (SELECT id FROM hier_nodes WHERE label <> 'Customer')")
+def dangling_gc(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = A.hier_nodes(spark, sf).where("label <> 'Customer'")
+    return graph.drop_dangling(nodes, A.hier_edges(spark, sf)).select("src", "dst", "type")
+
+
+@query()
+def mro_c3(spark: SparkSession, sf: str) -> DataFrame:
+    """Nation below region below a root, and a diamond in each region."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    leaf = n.select(F.col("r_name").alias("hierarchy"), F.col("n_name").alias("class"), F.concat("r_name", F.lit(".base")).alias("parent"), F.lit(0).alias("seq"))
+    mixin = n.select("r_name", "n_name", F.concat("r_name", F.lit(".mixin")), F.lit(1))
+    r = table(spark, sf, "region")
+    up = r.select("r_name", F.concat("r_name", F.lit(".base")), F.lit("root"), F.lit(0)).union(r.select("r_name", F.concat("r_name", F.lit(".mixin")), F.lit("root"), F.lit(0)))
+    return graph.method_resolution_order(leaf.union(mixin).union(up))
+
+
+# Search -------------------------------------------------------------------------------------------------------------
+
+_TERMS = ("thin", "erand", "station", "der")
+_BM25 = (
+    with_("tokens")
+    + """, q AS (SELECT unnest(['thin', 'erand', 'station', 'der']) AS term), s AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS av FROM tokens),
+    tf AS (SELECT doc_id AS id, len(w) AS len, term, len(list_filter(w, lambda x: x = term)) AS tf FROM tokens CROSS JOIN q),
+    df AS (SELECT term, count(*) FILTER (tf > 0)::DOUBLE AS df FROM tf GROUP BY 1),
+    scored AS (SELECT id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / av))) AS score FROM tf JOIN df USING (term) CROSS JOIN s GROUP BY 1 HAVING sum(tf) > 0)"""
+)
+
+
+def _docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query(_BM25 + " SELECT id, round(score, 6) AS score FROM scored ORDER BY score DESC, id LIMIT 20")
+def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
+    found = search.bm25(_docs(spark, sf), " ".join(_TERMS)).withColumn("score", F.round("score", 6))
+    return search.top(found, 20)
+
+
+@query(
+    _BM25
+    + ", "
+    + A.SQL["hier_nodes"]
+    + """, t AS (SELECT 'text' AS origin, id::VARCHAR AS id, round(score, 6) AS score FROM scored ORDER BY round(score, 6) DESC, id::VARCHAR LIMIT 15),
+    c AS (SELECT 'code' AS origin, id, CASE WHEN lower(name) = 'asia' THEN 1.0 WHEN contains(lower(name), 'asia') THEN 0.85 WHEN contains(lower(id), 'asia') THEN 0.75
+      WHEN contains(lower(path), 'asia') THEN 0.55 ELSE 0.1 END AS score FROM hier_nodes WHERE contains(name, 'ASIA') OR contains(path, 'ASIA') OR contains(id, 'ASIA') ORDER BY score DESC, id LIMIT 15)
+    SELECT origin, id, score, row_number() OVER (ORDER BY origin DESC, score DESC, id) AS position FROM (SELECT * FROM t UNION ALL SELECT * FROM c) QUALIFY position <= 15"""
+)
+def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    text = search.bm25(_docs(spark, sf), " ".join(_TERMS)).select(F.col("id").cast("string").alias("id"), F.round("score", 6).alias("score"))
+    out = search.hybrid(text, search.code_search(A.hier_nodes(spark, sf), "ASIA"), 15)
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
+_QUERY = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
+_COSINE = f"""SELECT vec_id AS id, label, round(list_dot_product(embedding::DOUBLE[], {_QUERY}::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))
+    / sqrt(list_dot_product({_QUERY}::DOUBLE[], {_QUERY}::DOUBLE[])), 6) AS score FROM embeddings"""
+
+
+def _vector_hits(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    given = e.orderBy("vec_id").select("embedding").first()[0]
+    scored = search.vector_search(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), given)
+    return scored.withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT id, score FROM ({_COSINE}) ORDER BY score DESC, id LIMIT 10")
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return search.top(_vector_hits(spark, sf), 10)
+
+
+@query(f"SELECT id, score FROM (SELECT * FROM ({_COSINE}) ORDER BY score DESC, id LIMIT 50) WHERE label < 5")
+def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    live = table(spark, sf, "embeddings").where("label < 5").select(F.col("vec_id").alias("id"))
+    return search.top(_vector_hits(spark, sf), 50).join(live, "id", "left_semi")
+
+
+# Change -------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    with_("snap")
+    + """, a AS (SELECT id, hash FROM counted WHERE tag = (SELECT min(tag) FROM months)), b AS (SELECT id, hash FROM counted WHERE tag = (SELECT max(tag) FROM months))
+    SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.hash IS DISTINCT FROM b.hash THEN 'changed' ELSE 'unchanged' END AS status
+    FROM a FULL JOIN b ON a.id = b.id"""
+)
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    rows = materialize(A.snapshots(spark, sf).where("hash is not null"), "snap")
+    ends = A.snapshots(spark, sf).agg(F.min("tag").alias("a"), F.max("tag").alias("b")).first()
+    return change.diff(rows.where(F.col("tag") == ends.a), rows.where(F.col("tag") == ends.b))
+
+
+@query(
+    with_("snap")
+    + """ SELECT id, count(*) FILTER (changed) AS n_changes, max(tag) FILTER (changed) AS last_change, round(count(*) FILTER (changed) / count(*), 4) AS ratio,
+    CASE WHEN count(*) FILTER (changed) / count(*) <= 0.2 THEN 'stable' WHEN count(*) FILTER (changed) / count(*) <= 0.5 THEN 'active' ELSE 'volatile' END AS stability FROM transitions GROUP BY 1"""
+)
+def churn(spark: SparkSession, sf: str) -> DataFrame:
+    return change.churn(A.snapshots(spark, sf))
+
+
+@query(
+    with_("snap")
+    + """, h AS (SELECT tag, id FROM transitions WHERE changed), n AS (SELECT id, count(*) AS n FROM h GROUP BY 1),
+    p AS (SELECT x.id AS a, y.id AS b, count(*) AS co FROM h x JOIN h y ON x.tag = y.tag AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 2)
+    SELECT a, b, co, na.n + nb.n - co AS either, round(co / (na.n + nb.n - co), 2) AS coupling FROM p JOIN n na ON a = na.id JOIN n nb ON b = nb.id WHERE co / (na.n + nb.n - co) >= 0.4"""
+)
+def temporal_coupling(spark: SparkSession, sf: str) -> DataFrame:
+    return change.temporal_coupling(A.snapshots(spark, sf))
+
+
+_COCHANGE = """c AS (SELECT DISTINCT l_orderkey AS "commit", p_brand AS file FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT file, count(*) AS n FROM c GROUP BY 1),
+    p AS (SELECT x.file AS a, y.file AS b, count(*) AS together FROM c x JOIN c y ON x."commit" = y."commit" AND x.file < y.file GROUP BY 1, 2 HAVING count(*) >= 2),
+    rules AS (SELECT a, b, together, round(together / greatest(na.n, nb.n), 3) AS confidence FROM p JOIN n na ON a = na.file JOIN n nb ON b = nb.file)"""
+
+
+def _cochange(spark: SparkSession, sf: str, confidence: float) -> DataFrame:
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return change.cochange(lines.select(F.col("l_orderkey").alias("commit"), F.col("p_brand").alias("file")), confidence=confidence)
+
+
+@query(f"WITH {_COCHANGE} SELECT * FROM rules WHERE confidence >= 0.1")
+def cochange_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return _cochange(spark, sf, 0.1)
+
+
+_RANGES = """r AS (SELECT o_custkey AS key, o_orderkey AS a_id, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS s, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) + 30 AS e FROM orders)"""
+
+
+def _ranges(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")).cast("long")
+    return table(spark, sf, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("a_id"), day.alias("start"), (day + 30).alias("end"))
+
+
+@query(
+    f"""WITH {_RANGES}, m AS (SELECT *, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+    i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+    SELECT key, min(s) AS start, max(e) AS "end" FROM i GROUP BY key, island"""
+)
+def range_merge(spark: SparkSession, sf: str) -> DataFrame:
+    return change.merge_ranges(_ranges(spark, sf).drop("a_id"))
+
+
+@query(f"WITH {_RANGES} SELECT x.key, x.a_id, y.a_id AS b_id FROM r x JOIN r y ON x.key = y.key AND x.s <= y.e AND x.e >= y.s AND x.a_id < y.a_id")
+def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    r = _ranges(spark, sf)
+    return change.overlaps(r, r.withColumnRenamed("a_id", "b_id"), 30).where("a_id < b_id")
+
+
+@query(
+    with_("trade")
+    + """, m AS (SELECT DISTINCT n_name AS module FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9900)
+    SELECT 'module' AS kind, module AS id FROM m UNION SELECT 'contract', src_module || '--' || dst_module FROM trade
+    WHERE src_module <> dst_module AND (src_module IN (SELECT module FROM m) OR dst_module IN (SELECT module FROM m))"""
+)
+def delta_affected(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    files = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("file"), F.col("n_name").alias("module"), "c_mktsegment", "c_acctbal")
+    return change.affected(files.where("c_mktsegment = 'BUILDING' AND c_acctbal > 9900").select("file"), files.select("file", "module"), A.trade(spark, sf))
+
+
+@query(
+    """WITH d AS (SELECT doc_id AS id, n_chars AS struct_hash, quality * n_chars AS source_hash FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT id, CASE WHEN source_hash IS NULL THEN 'missing' ELSE 'outdated' END AS reason FROM d WHERE source_hash IS NULL OR source_hash <> struct_hash"""
+)
+def stale_items(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars").join(table(spark, sf, "labels"), "doc_id", "left")
+    return change.stale(docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("struct_hash"), (F.col("quality") * F.col("n_chars")).alias("source_hash")))
+
+
+@query("SELECT user_id, event_type, value, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    return change.latest(events, "user_id", [F.col("ts"), F.col("event_id")])
+
+
+@query("SELECT user_id, event_type, value, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """The same state as :func:`upsert_latest`, reached by a stream over the table's files."""
+    return upsert.replay(spark, f"{sf}/events.parquet", ["user_id", "event_type", "value", "ts", "event_id"], "user_id", ["ts", "event_id"])
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly counts by an event-time window with a watermark, over a stream of the table's files."""
+    return upsert.windows(spark, f"{sf}/events.parquet", "1 hour").withColumn("total", F.round("total", 4))
+
+
+@query(
+    """WITH refs AS (SELECT l_orderkey * 10 + l_linenumber AS ref, o_custkey AS file, l_partkey AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'A'),
+    syms AS (SELECT l_suppkey AS symbol, o_custkey AS file, l_partkey AS name FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'),
+    imps AS (SELECT DISTINCT a.c_custkey AS file, a.c_custkey + 1 AS target FROM customer a),
+    c AS (SELECT ref, symbol, CASE WHEN refs.file = syms.file THEN 1 WHEN imps.file IS NOT NULL THEN 2 ELSE 3 END AS tier FROM refs JOIN syms USING (name)
+      LEFT JOIN imps ON imps.file = refs.file AND imps.target = syms.file)
+    SELECT ref, symbol, tier, [0.95, 0.9, 0.5][tier]::DOUBLE AS confidence FROM c QUALIFY tier = min(tier) OVER (PARTITION BY ref)"""
+)
+def tiered_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    refs = lines.where("l_returnflag = 'A'").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"), F.col("o_custkey").alias("file"), F.col("l_partkey").alias("name"))
+    syms = lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("symbol"), F.col("o_custkey").alias("file"), F.col("l_partkey").alias("name"))
+    imports = table(spark, sf, "customer").select(F.col("c_custkey").alias("file"), (F.col("c_custkey") + 1).alias("target"))
+    return change.resolve(refs, syms, imports)
+
+
+@query(
+    """WITH i AS (SELECT o_custkey AS file, l_suppkey AS target, min(l_orderkey) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+    e AS (SELECT DISTINCT l_suppkey AS target, l_returnflag || l_linestatus || l_linenumber AS name FROM lineitem),
+    f AS (SELECT file, name, seq, target FROM i JOIN e USING (target) QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY seq, target) = 1)
+    SELECT file, name, target AS symbol FROM f QUALIFY row_number() OVER (PARTITION BY file ORDER BY seq, name) <= 20"""
+)
+def wildcard_bindings(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem")
+    imports = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("file"), F.col("l_suppkey").alias("target"))
+    exports = lines.select(F.col("l_suppkey").alias("target"), F.concat("l_returnflag", "l_linestatus", "l_linenumber").alias("name"), F.col("l_suppkey").alias("symbol")).distinct()
+    return change.wildcard_bindings(imports.agg(F.min("l_orderkey").alias("seq")), exports, most=20)
+
+
+@query(
+    with_("trade")
+    + """ SELECT src, dst, round(max(CASE WHEN src_module = dst_module THEN 0.95 ELSE sqrt(0.5 * 0.9) END), 6) AS confidence FROM trade GROUP BY 1, 2"""
+)
+def edge_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    confidence = F.when(F.col("src_module") == F.col("dst_module"), F.lit(0.95)).otherwise(F.sqrt(F.lit(0.5) * 0.9))
+    return A.trade(spark, sf).groupBy("src", "dst").agg(F.round(F.max(confidence), 6).alias("confidence"))
+
+
+# Decision -----------------------------------------------------------------------------------------------------------
+
+_UNITS = """u AS (SELECT n_name AS family, 's' || s_suppkey AS unit, CASE WHEN s_acctbal > 5000 THEN 'persist' ELSE 'read' END AS kind, r_name || (s_suppkey % 3) AS module, s_suppkey
+      FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    w AS (SELECT family, unit, kind, module, list_sort(list(DISTINCT p_brand)) AS words FROM u JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
+      WHERE l_quantity > 45 GROUP BY 1, 2, 3, 4),
+    sym AS (SELECT x.family, x.unit AS from_unit, y.unit AS to_unit, (x.kind = y.kind)::INT * 0.45 + (x.module = y.module)::INT * 0.3
+      + 0.25::DOUBLE * len(list_intersect(x.words, y.words)) / len(list_distinct(list_concat(x.words, y.words))) AS raw
+      FROM w x JOIN w y ON x.family = y.family AND x.unit < y.unit WHERE list_has_any(x.words, y.words))"""
+
+
+def _units(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: table(spark, sf, n)
+    u = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    u = u.select(
+        F.col("n_name").alias("family"), F.concat(F.lit("s"), "s_suppkey").alias("unit"), F.when(F.col("s_acctbal") > 5000, "persist").otherwise("read").alias("kind"),
+        F.concat("r_name", (F.col("s_suppkey") % 3).cast("string")).alias("module"), "s_suppkey",
+    )
+    lines = t("lineitem").where("l_quantity > 45").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.sort_array(F.collect_set("p_brand")).alias("words"))
+    return u.join(lines, F.col("l_suppkey") == F.col("s_suppkey")).select("family", "unit", "kind", "module", "words")
+
+
+@query(f"WITH {_UNITS} SELECT family, from_unit, to_unit, round(raw, 3) AS score, CASE WHEN raw >= 0.55 THEN 'hard' ELSE 'soft' END AS strength FROM sym")
+def symmetry_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return decision.symmetry_edges(materialize(_units(spark, sf), "units"))
+
+
+@query(
+    f"""WITH {_UNITS}, {_COCHANGE}, one AS (SELECT from_unit AS target, to_unit AS unit, 1 AS priority, CASE WHEN raw >= 0.55 THEN 'must' ELSE 'should' END AS level, 'symmetry' AS reason FROM sym),
+    both_ AS (SELECT * FROM one UNION ALL SELECT unit, target, priority, level, reason FROM one),
+    m AS (SELECT DISTINCT least(x.module, y.module) AS a, greatest(x.module, y.module) AS b FROM w x JOIN w y ON x.kind = 'persist' AND y.kind = 'persist' AND x.family = y.family AND x.module < y.module),
+    mm AS (SELECT a, b FROM m UNION ALL SELECT b, a FROM m),
+    two AS (SELECT x.unit AS target, y.unit AS unit, 2 AS priority, 'should' AS level, 'cochange' AS reason FROM mm JOIN w x ON x.module = mm.a JOIN w y ON y.module = mm.b WHERE x.unit <> y.unit)
+    SELECT target, unit, level, reason FROM (SELECT * FROM both_ UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY target, unit ORDER BY priority, level, reason) = 1"""
+)
+def closure_members(spark: SparkSession, sf: str) -> DataFrame:
+    units = materialize(_units(spark, sf), "units")
+    active = units.where("kind = 'persist'").select("family", "module").distinct()
+    rules = active.select("family", F.col("module").alias("a")).join(active.select("family", F.col("module").alias("b")), "family").where("a < b").select("a", "b").distinct()
+    return decision.closure_members(units, decision.symmetry_edges(units), rules)
+
+
+_FLOW_PATHS = """p AS (SELECT event_type AS family, user_id AS path, round(avg(value) / 100, 6) AS coverage, round(count(*) / 1000, 6) AS fan_in, round(count(*) FILTER (value > 50) / count(*), 6) AS contract,
+    (count(*) FILTER (value > 90) > 0)::INT::DOUBLE AS entry FROM events GROUP BY 1, 2)"""
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("family"), F.col("user_id").alias("path"))
+    return e.agg(
+        F.round(F.avg("value") / 100, 6).alias("coverage"), F.round(F.count("*") / 1000, 6).alias("fan_in"), F.round(F.count_if(F.col("value") > 50) / F.count("*"), 6).alias("contract"),
+        (F.count_if(F.col("value") > 90) > 0).cast("double").alias("entry"),
+    )
+
+
+@query(
+    f"""WITH {_FLOW_PATHS}, s AS (SELECT family, path, round(coverage * 0.5 + fan_in * 0.2 + contract * 0.15 + entry * 0.15, 6) AS confidence FROM p),
+    r AS (SELECT *, row_number() OVER w AS nth, lead(confidence) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY family ORDER BY confidence DESC, path))
+    SELECT family, path, confidence, CASE WHEN confidence - coalesce(nxt, 0) >= 0.05 THEN 'canonical' ELSE 'candidate' END AS status FROM r WHERE nth = 1"""
+)
+def canonical_paths(spark: SparkSession, sf: str) -> DataFrame:
+    return decision.canonical_paths(_paths(spark, sf))
+
+
+@query(f"WITH {_FLOW_PATHS} SELECT family, count(*) AS n_paths, round(least(0.95, 0.55 + 0.07 * count(*)), 4)::DOUBLE AS confidence FROM p GROUP BY 1 HAVING count(*) >= 3")
+def abstraction_opportunities(spark: SparkSession, sf: str) -> DataFrame:
+    return decision.abstractions(_paths(spark, sf))
+
+
+@query(f"WITH {_UNITS} SELECT family, count(*) AS n_members, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, round(least(0.95, 0.55 + 0.15 * (count(*) - 1)), 4)::DOUBLE AS confidence FROM w GROUP BY 1")
+def concern_families(spark: SparkSession, sf: str) -> DataFrame:
+    return decision.families(_units(spark, sf))
+
+
+_SHAPE = """k AS (SELECT route, list(DISTINCT key) AS keys FROM props GROUP BY 1),
+    a AS (SELECT route, list(DISTINCT key || CASE WHEN consumer % 3 = 0 THEN '' ELSE consumer::VARCHAR END) AS used FROM props WHERE route <> 'view' GROUP BY 1),
+    shape AS (SELECT route, len(keys) AS n_keys, len(used) AS n_accessed, array_to_string(list_sort(list_filter(used, lambda x: NOT list_contains(keys, x))), ',') AS missing FROM k JOIN a USING (route))"""
+
+
+def _shape(spark: SparkSession, sf: str) -> DataFrame:
+    keys = A.event_keys(spark, sf)
+    used = keys.where("route <> 'view'").select("route", F.concat("key", F.when(F.col("consumer") % 3 == 0, "").otherwise(F.col("consumer").cast("string"))).alias("key"))
+    out = decision.shape_check(keys.select("route", "key").distinct(), used.distinct())
+    return out.withColumns({"n_keys": F.col("n_keys").cast("long"), "n_accessed": F.col("n_accessed").cast("long")})
+
+
+@query(f"{with_('props')}, {_SHAPE} SELECT *, CASE WHEN missing = '' THEN 'OK' ELSE 'MISMATCH' END AS status FROM shape")
+def shape_check(spark: SparkSession, sf: str) -> DataFrame:
+    return _shape(spark, sf)
+
+
+@query(
+    f"""{with_('props')}, {_SHAPE}, n AS (SELECT route, count(DISTINCT consumer) AS consumers FROM props GROUP BY 1),
+    m AS (SELECT *, CASE WHEN missing = '' THEN 0 ELSE len(string_split(missing, ',')) END AS mismatches FROM shape JOIN n USING (route))
+    SELECT route, consumers, mismatches, CASE WHEN consumers >= 10 OR mismatches >= 4 THEN 'HIGH' WHEN consumers >= 4 OR mismatches >= 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM m"""
+)
+def api_impact(spark: SparkSession, sf: str) -> DataFrame:
+    n = A.event_keys(spark, sf).groupBy("route").agg(F.count_distinct("consumer").alias("consumers"))
+    m = _shape(spark, sf).join(n, "route")
+    mismatches = F.when(F.col("missing") == "", 0).otherwise(F.size(F.split("missing", ","))).cast("long")
+    m = m.withColumn("mismatches", mismatches)
+    return m.select("route", "consumers", "mismatches", decision.api_risk(F.col("consumers"), F.col("mismatches")).alias("risk"))
+
+
+@query(
+    with_("trade")
+    + """, called AS (SELECT DISTINCT dst FROM trade WHERE name = 'Brand#3')
+    SELECT 'dead-code' AS rule, 's' || s_suppkey AS subject, 1::BIGINT AS n FROM supplier WHERE 's' || s_suppkey NOT IN (SELECT dst FROM called)
+    UNION ALL SELECT 'forbidden', src_module || '->' || dst_module, count(*) FROM trade WHERE (src_module, dst_module) IN (SELECT a.n_name, b.n_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey) GROUP BY 2
+    UNION ALL SELECT 'no-orders', 'c' || c_custkey, 1 FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+)
+def lint_union(spark: SparkSession, sf: str) -> DataFrame:
+    calls = materialize(A.trade(spark, sf), "trade")
+    symbols = table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("id"))
+    n = table(spark, sf, "nation")
+    a = n.select(F.col("n_name").alias("src_module"), "n_regionkey", F.col("n_nationkey").alias("x"))
+    b = n.select(F.col("n_name").alias("dst_module"), "n_regionkey", F.col("n_nationkey").alias("y"))
+    rules = a.join(b, "n_regionkey").where("x < y").select("src_module", "dst_module")
+    dead = decision.dead_code(symbols, calls.where("name = 'Brand#3'")).select(F.lit("dead-code").alias("rule"), F.col("id").alias("subject"), F.lit(1).cast("long").alias("n"))
+    bad = decision.forbidden(calls, rules).select(F.lit("forbidden"), F.concat("src_module", F.lit("->"), "dst_module"), "n")
+    idle = table(spark, sf, "customer").join(table(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    return dead.union(bad).union(idle.select(F.lit("no-orders"), F.concat(F.lit("c"), "c_custkey"), F.lit(1).cast("long")))
+
+
+_RISK = (
+    with_("snap", "trade")
+    + """, ch AS (SELECT id AS module, count(*) FILTER (changed) / count(*) AS change_ratio FROM transitions GROUP BY 1),
+    dep AS (SELECT dst_module AS module, count(DISTINCT src_module) AS in_degree FROM trade WHERE src_module <> dst_module GROUP BY 1),
+    cx AS (SELECT src_module AS module, count(DISTINCT dst) AS max_cyclomatic FROM trade WHERE name = 'Brand#3' GROUP BY 1),
+    dn AS (SELECT src_module AS module, count(*) FILTER (name < 'Brand#2') / count(*) AS density FROM trade GROUP BY 1),
+    f AS (SELECT module, round(greatest(0, least(25, max_cyclomatic * 0.5)), 4)::DOUBLE AS complexity, round(greatest(0, least(25, change_ratio * 25)), 4) AS churn,
+      round(greatest(0, least(25, in_degree / 24 * 25)), 4) AS coupling, round(greatest(0, least(25, (1 - density) * 25)), 4) AS coverage
+      FROM ch JOIN dep USING (module) JOIN cx USING (module) JOIN dn USING (module))
+    SELECT *, round(complexity + churn + coupling + coverage, 3) AS risk, CASE WHEN round(complexity + churn + coupling + coverage, 3) <= 25 THEN 'LOW' WHEN round(complexity + churn + coupling + coverage, 3) <= 50 THEN 'MEDIUM' ELSE 'HIGH' END AS bucket FROM f"""
+)
+
+
+@query(_RISK)
+def risk_score(spark: SparkSession, sf: str) -> DataFrame:
+    calls = materialize(A.trade(spark, sf), "trade")
+    ch = change.transitions(A.snapshots(spark, sf)).groupBy(F.col("id").alias("module")).agg((F.count_if("changed") / F.count("*")).alias("change_ratio"))
+    dep = calls.where("src_module <> dst_module").groupBy(F.col("dst_module").alias("module")).agg(F.count_distinct("src_module").alias("in_degree"))
+    cx = calls.where("name = 'Brand#3'").groupBy(F.col("src_module").alias("module")).agg(F.count_distinct("dst").alias("max_cyclomatic"))
+    dn = calls.groupBy(F.col("src_module").alias("module")).agg((F.count_if(F.col("name") < "Brand#2") / F.count("*")).alias("density"))
+    return decision.risk_score(ch.join(dep, "module").join(cx, "module").join(dn, "module").withColumn("n_modules", F.lit(25)))
+
+
+# Web ----------------------------------------------------------------------------------------------------------------
+
+_URL_PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '')"
+_ROUTES = [("/en/:id", 1), ("/fr/:id", 2), ("/de/*", 3), ("/:lang/:id", 4)]
+
+
+@query(
+    f"""WITH u AS (SELECT page_id AS url_id, list_filter(string_split({_URL_PATH}, '/'), lambda x: x <> '') AS p FROM pages)
+    SELECT url_id, CASE WHEN len(p) = 2 AND p[1] = 'en' THEN '/en/:id' WHEN len(p) = 2 AND p[1] = 'fr' THEN '/fr/:id' WHEN len(p) >= 1 AND p[1] = 'de' THEN '/de/*' ELSE '/:lang/:id' END AS route
+    FROM u WHERE len(p) = 2 OR p[1] = 'de'"""
+)
+def route_match(spark: SparkSession, sf: str) -> DataFrame:
+    urls = table(spark, sf, "pages").select(F.col("page_id").alias("url_id"), web.url_path(F.col("url")).alias("path"))
+    return web.match_routes(urls, spark.createDataFrame(_ROUTES, "route string, seq int"))
+
+
+@query(
+    """WITH l AS (SELECT page_id, unnest(list_concat(regexp_extract_all(html, 'href="([^"]*)"', 1), regexp_extract_all(html, 'action="([^"]*)"', 1))) AS target FROM pages)
+    SELECT page_id, target, count(*) AS n FROM l GROUP BY 1, 2"""
+)
+def html_form_routes(spark: SparkSession, sf: str) -> DataFrame:
+    return web.links(table(spark, sf, "pages").select("page_id", "html")).groupBy("page_id", "target").agg(F.count("*").alias("n"))
+
+
+_HEADINGS = """x AS (SELECT conv_id AS doc, turn AS line, CASE WHEN role = 'system' THEN 1 WHEN role = 'user' THEN 2 ELSE 3 END AS level FROM conversations),
+    h AS (SELECT doc, line, level, max(line) OVER (PARTITION BY doc) AS last FROM x)"""
+
+
+@query(
+    f"""WITH {_HEADINGS} SELECT doc, line, level::BIGINT AS level, coalesce((SELECT min(line) - 1 FROM h b WHERE b.doc = a.doc AND b.line > a.line AND b.level <= a.level), last) AS end_line,
+    (SELECT max(line) FROM h b WHERE b.doc = a.doc AND b.line < a.line AND b.level < a.level) AS parent FROM h a"""
+)
+def section_tree(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").where("turn is not null")
+    level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3).cast("long")
+    rows = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("line"), level.alias("level"), F.max("turn").over(Window.partitionBy("conv_id")).alias("last"))
+    return web.sections(rows)
+
+
+@query(
+    f"""WITH u AS (SELECT DISTINCT list_filter(string_split({_URL_PATH}, '/'), lambda x: x <> '') AS p FROM pages), q AS (SELECT array_to_string(p, '/') AS path FROM u),
+    b AS (SELECT 'en' AS prefix UNION SELECT 'fr' UNION SELECT path FROM q WHERE path LIKE 'de/1%')
+    SELECT path, (SELECT prefix FROM b WHERE prefix = path OR starts_with(path, prefix || '/') ORDER BY length(prefix) DESC LIMIT 1) AS prefix FROM q"""
+)
+def longest_prefix_boundary(spark: SparkSession, sf: str) -> DataFrame:
+    parts = F.array_join(F.filter(F.split(web.url_path(F.col("url")), "/"), lambda x: x != ""), "/")
+    paths = table(spark, sf, "pages").select(parts.alias("path")).distinct()
+    bounds = spark.createDataFrame([("en",), ("fr",)], "prefix string").union(paths.where("path like 'de/1%'").select("path"))
+    return change.longest_prefix(paths, bounds)
+
+
+# Cypher -------------------------------------------------------------------------------------------------------------
+
+_HIER = with_("hier_nodes", "hier_edges")
+_CYPHER = {
+    "context": (
+        "MATCH (n:Nation)-[r:CONTAINS]->(c:Customer) RETURN n.name AS nation, r.confidence AS confidence, count(c) AS customers",
+        f"{_HIER} SELECT n.name AS nation, confidence, count(*) AS customers FROM hier_nodes n JOIN hier_edges ON src = n.id JOIN hier_nodes c ON dst = c.id WHERE n.label = 'Nation' AND type = 'CONTAINS' AND c.label = 'Customer' GROUP BY 1, 2",
+    ),
+    "downstream": (
+        "MATCH (r:Region {name: 'EUROPE'})-[:CONTAINS|MEMBER_OF*1..2]->(x) RETURN DISTINCT x.id AS id, x.label AS label",
+        f"""{_HIER}, e AS (SELECT src, dst FROM hier_edges WHERE type IN ('CONTAINS', 'MEMBER_OF')), a AS (SELECT dst FROM e JOIN hier_nodes ON src = id WHERE label = 'Region' AND name = 'EUROPE'),
+        b AS (SELECT dst FROM a UNION SELECT e.dst FROM a JOIN e ON e.src = a.dst) SELECT id, label FROM b JOIN hier_nodes ON dst = id""",
+    ),
+    "upstream": (
+        "MATCH (o:Order {name: '1-URGENT'})<-[:CALLS]-(c:Customer)<-[:CONTAINS]-(n:Nation) RETURN n.name AS nation, count(DISTINCT c.id) AS customers, count(o) AS orders",
+        f"""{_HIER} SELECT n.name AS nation, count(DISTINCT c.id) AS customers, count(*) AS orders FROM hier_nodes o JOIN hier_edges x ON x.dst = o.id JOIN hier_nodes c ON x.src = c.id
+        JOIN hier_edges y ON y.dst = c.id JOIN hier_nodes n ON y.src = n.id WHERE o.label = 'Order' AND o.name = '1-URGENT' AND c.label = 'Customer' AND n.label = 'Nation' GROUP BY 1""",
+    ),
+    "label_counts": ("MATCH (n) RETURN labels(n) AS label, count(n) AS n", f"{_HIER} SELECT label, count(*) AS n FROM hier_nodes GROUP BY 1"),
+    "prefix": (
+        "MATCH (n:Customer) WHERE n.path STARTS WITH 'NATION_1' AND NOT n.path ENDS WITH 'BUILDING' RETURN n.id AS id, n.path AS path",
+        f"{_HIER} SELECT id, path FROM hier_nodes WHERE label = 'Customer' AND starts_with(path, 'NATION_1') AND NOT ends_with(path, 'BUILDING')",
+    ),
+    "contains_or": (
+        "MATCH (n) WHERE n.name CONTAINS 'URGENT' OR n.label IN ['Region', 'Nation'] RETURN n.label AS label, count(n) AS n",
+        f"{_HIER} SELECT label, count(*) AS n FROM hier_nodes WHERE contains(name, 'URGENT') OR label IN ('Region', 'Nation') GROUP BY 1",
+    ),
+    "not_exists": (
+        "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)-[:CALLS]->(o:Order) } RETURN c.id AS id",
+        f"{_HIER} SELECT id FROM hier_nodes WHERE label = 'Customer' AND id NOT IN (SELECT src FROM hier_edges WHERE type = 'CALLS')",
+    ),
+    "undirected": (
+        "MATCH (n:Nation)-[r]-(x) WHERE r.confidence >= 0.9 RETURN n.name AS nation, x.label AS label, count(x) AS n",
+        f"""{_HIER}, e AS (SELECT src AS a, dst AS b, confidence FROM hier_edges UNION ALL SELECT dst, src, confidence FROM hier_edges)
+        SELECT n.name AS nation, x.label, count(*) AS n FROM hier_nodes n JOIN e ON a = n.id JOIN hier_nodes x ON b = x.id WHERE n.label = 'Nation' AND confidence >= 0.9 GROUP BY 1, 2""",
+    ),
+    "shared_variable": (
+        "MATCH (n:Nation)-[:CONTAINS]->(c:Customer), (n)-[:MEMBER_OF]->(s:Supplier) WHERE c.path CONTAINS 'BUILDING' RETURN n.name AS nation, count(DISTINCT c) AS customers, count(DISTINCT s) AS suppliers",
+        f"""{_HIER} SELECT n.name AS nation, count(DISTINCT c.id) AS customers, count(DISTINCT s.id) AS suppliers FROM hier_nodes n JOIN hier_edges x ON x.src = n.id AND x.type = 'CONTAINS' JOIN hier_nodes c ON x.dst = c.id AND c.label = 'Customer'
+        JOIN hier_edges y ON y.src = n.id AND y.type = 'MEMBER_OF' JOIN hier_nodes s ON y.dst = s.id AND s.label = 'Supplier' WHERE n.label = 'Nation' AND contains(c.path, 'BUILDING') GROUP BY 1""",
+    ),
+    "ordered": (
+        "MATCH (n:Supplier) WHERE n.name <> 'x' RETURN n.name AS name, n.path AS path ORDER BY n.path DESC, n.name LIMIT 12",
+        f"{_HIER} SELECT name, path FROM hier_nodes WHERE label = 'Supplier' AND name <> 'x' ORDER BY path DESC, name LIMIT 12",
+    ),
+}
+
+
+def _cypher(text: str) -> Query:
+    return lambda spark, sf: Graph(A.hier_nodes(spark, sf), A.hier_edges(spark, sf)).query(text)
+
+
+for _name, (_text, _sql) in _CYPHER.items():
+    query(_sql, f"cypher_{_name}")(_cypher(_text))
