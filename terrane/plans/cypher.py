@@ -375,23 +375,23 @@ class Graph:
         counts = [(v, a) for v, a in q["items"] if v[0] == "count"]
         if counts:
             df = df.groupBy(*[self._value(v).alias(a) for v, a in groups]).agg(*[self._value(v).alias(a) for v, a in counts])
-            df = df.select(*[a for _, a in q["items"]])
-            order = [(F.col(n if v[0] == "var" or n in df.columns else n), d) for v, n, d in q["order"]]
+            df = df.select(*[F.col(f"`{a}`") for _, a in q["items"]])
+            order = [(F.col(f"`{n}`"), d) for _, n, d in q["order"]]
         else:
-            sorts = [(a, F.col(a) if v[0] == "var" and a in {x for _, x in q["items"]} else self._value(v), d) for v, a, d in q["order"]]
+            sorts = [(a, F.col(f"`{a}`") if v[0] == "var" and a in {x for _, x in q["items"]} else self._value(v), d) for v, a, d in q["order"]]
             names = {a: v for v, a in q["items"]}
             extra = [(f"__o{k}", self._value(names[a]) if a in names else e) for k, (a, e, _) in enumerate(sorts)]
             df = df.select(*[self._value(v).alias(a) for v, a in q["items"]], *([] if q["distinct"] else [e.alias(n) for n, e in extra]))
             if q["distinct"]:
                 df = df.distinct()
-                order = [(F.col(a), d) for a, _, d in sorts]
+                order = [(F.col(f"`{a}`"), d) for a, _, d in sorts]
             else:
                 order = [(F.col(n), d) for (n, _), (_, _, d) in zip(extra, sorts)]
         if order:
             df = df.orderBy(*[c.desc() if d else c.asc() for c, d in order])
         if q["limit"] is not None:
             df = df.limit(q["limit"])
-        return df.select(*[a for _, a in q["items"]])
+        return df.select(*[F.col(f"`{a}`") for _, a in q["items"]])
 
     def _absent(self, df: DataFrame, seen: set[str], patterns: list, where: tuple | None) -> DataFrame:
         """Rows for which the inner pattern has no match: an anti-join on the variables that it shares."""

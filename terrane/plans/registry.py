@@ -118,7 +118,7 @@ def complexity_hotspots(spark: SparkSession, sf: str) -> DataFrame:
     """WITH leaf AS (SELECT r_name AS region, n_name AS nation, c_mktsegment AS segment, 1::BIGINT AS n, length(c_name)::BIGINT AS size, c_acctbal AS risk
     FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
     g AS (SELECT 'region' AS level, region AS name, * FROM leaf UNION ALL SELECT 'nation', nation, * FROM leaf UNION ALL SELECT 'segment', segment, * FROM leaf)
-    SELECT level, name, count(*) AS n, sum(size)::BIGINT AS size, max(size) AS peak, round(sum(size * risk) / sum(size), 4) AS risk FROM g GROUP BY 1, 2"""
+    SELECT level, name, count(*) AS n, sum(size)::BIGINT AS size, max(size) AS peak, round(sum(size * risk) / sum(size), 6) AS risk FROM g GROUP BY 1, 2"""
 )
 def weighted_rollup(spark: SparkSession, sf: str) -> DataFrame:
     n, r = table(spark, sf, "nation"), table(spark, sf, "region")
@@ -127,7 +127,7 @@ def weighted_rollup(spark: SparkSession, sf: str) -> DataFrame:
     leaves = leaves.select(
         F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"), F.length("c_name").cast("long").alias("size"), F.col("c_acctbal").alias("risk")
     )
-    return layers.rollup(leaves, ["region", "nation", "segment"]).withColumn("risk", F.round("risk", 4))
+    return layers.rollup(leaves, ["region", "nation", "segment"]).withColumn("risk", F.round("risk", 6))
 
 
 @query(
