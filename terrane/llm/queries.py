@@ -29,7 +29,9 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "positions")
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    first = F.round(F.get("positions", F.lit(0)), 6)
+    return out.select("doc_id", "size", "source_size", "target", "taken", first.alias("position"), F.size("positions").cast("long").alias("readings"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +82,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in OPERATORS}
 
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_UPPER, _LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
+_LINES = f"""WITH lines AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+  e AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM lines),
+  k AS (SELECT *, translate(trim(line, {_BLANK}), {_UPPER}, {_LOWER}) AS key FROM e),
+  rep AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+  f AS (SELECT k.doc_id, pos, line, keeper IS NOT NULL AND k.doc_id < keeper AS gone FROM k LEFT JOIN rep USING (key))
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id"""
+
+
+def _mix_sql(rounds: int = 8) -> str:
+    """Water-filling unrolled; each round caps what the level of the one before it filled."""
+    out = """WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+      ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS u FROM documents),
+      s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY 1),
+      w AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight, [1.5, 1.0, 0.5][rank % 3 + 1]::DOUBLE AS head FROM s),
+      l0 AS (SELECT 1.5::DOUBLE * sum(source_size) / sum(weight) AS level FROM w)"""
+    for k in range(rounds):
+        out += f""", l{k + 1} AS (SELECT coalesce((1.5::DOUBLE * sum(source_size) - sum(CASE WHEN 2 * source_size <= weight * level THEN 2 * source_size ELSE 0 END))
+      / nullif(sum(CASE WHEN 2 * source_size <= weight * level THEN 0 ELSE weight END), 0), any_value(level)) AS level FROM w CROSS JOIN l{k})"""
+    return (
+        out
+        + f""", t AS (SELECT w.*, CASE WHEN 2 * source_size <= weight * level THEN 2.0::DOUBLE * source_size ELSE weight * level END AS target FROM w CROSS JOIN l{rounds}),
+      c AS (SELECT d.*, source_size, target, head, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+      p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM c),
+      q AS (SELECT *, greatest(0, least(size, round(target - whole * source_size)::BIGINT - before))::BIGINT AS part FROM p),
+      r AS (SELECT *, whole * size + part AS taken, least(1.0::DOUBLE, before / target) AS share FROM q)
+      SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN round(CASE WHEN head = 1 THEN share ELSE (sqrt(head * head + 4 * (1 - head) * share) - head) / (2 * (1 - head)) END, 6) END AS position,
+      CASE WHEN taken = 0 THEN 0 ELSE whole + (part > 0)::INT END::BIGINT AS readings FROM r"""
+    )
+
+
+_CHATS = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, 0, 'user', '{HOSTILE}' UNION ALL SELECT -7, 1, 'assistant', '{HOSTILE}'),
+  m AS (SELECT *, coalesce(lag(role) OVER w, 'start') AS state, row_number() OVER w AS nth, count(*) OVER (PARTITION BY conv_id) AS n FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+  v AS (SELECT *, CASE WHEN state || '-' || role IN ('start-system', 'start-user', 'system-user', 'user-assistant', 'assistant-user') THEN NULL ELSE state || ' -> ' || role END AS wrong FROM m)
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + 14 + 2 * length(text) - length(translate(text, '\\#<', '')))::BIGINT AS formatted_chars,
+  count(wrong) = 0 AND bool_or(nth = n AND role = 'assistant') AS valid, min_by(wrong, nth) AS violation FROM v GROUP BY conv_id"""
+
+_LEAKS = f"""WITH raw AS (SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark),
+  w AS (SELECT side, id, list_filter(string_split(regexp_replace(translate(coalesce(text, ''), {_UPPER}, {_LOWER}), '[^0-9a-z\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM raw),
+  items AS (SELECT id AS item_id, w, least(5, len(w)) AS k FROM w WHERE side = 'b' AND len(w) > 0),
+  i AS (SELECT DISTINCT item_id, k, array_to_string(w[n:n + k - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS n FROM items)),
+  size AS (SELECT item_id, count(*) AS m FROM i GROUP BY 1),
+  d AS (SELECT DISTINCT id AS doc_id, k, array_to_string(w[n:n + k - 1], ' ') AS s FROM (SELECT id, w, k, unnest(range(1, len(w) - k + 2)) AS n FROM w JOIN (SELECT DISTINCT k FROM items) ON side = 'd')),
+  hits AS (SELECT doc_id, item_id, count(*) AS n FROM d JOIN i USING (k, s) GROUP BY 1, 2)
+  SELECT doc_id, item_id, n / m AS containment FROM hits JOIN size USING (item_id) WHERE n / m >= 0.8"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others hash by XXH64, read regular expressions by offset, or decide by trained models; the tests hold them against brute force."""
+    return {"op4_line_dedup": _LINES, "op5_source_mix": _mix_sql(), "op7_chat_format": _CHATS, "op8_decontamination": _LEAKS}
