@@ -5,29 +5,37 @@ Each function takes (spark, docs, sf_dir); all but the last return the columns o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from terrane.functions.scratch import materialize
 from terrane.llm import decontaminate, linededup, mixing, qualityrules, simhash
 from terrane.sources.tables import table
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """Id, text, and all else as one column, so that no name of it meets one that an operator uses."""
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others, F.col("text").isNull().alias("__null")).alias("__rest"))
+
+
+def _unpacked(df: DataFrame, columns: list[str], fresh: dict[str, Column] | None = None) -> DataFrame:
+    fresh = {"doc_id": F.col("doc_id"), "text": F.col("text")} | (fresh or {})
+    return df.select(*[fresh[c].alias(c) if c in fresh else F.col(f"__rest.{c}").alias(c) for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the learned list reject."""
     rules = qualityrules.train(docs, table(spark, sf_dir, "labels"))
-    kept = qualityrules.apply_rules(docs, rules, keep=[c for c in docs.columns if c != "doc_id"])
-    return kept.where("kept").select(*docs.columns)
+    kept = qualityrules.apply_rules(_packed(docs), rules, keep=["text", "__rest"])
+    return _unpacked(kept.where("kept"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that other documents keep. A null text that loses nothing stays null."""
-    others = [c for c in docs.columns if c != "doc_id"]
-    out = linededup.dedup_lines(docs, keep=others)
-    text = F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(F.col("kept_text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = linededup.dedup_lines(_packed(docs), keep=["__rest"])
+    out = out.select("doc_id", F.when(~F.col("__rest.__null"), F.col("kept_text")).alias("text"), "__rest")
+    fresh = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return _unpacked(out, docs.columns, fresh)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

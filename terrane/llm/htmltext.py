@@ -159,7 +159,7 @@ def features(page: list[Block]) -> list[list[str]]:
     for k, b in enumerate(page):
         n = len(b.text.split())
         own = b.path[-1] if b.path else ""
-        f = {"bias", f"own={own}", *(f"in={t}" for t in set(b.path)), *(f"name={w}" for w in set(b.names))}
+        f = {"bias", f"own={own}", *(f"in={t}" for t in set(b.path) - {"html", "body"}), *(f"name={w}" for w in set(b.names))}
         article = max((i for i, t in enumerate(b.path) if t in ("article", "main")), default=-1)
         if article >= 0:
             f |= {f"below={t}" for t in set(b.path[article + 1 :])}
@@ -217,7 +217,7 @@ class Field:
         return out[::-1]
 
 
-def fit(pages: list[tuple[list[Block], list[int]]], epochs: int = 150, rate: float = 0.15, l2: float = 0.02) -> Field:
+def fit(pages: list[tuple[list[Block], list[int]]], epochs: int = 250, rate: float = 0.25, l2: float = 0.003) -> Field:
     """Maximum conditional likelihood by gradient ascent with momentum; forward and backward run over all pages at once."""
     pages = [p for p in pages if p[0]]
     if not pages:
@@ -362,6 +362,9 @@ class PageMaker:
             f'<div class="{d.choice(("content", "post", "entry-content", "article-body", "main-content", "story", "post-content"))}">{main}</div>',
             f'<div id="{d.choice(("content", "main", "article"))}">{main}</div>', f'<article class="post"><div class="entry-content">{main}</div></article>', f"<section>{main}</section>",
         ))
+        if d.random() < 0.06:  # a fragment, maybe cut off
+            alone = f"<p>{_MARK}{self.words(4, 60, '')}"
+            return d.choice((main, main[: len(main) - len(main) // 4], alone, f"<article>{alone}", f"<html><body>{alone}", f"<body><main>{alone}"))
         after = ([] if inside else [comments]) + [self.junk() for _ in range(d.choice((0, 0, 1, 2)))]
         foot = [f"<footer>&copy; {self.words(1, 3, '')} &middot; {self.words(2, 9)}</footer>", f"<footer><p>{self.words(2, 30)}</p><ul>{self.links()}</ul></footer>",
                 f'<div class="{d.choice(("footer", "site-footer", "copyright"))}">{d.choice(("&copy; ", ""))}{self.words(2, 15)}</div>', f'<div id="footer"><p>{self.words(2, 15)}</p></div>', ""]
