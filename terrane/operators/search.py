@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from terrane.functions.scratch import materialize
+
 K1, B = 1.5, 0.75
+_CHAR = "[a-z0-9一-鿿]"
 
 
 def tokenize(text: Column) -> Column:
@@ -21,15 +22,12 @@ def split_identifier(name: Column) -> Column:
     return F.filter(F.split(F.lower(F.regexp_replace(spaced, "[^A-Za-z0-9]+", " ")), " "), lambda x: F.char_length(x) > 1)
 
 
-def _equals(term: str) -> Callable[[Column], Column]:
-    return lambda x: x == term
-
-
 def bm25(docs: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame:
     """``id``, ``score`` > 0 of every document (``id``, ``text``) for ``query``; repeated query terms count repeatedly.
 
-    Only query terms leave the documents: a row's matches are counted within the row, so that what is shuffled is one
-    small aggregate for document frequencies and the average length, not a term table. Empty documents count in both.
+    Only numbers leave the documents: a row's length and matches are counted within the row by regular expressions,
+    each text is read once, and what is shuffled is one small aggregate for document frequencies and the average
+    length, not a term table. Empty documents count in both.
     """
     spark = docs.sparkSession
     terms: dict[str, int] = {}
@@ -37,9 +35,10 @@ def bm25(docs: DataFrame, query: str, k1: float = K1, b: float = B) -> DataFrame
         terms[t] = terms.get(t, 0) + 1
     if not terms:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    words = docs.select("id", tokenize(F.col("text")).alias("w"))
-    counts = [F.size(F.filter("w", _equals(t))).alias(f"tf{k}") for k, t in enumerate(terms)]
-    tf = words.select("id", F.size("w").alias("len"), *counts)
+    low = docs.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    count = lambda pattern: F.regexp_count("low", F.lit(pattern))
+    counts = [count(f"(?<!{_CHAR}){t}(?!{_CHAR})").alias(f"tf{k}") for k, t in enumerate(terms)]
+    tf = materialize(low.select("id", count(f"{_CHAR}{{2,}}").alias("len"), *counts), "tf")
     stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))]).first()
     if not stats.n or not stats.avg:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
