@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -271,4 +272,45 @@ def test_pipeline_against_brute_force(spark, sf, docs):
 
 
 def corpus_pipeline_groups(rows):
-    return components({i: simple_hash(t, 5) for i, t in rows.items()}, 4)
+    """Components of all pairs by the signatures, without balls or patterns."""
+    signed = {i: np.frombuffer(simhash.signature(t.encode(), 5, 8), np.uint64) for i, t in rows.items()}
+    root = {i: i for i in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    limit = simhash.most_differing(0.8, 512)
+    for i in rows:
+        for j in rows:
+            if i < j:
+                far = signed[i] ^ signed[j]
+                if np.bitwise_count(far).sum() <= limit and np.bitwise_count(far.view(np.uint32)).min() <= 2:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in rows}
+
+
+def test_near_copies_finds_edits_and_leaves_others(spark):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefghij", k=6))
+    rows, want = [], {}
+    for k in range(40):
+        text = [word() for _ in range(220)]
+        rows.append((10 * k, " ".join(text)))
+        for c in range(1, 4):
+            other = list(text)
+            for at in draw.sample(range(220), c):
+                other[at] = word()
+            rows.append((10 * k + c, " ".join(other)))
+            want[10 * k + c] = 10 * k
+        want[10 * k] = 10 * k
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == c for i, c in want.items()) >= len(want) - 2
+    assert all(c // 10 == i // 10 for i, c in got.items())
+
+
+def test_signature_begins_with_the_fingerprint():
+    for text in (b"", b"one", b"a few words more than five of them"):
+        assert int.from_bytes(simhash.signature(text, 5, 2)[:8], "little", signed=True) == simhash.fingerprint(text, 5)

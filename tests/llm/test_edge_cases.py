@@ -54,10 +54,11 @@ def ops(labels, benchmark):
         "op5": lambda d: mixing.mix(d),
         "op9": lambda d: qualityrules.apply_rules(d, qualityrules.train(d, labels)),
         "op10": lambda d: simhash.near_duplicates(d),
+        "near": lambda d: simhash.near_copies(d),
     }
 
 
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op9", "op10"])
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op9", "op10", "near"])
 def test_every_row_comes_back_once(docs, labels, benchmark, name):
     op = ops(labels, benchmark)[name]
     ids = sorted((r.doc_id for r in op(docs).collect()), key=str)
