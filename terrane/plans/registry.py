@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from terrane.functions.scratch import materialize
-from terrane.operators import change, decision, graph, layers, search, web
+from terrane.operators import change, decision, graph, layers, planning, resolution, search, web
 from terrane.plans import adapters as A
 from terrane.plans.adapters import with_
 from terrane.plans.cypher import Graph
@@ -695,6 +695,46 @@ def risk_score(spark: SparkSession, sf: str) -> DataFrame:
     return decision.risk_score(ch.join(dep, "module").join(cx, "module").join(dn, "module").withColumn("n_modules", F.lit(25)))
 
 
+@query(
+    """WITH d AS (SELECT source AS layer, n_chars AS struct_hash, quality * n_chars AS source_hash FROM documents LEFT JOIN labels USING (doc_id))
+    SELECT layer, count(*) AS n, count(source_hash) AS enriched, count(*) FILTER (source_hash <> struct_hash) AS stale,
+    CASE WHEN count(source_hash) = 0 THEN 'none' WHEN count(source_hash) < count(*) THEN 'partial' ELSE 'complete' END AS status FROM d GROUP BY 1"""
+)
+def enrichment_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(table(spark, sf, "labels"), "doc_id", "left")
+    return planning.coverage(docs.select(F.col("source").alias("layer"), F.col("n_chars").alias("struct_hash"), (F.col("quality") * F.col("n_chars")).alias("source_hash")))
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT l_partkey AS file FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)
+    SELECT 'file' AS kind, file::VARCHAR AS id FROM c UNION ALL SELECT DISTINCT 'symbol', p_partkey || '::' || p_name FROM part WHERE p_partkey IN (SELECT file FROM c)
+    UNION ALL SELECT DISTINCT 'module', p_brand FROM part WHERE p_partkey IN (SELECT file FROM c)"""
+)
+def dirty_set(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("file"), F.col("p_name").alias("name"), F.col("p_brand").alias("module"))
+    changed = table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 49").select(F.col("l_partkey").alias("file"))
+    return planning.dirty_set(changed, part, part)
+
+
+@query(
+    """WITH calls AS (SELECT o_orderkey AS call, o_orderpriority AS name, CASE WHEN o_orderstatus = 'F' THEN 'constructor' ELSE 'free' END AS form, o_custkey % 4 AS n_args FROM orders),
+    cand AS (SELECT DISTINCT o_orderpriority AS name, p_brand AS symbol, CASE WHEN p_size < 10 THEN 'Constructor' WHEN p_size < 20 THEN 'Class' ELSE 'Function' END AS label, p_size % 4 AS n_params, p_size % 2 AS n_required
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 AND l_discount > 0.09 AND p_size < 30),
+    r AS (SELECT *, CASE WHEN form = 'constructor' AND label = 'Constructor' THEN 1 WHEN form = 'constructor' AND label = 'Class' THEN 2 WHEN label IN ('Function', 'Constructor') THEN 3 END AS rank FROM calls JOIN cand USING (name)),
+    b AS (SELECT * FROM r WHERE rank IS NOT NULL QUALIFY rank = min(rank) OVER (PARTITION BY call)),
+    f AS (SELECT * FROM b WHERE n_args BETWEEN n_required AND n_params) SELECT call, symbol FROM f QUALIFY count(*) OVER (PARTITION BY call) = 1"""
+)
+def overload_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders")
+    form = F.when(F.col("o_orderstatus") == "F", "constructor").otherwise("free")
+    calls = orders.select(F.col("o_orderkey").alias("call"), F.col("o_orderpriority").alias("name"), form.alias("form"), (F.col("o_custkey") % 4).alias("n_args"))
+    lines = table(spark, sf, "lineitem").where("l_quantity > 49 and l_discount > 0.09").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, sf, "part").where("p_size < 30"), F.col("l_partkey") == F.col("p_partkey"))
+    label = F.when(F.col("p_size") < 10, "Constructor").when(F.col("p_size") < 20, "Class").otherwise("Function")
+    candidates = lines.select(F.col("o_orderpriority").alias("name"), F.col("p_brand").alias("symbol"), label.alias("label"), (F.col("p_size") % 4).alias("n_params"), (F.col("p_size") % 2).alias("n_required"))
+    return resolution.overloads(calls, candidates.distinct())
+
+
 # Web ----------------------------------------------------------------------------------------------------------------
 
 _URL_PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', '')"
