@@ -251,17 +251,20 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
         bits += 1
     masks = np.array([0, *(1 << i for i in range(bits))], np.uint32)
 
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32).reshape(-1, TABLES).astype(np.int64)
+            keys += np.arange(TABLES, dtype=np.int64)[None, :] << WIDTH
+            reps = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), TABLES)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(reps)], names=["key", "rep"])
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                keys = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint32).reshape(-1, TABLES)
-                bucket = (keys >> np.uint32(WIDTH - bits))[:, :, None] ^ masks
-                bucket = bucket.astype(np.int64) + (np.arange(TABLES, dtype=np.int64) << bits)[None, :, None]
-                many = bucket.shape
-                reps = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                columns = [bucket, np.broadcast_to(keys.astype(np.int64)[:, :, None], many), np.broadcast_to(reps[:, None, None], many)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in columns], names=["bucket", "key", "rep"])
+            keys, reps = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            lead = ((keys & ((1 << WIDTH) - 1)) >> (WIDTH - bits))[:, None] ^ masks.astype(np.int64)
+            bucket = ((keys >> WIDTH) << bits)[:, None] + lead
+            columns = [bucket.ravel(), np.repeat(keys & ((1 << WIDTH) - 1), len(masks)), np.repeat(reps, len(masks))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "key", "rep"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = [tuple(x.to_numpy(zero_copy_only=False) for x in batch.columns) for batch in batches]
@@ -277,8 +280,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TABLES << bits)
-    dealt = ends.select("sig", "rep").mapInArrow(deal, "bucket long, key long, rep long").repartition(parts, "bucket")
-    pairs = dealt.mapInArrow(meet, "a long, b long").distinct()
+    # Texts with one key stand behind the smallest of them, so a family of very many is few rows of a bucket.
+    keyed = ends.select("sig", "rep").mapInArrow(spell, "key long, rep long")
+    heads = materialize(keyed.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")), "heads")
+    alike = keyed.join(heads.where("n > 1"), "key").where("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b"))
+    dealt = heads.select("key", "head").mapInArrow(deal, "bucket long, key long, rep long").repartition(parts, "bucket")
+    pairs = dealt.mapInArrow(meet, "a long, b long").union(alike).distinct()
     first = ends.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
     second = ends.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     both = pairs.join(first, "a").join(second, "b")
