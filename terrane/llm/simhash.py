@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terrane.functions.scratch import materialize
 from terrane.llm.components import connected_components
-from terrane.llm.textmap import map_texts
+from terrane.llm.textmap import give_back, map_texts
 
 BITS = 64
 #: Variants that one leading pattern should hold, on average.
@@ -176,6 +176,8 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
                 x, y = _meet(int(pattern[i]), fp[i:j], bits, half, radius)
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(rep[i:j][x]), pa.array(rep[i:j][y])], names=["a", "b"])
+        del read, pattern, fp, rep, order
+        give_back()
 
     return dealt.repartition(parts, "pattern").mapInArrow(run, "a long, b long")
 
@@ -275,6 +277,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
             pairs = _collisions(key[i:j], int(bucket[i]) & ((1 << bits) - 1), bits, rep[i:j])
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        del read, bucket, key, rep, order
+        give_back()
 
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TABLES << bits)
     dealt = ends.select("sig", "rep").mapInArrow(deal, "bucket long, key long, rep long").repartition(parts, "bucket")

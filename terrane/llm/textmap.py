@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -9,6 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: workers are kept for later stages and would hold on to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(
     df: DataFrame,
     id_col: str,
@@ -39,5 +50,7 @@ def map_texts(
             for k, kind in enumerate(types):
                 columns.append(pa.array([x[k] for x in found], kind))
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in kept), *names])
+            del batch, columns, found
+        give_back()
 
     return source.mapInArrow(run, out)
