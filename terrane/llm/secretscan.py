@@ -12,6 +12,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -75,23 +76,27 @@ def link(strong: list[Span], weak: list[Span], breaks: list[int], window: int =
 
     Parts are joined if they lie in one scope (no break between them) and at most ``window`` apart. A weak identifier
     needs a secret, a weak secret an identifier, and an endpoint a secret that has an identifier or that is strong.
-    Each looks for its nearest partner on either side only, so the work is one sweep however many parts there are.
+    Each looks only for the part that starts next and the one that reaches farthest of those before it, so the work is
+    one sweep however many parts there are.
     """
-    taken = sorted((s, e) for s, _, e in strong)
-    starts = [s for s, _ in taken]
+    starts = sorted(s for s, *_ in strong)
+    reach = list(accumulate((e for *_, e in sorted(strong)), max))
 
     def free(x: Span) -> bool:
         k = bisect_left(starts, x[2])
-        return not any(taken[j][1] > x[0] for j in range(max(0, k - 3), k))
+        return k == 0 or reach[k - 1] <= x[0]
 
     weak = [x for x in weak if free(x)]
     names = sorted([x for x in strong if x[1] == 1] + [x for x in weak if x[1] == 3])
     secrets = sorted([x for x in strong if x[1] in (0, 2)] + [x for x in weak if x[1] == 4])
 
-    def near(x: Span, others: list[Span]) -> list[Span]:
+    def farthest(spans: list[Span]) -> list[Span]:
+        return list(accumulate(spans, lambda y, z: max(y, z, key=lambda w: (w[2], w[0]))))
+
+    def near(x: Span, others: list[Span], reaching: list[Span]) -> list[Span]:
         at = bisect_left(others, x)
         out = []
-        for y in (*others[max(0, at - 1) : at], *others[at : at + 1]):
+        for y in {*others[max(0, at - 1) : at + 1], *reaching[max(0, at - 1) : at]}:
             gap = max(x[0], y[0]) - min(x[2], y[2])
             first, second = min(x, y), max(x, y)
             if y != x and gap <= window and bisect_right(breaks, first[0]) == bisect_right(breaks, second[0]):
@@ -99,17 +104,19 @@ def link(strong: list[Span], weak: list[Span], breaks: list[int], window: int =
         return out
 
     told, pairs = set(), 0
+    far_names, far_secrets = farthest(names), farthest(secrets)
     for x in secrets:
-        partners = near(x, names)
+        partners = near(x, names, far_names)
         pairs += bool(partners)
         if partners:
             told |= {x, *partners}
     for x in names:
-        partners = near(x, secrets)
+        partners = near(x, secrets, far_secrets)
         if partners:
             told |= {x, *partners}
     good = sorted(x for x in secrets if x in told or x[1] != 4)
-    told |= {x for x in weak if x[1] == 5 and near(x, good)}
+    far_good = farthest(good)
+    told |= {x for x in weak if x[1] == 5 and near(x, good, far_good)}
     return [x for x in weak if x in told], pairs
 
 

@@ -163,6 +163,23 @@ def test_op3_links_only_complementary_parts():
     assert far[5] == 0
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 80), st.integers(0, 5), st.integers(1, 60)), max_size=12, unique=True), st.sets(st.integers(0, 140), max_size=3))
+def test_op3_links_against_all_pairs(parts, cuts):
+    spans = sorted((s, k, s + n) for s, k, n in parts)
+    breaks = sorted(b for b in cuts if not any(s <= b < e for s, _, e in spans))
+    strong, weak = [x for x in spans if x[1] < 3], [x for x in spans if x[1] > 2]
+    free = [x for x in weak if not any(y[0] < x[2] and y[2] > x[0] for y in strong)]
+    names = [x for x in strong + free if x[1] in (1, 3)]
+    secrets = [x for x in strong + free if x[1] in (0, 2, 4)]
+    scope = lambda x: sum(b <= x[0] for b in breaks)
+    met = lambda x, others: any(scope(x) == scope(y) and max(x[0], y[0]) - min(x[2], y[2]) <= 20 for y in others)
+    good = [x for x in secrets if x[1] != 4 or met(x, names)]
+    want = [x for x in free if met(x, {3: secrets, 4: names, 5: good}[x[1]])]
+    got, pairs = secretscan.link(strong, weak, breaks, window=20)
+    assert (sorted(got), pairs) == (sorted(want), sum(met(x, names) for x in secrets))
+
+
 def test_op1_against_brute_force(spark, sf, docs):
     """Every template whose words occur in a row is found, and nothing in other documents."""
     got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in queries.op1_license_scan(spark, sf).collect()}
