@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from terrane.functions.scratch import materialize
-from terrane.operators import change, decision, graph, layers, planning, resolution, search, web
+from terrane.operators import architecture, change, decision, graph, layers, planning, resolution, search, web
 from terrane.plans import adapters as A
 from terrane.plans.adapters import with_
 from terrane.plans.cypher import Graph
@@ -840,3 +840,84 @@ def _cypher(text: str) -> Query:
 
 for _name, (_text, _sql) in _CYPHER.items():
     query(_sql, f"cypher_{_name}")(_cypher(_text))
+
+
+# Architecture -------------------------------------------------------------------------------------------------------
+
+_BRANDS = """brands AS (SELECT p_brand AS module, p_partkey AS file FROM part)"""
+
+
+@query(
+    f"""WITH {_BRANDS}, f AS (SELECT p_brand AS module, CAST(floor(l_quantity) AS BIGINT) AS c, l_linenumber AS d FROM lineitem JOIN part ON l_partkey = p_partkey),
+    a AS (SELECT module, count(DISTINCT file) AS file_count FROM brands GROUP BY 1),
+    b AS (SELECT module, count(*) AS n, CAST(sum(c) AS BIGINT) AS total, max(c) AS most, max(d) AS deepest FROM f GROUP BY 1)
+    SELECT a.module, file_count, coalesce(n, 0) AS function_count, coalesce(total, 0) AS total_cyclomatic, coalesce(most, 0) AS max_cyclomatic, CAST(coalesce(deepest, 0) AS BIGINT) AS max_nesting_depth,
+    CAST(least(50, coalesce(most * deepest, 0)) + least(50, file_count * 3) AS BIGINT) AS risk_score FROM a LEFT JOIN b ON a.module = b.module"""
+)
+def leaf_stats(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("module"))
+    lines = table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    functions = lines.select("module", F.floor("l_quantity").alias("cyclomatic"), F.col("l_linenumber").alias("depth"))
+    return architecture.leaf_stats(part.select("module", F.col("p_partkey").alias("file")), functions)
+
+
+@query(
+    with_("seq")
+    + f""", {_BRANDS}, ends AS (SELECT a.module AS a, b.module AS b FROM seq LEFT JOIN brands a ON src = a.file LEFT JOIN brands b ON dst = b.file),
+    m AS (SELECT module, count(DISTINCT file) AS n_files FROM brands GROUP BY 1),
+    s AS (SELECT a AS module, CAST(a = b AS INT) AS inner_ FROM ends UNION ALL SELECT b, 0 FROM ends WHERE a <> b),
+    c AS (SELECT module, sum(inner_) / count(*) AS cohesion FROM s GROUP BY 1)
+    SELECT m.module AS "group", n_files, coalesce(cohesion, 1.0) AS cohesion, CASE WHEN n_files <= 15 OR cohesion > 0.7 OR cohesion IS NULL THEN 'leaf' ELSE 'group' END AS kind
+    FROM m LEFT JOIN c ON m.module = c.module"""
+)
+def architecture_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("group"))
+    return architecture.group_kinds(part.select("group", F.col("id").alias("file")), part, A.seq(spark, sf))
+
+
+@query(
+    f"""{_HIER}, n AS (SELECT src AS id, count(*) AS n FROM hier_edges GROUP BY 1)
+    SELECT h.id, CASE WHEN label <> 'Order' AND coalesce(n, 0) > 0 THEN 'recurse' ELSE 'leaf' END AS action, CASE WHEN label = 'Order' THEN 0 ELSE coalesce(n, 0) END AS n_children
+    FROM hier_nodes h LEFT JOIN n ON h.id = n.id"""
+)
+def recursion_plan(spark: SparkSession, sf: str) -> DataFrame:
+    above = A.hier_edges(spark, sf).select(F.col("dst").alias("id"), F.col("src").alias("parent_id"))
+    elements = A.hier_nodes(spark, sf).select("id", F.col("label").alias("level")).join(above, "id", "left")
+    return architecture.recursion_plan(elements, terminal="Order")
+
+
+@query(
+    """WITH o AS (SELECT l_orderkey AS trace, list('s' || l_suppkey ORDER BY l_linenumber, l_suppkey) AS path FROM lineitem GROUP BY 1),
+    p AS (SELECT path, min(trace) AS trace FROM o GROUP BY 1),
+    parts AS (SELECT DISTINCT list_slice(path, i, j - 1) AS stem, path[j] AS whole, path AS "outer" FROM p, range(1, 20) a(i), range(1, 20) b(j) WHERE i <= j AND j <= len(path)),
+    gone AS (SELECT DISTINCT p.path FROM p JOIN parts ON stem = list_slice(p.path, 1, len(p.path) - 1) AND "outer" <> p.path
+    AND CASE WHEN len(p.path) = 1 THEN whole = p.path[1] ELSE starts_with(whole, p.path[len(p.path)]) END)
+    SELECT trace, array_to_string(path, ',') AS path FROM p WHERE path NOT IN (SELECT path FROM gone)"""
+)
+def trace_containment(spark: SparkSession, sf: str) -> DataFrame:
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("trace"))
+    lines = lines.agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))).alias("steps"))
+    traces = lines.select("trace", F.transform("steps", lambda x: F.concat(F.lit("s"), x["l_suppkey"])).alias("path"))
+    return architecture.drop_contained(traces).select("trace", F.array_join("path", ",").alias("path"))
+
+
+@query(
+    """WITH t AS (SELECT c_custkey, c_acctbal > 0 AS ready, c_mktsegment AS s, c_custkey % 7 = 0 AS changed, c_custkey % 3 AS gaps, c_custkey % 5 % 2 AS stale, c_custkey % 17 AS unknown FROM customer),
+    m AS (SELECT *, CASE WHEN NOT ready OR changed THEN 'none' WHEN s = 'BUILDING' AND (gaps > 0 OR stale > 0 OR unknown > 0) THEN 'architecture-enrich' WHEN gaps > 0 OR stale > 0 OR unknown >= 12 THEN 'docs-consistency-review'
+    WHEN unknown > 0 THEN 'bounded-stale-enrich' ELSE 'none' END AS mode FROM t),
+    p AS (SELECT mode, CASE WHEN NOT ready THEN 'bootstrap' WHEN changed THEN 'review' WHEN mode <> 'none' THEN 'enrich' ELSE 'develop' END AS phase FROM m)
+    SELECT phase, mode, count(*) AS n FROM p GROUP BY 1, 2"""
+)
+def task_phases(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    tasks = table(spark, sf, "customer").select(
+        (F.col("c_acctbal") > 0).alias("has_facts"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "architecture").otherwise("general").alias("intent"),
+        (key % 7 == 0).cast("int").alias("changed_files"),
+        F.lit("complete").alias("index_status"),
+        (key % 3).alias("graph_gaps"),
+        (key % 5 % 2).alias("stale_docs"),
+        (key % 17).alias("unknown"),
+        F.lit(0).alias("contradicted"),
+    )
+    return architecture.task_phase(tasks).groupBy("phase", "mode").agg(F.count("*").alias("n"))
