@@ -108,14 +108,19 @@ def page_rank(
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
-    """``id``, ``level``: 0 without incoming edges, else one more than the highest predecessor's; members of cycles, and what follows them, share the last level + 1."""
+    """``id``, ``level``: 0 without incoming edges, else one more than the highest predecessor's; members of cycles, and what follows them, share the last level + 1.
+
+    Raises an error if nodes are still ready after ``most`` levels, as they would get a wrong one.
+    """
     left = materialize(drop_dangling(nodes, edges.where("src <> dst")).select("src", "dst").distinct(), "topo")
     waiting, done, level = nodes.select("id").distinct(), None, 0
-    while level < most:
+    while True:
         ready = waiting.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
         ready = materialize(ready.withColumn("level", F.lit(level)), "ready")
         if ready.isEmpty():
             break
+        if level == most:
+            raise RuntimeError(f"nodes are still ready after {most} levels")
         done = ready if done is None else done.union(ready)
         waiting = materialize(waiting.join(ready, "id", "left_anti"), "waiting")
         left = materialize(left.join(ready.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), "topo")
