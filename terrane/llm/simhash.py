@@ -126,6 +126,16 @@ def _meet(pattern: int, fps: np.ndarray, bits: int, half: int, radius: int) -> t
     order = np.lexsort((owner, value[hit]))
     owner, same = owner[order], value[hit][order]
     head = np.maximum.accumulate(np.where(np.r_[True, same[1:] != same[:-1]], np.arange(len(same)), 0))
+    if radius % 2:  # members of a variant are within the next even radius only, so all pairs are compared
+        a = b = np.zeros(0, np.int64)
+        for k in range(1, len(owner)):
+            near = head[k:] == head[:-k]
+            if not near.any():
+                break
+            x, y = owner[:-k][near], owner[k:][near]
+            right = (x != y) & (np.bitwise_count(fps[x] ^ fps[y]) <= radius)
+            a, b = _forest(len(fps), np.r_[a, x[right]], np.r_[b, y[right]])
+        return a, b
     a, b = owner[head], owner
     pair = np.unique(np.stack([a, b], 1)[a != b], axis=0)
     a, b = pair[:, 0], pair[:, 1]
@@ -151,10 +161,11 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """Edges (``a``, ``b``: the ``rep`` of two fingerprints) that connect all of ``distinct`` (``fp``, ``rep``) within ``radius``.
 
     ``n``: its row count. Of fingerprints that meet in one variant, which are within the radius of each other by the
-    triangle inequality, each is linked to one, so a group of m makes m - 1 links and not m * m.
+    triangle inequality, each is linked to one, so a group of m makes m - 1 links and not m * m. At an odd radius they
+    are within the next even one only: all pairs of a variant are then compared.
     """
     half, odd = divmod(radius, 2)
-    half += odd  # an odd radius is met from the next even one; what is too far is dropped on verification
+    half += odd  # an odd radius is met from the next even one; all pairs of a variant are verified
     bits = leading_bits(n, half)
     ball = sum(math.comb(BITS, r) for r in range(half + 1))
     masks = F.array(*[F.lit(int(m)) for m in _masks(bits, half)])
