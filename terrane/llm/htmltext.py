@@ -40,7 +40,9 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
 )
 NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+NONE = re.compile(r"display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
 WORD = re.compile(r"[a-z]+")
 #: Words of boilerplate that a block's own text may hold.
 CUES = frozenset(
@@ -57,6 +59,15 @@ class Block:
     names: tuple[str, ...]  # words of the ancestors' class, id, role and the like
 
 
+def hides(attributes: str) -> bool:
+    """Whether a start tag's attributes hide its element: by their names, never by words within other values."""
+    for name, *values in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NONE.search(value):
+            return True
+    return False
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order: character references decoded, white space within a block one space.
 
@@ -140,7 +151,7 @@ def blocks(page: str) -> list[Block]:
         if rest.endswith("/") and tag in ("svg", "math"):
             continue
         named = " ".join(x[0] or x[1] or x[2] for x in NAMES.findall(rest)) if "=" in rest else ""
-        skip = tag in SKIPPED or bool(rest and HIDDEN.search(rest))
+        skip = tag in SKIPPED or bool(rest and HIDDEN.search(rest) and hides(rest))
         stack.append((tag, tuple(WORD.findall(named.lower())), skip))
         skipping += skip
         links += tag == "a"
