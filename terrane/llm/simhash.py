@@ -26,6 +26,8 @@ from terrane.llm.textmap import give_back, map_texts
 BITS = 64
 #: Variants that one leading pattern should hold, on average.
 PER_PATTERN = 1 << 21
+#: Variants that a task expands at once.
+EXPANDED = 1 << 23
 
 
 def shingle_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
@@ -62,18 +64,6 @@ def fingerprint(raw: bytes | None, shingle: int) -> int:
     return int(majority(shingle_hashes(raw, shingle)).astype(np.int64))
 
 
-def signature(raw: bytes | None, shingle: int, words: int) -> bytes:
-    """``words`` independent fingerprints, 8 bytes each: the first is :func:`fingerprint`, the others are of remixed hashes."""
-    hashes = shingle_hashes(raw, shingle)
-    out = [majority(hashes)]
-    for k in range(1, words):
-        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))  # splitmix64
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out.append(majority(x ^ (x >> np.uint64(31))))
-    return np.array(out, np.uint64).tobytes()
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``fp`` (the 64 bits as a signed long) for every row. Null and blank texts have fingerprint zero."""
     return map_texts(docs, id_col, text_col, lambda: lambda raw: (fingerprint(raw, shingle),), "fp long", [pa.int64()])
@@ -94,7 +84,26 @@ def leading_bits(n: int, half: int) -> int:
 
 
 def _meet(pattern: int, fps: np.ndarray, bits: int, half: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indexes into ``fps``, distinct uint64) among the variants that begin with ``pattern``: a forest's edges."""
+    """Links (indexes into ``fps``, distinct uint64) among the variants that begin with ``pattern``: a forest's edges.
+
+    Where the variants are more than ``EXPANDED``, they are taken by further leading bits, one part after the other, so
+    that memory stays bounded however many fingerprints meet in a pattern.
+    """
+    rest = BITS - bits
+    far = np.bitwise_count((fps >> np.uint64(rest)) ^ np.uint64(pattern)).astype(np.int64)
+    sizes = [sum(math.comb(rest, r) for r in range(half - flipped + 1)) for flipped in range(half + 1)]
+    if rest > 8 and len(fps) > 2 and sum(int((far == k).sum()) * n for k, n in enumerate(sizes)) > EXPANDED:
+        a = b = np.zeros(0, np.int64)
+        for sub in (2 * pattern, 2 * pattern + 1):
+            at = np.flatnonzero(np.bitwise_count((fps >> np.uint64(rest - 1)) ^ np.uint64(sub)) <= half)
+            x, y = _meet(sub, fps[at], bits + 1, half, radius)
+            a, b = np.r_[a, at[x]], np.r_[b, at[y]]
+        return _forest(len(fps), a, b)
+    return _expanded(pattern, fps, bits, half, radius)
+
+
+def _expanded(pattern: int, fps: np.ndarray, bits: int, half: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`_meet`, with all variants at once."""
     rest = np.uint64(BITS - bits)
     far = np.bitwise_count((fps >> rest) ^ np.uint64(pattern)).astype(np.int64)
     low = fps & ((np.uint64(1) << rest) - np.uint64(1))
@@ -213,176 +222,6 @@ def near_duplicates(
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: For whole similarities: fingerprints of 32 bits, and the radius within which one of them must lie.
-TABLES, WIDTH, NEAR = 16, 32, 2
-#: Rows of one table and leading pattern, on average.
-PER_BUCKET = 1 << 18
-#: Members of a variant that one task compares with each other; of more, it compares two blocks of half as many.
-BLOCK = 1 << 13
-
-
-def most_differing(similarity: float, bits: int) -> int:
-    """Bits in which texts of this Jaccard similarity differ: as the angle between their shingle sets has it, and one standard deviation."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
-
-
-def _collisions(keys: np.ndarray, pattern: int, bits: int, reps: np.ndarray) -> np.ndarray:
-    """Rows (group, smallest id, other) of those whose balls of radius 1 share a variant that begins with ``pattern``, each once.
-
-    A group is known by the sum of its members' hashes, so that variants with the same members are one group; pairs are group 0.
-    """
-    low_bits = WIDTH - bits
-    low = keys & np.uint32((1 << low_bits) - 1)
-    near = (keys >> np.uint32(low_bits)) == pattern
-    inside = np.flatnonzero(near)
-    masks = np.array([0, *(1 << i for i in range(low_bits))], np.uint32)
-    value = np.concatenate([(masks[:, None] ^ low[inside][None, :]).ravel(), low[~near]])
-    owner = np.concatenate([np.tile(inside, len(masks)), np.flatnonzero(~near)])
-    order = np.lexsort((reps[owner], value))
-    value, owner = value[order], owner[order]
-    start = np.r_[True, value[1:] != value[:-1]]
-    at = np.flatnonzero(start)
-    size = np.diff(np.r_[at, len(value)])
-    group = np.where(size > 2, np.add.reduceat(_mixed(reps[owner]), at), 0).view(np.int64)
-    a, b = owner[np.repeat(at, size - 1)], owner[~start]
-    rows = np.stack([np.repeat(group, size - 1), reps[a], reps[b]], 1)[reps[a] != reps[b]]
-    return np.unique(rows, axis=0) if len(rows) else rows
-
-
-def _mixed(ids: np.ndarray) -> np.ndarray:
-    x = ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)  # splitmix64
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _within(sigs: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indexes into ``sigs``, rows of words) of at most ``limit`` bits: a forest's edges, of all pairs' components."""
-    left, found = np.arange(len(sigs)), []
-    while len(left) > 1:
-        reached, left = [int(left[0])], left[1:]
-        while reached and len(left):
-            x = reached.pop()
-            near = np.bitwise_count(sigs[left] ^ sigs[x]).sum(axis=1, dtype=np.int64) <= limit
-            if near.any():
-                found.append(np.stack([np.full(int(near.sum()), x), left[near]]))
-                reached += left[near].tolist()
-                left = left[~near]
-    a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return a, b
-
-
-def _rest(met: DataFrame, told: DataFrame, ends: DataFrame, words: int, limit: int, parts: int) -> DataFrame:
-    """Links (``a``, ``b``) among all members of each group of ``met`` in which a pair of ``told`` has failed."""
-    failed = told.where(~F.col("good")).select("a", "b")
-    groups = met.where("group <> 0").join(failed, ["a", "b"], "left_semi").select("group").distinct()
-    open_ = met.where("group <> 0").join(groups, "group", "left_semi")
-    members = materialize(open_.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct(), "members")
-    blocks = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
-    sizes = members.groupBy("group").agg(F.count("*").alias("size")).select("group", F.when(F.col("size") > BLOCK, blocks).otherwise(1).alias("n"))
-    # Each two blocks of a group meet in one task, and so do the members of each block.
-    mine = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")
-    others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("n") - 1), F.col("mine")))
-    dealt = members.join(sizes, "group").withColumn("mine", mine).select("group", "rep", "mine", F.explode(others).alias("other"))
-    dealt = dealt.select(F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "rep")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b"".join(b.column(2).to_pylist())) for b in batches if b.num_rows]
-        if not read:
-            return
-        task, rep = (np.concatenate([x[k] for x in read]) for k in range(2))
-        sigs = np.frombuffer(b"".join(x[2] for x in read), np.uint64).reshape(-1, words)
-        del read
-        order = np.argsort(task, kind="stable")
-        cuts = [*np.flatnonzero(np.r_[True, np.diff(task[order]) != 0]).tolist(), len(task)]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for i, j in zip(cuts, cuts[1:]):
-            at = order[i:j]
-            x, y = _within(sigs[at], limit)
-            if len(x):
-                out.append((rep[at[x]], rep[at[y]]))
-        if out:
-            a, b = (np.concatenate([x[k] for x in out]) for k in range(2))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-        del task, rep, sigs, order, out
-        give_back()
-
-    return dealt.join(ends.select("rep", "sig"), "rep").select("task", "rep", "sig").repartition(parts, "task").mapInArrow(compare, "a long, b long")
-
-
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``component_id`` for every row, linking texts of about ``similarity`` (Jaccard, of ``shingle``-word sets) or more.
-
-    One fingerprint of 64 bits is too coarse for that: such texts differ in some ten of its bits, and a ball of that
-    radius is out of reach. So a text has ``TABLES`` fingerprints of ``WIDTH`` bits, each with a ball of its own: texts
-    meet if any of them differs in at most ``NEAR`` bits, and what meets is verified on all 512 bits against the angle
-    that ``similarity`` stands for. First each text that meets others in a variant is verified against the smallest id
-    there; where one fails, all members of the variant are compared, but for those that are already linked, in blocks
-    where they are many. The bits estimate the angle, so the threshold is not sharp: of pairs of different
-    texts in the 10,000-document table, 22 of 23 link directly from .83 on, 20 of 25 at .8 to .83, 27 of 41 at .77 to
-    .8, 20 % at .7 to .77, and under 1 % below .7. Nulls, repeats, empty tables and
-    further columns are as for :func:`near_duplicates`.
-    """
-    words = TABLES * WIDTH // BITS
-    signed = map_texts(docs, id_col, text_col, lambda: lambda raw: (signature(raw, shingle, words),), "sig binary", [pa.binary()])
-    signed = materialize(signed, "sig")
-    distinct = materialize(signed.groupBy("sig").agg(F.min("doc_id").alias("rep")), "sig-rep")
-    ends = distinct.where(F.col("rep").isNotNull())
-    n = ends.count()
-    bits = 2
-    while n * (1 + bits) >> bits > PER_BUCKET:
-        bits += 1
-    masks = np.array([0, *(1 << i for i in range(bits))], np.uint32)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                keys = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint32).reshape(-1, TABLES)
-                bucket = (keys >> np.uint32(WIDTH - bits))[:, :, None] ^ masks
-                bucket = bucket.astype(np.int64) + (np.arange(TABLES, dtype=np.int64) << bits)[None, :, None]
-                many = bucket.shape
-                reps = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                columns = [bucket, np.broadcast_to(keys.astype(np.int64)[:, :, None], many), np.broadcast_to(reps[:, None, None], many)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.ravel()) for c in columns], names=["bucket", "key", "rep"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [tuple(x.to_numpy(zero_copy_only=False) for x in batch.columns) for batch in batches]
-        if not read:
-            return
-        bucket, key, rep = (np.concatenate(x) for x in zip(*read))
-        order = np.argsort(bucket, kind="stable")
-        bucket, key, rep = bucket[order], key[order].astype(np.uint32), rep[order]
-        cuts = [*np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist(), len(bucket)]
-        for i, j in zip(cuts, cuts[1:]):
-            rows = _collisions(key[i:j], int(bucket[i]) & ((1 << bits) - 1), bits, rep[i:j])
-            if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["group", "a", "b"])
-        del read, bucket, key, rep, order
-        give_back()
-
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), TABLES << bits)
-    dealt = ends.select("sig", "rep").mapInArrow(deal, "bucket long, key long, rep long").repartition(parts, "bucket")
-    met = materialize(dealt.mapInArrow(meet, "group long, a long, b long").distinct(), "met")
-    first = ends.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
-    second = ends.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    both = met.select("a", "b").distinct().join(first, "a").join(second, "b")
-    limit = most_differing(similarity, TABLES * WIDTH)
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(-1, words) for k in (2, 3))
-            good = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= limit
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], names=["a", "b", "good"])
-
-    told = materialize(both.select("a", "b", "sig_a", "sig_b").mapInArrow(verify, "a long, b long, good boolean"), "told")
-    edges = told.where("good").select("a", "b").union(_rest(met, told, ends, words, limit, parts))
-    found = materialize(connected_components(edges), "comp")
-    of = distinct.join(found, distinct.rep == found.node, "left").select("sig", F.coalesce("component", "rep").alias("component_id"))
-    return signed.join(of, "sig").select("doc_id", "component_id")
-
-
 def hex_digits(fp: str) -> Column:
     """A fingerprint column as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

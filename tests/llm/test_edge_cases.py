@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from terrane.llm import chat, decontaminate, htmltext, langid, licensescan, linededup, mixing, qualityrules, secretscan, simhash
+from terrane.llm import chat, decontaminate, htmltext, langid, licensescan, linededup, mixing, nearcopies, qualityrules, secretscan, simhash
 
 #: Names that operators use within.
 CLASHES = (
@@ -54,7 +54,7 @@ def ops(labels, benchmark):
         "op5": lambda d: mixing.mix(d),
         "op9": lambda d: qualityrules.apply_rules(d, qualityrules.train(d, labels)),
         "op10": lambda d: simhash.near_duplicates(d),
-        "near": lambda d: simhash.near_copies(d),
+        "near": lambda d: nearcopies.near_copies(d),
     }
 
 

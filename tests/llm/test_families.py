@@ -1,16 +1,17 @@
-"""Near copies inside a big family of moderately similar texts, against all pairs of signatures."""
+"""Near copies against exact Jaccard similarities, which share no code with the library."""
 
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from terrane.llm import simhash
+from tests.llm.exact import groups, similar_pairs
+from terrane.llm import nearcopies, simhash
 
 
-@pytest.fixture(scope="module")
-def family():
-    """2,000 moderately similar texts, and 200 pairs of further ones at some .85; the smallest ids are the family's."""
+def family(n, edits, hidden):
+    """``n`` moderately similar texts, and pairs of further ones at some .85; the smallest ids are the family's."""
     draw = random.Random(11)
     word = lambda: "".join(draw.choices("abcdefghij", k=6))
     base = [word() for _ in range(220)]
@@ -21,38 +22,71 @@ def family():
             out[at] = word()
         return out
 
-    texts = [edited(base, 10) for _ in range(2000)]
-    for _ in range(200):
-        one = edited(base, 10)
-        texts += [one, edited(one, 4)]
-    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    return rows, all_pairs([t for _, t in rows])
+    texts = [edited(base, edits) for _ in range(n)]
+    for _ in range(hidden):
+        one = edited(base, edits)
+        texts += [one, edited(one, 3)]
+    return {i: " ".join(t) for i, t in enumerate(texts)}
 
 
-def all_pairs(texts):
-    """Smallest member of each component of all pairs within the limit that have a fingerprint of 32 bits within 2."""
-    sigs = np.array([np.frombuffer(simhash.signature(t.encode(), 5, 8), np.uint64) for t in texts])
-    limit, root = simhash.most_differing(0.8, 512), list(range(len(texts)))
+@pytest.mark.parametrize("block", [1 << 13, 16])
+def test_a_family_hides_no_near_copies(spark, monkeypatch, block):
+    texts = family(1200, 10, 150)
+    pairs = similar_pairs(texts, 0.8)
+    want = groups(texts, [(a, b) for a, b, _ in pairs])
+    monkeypatch.setattr(nearcopies, "BLOCK", block)
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    sure = [(a, b) for a, b, share in pairs if share >= 0.8]
+    assert len(sure) >= 100
+    assert sum(got[a] == got[b] for a, b in sure) >= 0.97 * len(sure)
+    assert not any(got[i] == got[j] and want[i] != want[j] for i, j in ((i, got[i]) for i in texts))
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    for i in range(len(texts)):
-        far = sigs[i + 1 :] ^ sigs[i]
-        close = np.bitwise_count(far).sum(axis=1, dtype=np.int64) <= limit
-        meets = (np.bitwise_count(far.view(np.uint32)) <= 2).any(axis=1)
-        for j in np.flatnonzero(close & meets).tolist():
-            a, b = find(i), find(i + 1 + j)
-            root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in range(len(texts))}
+def test_recall_on_ten_thousand_documents(spark, sf):
+    path = f"{sf}/../sf0.1/documents.parquet"
+    texts = {r["doc_id"]: r["text"] for r in pq.read_table(path, columns=["doc_id", "text"]).to_pylist()}
+    pairs = similar_pairs(texts, 0.8)
+    want = groups(texts, [(a, b) for a, b, _ in pairs])
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.read.parquet(path)).collect()}
+    near = [(a, b) for a, b, share in pairs if share < 1]
+    assert len(near) >= 40
+    assert sum(got[a] == got[b] for a, b in near) >= 0.95 * len(near)
+    assert all(got[a] == got[b] for a, b, share in pairs if share == 1)
+    assert all(want[i] == want[got[i]] for i in texts)  # nothing below the threshold is linked
 
 
-@pytest.mark.parametrize("block", [1 << 13, 16])
-def test_near_copies_in_a_family_are_all_linked(spark, family, monkeypatch, block):
-    rows, want = family
-    monkeypatch.setattr(simhash, "BLOCK", block)
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    lost = sum(got[i] != c for i, c in want.items())
-    assert lost == 0, f"{lost} of {sum(i != c for i, c in want.items())} linked texts have another component"
+def test_unrelated_texts_that_meet_hide_nothing():
+    """Texts that share a variant with two near copies but have smaller ids."""
+    key = np.zeros(4, np.uint64)
+    check = np.array([0x5555555555555555, 0x3333333333333333, 0xFFFF, 0xFFFE], np.uint64)
+    rows = nearcopies.collisions(key, check, np.array([1, 2, 10, 11]), 0, 2, 24, 18)
+    assert [10, 11] in rows[:, 1:].tolist() and (rows[:, 0] == 0).all()
+    many = nearcopies.collisions(np.zeros(9, np.uint64), np.arange(9, dtype=np.uint64), np.arange(9), 0, 2, 24, 18)
+    assert len(many) == 8 and (many[:, 0] != 0).all() and (many[:, 1] == 0).all()
+
+
+def test_expanding_by_parts_loses_nothing(monkeypatch):
+    draw = np.random.default_rng(3)
+    key = (draw.integers(0, 1 << 8, 400) << 12).astype(np.uint64) ^ draw.integers(0, 8, 400).astype(np.uint64)
+    check, reps = np.zeros(400, np.uint64), np.arange(400)
+    whole = [nearcopies.collisions(key, check, reps, p, 2, 24, 18) for p in range(4)]
+    monkeypatch.setattr(nearcopies, "EXPANDED", 100)
+    parts = [nearcopies.collisions(key, check, reps, p, 2, 24, 18) for p in range(4)]
+    assert [x.tolist() for x in whole] == [x.tolist() for x in parts]
+
+    fps = np.unique((draw.integers(0, 1 << 6, 300).astype(np.uint64) << np.uint64(40)) ^ draw.integers(0, 1 << 10, 300).astype(np.uint64))
+    a, b = simhash._meet(0, fps, 4, 2, 4)
+    monkeypatch.setattr(simhash, "EXPANDED", 1000)
+    x, y = simhash._meet(0, fps, 4, 2, 4)
+    assert groups(range(len(fps)), zip(a.tolist(), b.tolist())) == groups(range(len(fps)), zip(x.tolist(), y.tolist()))
+
+
+@pytest.mark.parametrize("n", [10, 10_000, 10**6, 10**9])
+def test_a_pair_at_the_threshold_meets_at_any_size(n):
+    width, tables = nearcopies.tables_for(n, 0.8)
+    keys, checks = nearcopies.chosen_bits(width, tables)
+    assert keys.shape == (tables, width) and all(len(set(k)) == width and not set(k) & set(c) for k, c in zip(keys.tolist(), checks.tolist()))
+    draw = np.random.default_rng(n)
+    far = draw.random((4000, 512)) < nearcopies.differing(0.8)
+    assert (far[:, keys].sum(axis=2) <= nearcopies.NEAR).any(axis=1).mean() >= 0.95
+    assert n * (width + 1) / 2**width <= 1 / 8
