@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from terrane.functions.scratch import materialize
-from terrane.llm import decontaminate, linededup, mixing, qualityrules, simhash
+from terrane.llm import decontaminate, linededup, mixing, nearcopies, qualityrules
 from terrane.sources.tables import table
 
 
@@ -40,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows that repeat it, or its id, go; rows without id stay."""
-    found = simhash.near_copies(docs, shingle=5, similarity=0.8)
+    found = nearcopies.near_copies(docs, shingle=5, similarity=0.8)
     stay = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "stay")
     kept = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
