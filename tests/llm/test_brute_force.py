@@ -6,14 +6,14 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from terrane.llm import chat, decontaminate, htmltext, langid, licensescan, linededup, qualityrules, queries, secretscan, simhash
+from tests.llm.exact import groups, similar_pairs
+from terrane.llm import chat, decontaminate, htmltext, langid, licensescan, linededup, nearcopies, qualityrules, queries, secretscan, simhash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -289,24 +289,8 @@ def test_pipeline_against_brute_force(spark, sf, docs):
 
 
 def corpus_pipeline_groups(rows):
-    """Components of all pairs by the signatures, without balls or patterns."""
-    signed = {i: np.frombuffer(simhash.signature(t.encode(), 5, 8), np.uint64) for i, t in rows.items()}
-    root = {i: i for i in rows}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    limit = simhash.most_differing(0.8, 512)
-    for i in rows:
-        for j in rows:
-            if i < j:
-                far = signed[i] ^ signed[j]
-                if np.bitwise_count(far).sum() <= limit and np.bitwise_count(far.view(np.uint32)).min() <= 2:
-                    a, b = find(i), find(j)
-                    root[max(a, b)] = min(a, b)
-    return {i: find(i) for i in rows}
+    """Components of all pairs of texts whose exact five-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    return groups(rows, [(i, j) for i, j, _ in similar_pairs(rows, 0.8)])
 
 
 def test_near_copies_finds_edits_and_leaves_others(spark):
@@ -323,11 +307,6 @@ def test_near_copies_finds_edits_and_leaves_others(spark):
             rows.append((10 * k + c, " ".join(other)))
             want[10 * k + c] = 10 * k
         want[10 * k] = 10 * k
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i] == c for i, c in want.items()) >= len(want) - 2
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == c for i, c in want.items()) >= len(want) - 1
     assert all(c // 10 == i // 10 for i, c in got.items())
-
-
-def test_signature_begins_with_the_fingerprint():
-    for text in (b"", b"one", b"a few words more than five of them"):
-        assert int.from_bytes(simhash.signature(text, 5, 2)[:8], "little", signed=True) == simhash.fingerprint(text, 5)
