@@ -1,19 +1,24 @@
 """Line deduplication across documents, with DataFrame functions only.
 
-Occurrences are range-partitioned by their key's hash, document and position. As the document is part of the range
-key, a line that a third of all documents hold is spread over many ranges; each range streams through its sorted
-rows to one row per line and document, then one per line, and only those partial rows are merged. What comes back is
-a bitmap per document, as run lengths, and no text.
+Occurrences are range-partitioned by their key's hash and the span of ids that the document lies in, and sorted by
+document and position within. A pass over that order tells the first occurrence in each document from further ones, and
+the first document of each key and span, which is the largest, keeps the key's lines. As the span is part of the range
+key, a line that a third of all documents hold is dealt over as many ranges as there are spans; only one row for each
+key and span is merged. What comes back is a bitmap per document, as run lengths, and no text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrane.functions.columns import let, lower_ascii, trim_ascii
 from terrane.functions.scratch import materialize
 
 
+#: Ranges of ids over which one key's lines are dealt at most.
+SPANS = 64
+
+
 def split_lines(text: Column) -> Column:
     """The \\n-separated lines; a null or empty text is one empty line."""
     return F.split(F.coalesce(text, F.lit("")), "\n")
@@ -24,12 +29,21 @@ def _identity(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("text_hash")]
 
 
+def _span(docs: DataFrame, doc_id: Column) -> Column:
+    """Which of at most ``SPANS`` ranges of ids, about equally full, a document lies in."""
+    shares = [k / SPANS for k in range(1, SPANS)]
+    cuts = sorted(set(docs.select(F.percentile_approx(doc_id, shares, 1000).alias("cuts")).first().cuts or []))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= doc_id)) if cuts else F.lit(0)
+
+
 def occurrences(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``text_hash``, ``pos``, ``h1``, ``h2`` of every line whose key has ``min_chars`` code points or more."""
-    lines = docs.where(docs[id_col].isNotNull()).select(*_identity(docs, id_col, text_col), F.posexplode(split_lines(docs[text_col])).alias("pos", "line"))
-    keys = lines.select("doc_id", "text_hash", "pos", trim_ascii(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
+    """``doc_id``, ``text_hash``, ``span``, ``pos``, ``h1``, ``h2`` of every line whose key has ``min_chars`` code points or more."""
+    span = _span(docs, docs[id_col].cast("long")).alias("span")
+    named = docs.where(docs[id_col].isNotNull()).select(*_identity(docs, id_col, text_col), span, docs[text_col].alias("text"))
+    lines = named.select("doc_id", "text_hash", "span", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+    keys = lines.select("doc_id", "text_hash", "span", "pos", trim_ascii(F.col("line")).alias("key")).where(F.char_length("key") >= min_chars)
     key = lower_ascii(F.col("key"))
-    return keys.select("doc_id", "text_hash", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
+    return keys.select("doc_id", "text_hash", "span", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
 
 
 def keep_runs(dropped: Column, n_lines: Column) -> Column:
@@ -56,6 +70,18 @@ def keep_runs(dropped: Column, n_lines: Column) -> Column:
     return let(dropped, runs)
 
 
+def first_occurrences(seen: DataFrame) -> DataFrame:
+    """``h1``, ``h2``, ``span``, ``doc_id``, ``pos`` of each key's first line in each document, the largest document first.
+
+    Ranges of key and span, sorted by document and position: the pass over that order needs no further shuffle or sort.
+    """
+    parts = int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = seen.select("h1", "h2", "span", "doc_id", "pos").repartitionByRange(parts, "h1", "h2", "span")
+    rows = rows.sortWithinPartitions("h1", "h2", "span", F.desc("doc_id"), "pos")
+    before = F.lag("doc_id").over(Window.partitionBy("h1", "h2", "span").orderBy(F.desc("doc_id"), "pos"))
+    return rows.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("doc_id"))).drop("before")
+
+
 def duplicate_lines(
     docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -67,16 +93,9 @@ def duplicate_lines(
     repeat an id count as one document and each loses its own lines; null and empty texts have no key; an empty table
     gives no rows. Other columns of ``docs`` are ignored, whatever their names.
     """
-    spark = docs.sparkSession
     seen = materialize(occurrences(docs, min_chars, id_col, text_col), "lines")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = (
-        seen.select("h1", "h2", "doc_id", "pos")
-        .repartitionByRange(parts, "h1", "h2", "doc_id")
-        .sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
-    )
-    by_doc = ranges.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("first_pos"))
-    held = by_doc.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    by_span = first_occurrences(seen).groupBy("h1", "h2", "span").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))
+    held = by_span.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
     # Written first, so that the join below deals both sides anew and can split a hot line, or broadcasts a small table.
     repeated = materialize(held.where(F.col("n_docs") >= min_docs).select("h1", "h2", "keeper"), "repeated")
     lost = seen.join(repeated, ["h1", "h2"]).where(F.col("doc_id") < F.col("keeper"))
