@@ -9,8 +9,10 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,29 +22,44 @@ from terrane.llm.textmap import map_texts
 
 # Elements of HTML by how they shape blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template iframe object svg math head title textarea select canvas audio video".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+SKIPPED = frozenset("script style template iframe head title textarea select".split())
+RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup "
-    "time tt u var wbr img".split()
+    "time tt u var wbr img math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded menclose "
+    "semantics annotation svg g path text tspan textpath use defs desc rect circle line polygon polyline ellipse symbol".split()
 )
-#: A start tag of the key closes open elements of the value, up to the nearest of the third.
+BLOCKS = frozenset(
+    "address article aside audio blockquote body button canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav noscript object ol option p picture pre search section summary table tbody td "
+    "tfoot th thead tr ul video".split()
+)
+#: A start tag of the key closes open elements of the second, if the nearest is nearer than any of the third.
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
 }
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S
-)
-NAMES = re.compile(r"""(?:^|[\s"'])(?:class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"hidden|display\s*:\s*none", re.I)
+#: Parts of names (class, id, role and the like) that tell what an element is: these as a whole word, those anywhere in one.
+WHOLE = frozenset("ad ads adv top side post page main text body logo user tags tag meta alert list item box toc hero".split())
+PARTS = (
+    "advert adsense sponsor promo banner cookie consent gdpr notice popup modal newsletter subscri signup login search nav menu breadcrumb pagina "
+    "header foot masthead sidebar widget related recommend archive categor recent popular comment respond reply replies disqus discuss thread "
+    "share social follow copyright legal imprint content article entry story blog post main complementary dialog contentinfo toolbar skip"
+).split()
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+GAP = re.compile(r"[\s/]*")
+NAME = re.compile(r"[^\s/>][^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+BARE = re.compile(r"[^\s>]*")
 NONE = re.compile(r"display\s*:\s*none", re.I)
-ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?|"[^"]*"|'[^']*'""")
+LONG_NUMBER = re.compile(r"&#(?:[0-9]{10,}|[xX][0-9a-fA-F]{9,});?")
+SHUT = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in sorted(RAW)}
+NAMING = frozenset("class id role aria-label itemprop".split())
 WORD = re.compile(r"[a-z]+")
 #: Words of boilerplate that a block's own text may hold.
 CUES = frozenset(
@@ -51,76 +68,168 @@ CUES = frozenset(
 )
 
 
+NO_TAGS: frozenset[str] = frozenset()
+PLAIN = frozenset("html body div p h1 h2 h3".split())
+
+
 @dataclass
 class Block:
     text: str
     linked: int  # characters within links
-    path: tuple[str, ...]  # tags, outermost first
-    names: tuple[str, ...]  # words of the ancestors' class, id, role and the like
+    own: str  # tag of the innermost block element, empty if none
+    tags: frozenset[str]  # of all block elements around
+    below: frozenset[str] | None  # of those within the innermost article or main; None if there is none
+    names: frozenset[str]  # parts of names of all elements around
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element. What it shares with its parent is the parent's own object, so that depth costs no memory."""
+
+    tag: str
+    own: str
+    tags: frozenset[str]
+    below: frozenset[str] | None
+    names: frozenset[str]
+    skips: bool
+    links: bool
+
+
+ROOT = Open("", "", NO_TAGS, None, NO_TAGS, False, False)
+
+
+def with_one(known: frozenset[str], one: str) -> frozenset[str]:
+    return known if one in known else known | {one}
+
+
+def parts_of(names: str) -> set[str]:
+    """The telling parts of names; any others say nothing, so that there are few."""
+    found = set()
+    for word in set(WORD.findall(names.lower())):
+        if word in WHOLE:
+            found.add(word)
+        found.update(x for x in PARTS if x in word)
+    return found
+
+
+class Scanner:
+    """Reads tags in one pass. No character is looked at more than a few times, whatever is left open."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.missing: set[str] = set()  # closers that do not occur from here on
+
+    def after(self, what: str, at: int) -> int:
+        """The position after the next ``what``, -1 if there is none."""
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+            return -1
+        return found + len(what)
+
+    def attributes(self, at: int) -> tuple[list[tuple[str, str]], int]:
+        """Names in lower case and values, and the position after the tag. A quote that is never closed is a character like others."""
+        page, out = self.page, []
+        while True:
+            at = GAP.match(page, at).end()
+            if at >= len(page):
+                return out, at
+            if page[at] == ">":
+                return out, at + 1
+            name = NAME.match(page, at)
+            at, value = name.end(), ""
+            equals = EQUALS.match(page, at)
+            if equals:
+                at = equals.end()
+                end = self.after(page[at], at + 1) if page[at : at + 1] in ("'", '"') and at < len(page) else -1
+                if end > 0:
+                    value, at = page[at + 1 : end - 1], end
+                else:
+                    bare = BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            out.append((name[0].lower(), value))
+
+
+def hides(attributes: list[tuple[str, str]]) -> bool:
+    """Whether a start tag's attributes hide its element: by their names, never by words within other values."""
+    return any(
+        name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NONE.search(value) is not None
+        for name, value in attributes
+    )
 
 
-def hides(attributes: str) -> bool:
-    """Whether a start tag's attributes hide its element: by their names, never by words within other values."""
-    for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NONE.search(value):
-            return True
-    return False
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond any character become U+FFFD."""
+    return html.unescape(LONG_NUMBER.sub("\ufffd", text)) if "&" in text else text
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order: character references decoded, white space within a block one space.
 
-    Elements that are left open end where their parent does, or where the next of their kind begins.
+    Elements that are left open end where their parent does, or where the next of their kind begins. Time and memory
+    are in proportion to the page, also where quotes or elements are left open or nested without end.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack: list[Open] = [ROOT]
+    places: dict[str, list[int]] = defaultdict(list)  # by tag, where on the stack
     parts: list[tuple[str, bool]] = []
-    where: list[tuple[tuple[str, ...], tuple[str, ...]]] = []
-    at, skipping, links = 0, 0, 0
+    around = ROOT
+    scan, at, end, skipping, links = Scanner(page), 0, len(page), 0, 0
 
     def flush() -> None:
         if parts:
             text = " ".join("".join(p for p, _ in parts).split())
             if text:
                 linked = sum(len(p) for p, in_link in parts if in_link)
-                out.append(Block(text, min(linked, len(text)), *where[0]))
+                out.append(Block(text, min(linked, len(text)), around.own, around.tags, around.below, around.names))
             parts.clear()
-            where.clear()
 
     def add(text: str) -> None:
+        nonlocal around
         if text and not skipping:
-            if not where and not text.isspace():
-                block = [t for t in stack if t[0] not in INLINE]
-                where.append((tuple(t[0] for t in block), tuple(w for t in stack for w in t[1])))
-            if where or parts:
+            blank = text.isspace()
+            if not blank and all(p.isspace() for p, _ in parts):
+                parts.clear()
+                around = stack[-1]
+            if parts or not blank:
                 parts.append((text, links > 0))
 
-    def pop() -> None:
+    def pop_to(depth: int) -> None:
         nonlocal skipping, links
-        tag, _, skip = stack.pop()
-        skipping -= skip
-        links -= tag == "a"
-        if tag not in INLINE:
-            flush()
+        while len(stack) > depth:
+            if stack[-1].tag not in INLINE:
+                flush()
+            gone = stack.pop()
+            places[gone.tag].pop()
+            skipping -= gone.skips
+            links -= gone.links
+
+    def nearest(tags: tuple[str, ...]) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
 
-    end = len(page)
     while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            add(html.unescape(page[at:]))
+        found = page.find("<", at)
+        if found < 0:
+            add(unescaped(page[at:]))
             break
-        if m.start() > at:
-            add(html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        m = TAG.match(page, found + 1)
+        if m is None and page[found + 1 : found + 2] not in ("!", "?"):  # no tag
+            add(unescaped(page[at : found + 1]))
+            at = found + 1
+            continue
+        add(unescaped(page[at:found]))
+        if m is None:
+            closer = "-->" if page.startswith("<!--", found) else "]]>" if page.startswith("<![CDATA[", found) else ">"
+            at = scan.after(closer, found + 2)
+            at = at if at > 0 else end
             continue
-        closing, tag, rest = m[1], m[2].lower(), m[3] or ""
+        closing, tag = m[1], m[2].lower()
+        attributes, at = scan.attributes(m.end())
         if closing:
-            if any(t[0] == tag for t in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+            if places[tag]:
+                pop_to(places[tag][-1])
             elif tag == "p":
                 flush()
             continue
@@ -132,48 +241,44 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            open_p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if open_p is not None:
-                while len(stack) > open_p:
-                    pop()
+            if places["p"]:
+                pop_to(places["p"][-1])
         if tag in CLOSES:
-            closed, until = CLOSES[tag]
-            k = len(stack) - 1
-            while k >= 0 and stack[k][0] not in until:
-                if stack[k][0] in closed:
-                    while len(stack) > k:
-                        pop()
-                k -= 1
-        elif tag == "a" and links:
-            k = max(k for k, t in enumerate(stack) if t[0] == "a")
-            stack[k] = ("span", *stack[k][1:])
+            while (k := nearest(CLOSES[tag][0])) > nearest(CLOSES[tag][1]):
+                pop_to(k)
+        if tag == "a" and links:  # links do not nest
+            stack[places["a"][-1]].links = False
             links -= 1
-        if rest.endswith("/") and tag in ("svg", "math"):
-            continue
-        named = " ".join(x[0] or x[1] or x[2] for x in NAMES.findall(rest)) if "=" in rest else ""
-        skip = tag in SKIPPED or bool(rest and HIDDEN.search(rest) and hides(rest))
-        stack.append((tag, tuple(WORD.findall(named.lower())), skip))
-        skipping += skip
-        links += tag == "a"
+        up = stack[-1]
+        named = " ".join(v for k, v in attributes if k in NAMING)
+        names = parts_of(named) if named else ()
+        mine = Open(tag, up.own, up.tags, up.below, up.names if up.names.issuperset(names) else up.names | names, tag in SKIPPED or hides(attributes), tag == "a")
+        if tag not in INLINE:
+            known = tag if tag in BLOCKS or tag in SKIPPED else "other"
+            mine.own, mine.tags = known, with_one(up.tags, known)
+            mine.below = NO_TAGS if tag in ("article", "main") else None if up.below is None else with_one(up.below, known)
+        places[tag].append(len(stack))
+        stack.append(mine)
+        skipping += mine.skips
+        links += mine.links
         if tag in RAW:
-            shut = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
+            shut = SHUT[tag].search(page, at)
             at = shut.start() if shut else end
-    while stack:
-        pop()
+    pop_to(1)
     flush()
     return out
 
 
 def features(page: list[Block]) -> list[list[str]]:
     """The features of each block."""
-    out = []
+    out, has_article = [], any(b.below is not None for b in page)
     for k, b in enumerate(page):
         n = len(b.text.split())
-        own = b.path[-1] if b.path else ""
-        f = {"bias", f"own={own}", *(f"in={t}" for t in set(b.path) - {"html", "body"}), *(f"name={w}" for w in set(b.names))}
-        article = max((i for i, t in enumerate(b.path) if t in ("article", "main")), default=-1)
-        if article >= 0:
-            f |= {f"below={t}" for t in set(b.path[article + 1 :])}
+        f = {"bias", f"own={b.own}", *(f"in={t}" for t in b.tags if t not in ("html", "body")), *(f"name={w}" for w in b.names)}
+        if b.below is not None:
+            f |= {"article", *(f"below={t}" for t in b.below)}
+        elif has_article:
+            f.add("outside")
         share = b.linked / max(1, len(b.text))
         f.add(f"links={0 if not share else 1 if share < 0.3 else 2 if share < 0.8 else 3}")
         f.add(f"words={0 if n < 3 else 1 if n < 8 else 2 if n < 20 else 3 if n < 60 else 4}")
@@ -182,8 +287,10 @@ def features(page: list[Block]) -> list[list[str]]:
         if "©" in b.text or "|" in b.text:
             f.add("sign")
         f |= {f"cue={w}" for w in CUES & set(WORD.findall(b.text.lower()))} if n < 30 else set()
-        if not b.path or all(t in ("html", "body", "div", "p", "h1", "h2", "h3") for t in b.path):
+        if b.tags <= PLAIN:
             f.add("plain")
+        if not b.names:
+            f.add("unnamed")
         if k == 0:
             f.add("first")
         if k == len(page) - 1:
@@ -237,11 +344,13 @@ def fit(pages: list[tuple[list[Block], list[int]]], epochs: int = 250, rate: flo
     rows, cols, longest = [], [], max(len(p[0]) for p in pages)
     for i, (page, _) in enumerate(pages):
         for t, f in enumerate(features(page)):
-            for x in f:
-                rows.append(i * longest + t)
-                cols.append(names.setdefault(x, len(names)))
-    x = np.zeros((len(pages) * longest, len(names)), np.float32)
-    x[rows, cols] = 1
+            rows += [i * longest + t] * len(f)
+            cols += [names.setdefault(x, len(names)) for x in f]
+    rows, cols = np.array(rows), np.array(cols)
+    firsts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])  # each block has features, and they follow each other
+    filled = rows[firsts]
+    order = np.argsort(cols, kind="stable")  # the same by feature
+    by_name, starts = rows[order], np.flatnonzero(np.r_[True, np.diff(cols[order]) != 0])
     n = np.array([len(p[0]) for p in pages])
     valid = np.arange(longest)[None, :] < n[:, None]
     y = np.zeros((len(pages), longest), np.int64)
@@ -253,21 +362,24 @@ def fit(pages: list[tuple[list[Block], list[int]]], epochs: int = 250, rate: flo
     speed = [np.zeros_like(w), np.zeros_like(move), np.zeros_like(first)]
     total = valid.sum()
     for _ in range(epochs):
-        emit = (x @ w.astype(np.float32)).reshape(len(pages), longest, 2).astype(np.float64)
+        emit = np.zeros((len(pages) * longest, 2))
+        emit[filled] = np.add.reduceat(w[cols], firsts, axis=0)
+        emit = emit.reshape(len(pages), longest, 2)
         fwd, bwd = np.zeros_like(emit), np.zeros_like(emit)
         fwd[:, 0] = first + emit[:, 0]
         for t in range(1, longest):
-            step = np.logaddexp.reduce(fwd[:, t - 1, :, None] + move[None], axis=1) + emit[:, t]
+            step = np.logaddexp(fwd[:, t - 1, :1] + move[0], fwd[:, t - 1, 1:] + move[1]) + emit[:, t]
             fwd[:, t] = np.where(valid[:, t, None], step, fwd[:, t - 1])
         for t in range(longest - 2, -1, -1):
-            step = np.logaddexp.reduce(move[None] + (emit[:, t + 1] + bwd[:, t + 1])[:, None, :], axis=2)
+            ahead = emit[:, t + 1] + bwd[:, t + 1]
+            step = np.logaddexp(ahead[:, :1] + move[:, 0], ahead[:, 1:] + move[:, 1])
             bwd[:, t] = np.where(valid[:, t + 1, None], step, 0)
-        z = np.logaddexp.reduce(fwd[:, -1], axis=1)
+        z = np.logaddexp(fwd[:, -1, 0], fwd[:, -1, 1])
         p = np.exp(fwd + bwd - z[:, None, None]) * valid[..., None]
         log = fwd[:, :-1, :, None] + move[None, None] + (emit[:, 1:] + bwd[:, 1:])[:, :, None, :] - z[:, None, None, None]
         both = np.exp(np.minimum(log, 0)) * valid[:, 1:, None, None]
         slope = [
-            x.T @ (gold - p).reshape(-1, 2).astype(np.float32) / total * 50 - l2 * w,
+            np.add.reduceat((gold - p).reshape(-1, 2)[by_name], starts, axis=0) / total * 50 - l2 * w,
             (pairs - both).sum((0, 1)) / total * 50 - l2 * move,
             (gold - p)[:, 0].sum(0) / len(pages) - l2 * first,
         ]
@@ -328,7 +440,13 @@ class PageMaker:
         d = self.draw
         body = "".join(f'<div class="{d.choice(("comment", "comment-body", "reply"))}"><p>{self.words(3, 50)}</p></div>' for _ in range(d.randint(1, 5)))
         head = d.choice(("", f"<h3>{d.choice(('Comments', 'Reader comments', 'Kommentare'))}</h3>"))
+        said = [f"<p>{self.words(3, 50)}</p>" for _ in range(d.randint(1, 5))]
+        who = f'<cite>{self.words(1, 2, "")}</cite>'
         return d.choice((
+            f'<ol class="{d.choice(("commentlist", "comment-thread", "comments-list"))}">' + "".join(f'<li id="c{k}">{who} {x}</li>' for k, x in enumerate(said)) + "</ol>",
+            f'<div id="{d.choice(("respond", "disqus_thread", "discussion"))}">{head}' + "".join(f"<div>{x}</div>" for x in said) + "</div>",
+            f'<ul class="{d.choice(("replies", "usercomments", "threaded-replies"))}">' + "".join(f"<li>{x}</li>" for x in said) + "</ul>",
+            f'<section aria-label="Comments">{head}' + "".join(f"<article>{x}</article>" for x in said) + "</section>",
             f'<section class="comments">{head}{body}</section>', f'<div id="comments">{head}{body}</div>', f'<div class="comment-list">{head}{body}</div>',
             f'<section id="comments">{head}<ul>' + "".join(f"<li class=\"comment\">{self.words(3, 40)}</li>" for _ in range(3)) + "</ul></section>",
             f'<div class="reader-comments">{head}' + "".join(f"<article class=\"comment\"><p>{self.words(3, 40)}</p></article>" for _ in range(3)) + "</div>",
@@ -343,6 +461,9 @@ class PageMaker:
         return d.choice((
             f'<{tag} class="{ad}">{self.words(2, 30)}</{tag}>', f'<div class="{ad}"><p>{self.words(2, 30)}</p></div>', f'<div id="{ad}">{self.words(2, 30)}</div>',
             f'<div class="{notice}">{d.choice(("", "We use cookies. "))}{self.words(4, 25)}</div>', f'<div id="{notice}"><p>{self.words(4, 25)}</p><button>OK</button></div>',
+            f'<div id="{d.choice(("secondary", "sidebar", "right-sidebar", "widget-area"))}"><h3>{d.choice(("Archives", "Categories", "Recent posts", "Tags"))}</h3><ul>{self.links()}</ul></div>',
+            f'<div class="{d.choice(("archives", "categories", "recent-posts", "popularposts"))}"><h2>{self.words(1, 2, "")}</h2><ul>{self.links()}</ul></div>',
+            f'<noscript>{self.words(3, 12)}</noscript>',
             f'<aside><h3>{self.words(1, 3, "")}</h3><p>{self.words(3, 40)}</p></aside>', f"<aside><ul>{self.links()}</ul></aside>",
             f'<div class="{name}"><h3>{self.words(1, 3, "")}</h3><ul>{self.links()}</ul></div>', f'<div class="{name}"><p>{self.words(3, 30)}</p></div>',
             f'<form action="/s"><label>{self.words(1, 3, "")}</label><input name="q"><button>{self.words(1, 1, "")}</button></form>',
@@ -357,6 +478,7 @@ class PageMaker:
         title = self.words(2, 9, "")
         top = [f"<nav><ul>{self.links()}</ul></nav>", f'<div class="{d.choice(("menu", "nav", "navbar", "navigation", "top-menu"))}"><ul>{self.links()}</ul></div>',
                f"<header><h2>{self.words(1, 3, '')}</h2><p>{self.words(2, 8)}</p></header>", f'<div id="header"><a href="/">{self.words(1, 2, "")}</a> {self.words(2, 6)}</div>',
+               f'<header><h1>{self.words(1, 3, "")}</h1></header>', f'<div id="header"><h1><a href="/">{self.words(1, 3, "")}</a></h1><p>{self.words(2, 8)}</p></div>',
                f'<header><div class="logo">{self.words(1, 2, "")}</div><nav>{self.links("span")}</nav></header>', f'<ul class="menu">{self.links()}</ul>']
         before = d.sample(top, d.randint(0, 2)) + [self.junk() for _ in range(d.choice((0, 0, 1, 1, 2)))]
         body = [self.text() for _ in range(d.choice((1, 1, 2, 4, 8, 14)))]
@@ -395,8 +517,9 @@ def labelled(page: str) -> tuple[list[Block], list[int]]:
     return found, labels
 
 
+@lru_cache(maxsize=4)
 def train(n_pages: int = 900, seed: int = 11) -> Field:
-    """The field of ``n_pages`` generated pages; the same for the same arguments."""
+    """The field of ``n_pages`` generated pages; the same for the same arguments, so it is fitted once in a process."""
     maker = PageMaker(seed)
     return fit([labelled(maker.page()) for _ in range(n_pages)])
 
@@ -411,7 +534,8 @@ def main_text(page: str, field_: Field) -> tuple[str, int, int]:
 def extract(pages: DataFrame, model: Field, id_col: str = "page_id", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """The id, the columns ``keep``, ``text``, ``n_chars``, ``n_text_blocks``, ``n_blocks`` for every page.
 
-    A page that is null, empty or without any block has an empty text. Null ids and repeated rows come back as they
+    A page that is null, empty or without any block has an empty text; ties of the field go to boilerplate. Very long,
+    deeply nested or broken pages take time and memory in proportion to their length. Null ids and repeated rows come back as they
     are; an empty table gives no rows. Columns that are not named are ignored, whatever their names.
     """
 
