@@ -8,6 +8,7 @@ gathering is aligned with the template within a band, which gives the matched sh
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Callable
 
@@ -68,9 +69,21 @@ TEMPLATES = {
     "All-rights-reserved": "All rights reserved. No part of this work may be reproduced without written permission",
 }
 
+#: Longest grams and windows, the widest band, and the matched share of a template that makes a match.
 K, WINDOW, BAND, MIN_COVERAGE = 3, 2, 6, 0.8
 
 
+def gram_and_window(n: int, min_coverage: float) -> tuple[int, int]:
+    """Gram length and window for a template of ``n`` words, so that a copy of ``min_coverage`` of them keeps a fingerprint.
+
+    With e words changed or left out, the longest run that stays has (n - e) / (e + 1) words at least.
+    """
+    edits = int(n - min_coverage * n + 1e-9)
+    run = max(1, -(-(n - edits) // (edits + 1)))
+    k = min(K, run)
+    return k, min(WINDOW, run - k + 1)
+
+
 def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
     """Positions of each window's smallest hash, the rightmost on ties; all of fewer hashes than a window have one."""
     chosen: list[int] = []
@@ -83,54 +96,47 @@ def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
 
 
 def align(template: list[int], words: list[int], start: int, band: int) -> tuple[int, int, int, int]:
-    """Banded alignment of ``template`` with ``words`` around the diagonal that puts template word 0 at ``start``.
+    """Banded alignment of all of ``template`` with ``words`` around the diagonal that puts template word 0 at ``start``.
 
-    Local on both ends: match 2, mismatch -1, gap -1. Returns score, matched template words, and the first and last
-    matched word. Ties prefer the earlier end.
+    The words' ends are free: match 2, mismatch -1, gap -1. Returns score, matched template words, and the first and
+    last matched word. Ties prefer the earlier end.
     """
     width = 2 * band + 1
-    zero = (0, 0, -1, -1)  # score, matches, first, last
-    before = [zero] * width
-    best = zero
+    before = [(0, 0, -1, -1)] * width  # score, matches, first, last
     for i, t in enumerate(template):
         row = []
         for d in range(width):
             j = start + i + d - band
-            if not 0 <= j < len(words):
-                row.append(zero)
-                continue
             s, m, f, e = before[d]
-            cell = (s + 2, m + 1, j if f < 0 else f, j) if words[j] == t else (s - 1, m, f, e)
+            inside = 0 <= j < len(words)
+            cell = (s + 2, m + 1, j if f < 0 else f, j) if inside and words[j] == t else (s - 1, m, f, e)
             if d + 1 < width and before[d + 1][0] - 1 > cell[0]:
                 cell = (before[d + 1][0] - 1, *before[d + 1][1:])
-            if d and row[d - 1][0] - 1 > cell[0]:
+            if d and inside and row[d - 1][0] - 1 > cell[0]:
                 cell = (row[d - 1][0] - 1, *row[d - 1][1:])
-            if cell[0] <= 0:
-                cell = zero
             row.append(cell)
-            if cell[0] > best[0]:
-                best = cell
         before = row
-    return best
+    return max(before, key=lambda cell: cell[0])
 
 
 class Index:
     """The inverted index of winnowed template fingerprints."""
 
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], min_coverage: float = MIN_COVERAGE) -> None:
         self.names = sorted(templates)
         texts = [tokens(templates[n].encode()) for n in self.names]
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for t in texts for w in t}))}
         self.base = len(self.vocabulary) + 1
         self.templates = [[self.vocabulary[w] for w in t] for t in texts]
         self.bags = [Counter(t) for t in self.templates]
-        entries: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.bands = [min(BAND, max(1, (len(t) - 1) // 2)) for t in self.templates]
+        by_length: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for t, ids in enumerate(self.templates):
-            grams = [self._gram(ids[i : i + K]) for i in range(len(ids) - K + 1)]
-            for at in winnow([xxhash.xxh64_intdigest(str(g)) for g in grams]):
-                entries[grams[at]].append((t, at))
-        self.entries = dict(entries)
-        self.sorted = np.array(sorted(entries), np.int64)
+            k, window = gram_and_window(len(ids), min_coverage)
+            grams = [self._gram(ids[i : i + k]) for i in range(len(ids) - k + 1)]
+            for at in winnow([xxhash.xxh64_intdigest(str(g)) for g in grams], window):
+                by_length[k][grams[at]].append((t, at))
+        self.grams = {k: (np.array(sorted(entries), np.int64), dict(entries)) for k, entries in by_length.items()}
 
     def _gram(self, ids: list[int]) -> int:
         out = 0
@@ -140,23 +146,25 @@ class Index:
 
     def hits(self, ids: np.ndarray) -> dict[int, list[int]]:
         """By template, the sorted starts (document word less template word) of all fingerprints found."""
-        if len(ids) < K or not len(self.sorted):
-            return {}
-        grams, whole = ids[: len(ids) - K + 1].copy(), ids[: len(ids) - K + 1] > 0
-        for k in range(1, K):
-            part = ids[k : len(ids) - K + 1 + k]
-            grams, whole = grams * self.base + part, whole & (part > 0)
-        at = np.flatnonzero(whole)
-        at = at[self.sorted[np.minimum(np.searchsorted(self.sorted, grams[at]), len(self.sorted) - 1)] == grams[at]]
         found: dict[int, list[int]] = defaultdict(list)
-        for p in at.tolist():
-            for t, offset in self.entries[int(grams[p])]:
-                found[t].append(p - offset)
+        for k, (known, entries) in self.grams.items():
+            n = len(ids) - k + 1
+            if n <= 0:
+                continue
+            grams, whole = ids[:n].copy(), ids[:n] > 0
+            for j in range(1, k):
+                part = ids[j : n + j]
+                grams, whole = grams * self.base + part, whole & (part > 0)
+            at = np.flatnonzero(whole)
+            at = at[known[np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)] == grams[at]]
+            for p in at.tolist():
+                for t, offset in entries[int(grams[p])]:
+                    found[t].append(p - offset)
         return {t: sorted(x) for t, x in found.items()}
 
 
 def scanner(templates: dict[str, str], min_coverage: float) -> Callable[[bytes | None], tuple[int, str, list[dict]]]:
-    index = Index(templates)
+    index = Index(templates, min_coverage)
     get = index.vocabulary.get
 
     def scan(raw: bytes | None) -> tuple[int, str, list[dict]]:
@@ -166,32 +174,33 @@ def scanner(templates: dict[str, str], min_coverage: float) -> Callable[[bytes |
         if ids.any():
             plain = None
             for t, starts in index.hits(ids).items():
-                template, at = index.templates[t], 0
+                template, band, at = index.templates[t], index.bands[t], 0
                 while at < len(starts):
                     end = at
-                    while end + 1 < len(starts) and starts[end + 1] - starts[at] <= BAND:
+                    while end + 1 < len(starts) and starts[end + 1] - starts[at] <= band:
                         end += 1
                     start = starts[(at + end) // 2]
                     at = end + 1
-                    lo, hi = max(0, start - 2 * BAND), start + len(template) + 2 * BAND
+                    lo, hi = max(0, start - 2 * band), start + len(template) + 2 * band
                     there = Counter(ids[lo:hi].tolist())
                     if sum(min(n, there[w]) for w, n in index.bags[t].items()) < min_coverage * len(template):
                         continue
                     plain = plain if plain is not None else ids.tolist()
-                    score, matched, first, last = align(template, plain, start, BAND)
+                    score, matched, first, last = align(template, plain, start, band)
                     if matched >= min_coverage * len(template):
                         found.append((-score, t, first, last, matched / len(template)))
         told: list[tuple[int, int, int, float]] = []
-        for _, t, first, last, share in sorted(found):
-            if not any(first <= l and f <= last for f, l, *_ in told):  # the best of those that overlap
-                told.append((first, last, t, share))
+        for _, t, first, last, share in sorted(found):  # the best of those that overlap
+            k = bisect_left(told, (first,))
+            if (k == len(told) or told[k][0] > last) and (k == 0 or told[k - 1][1] < first):
+                insort(told, (first, last, t, share))
         if not told:
             return 0, "", []
         spans = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(_FOLD))]
         chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
         out = [
             {"license": index.names[t], "coverage": share, "start": int(chars[spans[f][0]]), "end": int(chars[spans[l][1]])}
-            for f, l, t, share in sorted(told)
+            for f, l, t, share in told
         ]
         return len(out), ",".join(sorted({x["license"] for x in out})), out
 
@@ -204,9 +213,10 @@ def scan_licenses(
     """``doc_id``, ``n_matches``, ``licenses``, ``matches`` (license, coverage, start, end in code points) for every row.
 
     A match aligns at least ``min_coverage`` of a template's words, whatever their case and punctuation; of matches
-    that overlap, the one that aligns best is told. Any copy of a template's five words in a row is found; templates
-    of fewer than three words never match. Null and empty texts have no match; null ids and repeated rows come back
-    as they are; an empty table gives no rows. Other columns are ignored, whatever their names.
+    that overlap, the one that aligns best is told (ties: the template whose name sorts first, then the earlier). A copy in which
+    no more than the other words are changed or left out always has a fingerprint in the index. Null and empty texts
+    have no match; very long texts are read whole, in time in proportion to their length and matches; null ids and repeated rows
+    come back as they are; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     chosen = TEMPLATES if templates is None else templates
     kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
