@@ -26,7 +26,8 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 NAMED = re.compile(rb"(?i:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9._@+-]{3,})")
 OPAQUE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
-ENDPOINT = re.compile(rb"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}|(?:[a-z0-9-]+\.){1,8}amazonaws\.com")
+ENDPOINT = re.compile(rb"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}")
+CLOUD, LABEL, MOST_LABELS = b".amazonaws.com", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789-"), 8
 BLANK = re.compile(rb"\n[ \t\r]*\n")
 #: In this order where spans start alike; the first three are the strong ones.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -66,8 +67,30 @@ def weak_spans(raw: bytes, low: bytes, long_run: bool) -> list[Span]:
             token = m[0]
             if any(48 <= b <= 57 for b in token) and any(b > 64 for b in token) and entropy(token) >= MIN_ENTROPY:
                 found.append((m.start(), 4, m.end()))
-    if b"://" in raw or b"amazonaws.com" in raw:
-        found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(raw)]
+    found += endpoints(raw)
+    return found
+
+
+def endpoints(raw: bytes) -> list[Span]:
+    """Addresses with a scheme, and host names of a cloud: from each such suffix, up to ``MOST_LABELS`` labels to its left."""
+    found = [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(raw)] if b"://" in raw else []
+    taken, k, floor, at = found.copy(), 0, 0, raw.find(CLOUD)
+    while at >= 0:
+        while k < len(taken) and taken[k][2] <= at:
+            floor, k = max(floor, taken[k][2]), k + 1
+        end = at + len(CLOUD)
+        if k == len(taken) or taken[k][0] >= end:
+            start, labels, left = at, 0, at
+            while left > floor and labels < MOST_LABELS and raw[left - 1] in LABEL:
+                while left > floor and raw[left - 1] in LABEL:
+                    left -= 1
+                start, labels = left, labels + 1
+                if left > floor and raw[left - 1] == 46:
+                    left -= 1
+            if labels:
+                found.append((start, 5, end))
+            floor = end
+        at = raw.find(CLOUD, end)
     return found
 
 
