@@ -5,25 +5,29 @@ hashes of an item's shingles are looked up among all shingles of the document (c
 partitioned by their number of shingles, and the partition sets the sketch's length: an item of at most m shingles gets
 floor((1 - threshold) * m) + 1 hashes, of which a document that holds the threshold's share must hold one. The search
 therefore misses nothing, and each candidate is then verified on the shingles themselves.
+
+The sketches are a table. Documents are read once: a bit map of the sketches' hashes, of bounded size whatever the
+number of items, tells which shingles may be in the table, and only documents with such a shingle go on, to an
+equi-join with it. Nothing of either table but that bit map passes through the driver.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from terrane.llm.textmap import map_texts
+from terrane.functions.scratch import materialize
+from terrane.llm.textmap import give_back, map_texts
 
 #: All but ASCII letters and digits and the bytes of other characters separates words; A-Z in lower case.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Bytes of item text that one pass sends to the executors at most.
-BLOCK_BYTES = 32 << 20
+#: Bits of the map of sketch hashes: so many for each hash, and at most 2 to the power of the second (32 MB).
+BITS_EACH, MOST_BITS = 64, 28
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -48,94 +52,86 @@ def _hashes(parts: list[bytes]) -> np.ndarray:
     return np.array([digest(x) for x in parts], np.uint64)
 
 
-def build_index(items: list[tuple[int, bytes]], k: int, threshold: float) -> dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]]:
-    """By shingle length (``k``; less for items of fewer words), for each size partition: sorted sketch hashes, and items by hash."""
-    sketches: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-    for at, (_, raw) in enumerate(items):
-        words = tokens(raw)
-        if not words:
-            continue
-        length = min(k, len(words))
-        own = np.unique(_hashes(shingles(words, length)))
-        part = math.ceil(math.log2(len(own))) if len(own) > 1 else 0
-        for h in own[: math.floor((1 - threshold) * (1 << part) + 1e-9) + 1].tolist():
-            sketches[length, part][h].append(at)
-    index: dict[int, list[tuple[np.ndarray, dict[int, list[int]]]]] = defaultdict(list)
-    for (length, _), by_hash in sorted(sketches.items()):
-        index[length].append((np.array(sorted(by_hash), np.uint64), dict(by_hash)))
-    return dict(index)
-
-
-def matcher(items: list[tuple[int, bytes]], k: int, threshold: float) -> Callable[[bytes | None], list[dict]]:
-    """A function from a text to the items of which it holds at least ``threshold`` of the distinct shingles."""
-    index = build_index(items, k, threshold)
-    exact = [set(shingles(w, min(k, len(w)))) if (w := tokens(raw)) else set() for _, raw in items]
-
-    def match(raw: bytes | None) -> list[dict]:
-        words, found = tokens(raw), []
-        for length, partitions in index.items():
-            parts = shingles(words, length)
-            if not parts:
-                continue
-            hashes, candidates = _hashes(parts), set()
-            for sketch, by_hash in partitions:
-                at = np.searchsorted(sketch, hashes)
-                at[at == len(sketch)] = 0
-                for h in set(hashes[sketch[at] == hashes].tolist()):
-                    candidates.update(by_hash[h])
-            if candidates:
-                have = set(parts)
-                for c in candidates:
-                    share = len(exact[c] & have) / len(exact[c])
-                    if share >= threshold:
-                        found.append({"item_id": items[c][0], "containment": share})
-        return sorted(found, key=lambda x: (x["item_id"], -x["containment"]))
-
-    return match
+def sketch(raw: bytes | None, k: int, threshold: float) -> tuple[int, int, list[int]]:
+    """Shingle length (``k``; less for items of fewer words), number of distinct shingles, and the smallest hashes, as signed numbers."""
+    words = tokens(raw)
+    if not words:
+        return 0, 0, []
+    length = min(k, len(words))
+    own = np.unique(_hashes(shingles(words, length)))
+    part = math.ceil(math.log2(len(own))) if len(own) > 1 else 0
+    return length, len(own), own[: math.floor((1 - threshold) * (1 << part) + 1e-9) + 1].view(np.int64).tolist()
+
+
+def sketches(benchmark: DataFrame, k: int, threshold: float) -> DataFrame:
+    """``item``, ``item_id``, ``raw``, ``length``, ``sketch`` of every distinct item that has a word; ``item`` numbers them."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    found = map_texts(rows, "item_id", "text", lambda: lambda raw: sketch(raw, k, threshold), "length long, n long, sketch array<long>", types, keep=["text"])
+    return found.where("n > 0").select(F.monotonically_increasing_id().alias("item"), F.col("doc_id").alias("item_id"), F.col("text").cast("binary").alias("raw"), "length", "sketch")
+
+
+def hash_map(entries: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """Number of leading bits and the map, 64 to a word, of the ``n`` rows' hashes; at most ``2 ** MOST_BITS`` bits, whatever n."""
+    bits = min(MOST_BITS, max(10, math.ceil(math.log2(max(1, n) * BITS_EACH))))
+    at = F.shiftrightunsigned("hash", 64 - bits)
+    words = entries.select(F.shiftright(at, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, %d) & 63 as int))" % (64 - bits)).alias("bit"))
+    rows = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    found = np.zeros(1 << (bits - 6), np.uint64)
+    found[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return bits, found
+
+
+def _suspects(docs: DataFrame, lengths: list[int], bits: int, known: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """``doc``, ``doc_id``, ``raw``, ``hits`` (length and hash) of the documents with a shingle that may be in a sketch."""
+
+    def make() -> Callable[[bytes | None], tuple]:
+        shift = np.uint64(64 - bits)
+
+        def one(raw: bytes | None) -> tuple:
+            words, hits = tokens(raw), []
+            for length in lengths:
+                hashes = _hashes(shingles(words, length))
+                at = hashes >> shift
+                may = (known[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                hits += [{"length": length, "hash": h} for h in np.unique(hashes[may]).view(np.int64).tolist()]
+            return (hits,) if hits else (None,)
+
+        return one
+
+    kind = pa.list_(pa.struct([("length", pa.int64()), ("hash", pa.int64())]))
+    named = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    found = map_texts(named, "doc_id", "text", make, "hits array<struct<length:bigint,hash:bigint>>", [kind], keep=["text"])
+    return found.where("hits IS NOT NULL").select(F.monotonically_increasing_id().alias("doc"), "doc_id", F.col("text").cast("binary").alias("raw"), "hits")
 
 
 def contaminated(
-    docs: DataFrame,
-    benchmark: DataFrame,
-    k: int = 5,
-    threshold: float = 0.8,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    block_bytes: int = BLOCK_BYTES,
+    docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id``, ``item_id``, ``containment`` for every document and item of which it holds ``threshold`` or more.
 
     Containment is the share of the item's distinct ``k``-word shingles that occur in the document; an item of fewer
-    words is one shingle of all its words. Items travel to the executors in blocks of at most ``block_bytes`` of text
-    (or one item), each a pass over the documents, so nothing sent grows with either table. Items that are null or
-    have no word match nothing, nor do such documents; repeated rows of either table give repeated or equal pairs; a
-    null id is returned as null; empty tables give no rows. Other columns are ignored, whatever their names.
+    words is one shingle of all its words. Items that are null or have no word match nothing, nor do such documents;
+    repeated rows of ``docs`` give repeated rows, repeated items do not; a null id is returned as null; very long texts
+    are read whole; empty tables give no rows. Other columns are ignored, whatever their names.
     """
-    out = None
-    for items in _blocks(benchmark, block_bytes):
-
-        def make(items: list[tuple[int, bytes]] = items) -> Callable[[bytes | None], tuple]:
-            match = matcher(items, k, threshold)
-            return lambda raw: (match(raw),)
-
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("containment", pa.float64())]))
-        hits = map_texts(docs, id_col, text_col, make, "hits array<struct<item_id:bigint,containment:double>>", [kind])
-        hits = hits.select("doc_id", F.inline("hits"))
-        out = hits if out is None else out.union(hits)
-    return out
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, bytes]]]:
-    """The items in blocks of bounded size; the driver holds the query set once, as it must be stated."""
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).distinct().toLocalIterator()
-    blocks: list[list[tuple[int, bytes]]] = [[]]
-    size = 0
-    for item, raw in rows:
-        if raw is None:
-            continue
-        if blocks[-1] and size + len(raw) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((item, bytes(raw)))
-        size += len(raw)
-    return blocks
+    items = materialize(sketches(benchmark, k, threshold), "items")
+    entries = items.select("item", "length", F.explode("sketch").alias("hash"))
+    lengths = sorted(r.length for r in items.select("length").distinct().collect())  # at most k numbers
+    bits, known = hash_map(entries, entries.count())
+    suspects = materialize(_suspects(docs, lengths, bits, known, id_col, text_col), "suspects")
+    pairs = suspects.select("doc", F.inline("hits")).join(entries, ["length", "hash"]).select("doc", "item").distinct()
+    both = pairs.join(suspects.select("doc", "doc_id", F.col("raw").alias("text")), "doc").join(items.select("item", "item_id", "raw", "length"), "item")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_ids, texts, item_ids, raws, sizes = batch.columns
+            shares = []
+            for text, raw, length in zip(texts, raws, sizes.to_pylist()):
+                item = set(shingles(tokens(raw.as_py()), length))
+                shares.append(len(item.intersection(shingles(tokens(text.as_py()), length))) / len(item))
+            found = pa.RecordBatch.from_arrays([doc_ids, item_ids, pa.array(shares, pa.float64())], names=["doc_id", "item_id", "containment"])
+            yield found.filter(pa.array([x >= threshold for x in shares], pa.bool_()))
+        give_back()
+
+    return both.select("doc_id", "text", "item_id", "raw", "length").mapInArrow(verify, "doc_id long, item_id long, containment double")
