@@ -15,12 +15,13 @@ from terrane.functions.scratch import materialize
 #: By rank of the source, repeating: weight, and the schedule's relative height at the start of training; at the end it is 2 less that.
 WEIGHTS = (5, 2, 1)
 HEADS = (1.5, 1.0, 0.5)
-SHARE_PERCENT, MAX_EPOCHS, BUCKET_DOCS = 150, 2, 1_000
+SHARE_PERCENT, MAX_EPOCHS, BUCKET_DOCS, SHELF = 150, 2, 1_000, 10_000
 
 
-def _order(doc_id: Column) -> Column:
-    """60 bits of the id's MD5: an order of documents that is the same in every run and engine."""
-    return F.coalesce(F.conv(F.substring(F.md5(doc_id.cast("string").cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(0).cast("long"))
+def _order(doc_id: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the id, or of the text where there is no id: an order that is the same in every run and engine."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.coalesce(text, F.lit("")))).cast("binary")
+    return F.conv(F.substring(F.md5(named), 1, 15), 16, 10).cast("long")
 
 
 def n_words(text: Column) -> Column:
@@ -76,6 +77,16 @@ def _when(share: Column, rank: Column, heads: tuple[float, ...]) -> Column:
     return F.when(bend == 0, share).otherwise(solved) + F.lit(0.0)
 
 
+def _starts(sums: DataFrame) -> DataFrame:
+    """``rank``, ``bucket``, ``start`` (words of the buckets before): running totals of ``SHELF`` buckets at a time, and of these."""
+    ahead = Window.partitionBy("rank", "shelf").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    shelves = sums.groupBy("rank", "shelf").agg(F.sum("words").alias("all"))
+    above = Window.partitionBy("rank").orderBy("shelf").rowsBetween(Window.unboundedPreceding, -1)
+    bases = shelves.select("rank", "shelf", F.coalesce(F.sum("all").over(above), F.lit(0)).alias("base"))
+    inner = sums.select("rank", "shelf", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("inner"))
+    return inner.join(bases, ["rank", "shelf"]).select("rank", "bucket", (F.col("base") + F.col("inner")).alias("start"))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -92,12 +103,12 @@ def mix(
     Documents of a source are read in the order of their hash, again and again until its target is met; the last one
     is cut at the target. ``taken`` counts its words over all readings, never above ``max_epochs`` times its size;
     ``positions`` has a time in [0, 1] for each reading. A null text has no words and is never taken; a null source is
-    a source; null ids are kept and repeated rows are taken as separate documents; an empty table gives no rows. Other
+    a source; null ids are kept, in the order of their texts' hash, and repeated rows are taken as separate documents; an empty table gives no rows. Other
     columns of ``docs`` are ignored, whatever their names.
     """
     text, doc_id = docs[text_col], docs[id_col].cast("long")
     sizes = materialize(
-        docs.select(doc_id.alias("doc_id"), docs[source_col].alias("source"), n_words(text).alias("size"), _order(doc_id).alias("u")),
+        docs.select(doc_id.alias("doc_id"), docs[source_col].alias("source"), n_words(text).alias("size"), _order(doc_id, text).alias("u")),
         "sizes",
     )
     targets = materialize(source_targets(sizes, weights, share_percent, max_epochs), "targets")
@@ -109,8 +120,7 @@ def mix(
     inside = Window.partitionBy("rank", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     sums = placed.groupBy("rank", "bucket").agg(F.sum("size").alias("words"))
-    ahead = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select("rank", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("start"))
+    starts = _starts(sums.withColumn("shelf", F.floor(F.col("bucket") / SHELF)))
     both = local.join(starts, ["rank", "bucket"]).withColumn("offset", F.col("start") + F.col("before"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.round(F.col("target") - whole * F.col("source_size")).cast("long")
