@@ -170,7 +170,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     stats = statistics(texts.join(F.broadcast(chosen), "doc_id"), keep=["quality"])
     # The base rules come after the collect: as a filter they would be pushed below the join, to every document.
-    rows = stats.select("doc_id", "quality", base_failed().alias("failed"), *[c.alias(k) for k, c in features().items()]).collect()
+    stats = stats.select("doc_id", "quality", base_failed().alias("failed"), *[c.alias(k) for k, c in features().items()])
+    rows = stats.orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(max_labelled).collect()  # rows may repeat an id
     rows = [r for r in rows if not r.failed]
     ordered = sorted(rows, key=lambda r: (r.doc_id * 0x9E3779B97F4A7C15 % (1 << 61), *[r[k] for k in FEATURES]))
     return learn([({k: r[k] for k in FEATURES}, r.quality == 0) for r in ordered[:max_labelled]])
