@@ -24,7 +24,11 @@ def _unpacked(df: DataFrame, columns: list[str], fresh: dict[str, Column] | None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the learned list reject."""
+    """Documents that neither the base rules nor the learned list reject.
+
+    Null, empty and blank texts are rejected; rows that repeat a document and rows without id are judged by their text; an
+    empty table gives no rows; without labels only the base rules hold. All columns come back, whatever their names.
+    """
     rules = qualityrules.train(docs, table(spark, sf_dir, "labels"))
     kept = qualityrules.apply_rules(_packed(docs), rules, keep=["text", "__rest"])
     return _unpacked(kept.where("kept"), docs.columns)
@@ -39,7 +43,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Rows that repeat it, or its id, go; rows without id stay."""
+    """One document of each group: the one with the smallest id. Rows that repeat it, or its id, go; rows without id stay.
+
+    Texts without words are one group; of rows with one id the one whose text hashes smallest stays; an empty table gives no rows.
+    """
     found = nearcopies.near_copies(docs, shingle=5, similarity=0.8)
     stay = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "stay")
     kept = docs.where(F.col("doc_id").isNotNull()).join(stay, "doc_id", "left_semi")
@@ -49,14 +56,22 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none. Of documents with one id, all go if one holds an item; rows without id stay, as they
+    cannot be told apart. Empty tables change nothing. All columns come back, whatever their names.
+    """
     hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
     bad = materialize(hits.select("doc_id").distinct(), "leaks")
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix plan, in the order of training."""
+    """The mix plan, in the order of training.
+
+    A null text has no words and is not taken; a null source is a source, the last; rows without id and repeated rows
+    are documents of their own; an empty table gives no rows. Other columns than id, text and source are not read.
+    """
     return mixing.mix(docs)
 
 

@@ -6,6 +6,7 @@ Lineage is cut by writing Parquet, never by a local checkpoint: a lost executor
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,10 +17,12 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset, as in local tests."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where that is unset and the master is local, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "root" not in _OWN:
         _OWN["root"] = tempfile.mkdtemp(prefix="terrane-")
         atexit.register(shutil.rmtree, _OWN["root"], ignore_errors=True)
