@@ -1,7 +1,7 @@
 """Near copies by Jaccard similarity of word shingles, found by ball hashing of SimHash fingerprints, verified on the shingles.
 
 Texts of a similarity of 0.8 differ in some 15 % of a SimHash's bits, far beyond any ball that can be emitted for 64
-bits. So a text has many short fingerprints, each a choice of bits from one pool of 512, and each with a ball of radius
+bits. So a text has many short fingerprints, each a choice of bits from one pool of 1,024, and each with a ball of radius
 1: texts meet where any fingerprint of theirs differs in at most 2 bits. How wide the fingerprints are follows from the
 number of texts, so that chance meetings stay rare; how many they are follows from the width, so that a pair at the
 threshold meets with the same probability at every size. What meets is compared on further bits, and only what has the
@@ -20,28 +20,32 @@ from pyspark.sql import DataFrame, functions as F
 
 from terrane.functions.scratch import materialize
 from terrane.llm.components import connected_components
-from terrane.llm.simhash import BITS, majority, shingle_hashes
+from terrane.llm.simhash import BITS, _forest, shingle_hashes
 from terrane.llm.textmap import give_back, map_texts
 
 #: 64-bit words of a signature, and the distance within which a short fingerprint's balls of radius 1 meet.
-WORDS, NEAR = 8, 2
+WORDS, NEAR = 16, 2
 #: Share of pairs at the threshold that meet; texts that a variant of one fingerprint holds by chance, at most.
-RECALL, CHANCE = 0.97, 1 / 8
+RECALL, CHANCE = 0.97, 1 / 4
 #: Rows of one fingerprint and leading pattern, on average, and variants that a task expands at once.
 PER_BUCKET, EXPANDED = 1 << 18, 1 << 22
-#: Members of a variant up to which all pairs are compared at once; of more, each is compared with the first.
+#: Members of a variant up to which all pairs are compared at once; more belong to a crowd.
 SMALL = 4
-#: Members of a variant that one task compares with each other; of more, it compares two blocks of half as many.
+#: Members of a crowd that one task compares with each other; of more, it compares two blocks of half as many.
 BLOCK = 1 << 13
 
 
 def signature(raw: bytes | None, shingle: int, words: int = WORDS) -> tuple[bytes, int, int]:
     """``words`` independent fingerprints of the set of shingles, 8 bytes each; the set's size and its hash."""
     hashes = np.unique(shingle_hashes(raw, shingle))
-    out = [majority(hashes)]
-    for k in range(1, words):
-        out.append(majority(_mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))))
-    return np.array(out, np.uint64).tobytes(), len(hashes), xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+    count = np.zeros((words, BITS), np.int64)
+    steps = np.arange(words, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):  # as many as a byte can count
+        part = _mixed(hashes[None, at : at + 255] + steps)
+        bits = np.unpackbits(part.view(np.uint8).reshape(words, -1, 8), axis=2, bitorder="little")
+        count += np.add.reduce(bits, axis=1, dtype=np.uint8)
+    sig = np.packbits(2 * count > len(hashes), axis=1, bitorder="little").tobytes()
+    return sig, len(hashes), xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -71,7 +75,8 @@ def tables_for(n: int, similarity: float) -> tuple[int, int]:
     pool, p = WORDS * BITS, differing(similarity)
     missed = [sum(math.comb(d, r) * math.comb(pool - d, width - r) for r in range(NEAR + 1)) / math.comb(pool, width) for d in range(pool + 1)]
     missed = 1 - np.array(missed)
-    odds = np.array([math.comb(pool, d) * p**d * (1 - p) ** (pool - d) for d in range(pool + 1)])
+    chance = lambda d: math.lgamma(pool + 1) - math.lgamma(d + 1) - math.lgamma(pool - d + 1) + d * math.log(p) + (pool - d) * math.log(1 - p)
+    odds = np.exp([chance(d) for d in range(pool + 1)])
     tables = 1
     while odds @ missed**tables > 1 - RECALL:
         tables += 1
@@ -97,12 +102,13 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(room, axis=-1, bitorder="little").view(np.uint64)[..., 0]
 
 
-def collisions(keys: np.ndarray, checks: np.ndarray, reps: np.ndarray, pattern: int, bits: int, width: int, limit: int) -> np.ndarray:
-    """Rows (group, smallest id, other) of those whose balls of radius 1 share a variant that begins with ``pattern``, each once.
+def collisions(keys: np.ndarray, checks: np.ndarray, reps: np.ndarray, pattern: int, bits: int, width: int, limit: int, table: int = 0) -> np.ndarray:
+    """Rows of what meets among those whose balls of radius 1 have variants that begin with ``pattern``, each once.
 
-    Of up to ``SMALL`` that share a variant, all pairs with at most ``limit`` differing check bits come, as group 0. Of
-    more, each comes with the smallest id. Their group is known by the sum of its members' hashes, so that variants
-    with the same members are one group. More than ``EXPANDED`` variants are taken part by part.
+    Of up to ``SMALL`` that share a variant, all pairs come, as (0, smaller id, larger id). Where more share one, each
+    comes with the smallest id that it shares such a variant with, and as a member (crowd, id, key) of the crowd of all
+    that are connected by such variants: two members have met if their keys differ in ``NEAR`` bits or less. Pairs of
+    more than ``limit`` differing check bits are left out. More than ``EXPANDED`` variants are taken part by part.
     """
     low_bits = width - bits
     near = (keys >> np.uint64(low_bits)) == np.uint64(pattern)
@@ -110,7 +116,7 @@ def collisions(keys: np.ndarray, checks: np.ndarray, reps: np.ndarray, pattern:
         parts = []
         for sub in (2 * pattern, 2 * pattern + 1):
             at = np.bitwise_count((keys >> np.uint64(low_bits - 1)) ^ np.uint64(sub)) <= 1
-            parts.append(collisions(keys[at], checks[at], reps[at], sub, bits + 1, width, limit))
+            parts.append(collisions(keys[at], checks[at], reps[at], sub, bits + 1, width, limit, table))
         return np.unique(np.concatenate(parts), axis=0)
     low = keys & np.uint64((1 << low_bits) - 1)
     inside = np.flatnonzero(near)
@@ -130,22 +136,31 @@ def collisions(keys: np.ndarray, checks: np.ndarray, reps: np.ndarray, pattern:
     at = np.flatnonzero(start)
     size = np.diff(np.r_[at, len(value)])
     first, sizes = np.repeat(at, size), np.repeat(size, size)
-    found = []
+    pairs = []
     for k in range(1, SMALL):
         x = np.flatnonzero((first[k:] == first[:-k]) & (sizes[k:] <= SMALL))
-        a, b = owner[x], owner[x + k]
-        good = np.bitwise_count(checks[a] ^ checks[b]) <= limit
-        found.append(np.stack([np.zeros(int(good.sum()), np.int64), reps[a[good]], reps[b[good]]], 1))
-    group = np.add.reduceat(_mixed(reps[owner].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), at).view(np.int64) | 1
-    rest = ~start & (sizes > SMALL)
-    found.append(np.stack([np.repeat(group, size)[rest], reps[owner[first[rest]]], reps[owner[rest]]], 1))
-    rows = np.concatenate(found)
-    rows = rows[rows[:, 1] != rows[:, 2]]
-    return np.unique(rows, axis=0) if len(rows) else rows
+        pairs.append((owner[x], owner[x + k]))
+    many = sizes > SMALL
+    a, b = owner[first[many]], owner[many]
+    head = np.arange(len(keys))
+    smallest = reps.copy()
+    np.minimum.at(smallest, b, reps[a])
+    starts = smallest[b] == reps[a]
+    pairs.append((a[starts], b[starts]))
+    a, b = _forest(len(keys), a, b)
+    head[b] = a  # each member has its component's smallest index
+    crowd = np.unique(owner[many])
+    place = np.uint64(xxhash.xxh64_intdigest(f"{table} {bits} {pattern}"))
+    number = _mixed(reps[head[crowd]].astype(np.uint64) ^ place).view(np.int64) | 1  # never 0
+    members = np.stack([number, reps[crowd], keys[crowd].view(np.int64)], 1)
+    a, b = (np.concatenate([x[k] for x in pairs]) for k in range(2))
+    good = (reps[a] != reps[b]) & (np.bitwise_count(checks[a] ^ checks[b]) <= limit)
+    found = np.stack([np.zeros(int(good.sum()), np.int64), reps[a[good]], reps[b[good]]], 1)
+    return np.unique(np.concatenate([found, members]), axis=0)
 
 
 def _met(ends: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``group``, ``a``, ``b`` of all texts that meet."""
+    """``crowd``, ``a``, ``b`` of all texts that meet, as :func:`collisions` has them."""
     width, tables = tables_for(n, similarity)
     key_bits, check_bits = chosen_bits(width, tables)
     limit = most_differing(similarity, BITS, 3)
@@ -175,15 +190,16 @@ def _met(ends: DataFrame, n: int, similarity: float) -> DataFrame:
         bucket, key, check, rep = bucket[order], key[order].view(np.uint64), check[order].view(np.uint64), rep[order]
         cuts = [*np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist(), len(bucket)]
         for i, j in zip(cuts, cuts[1:]):
-            rows = collisions(key[i:j], check[i:j], rep[i:j], int(bucket[i]) & ((1 << bits) - 1), bits, width, limit)
+            table, pattern = int(bucket[i]) >> bits, int(bucket[i]) & ((1 << bits) - 1)
+            rows = collisions(key[i:j], check[i:j], rep[i:j], pattern, bits, width, limit, table)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["group", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["crowd", "a", "b"])
         del bucket, key, check, rep, order
         give_back()
 
     parts = max(int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables << bits)
     dealt = ends.select("sig", "rep").mapInArrow(deal, "bucket long, key long, check long, rep long").repartition(parts, "bucket")
-    return materialize(dealt.mapInArrow(meet, "group long, a long, b long").distinct(), "met")
+    return materialize(dealt.mapInArrow(meet, "crowd long, a long, b long").distinct(), "met")
 
 
 def _alike(pairs: DataFrame, ends: DataFrame, limit: int, similarity: float) -> DataFrame:
@@ -227,28 +243,26 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(*pairs.columns)
 
 
-def _within_groups(met: DataFrame, labels: DataFrame, ends: DataFrame, limit: int, similarity: float) -> DataFrame:
-    """Pairs (``a``, ``b``) of different labels with alike signatures, of each big group in which one has another label than the first."""
-    big = met.where("group <> 0")
-    groups = _across(big, labels).select("group").distinct()
-    open_ = big.join(groups, "group", "left_semi")
-    members = materialize(open_.select("group", F.explode(F.array("a", "b")).alias("rep")).distinct(), "members")
-    blocks = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
-    sizes = members.groupBy("group").agg(F.count("*").alias("size")).select("group", F.when(F.col("size") > BLOCK, blocks).otherwise(1).alias("n"))
-    # Each two blocks of a group meet in one task, and so do the members of each block.
+def _within_crowds(members: DataFrame, labels: DataFrame, ends: DataFrame, limit: int, similarity: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of different labels with alike signatures that have met in a crowd (``crowd``, ``rep``, ``key``)."""
+    named = members.join(labels, F.col("rep") == F.col("node"), "left").select("crowd", "rep", "key", F.coalesce("label", "rep").alias("label"))
+    named = materialize(named, "members")
+    sizes = named.groupBy("crowd").agg(F.count("*").alias("many"), (F.min("label") != F.max("label")).alias("open")).where("open")
+    blocks = F.ceil(F.col("many") / (BLOCK // 2)).cast("int")
+    sizes = sizes.select("crowd", F.when(F.col("many") > BLOCK, blocks).otherwise(1).alias("n"))
+    # Each two blocks of a crowd meet in one task, and so do the members of each block.
     mine = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")
     others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("n") - 1), F.col("mine")))
-    dealt = members.join(sizes, "group").withColumn("mine", mine).select("group", "rep", "mine", F.explode(others).alias("other"))
-    dealt = dealt.select(F.xxhash64("group", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "rep")
-    named = ends.select("rep", "sig", "size").join(labels, F.col("rep") == F.col("node"), "left")
-    rows = dealt.join(named.select("rep", "sig", "size", F.coalesce("label", "rep").alias("label")), "rep")
+    dealt = named.join(sizes, "crowd").withColumn("mine", mine).select("crowd", "rep", "key", "label", "mine", F.explode(others).alias("other"))
+    dealt = dealt.select(F.xxhash64("crowd", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "rep", "key", "label")
+    rows = dealt.join(ends.select("rep", "sig", "size"), "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [(*(b.column(k).to_numpy() for k in range(4)), b"".join(b.column(4).to_pylist())) for b in batches if b.num_rows]
+        read = [(*(b.column(k).to_numpy() for k in range(5)), b"".join(b.column(5).to_pylist())) for b in batches if b.num_rows]
         if not read:
             return
-        task, rep, size, label = (np.concatenate([x[k] for x in read]) for k in range(4))
-        sigs = np.frombuffer(b"".join(x[4] for x in read), np.uint64).reshape(-1, WORDS)
+        task, rep, size, label, key = (np.concatenate([x[k] for x in read]) for k in range(5))
+        sigs = np.frombuffer(b"".join(x[5] for x in read), np.uint64).reshape(-1, WORDS)
         del read
         order = np.argsort(task, kind="stable")
         cuts = [*np.flatnonzero(np.r_[True, np.diff(task[order]) != 0]).tolist(), len(task)]
@@ -256,18 +270,18 @@ def _within_groups(met: DataFrame, labels: DataFrame, ends: DataFrame, limit: in
             at = order[i:j]
             for k in range(len(at) - 1):
                 x, left = at[k], at[k + 1 :]
-                left = left[label[left] != label[x]]
+                left = left[(np.bitwise_count(key[left] ^ key[x]) <= NEAR) & (label[left] != label[x])]
                 left = left[np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-6]
                 left = left[np.bitwise_count(sigs[left] ^ sigs[x]).sum(axis=1, dtype=np.int64) <= limit]
                 if len(left):
                     y = rep[left]
                     ends_of = [np.minimum(y, rep[x]), np.maximum(y, rep[x])]
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in ends_of], names=["a", "b"])
-        del task, rep, size, label, sigs, order
+        del task, rep, size, label, key, sigs, order
         give_back()
 
-    parts = int(met.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("task", "rep", "size", "label", "sig").repartition(parts, "task").mapInArrow(compare, "a long, b long").distinct()
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("task", "rep", "size", "label", "key", "sig").repartition(parts, "task").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,9 +290,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     The similarity is Jaccard's, of the sets of ``shingle``-word shingles (A-Z lower-cased); a text of fewer words has one
     shingle, and texts without words are copies of each other. A link is told only if the exact sets have the similarity.
     A pair at the threshold is found with a probability of some ``RECALL``, at any number of texts; a pair at 0.85
-    practically always. Texts that meet are linked to the smallest id there first; where that is not similar enough, all
-    members of the variant are compared but for those already linked, so that texts in between hide nothing. A family
-    of m texts that all lie just below the threshold is therefore compared in full, in blocks.
+    practically always. Texts that meet are linked to the smallest id there first; where that leaves a crowd in
+    several parts, all of its members that met are compared across the parts, so that texts in between hide nothing. A
+    family of m texts that all lie just below the threshold is therefore compared in full, in blocks.
 
     Equal sets are one node, so exact copies are never paired. A row whose id is null takes the component of its set,
     null if no other row has it; it links nothing itself. Rows that repeat an id are one node where that id is the
@@ -293,22 +307,24 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     met = _met(ends, ends.count(), similarity)
     limit = most_differing(similarity, WORDS * BITS, 2.5)
 
+    pairs, members = met.where("crowd = 0").select("a", "b"), met.where("crowd <> 0").select("crowd", F.col("a").alias("rep"), F.col("b").alias("key"))
+
     # The shingle sets of all that meet anything.
-    named = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    named = pairs.select("a").union(pairs.select("b")).union(members.select("rep")).distinct().withColumnRenamed("a", "doc_id")
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).join(named, "doc_id", "left_semi")
     hashes = lambda raw: (np.unique(shingle_hashes(raw, shingle)).tobytes(),)
     sets = map_texts(texts, "doc_id", "text", lambda: hashes, "hashes binary", [pa.binary()]).withColumnRenamed("doc_id", "rep")
     sets = materialize(sets.dropDuplicates(["rep", "hashes"]), "sets")
 
     # Each text against the smallest id that it meets; then all else that this has not linked.
-    alike = materialize(_alike(met.select("a", "b").distinct(), ends, limit, similarity), "alike")
+    alike = materialize(_alike(pairs, ends, limit, similarity), "alike")
     heads = alike.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     linked = materialize(_verified(heads, sets, similarity).distinct(), "linked")
     up = linked.select(F.col("b").alias("node"), F.col("a").alias("label"))
     higher = linked.select(F.col("b").alias("label"), F.col("a").alias("over"))
     labels = materialize(up.join(higher, "label", "left").select("node", F.coalesce("over", "label").alias("label")), "labels")
     others = alike.join(heads, ["a", "b"], "left_anti")
-    rest = _across(others, labels).union(_within_groups(met, labels, ends, limit, similarity)).distinct()
+    rest = _across(others, labels).union(_within_crowds(members, labels, ends, limit, similarity)).distinct()
     more = materialize(_verified(rest, sets, similarity), "more")
     found = materialize(connected_components(linked.union(more)), "comp")
     of = distinct.join(found, distinct.rep == found.node, "left").select("sig", "set_id", F.coalesce("component", "rep").alias("component_id"))
