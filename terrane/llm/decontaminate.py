@@ -6,9 +6,9 @@ partitioned by their number of shingles, and the partition sets the sketch's len
 floor((1 - threshold) * m) + 1 hashes, of which a document that holds the threshold's share must hold one. The search
 therefore misses nothing, and each candidate is then verified on the shingles themselves.
 
-The sketches are a table. Documents are read once: a bit map of the sketches' hashes, of bounded size whatever the
+The sketches are a table. Documents are read once: a Bloom filter of the sketches' hashes, of bounded size whatever the
 number of items, tells which shingles may be in the table, and only documents with such a shingle go on, to an
-equi-join with it. Nothing of either table but that bit map passes through the driver.
+equi-join with it. Nothing of either table but that filter passes through the driver.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from terrane.llm.textmap import give_back, map_texts
 
 #: All but ASCII letters and digits and the bytes of other characters separates words; A-Z in lower case.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-#: Bits of the map of sketch hashes: so many for each hash, and at most 2 to the power of the second (32 MB).
-BITS_EACH, MOST_BITS = 64, 28
+#: The filter of sketch hashes: bits for each hash, at most 2 to the power of the second in all (32 MB), and probes.
+BITS_EACH, MOST_BITS, PROBES = 64, 28, 4
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -71,29 +71,36 @@ def sketches(benchmark: DataFrame, k: int, threshold: float) -> DataFrame:
     return found.where("n > 0").select(F.monotonically_increasing_id().alias("item"), F.col("doc_id").alias("item_id"), F.col("text").cast("binary").alias("raw"), "length", "sketch")
 
 
-def hash_map(entries: DataFrame, n: int) -> tuple[int, np.ndarray]:
-    """Number of leading bits and the map, 64 to a word, of the ``n`` rows' hashes; at most ``2 ** MOST_BITS`` bits, whatever n."""
-    bits = min(MOST_BITS, max(10, math.ceil(math.log2(max(1, n) * BITS_EACH))))
-    at = F.shiftrightunsigned("hash", 64 - bits)
-    words = entries.select(F.shiftright(at, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, %d) & 63 as int))" % (64 - bits)).alias("bit"))
-    rows = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+def hash_map(entries: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter of the ``n`` rows' hashes, 64 bits to a word; of at most ``2 ** MOST_BITS`` bits, whatever n."""
+    bits = min(MOST_BITS, max(16, math.ceil(math.log2(max(1, n) * BITS_EACH))))
+    probes = F.array(*[F.expr(f"((hash >>> 32) + {k}L * ((hash & 4294967295L) | 1L)) & {(1 << bits) - 1}L") for k in range(PROBES)])
+    at = entries.select(F.explode(probes).alias("at")).select(F.shiftright("at", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(at & 63L as int))").alias("bit"))
+    rows = at.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     found = np.zeros(1 << (bits - 6), np.uint64)
-    found[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    return bits, found
+    found[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return found
 
 
-def _suspects(docs: DataFrame, lengths: list[int], bits: int, known: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+def may_hold(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may hold: all that it was made of, and few others."""
+    high, low, last = hashes >> np.uint64(32), hashes & np.uint64(0xFFFFFFFF) | np.uint64(1), np.uint64(len(known) * 64 - 1)
+    at = np.arange(len(hashes))
+    for k in range(PROBES):
+        place = (high[at] + np.uint64(k) * low[at]) & last
+        at = at[(known[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
+    return at
+
+
+def _suspects(docs: DataFrame, lengths: list[int], known: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """``doc``, ``doc_id``, ``raw``, ``hits`` (length and hash) of the documents with a shingle that may be in a sketch."""
 
     def make() -> Callable[[bytes | None], tuple]:
-        shift = np.uint64(64 - bits)
-
         def one(raw: bytes | None) -> tuple:
             words, hits = tokens(raw), []
             for length in lengths:
                 hashes = _hashes(shingles(words, length))
-                at = hashes >> shift
-                may = (known[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+                may = may_hold(known, hashes)
                 hits += [{"length": length, "hash": h} for h in np.unique(hashes[may]).view(np.int64).tolist()]
             return (hits,) if hits else (None,)
 
@@ -118,8 +125,8 @@ def contaminated(
     items = materialize(sketches(benchmark, k, threshold), "items")
     entries = items.select("item", "length", F.explode("sketch").alias("hash"))
     lengths = sorted(r.length for r in items.select("length").distinct().collect())  # at most k numbers
-    bits, known = hash_map(entries, entries.count())
-    suspects = materialize(_suspects(docs, lengths, bits, known, id_col, text_col), "suspects")
+    known = hash_map(entries, entries.count())
+    suspects = materialize(_suspects(docs, lengths, known, id_col, text_col), "suspects")
     pairs = suspects.select("doc", F.inline("hits")).join(entries, ["length", "hash"]).select("doc", "item").distinct()
     both = pairs.join(suspects.select("doc", "doc_id", F.col("raw").alias("text")), "doc").join(items.select("item", "item_id", "raw", "length"), "item")
 
