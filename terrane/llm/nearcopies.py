@@ -105,9 +105,9 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 def collisions(keys: np.ndarray, checks: np.ndarray, reps: np.ndarray, pattern: int, bits: int, width: int, limit: int, table: int = 0) -> np.ndarray:
     """Rows of what meets among those whose balls of radius 1 have variants that begin with ``pattern``, each once.
 
-    Of up to ``SMALL`` that share a variant, all pairs come, as (0, smaller id, larger id). Where more share one, each
-    comes with the smallest id that it shares such a variant with, and as a member (crowd, id, key) of the crowd of all
-    that are connected by such variants: two members have met if their keys differ in ``NEAR`` bits or less. Pairs of
+    Of up to ``SMALL`` that share a variant, all pairs come, as (0, smaller id, larger id, 0). Where more share one, each
+    comes with the smallest id that it shares such a variant with, and as a member (crowd, id, key, place) of the crowd of
+    all that are connected by such variants, where the place tells the pattern, after a leading 1: two members have met if their keys differ in ``NEAR`` bits or less. Pairs of
     more than ``limit`` differing check bits are left out. More than ``EXPANDED`` variants are taken part by part.
     """
     low_bits = width - bits
@@ -131,7 +131,7 @@ def collisions(keys: np.ndarray, checks: np.ndarray, reps: np.ndarray, pattern:
     order = np.lexsort((reps[owner], value))
     value, owner = value[order], owner[order]
     if not len(value):
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 4), np.int64)
     start = np.r_[True, value[1:] != value[:-1]]
     at = np.flatnonzero(start)
     size = np.diff(np.r_[at, len(value)])
@@ -152,15 +152,32 @@ def collisions(keys: np.ndarray, checks: np.ndarray, reps: np.ndarray, pattern:
     crowd = np.unique(owner[many])
     place = np.uint64(xxhash.xxh64_intdigest(f"{table} {bits} {pattern}"))
     number = _mixed(reps[head[crowd]].astype(np.uint64) ^ place).view(np.int64) | 1  # never 0
-    members = np.stack([number, reps[crowd], keys[crowd].view(np.int64)], 1)
+    members = np.stack([number, reps[crowd], keys[crowd].view(np.int64), np.full(len(crowd), 1 << bits | pattern)], 1)
     a, b = (np.concatenate([x[k] for x in pairs]) for k in range(2))
     good = (reps[a] != reps[b]) & (np.bitwise_count(checks[a] ^ checks[b]) <= limit)
-    found = np.stack([np.zeros(int(good.sum()), np.int64), reps[a[good]], reps[b[good]]], 1)
+    none = np.zeros(int(good.sum()), np.int64)
+    found = np.stack([none, reps[a[good]], reps[b[good]], none], 1)
     return np.unique(np.concatenate([found, members]), axis=0)
 
 
+def first_meeting(keys: np.ndarray, x: int, key: int, bits: int, pattern: int, width: int) -> np.ndarray:
+    """Of all rows of ``keys`` (one column for each fingerprint), those that meet row ``x`` here and nowhere before.
+
+    Here is the fingerprint in which ``x`` has ``key``, and among the variants that two keys share, the smallest one's pattern.
+    """
+    near = np.bitwise_count(keys ^ keys[x]) <= NEAR
+    first = np.argmax(near, axis=1)
+    rows = np.arange(len(keys))
+    mine, other = keys[x][first], keys[rows, first]
+    apart = mine ^ other
+    one = apart & (~apart + np.uint64(1))  # its lowest bit
+    two = np.bitwise_count(apart) == 2
+    variant = np.where(two, np.minimum(mine ^ one, other ^ one), np.minimum(mine, other))
+    return near.any(axis=1) & (mine == np.uint64(key)) & (variant >> np.uint64(width - bits) == np.uint64(pattern))
+
+
 def _met(ends: DataFrame, n: int, similarity: float) -> DataFrame:
-    """``crowd``, ``a``, ``b`` of all texts that meet, as :func:`collisions` has them."""
+    """``crowd``, ``a``, ``b``, ``place`` of all texts that meet, as :func:`collisions` has them."""
     width, tables = tables_for(n, similarity)
     key_bits, check_bits = chosen_bits(width, tables)
     limit = most_differing(similarity, BITS, 3)
@@ -193,13 +210,13 @@ def _met(ends: DataFrame, n: int, similarity: float) -> DataFrame:
             table, pattern = int(bucket[i]) >> bits, int(bucket[i]) & ((1 << bits) - 1)
             rows = collisions(key[i:j], check[i:j], rep[i:j], pattern, bits, width, limit, table)
             if len(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["crowd", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], names=["crowd", "a", "b", "place"])
         del bucket, key, check, rep, order
         give_back()
 
     parts = max(int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables << bits)
     dealt = ends.select("sig", "rep").mapInArrow(deal, "bucket long, key long, check long, rep long").repartition(parts, "bucket")
-    return materialize(dealt.mapInArrow(meet, "crowd long, a long, b long").distinct(), "met")
+    return materialize(dealt.mapInArrow(meet, "crowd long, a long, b long, place long").distinct(), "met")
 
 
 def _alike(pairs: DataFrame, ends: DataFrame, limit: int, similarity: float) -> DataFrame:
@@ -243,9 +260,14 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select(*pairs.columns)
 
 
-def _within_crowds(members: DataFrame, labels: DataFrame, ends: DataFrame, limit: int, similarity: float) -> DataFrame:
-    """Pairs (``a``, ``b``) of different labels with alike signatures that have met in a crowd (``crowd``, ``rep``, ``key``)."""
-    named = members.join(labels, F.col("rep") == F.col("node"), "left").select("crowd", "rep", "key", F.coalesce("label", "rep").alias("label"))
+def _within_crowds(members: DataFrame, labels: DataFrame, ends: DataFrame, n: int, limit: int, similarity: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of different labels with alike signatures that have met in a crowd (``crowd``, ``rep``, ``key``, ``place``).
+
+    Of the many crowds in which a pair may have met, the first tells it.
+    """
+    width, tables = tables_for(n, similarity)
+    key_bits, _ = chosen_bits(width, tables)
+    named = members.join(labels, F.col("rep") == F.col("node"), "left").select("crowd", "rep", "key", "place", F.coalesce("label", "rep").alias("label"))
     named = materialize(named, "members")
     sizes = named.groupBy("crowd").agg(F.count("*").alias("many"), (F.min("label") != F.max("label")).alias("open")).where("open")
     blocks = F.ceil(F.col("many") / (BLOCK // 2)).cast("int")
@@ -253,16 +275,16 @@ def _within_crowds(members: DataFrame, labels: DataFrame, ends: DataFrame, limit
     # Each two blocks of a crowd meet in one task, and so do the members of each block.
     mine = F.pmod(F.xxhash64("rep"), F.col("n")).cast("int")
     others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("n") - 1), F.col("mine")))
-    dealt = named.join(sizes, "crowd").withColumn("mine", mine).select("crowd", "rep", "key", "label", "mine", F.explode(others).alias("other"))
-    dealt = dealt.select(F.xxhash64("crowd", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "rep", "key", "label")
+    dealt = named.join(sizes, "crowd").withColumn("mine", mine).select("crowd", "rep", "key", "place", "label", "mine", F.explode(others).alias("other"))
+    dealt = dealt.select(F.xxhash64("crowd", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "rep", "key", "place", "label")
     rows = dealt.join(ends.select("rep", "sig", "size"), "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = [(*(b.column(k).to_numpy() for k in range(5)), b"".join(b.column(5).to_pylist())) for b in batches if b.num_rows]
+        read = [(*(b.column(k).to_numpy() for k in range(6)), b"".join(b.column(6).to_pylist())) for b in batches if b.num_rows]
         if not read:
             return
-        task, rep, size, label, key = (np.concatenate([x[k] for x in read]) for k in range(5))
-        sigs = np.frombuffer(b"".join(x[5] for x in read), np.uint64).reshape(-1, WORDS)
+        task, rep, size, label, key, place = (np.concatenate([x[k] for x in read]) for k in range(6))
+        sigs = np.frombuffer(b"".join(x[6] for x in read), np.uint64).reshape(-1, WORDS)
         del read
         order = np.argsort(task, kind="stable")
         cuts = [*np.flatnonzero(np.r_[True, np.diff(task[order]) != 0]).tolist(), len(task)]
@@ -274,14 +296,16 @@ def _within_crowds(members: DataFrame, labels: DataFrame, ends: DataFrame, limit
                 left = left[np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-6]
                 left = left[np.bitwise_count(sigs[left] ^ sigs[x]).sum(axis=1, dtype=np.int64) <= limit]
                 if len(left):
-                    y = rep[left]
+                    both, bits = np.r_[x, left], int(place[x]).bit_length() - 1
+                    keys = _packed(np.unpackbits(sigs[both].view(np.uint8), axis=1, bitorder="little")[:, key_bits])
+                    y = rep[left[first_meeting(keys, 0, int(key[x]), bits, int(place[x]) ^ (1 << bits), width)[1:]]]
                     ends_of = [np.minimum(y, rep[x]), np.maximum(y, rep[x])]
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in ends_of], names=["a", "b"])
-        del task, rep, size, label, key, sigs, order
+        del task, rep, size, label, key, place, sigs, order
         give_back()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("task", "rep", "size", "label", "key", "sig").repartition(parts, "task").mapInArrow(compare, "a long, b long").distinct()
+    return rows.select("task", "rep", "size", "label", "key", "place", "sig").repartition(parts, "task").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,10 +328,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     signed = materialize(signed, "sig")
     distinct = materialize(signed.groupBy("sig", "set_id").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size")), "sig-rep")
     ends = distinct.where(F.col("rep").isNotNull() & (F.col("size") > 0))
-    met = _met(ends, ends.count(), similarity)
+    n = ends.count()
+    met = _met(ends, n, similarity)
     limit = most_differing(similarity, WORDS * BITS, 2.5)
 
-    pairs, members = met.where("crowd = 0").select("a", "b"), met.where("crowd <> 0").select("crowd", F.col("a").alias("rep"), F.col("b").alias("key"))
+    pairs, members = met.where("crowd = 0").select("a", "b"), met.where("crowd <> 0").select("crowd", F.col("a").alias("rep"), F.col("b").alias("key"), "place")
 
     # The shingle sets of all that meet anything.
     named = pairs.select("a").union(pairs.select("b")).union(members.select("rep")).distinct().withColumnRenamed("a", "doc_id")
@@ -324,7 +349,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_c
     higher = linked.select(F.col("b").alias("label"), F.col("a").alias("over"))
     labels = materialize(up.join(higher, "label", "left").select("node", F.coalesce("over", "label").alias("label")), "labels")
     others = alike.join(heads, ["a", "b"], "left_anti")
-    rest = _across(others, labels).union(_within_crowds(members, labels, ends, limit, similarity)).distinct()
+    rest = _across(others, labels).union(_within_crowds(members, labels, ends, n, limit, similarity)).distinct()
     more = materialize(_verified(rest, sets, similarity), "more")
     found = materialize(connected_components(linked.union(more)), "comp")
     of = distinct.join(found, distinct.rep == found.node, "left").select("sig", "set_id", F.coalesce("component", "rep").alias("component_id"))

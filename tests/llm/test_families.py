@@ -60,12 +60,30 @@ def test_unrelated_texts_that_meet_hide_nothing():
     key = np.zeros(4, np.uint64)
     check = np.array([0x5555555555555555, 0x3333333333333333, 0xFFFF, 0xFFFE], np.uint64)
     rows = nearcopies.collisions(key, check, np.array([1, 2, 10, 11]), 0, 2, 24, 18)
-    assert [10, 11] in rows[:, 1:].tolist() and (rows[:, 0] == 0).all()
+    assert [10, 11] in rows[:, 1:3].tolist() and (rows[:, 0] == 0).all()
     many = nearcopies.collisions(np.zeros(9, np.uint64), np.arange(9, dtype=np.uint64), np.arange(9), 0, 2, 24, 18)
-    assert [r[1:] for r in many.tolist() if r[0] == 0] == [[0, k] for k in range(1, 9)]
+    assert [r[1:3] for r in many.tolist() if r[0] == 0] == [[0, k] for k in range(1, 9)]
     assert sorted(r[1] for r in many.tolist() if r[0]) == list(range(9)) and len({r[0] for r in many.tolist()}) == 2
 
 
+def test_a_pair_is_told_in_one_place():
+    """Of all crowds in which two keys share a variant, just one is the first."""
+    draw, width, bits = np.random.default_rng(8), 24, 3
+    keys = draw.integers(0, 1 << 30, (60, 5)).astype(np.uint64) & np.uint64(0x70000F)
+    balls = [[{int(k)} | {int(k) ^ 1 << i for i in range(width)} for k in row] for row in keys]
+    for x in range(20):
+        told = np.zeros(60, int)
+        for t in range(5):
+            for pattern in range(1 << bits):
+                shares = np.array([any(v >> (width - bits) == pattern for v in balls[x][t] & balls[y][t]) for y in range(60)])
+                first = nearcopies.first_meeting(keys, x, int(keys[x, t]), bits, pattern, width)
+                same = np.array([t != u and keys[x, u] == keys[x, t] for u in range(5)]).any()
+                assert same or not (first & ~shares).any()
+                told += first & shares
+        meets = np.array([any(balls[x][t] & balls[y][t] for t in range(5)) for y in range(60)])
+        assert (told[meets] >= 1).all() and not told[~meets].any()
+
+
 def test_expanding_by_parts_loses_nothing(monkeypatch):
     draw = np.random.default_rng(3)
     key = (draw.integers(0, 1 << 8, 400) << 12).astype(np.uint64) ^ draw.integers(0, 8, 400).astype(np.uint64)
@@ -76,7 +94,7 @@ def test_expanding_by_parts_loses_nothing(monkeypatch):
     def met(rows):
         """All pairs that are told, or that a crowd compares."""
         found, crowds = set(), {}
-        for crowd, a, b in np.concatenate(rows).tolist():
+        for crowd, a, b, _ in np.concatenate(rows).tolist():
             if crowd:
                 crowds.setdefault(crowd, []).append((b, a))
             else:
