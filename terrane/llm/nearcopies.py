@@ -32,7 +32,7 @@ PER_BUCKET, EXPANDED = 1 << 18, 1 << 22
 #: Members of a variant up to which all pairs are compared at once; more belong to a crowd.
 SMALL = 4
 #: Members of a crowd that one task compares with each other; of more, it compares two blocks of half as many.
-BLOCK = 1 << 13
+BLOCK = 1 << 11
 
 
 def signature(raw: bytes | None, shingle: int, words: int = WORDS) -> tuple[bytes, int, int]:

@@ -29,7 +29,7 @@ def family(n, edits, hidden):
     return {i: " ".join(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("block", [1 << 13, 16])
+@pytest.mark.parametrize("block", [1 << 11, 16])
 def test_a_family_hides_no_near_copies(spark, monkeypatch, block):
     texts = family(1200, 10, 150)
     pairs = similar_pairs(texts, 0.8)
