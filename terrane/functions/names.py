@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What a path looks like that holds tests, and multipliers of entry points by where a file lies.
-TEST_PATHS = r"(?i)(^|/)(tests?|__tests__|spec|e2e|fixtures)/|(^|/)test_[^/]*$|(_|\.)(test|spec)\.[a-z]+$|Tests?\.(java|kt|cs|swift)$"
-TEST_FOLDERS = ("/test/", "/tests/", "/__tests__/", "/spec/", "/mocks/")
-TEST_ENDINGS = ("_test.go", "_test.py", ".test.ts", ".test.js", ".spec.ts", ".spec.js", "Test.java", "_spec.rb")
+# What a path looks like that holds tests (two rules, which differ), folders that tell a role, multipliers of entry
+# points by where a file lies, and weights of roles.
+DENSITY_TESTS = r"\.test\.|\.spec\.|/__tests__/|^test/|^tests/|_test\.|test_.*\."
+TEST_PARTS = (".test.", ".spec.")
+TEST_FOLDERS = (
+    "/__tests__/", "/__mocks__/", "/test/", "/tests/", "/testing/", "/integration-tests/", "/test_", "/uitests/", ".tests/", ".test/",
+    ".integrationtests/", ".unittests/", "/testproject/", "/spec/",
+)
+TEST_ENDINGS = ("_test.py", "_test.go", "tests.swift", "test.swift", "tests.cs", "test.cs", "test.php", "spec.php", "_spec.rb", "_test.rb")
+GENERATED, GENERATED_ENDINGS = ("/generated/", "/gen/"), (".pb.go", "_pb2.py")
+EXAMPLES = ("/example/", "/examples/", "/demo/", "/demos/", "/sample/", "/samples/", "/playground/")
+TOOLS = ("/scripts/", "/script/", "/xtask/", "/hack/", "/tooling/", "/benchmarks/")
+PLUGINS = ("/default-plugins/", "/plugins/")
+MAIN_FILES = ("/main.py", "/main.go", "/main.rs", "/__main__.py")
 ENTRY_PATHS = (("/pages/api/", 3.0), ("/app/api/", 3.0), ("/controllers/", 2.5), ("/routes/", 2.5), ("/handlers/", 2.0), ("/cli/", 2.0), ("/views/", 1.5), ("/commands/", 1.5))
-ROLE_WEIGHTS = {"entry": 1.0, "orchestrator": 0.85, "persistence": 0.7, "domain": 0.6, "utility": 0.2, "test": 0.0}
+ROLE_WEIGHTS = {"prod_core": 1.0, "prod_entrypoint": 0.95, "peripheral": 0.45, "example": 0.18, "dev_tool": 0.14, "generated": 0.08, "test": 0.05}
+ACTIONS = (
+    "add auth authorize build check commit create delete dispatch execute fetch get handle init list load log persist post prepare process put "
+    "query read run save send set start store sync trigger update validate write"
+).split()
 
 
 def node_id(label: Column, name: Column) -> Column:
@@ -32,20 +46,46 @@ def struct_hash(*columns: str) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256), 1, 8)
 
 
-def is_test_file(path: Column) -> Column:
-    return path.rlike(TEST_PATHS)
+def split_words(name: Column) -> Column:
+    """httpClient_v2 -> [http, client, v2]: lower-cased words of two characters or more."""
+    spaced = F.regexp_replace(F.regexp_replace(name, r"([\p{Ll}\d])(\p{Lu})", "$1 $2"), r"(\p{Lu})(\p{Lu}\p{Ll})", "$1 $2")
+    return F.filter(F.split(F.lower(F.regexp_replace(spaced, r"[^\p{L}\d]+", " ")), " "), lambda w: F.char_length(w) > 1)
 
 
-def is_test_path(path: Column) -> Column:
-    """The other rule, by folder and ending, which differs in what it takes for a test."""
+def resource_words(name: Column) -> Column:
+    """The words of a name that are no actions."""
+    return F.filter(split_words(name), lambda w: ~w.isin(*ACTIONS))
+
+
+def is_noisy(name: Column) -> Column:
+    """Names of test steps and fixtures."""
+    return name.rlike(r"^(should|test|given|when|then)[A-Z_]") | name.isin("setUp", "setup", "tearDown", "teardown")
+
+
+def _any(text: Column, parts: tuple[str, ...], how: str = "contains") -> Column:
     out = F.lit(False)
-    for x in TEST_FOLDERS:
-        out = out | F.concat(F.lit("/"), path).contains(x)
-    for x in TEST_ENDINGS:
-        out = out | path.endswith(x)
+    for x in parts:
+        out = out | getattr(text, how)(x)
     return out
 
 
+def _slashes(path: Column) -> tuple[Column, Column]:
+    """The path in lower case with '/', and the same between two '/'."""
+    low = F.replace(F.lower(path), F.lit("\\"), F.lit("/"))
+    return low, F.concat(F.lit("/"), F.regexp_replace(low, "^/+|/+$", ""), F.lit("/"))
+
+
+def is_test_file(path: Column) -> Column:
+    """The rule by which test density tells test files."""
+    return path.rlike(DENSITY_TESTS)
+
+
+def is_test_path(path: Column) -> Column:
+    """The rule of entry points and roles, by folder and ending, which differs in what it takes for a test."""
+    low, between = _slashes(path)
+    return _any(low, TEST_PARTS) | _any(between, TEST_FOLDERS) | _any(low, TEST_ENDINGS, "endswith")
+
+
 def framework_multiplier(path: Column) -> Column:
     """The first rule that holds; 1 if none does."""
     out = F.lit(1.0)
@@ -60,15 +100,39 @@ def entry_score(name: Column, exported: Column, callers: Column, callees: Column
     return callees / (callers + 1) * F.when(exported, 2.0).otherwise(1.0) * named * framework_multiplier(path)
 
 
-def role(path: Column, in_degree: Column, out_degree: Column) -> Column:
-    """test, entry, orchestrator, persistence, utility or domain, the first that fits."""
+def scope_hint(module: Column, path: Column) -> Column:
+    """The module, or module and folder where the path tells it."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")
+    one, two, three = (F.coalesce(F.get(parts, F.lit(k)), F.lit("")) for k in range(3))
+    own = (
+        F.when(two.isin("src", "app", "lib") & (three != ""), F.concat(one, F.lit("/"), three))
+        .when(two != "", F.concat(one, F.lit("/"), two))
+        .otherwise(module)
+    )
+    source = one.isin("src", "app", "lib", "pkg", "internal", "cmd") & (two != "")
+    return F.when(F.coalesce(path, F.lit("")) == "", module).when(one == module, own).when(source, F.concat(one, F.lit("/"), two)).otherwise(module)
+
+
+def infer_role(path: Column, module: Column, entry: Column, external_refs: Column, process_refs: Column, contract_refs: Column) -> Column:
+    """Struct of ``role`` and ``confidence``: by the path first, then by how much of the system refers to a function.
+
+    ``entry``: the entry point score. A function that nothing tells is peripheral.
+    """
+    low, between = _slashes(path)
+    share = lambda x, most, weight: F.least(F.lit(1.0), x / most) * weight
+    score = share(external_refs, 6, 0.35) + share(process_refs, 4, 0.35) + share(contract_refs, 3, 0.2) + share(entry, 4, 0.1)
+    hint = scope_hint(module, path)
+    entrance = (entry > 1.3) | _any(hint, ("/server", "/client", "/cli")) | _any(low, MAIN_FILES, "endswith")
+    told = lambda role_, confidence: F.struct(F.lit(role_).alias("role"), F.round(confidence, 3).alias("confidence"))
     return (
-        F.when(is_test_file(path), "test")
-        .when((in_degree == 0) & (out_degree > 0), "entry")
-        .when(out_degree >= 5, "orchestrator")
-        .when(path.rlike("(?i)(store|repo(sitory)?|dao|db|persist)"), "persistence")
-        .when((in_degree >= 5) & (out_degree == 0), "utility")
-        .otherwise("domain")
+        F.when(is_test_path(path), told("test", F.lit(0.98)))
+        .when(_any(between, GENERATED) | _any(low, GENERATED_ENDINGS, "endswith"), told("generated", F.lit(0.95)))
+        .when(_any(between, EXAMPLES), told("example", F.lit(0.92)))
+        .when(_any(between, TOOLS), told("dev_tool", F.lit(0.9)))
+        .when(_any(between, PLUGINS), told("peripheral", F.lit(0.85)))
+        .when(entrance & ((score >= 0.25) | (entry >= 1.5)), told("prod_entrypoint", 0.65 + score * 0.3))
+        .when(score >= 0.28, told("prod_core", 0.55 + score * 0.35))
+        .otherwise(told("peripheral", 0.45 + score * 0.2))
     )
 
 

@@ -50,13 +50,13 @@ def temporal_coupling(snapshots: DataFrame, least: int = 2, ratio: float = 0.4)
 def cochange(commits: DataFrame, least: int = 2, confidence: float = 0.5, most_files: int | None = 30) -> DataFrame:
     """``a``, ``b``, ``together``, ``confidence`` of files that change in the same commits (``commit``, ``file``).
 
-    Confidence is together / the larger count, filtered after rounding to 3 places. Commits of more than ``most_files``
-    distinct files are no evidence and are left out: that is the feature, and it also bounds the pairs of a commit.
+    Confidence is together / the larger count, filtered after rounding to 3 places. Commits of one file, and of more than
+    ``most_files`` distinct files, are no evidence and are left out: that is the feature, and it also bounds the pairs of a commit.
     """
     once = commits.distinct()
-    if most_files is not None:
-        small = once.groupBy("commit").agg(F.count("*").alias("k")).where(F.col("k") <= most_files)
-        once = once.join(small.select("commit"), "commit", "left_semi")
+    sizes = once.groupBy("commit").agg(F.count("*").alias("k")).where("k > 1")
+    some = sizes if most_files is None else sizes.where(F.col("k") <= most_files)
+    once = once.join(some.select("commit"), "commit", "left_semi")
     counts = once.groupBy("file").agg(F.count("*").alias("n"))
     a, b = once.withColumnRenamed("file", "a"), once.withColumnRenamed("file", "b")
     pairs = a.join(b, "commit").where("a < b").groupBy("a", "b").agg(F.count("*").alias("together")).where(F.col("together") >= least)

@@ -1,11 +1,11 @@
-"""Decision plane: families, symmetry, closures, canonical paths, abstractions, rules and risks."""
+"""Decision plane: symmetry, closures, abstractions, rules and risks. Families and canonical paths are in :mod:`families`."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SYMMETRY_WEIGHTS = {"kind": 0.45, "module": 0.3, "words": 0.25}
-HARD_AT = 0.55
+KIND, MODULE, WORDS = 0.45, 0.3, 0.25
+SOFT_AT = 0.55
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -15,51 +15,62 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def symmetry_edges(units: DataFrame) -> DataFrame:
-    """``family``, ``from_unit``, ``to_unit``, ``score``, ``strength`` for unordered pairs of a family that share a word.
+    """``family``, ``from_unit``, ``to_unit``, ``score``, ``strength`` of the unordered pairs of a family that are alike.
 
-    ``units``: ``family``, ``unit``, ``kind``, ``module``, ``words`` (array). Pairs come from an inverted index of
-    words, so units that have none in common are never met.
+    ``units``: ``family``, ``unit``, ``kind``, ``module``, ``words`` (array). Units of one kind, not ``unknown``, in one
+    module are ``hard``; others are ``soft`` from a score of ``SOFT_AT``: .45 for the kind, .3 for the module, .25 times the words'
+    Jaccard similarity. So pairs of one kind in two modules need a similarity of .4, and pairs of two kinds in one module
+    equal words: they come from an index of each unit's rarest words, of which such a pair shares one, and from the words
+    as a whole; nothing else is paired.
     """
-    words = units.select("family", "unit", F.explode("words").alias("word")).distinct()
-    other = words.select("family", "word", F.col("unit").alias("to_unit"))
-    pairs = words.join(other, ["family", "word"]).where("unit < to_unit").select("family", F.col("unit").alias("from_unit"), "to_unit").distinct()
+    units = units.withColumn("words", F.array_sort(F.array_distinct(F.coalesce("words", F.array().cast("array<string>")))))
+    b = units.select(F.col("family"), F.col("unit").alias("to_unit"), F.col("kind").alias("k2"), F.col("module").alias("m2"), F.col("words").alias("w2"))
     a = units.select("family", F.col("unit").alias("from_unit"), F.col("kind").alias("k1"), F.col("module").alias("m1"), F.col("words").alias("w1"))
-    b = units.select("family", F.col("unit").alias("to_unit"), F.col("kind").alias("k2"), F.col("module").alias("m2"), F.col("words").alias("w2"))
-    both = pairs.join(a, ["family", "from_unit"]).join(b, ["family", "to_unit"])
-    w = SYMMETRY_WEIGHTS
-    score = (F.col("k1") == F.col("k2")).cast("int") * w["kind"] + (F.col("m1") == F.col("m2")).cast("int") * w["module"] + jaccard(F.col("w1"), F.col("w2")) * w["words"]
-    out = both.select("family", "from_unit", "to_unit", F.round(score, 3).alias("score"), score.alias("raw"))
-    return out.withColumn("strength", F.when(F.col("raw") >= HARD_AT, "hard").otherwise("soft")).drop("raw")
+    ordered, cross = F.col("from_unit") < F.col("to_unit"), F.col("m1") != F.col("m2")
+    same = a.join(b, (a.family == b.family) & (F.col("k1") == F.col("k2")) & (F.col("m1") == F.col("m2")) & ordered).drop(b.family)
+    named = (F.col("m1") == F.col("m2")) & (F.col("k1") != F.col("k2")) & (F.col("w1") == F.col("w2")) & (F.size("w1") > 0)
+    equal = a.join(b, (a.family == b.family) & named & ordered).drop(b.family)
+
+    word = units.select("family", "kind", "unit", F.explode("words").alias("word"))
+    often = word.groupBy("family", "kind", "word").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("family", "kind", "unit").orderBy("often", "word"))
+    size = F.count("*").over(Window.partitionBy("family", "kind", "unit"))
+    least = (SOFT_AT - KIND) / WORDS
+    rare = word.join(often, ["family", "kind", "word"]).withColumn("place", place).withColumn("size", size)
+    rare = rare.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("family", "kind", "word", "unit")
+    met = rare.withColumnRenamed("unit", "from_unit").join(rare.withColumnRenamed("unit", "to_unit"), ["family", "kind", "word"]).where(ordered)
+    near = met.select("family", "from_unit", "to_unit").distinct().join(a, ["family", "from_unit"]).join(b, ["family", "to_unit"]).where(cross)
+
+    columns = ["family", "from_unit", "to_unit", "k1", "k2", "m1", "m2", "w1", "w2"]
+    both = same.select(columns).union(equal.select(columns)).union(near.select(columns))
+    alike_kind, alike_module = F.col("k1") == F.col("k2"), F.col("m1") == F.col("m2")
+    score = alike_kind.cast("int") * KIND + alike_module.cast("int") * MODULE + jaccard(F.col("w1"), F.col("w2")) * WORDS
+    strength = F.when(alike_kind & alike_module & (F.col("k1") != "unknown"), "hard").when(score >= SOFT_AT, "soft")
+    out = both.select("family", "from_unit", "to_unit", F.round(score, 3).alias("score"), strength.alias("strength"))
+    return out.where(F.col("strength").isNotNull())
 
 
 def closure_members(units: DataFrame, symmetry: DataFrame, cochange: DataFrame) -> DataFrame:
-    """``target``, ``unit``, ``level``, ``reason``: what must or may change with a unit.
+    """``target``, ``unit``, ``level``, ``reason``, ``confidence``: what has to be looked at, or changed, with a unit.
 
-    Symmetry outranks co-change, which outranks a shared family; each member is told once. ``cochange``: ``a``, ``b``,
-    ``confidence`` by module.
+    ``units``: ``family``, ``unit``, ``file``; ``cochange``: ``a``, ``b``, ``confidence`` of files. Symmetry outranks
+    co-change of files, which outranks a shared family; each member is told once.
     """
-    ends = symmetry.select(F.col("from_unit").alias("target"), F.col("to_unit").alias("unit"), "strength")
-    ends = ends.union(symmetry.select("to_unit", "from_unit", "strength"))
-    first = ends.select("target", "unit", F.lit(1).alias("priority"), F.when(F.col("strength") == "hard", "must").otherwise("should").alias("level"), F.lit("symmetry").alias("reason"))
-    rules = cochange.select("a", "b").union(cochange.select("b", "a"))
-    a = units.select(F.col("unit").alias("target"), F.col("module").alias("a"))
-    b = units.select("unit", F.col("module").alias("b"))
-    second = rules.join(a, "a").join(b, "b").where("target <> unit").select("target", "unit", F.lit(2).alias("priority"), F.lit("should").alias("level"), F.lit("cochange").alias("reason"))
-    both = first.union(second)
-    return both.groupBy("target", "unit").agg(F.min(F.struct("priority", "level", "reason")).alias("x")).select("target", "unit", "x.level", "x.reason")
-
-
-def canonical_paths(paths: DataFrame, margin: float = 0.05) -> DataFrame:
-    """``family``, ``path``, ``confidence``, ``status`` of the best path of each family (``family``, ``path``, ``coverage``, ``fan_in``, ``contract``, ``entry``).
-
-    The score weighs coverage .5, fan-in .2, contracts .15 and entry .15; a lead under ``margin`` makes it a candidate.
-    """
-    score = F.col("coverage") * 0.5 + F.col("fan_in") * 0.2 + F.col("contract") * 0.15 + F.col("entry") * 0.15
-    ranked = paths.withColumn("confidence", F.round(score, 6))
-    order = Window.partitionBy("family").orderBy(F.desc("confidence"), "path")
-    ranked = ranked.withColumn("nth", F.row_number().over(order)).withColumn("next", F.lead("confidence").over(order)).where("nth = 1")
-    lead = F.col("confidence") - F.coalesce("next", F.lit(0.0))
-    return ranked.select("family", "path", "confidence", F.when(lead >= margin, "canonical").otherwise("candidate").alias("status"))
+    ends = symmetry.select(F.col("from_unit").alias("target"), F.col("to_unit").alias("unit"), "strength", "score")
+    ends = ends.union(symmetry.select("to_unit", "from_unit", "strength", "score"))
+    level = F.when(F.col("strength") == "hard", "must_review").otherwise("should_review")
+    first = ends.select("target", "unit", F.lit(1).alias("priority"), level.alias("level"), F.lit("symmetry").alias("reason"), F.col("score").alias("confidence"))
+    rules = cochange.select("a", "b", "confidence").union(cochange.select("b", "a", "confidence")).where("a <> b")
+    a = units.select(F.col("unit").alias("target"), F.col("file").alias("a"))
+    b = units.select("unit", F.col("file").alias("b"))
+    second = rules.join(a, "a").join(b, "b").where("target <> unit")
+    second = second.select("target", "unit", F.lit(2).alias("priority"), F.lit("should_review").alias("level"), F.lit("cochange").alias("reason"), "confidence")
+    mine, peer = units.select("family", F.col("unit").alias("target")), units.select("family", "unit")
+    third = mine.join(peer, "family").where("target <> unit")
+    third = third.select("target", "unit", F.lit(3).alias("priority"), F.lit("must_change_if_strategy_selected").alias("level"), F.lit("family").alias("reason"), F.lit(0.5).alias("confidence"))
+    every = first.union(second).union(third).withColumn("weight", -F.col("confidence"))
+    best = every.groupBy("target", "unit").agg(F.min(F.struct("priority", "weight", "level", "reason", "confidence")).alias("x"))
+    return best.select("target", "unit", "x.level", "x.reason", "x.confidence")
 
 
 def abstractions(paths: DataFrame, least: int = 3) -> DataFrame:
@@ -68,12 +79,6 @@ def abstractions(paths: DataFrame, least: int = 3) -> DataFrame:
     return out.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.55 + 0.07 * F.col("n_paths")), 4))
 
 
-def families(units: DataFrame) -> DataFrame:
-    """``family``, ``n_members``, ``kinds``, ``confidence`` = min(.95, .55 + .15 (n - 1))."""
-    out = units.groupBy("family").agg(F.count("*").alias("n_members"), F.array_join(F.sort_array(F.collect_set("kind")), ",").alias("kinds"))
-    return out.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.55 + 0.15 * (F.col("n_members") - 1)), 4))
-
-
 def shape_check(provided: DataFrame, accessed: DataFrame) -> DataFrame:
     """``route``, ``n_keys``, ``n_accessed``, ``missing``, ``status`` from (``route``, ``key``) of responses and of consumers."""
     keys = provided.where(F.col("key").isNotNull()).groupBy("route").agg(F.collect_set("key").alias("keys"))
@@ -91,18 +96,23 @@ def api_risk(consumers: Column, mismatches: Column) -> Column:
 def risk_score(modules: DataFrame) -> DataFrame:
     """``module``, four factors of 0 to 25, ``risk`` and ``bucket``.
 
-    ``modules``: ``module``, ``max_cyclomatic``, ``change_ratio``, ``in_degree``, ``density`` (null: unknown), ``n_modules``.
+    ``modules``: ``module``, ``max_nesting``, ``max_cyclomatic``, ``stability`` (null: no history), ``in_degree``, ``density`` (null:
+    unknown), ``n_modules``. Factors are whole numbers, halves rounded up.
     """
-    up = lambda c: F.round(F.greatest(F.lit(0.0), F.least(F.lit(25.0), c)), 4)
+    half_up = lambda c: F.floor(c + 0.5).cast("int")
+    up = lambda c: F.least(F.lit(25), half_up(c))
+    churn = F.when(F.col("stability") == "stable", 5).when(F.col("stability") == "active", 15).when(F.col("stability") == "volatile", 25).otherwise(0)
+    raw = F.col("max_nesting") * F.col("max_cyclomatic")
     out = modules.select(
         "module",
-        up(F.col("max_cyclomatic") * 0.5).alias("complexity"),
-        up(F.col("change_ratio") * 25.0).alias("churn"),
-        up(F.when(F.col("n_modules") > 1, F.col("in_degree") / (F.col("n_modules") - 1)).otherwise(0.0) * 25.0).alias("coupling"),
-        up(F.coalesce(1 - F.col("density"), F.lit(0.5)) * 25.0).alias("coverage"),
+        F.when(raw.isNotNull(), up(raw / 30 * 25)).otherwise(0).alias("complexity"),  # least() passes over nulls
+        churn.alias("churn"),
+        up(F.col("in_degree") / F.greatest(F.col("n_modules") * 0.5, F.lit(5.0)) * 25).alias("coupling"),
+        F.coalesce(half_up((1 - F.col("density")) * 25), F.lit(12)).alias("coverage"),
     )
-    out = out.withColumn("risk", F.round(F.col("complexity") + F.col("churn") + F.col("coupling") + F.col("coverage"), 3))
-    return out.withColumn("bucket", F.when(F.col("risk") <= 25, "LOW").when(F.col("risk") <= 50, "MEDIUM").otherwise("HIGH"))
+    out = out.withColumn("risk", F.col("complexity") + F.col("churn") + F.col("coupling") + F.col("coverage"))
+    bucket = F.when(F.col("risk") <= 25, "LOW").when(F.col("risk") <= 50, "MEDIUM").when(F.col("risk") <= 75, "HIGH").otherwise("CRITICAL")
+    return out.withColumn("bucket", bucket)
 
 
 def dead_code(symbols: DataFrame, calls: DataFrame) -> DataFrame:

@@ -43,8 +43,8 @@ def k_hop(
 
 
 def impact_risk(n: Column) -> Column:
-    """none, low up to 9, else high."""
-    return F.when(n == 0, "NONE").when(n <= 9, "LOW").otherwise("HIGH")
+    """LOW for none, MEDIUM up to 9, else HIGH."""
+    return F.when(n == 0, "LOW").when(n <= 9, "MEDIUM").otherwise("HIGH")
 
 
 def neighbors(edges: DataFrame, ids: DataFrame) -> DataFrame:

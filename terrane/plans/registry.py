@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from terrane.functions.scratch import materialize
-from terrane.operators import architecture, change, decision, graph, layers, planning, resolution, search, web
+from terrane.operators import architecture, change, decision, families, graph, layers, planning, resolution, search, web
 from terrane.plans import adapters as A
 from terrane.plans.adapters import with_
 from terrane.plans.cypher import Graph
@@ -434,7 +434,8 @@ def temporal_coupling(spark: SparkSession, sf: str) -> DataFrame:
     return change.temporal_coupling(A.snapshots(spark, sf))
 
 
-_COCHANGE = """c AS (SELECT DISTINCT l_orderkey AS "commit", p_brand AS file FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT file, count(*) AS n FROM c GROUP BY 1),
+_COCHANGE = """c0 AS (SELECT DISTINCT l_orderkey AS "commit", p_brand AS file FROM lineitem JOIN part ON l_partkey = p_partkey),
+    c AS (SELECT * FROM c0 WHERE "commit" IN (SELECT "commit" FROM c0 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30)), n AS (SELECT file, count(*) AS n FROM c GROUP BY 1),
     p AS (SELECT x.file AS a, y.file AS b, count(*) AS together FROM c x JOIN c y ON x."commit" = y."commit" AND x.file < y.file GROUP BY 1, 2 HAVING count(*) >= 2),
     rules AS (SELECT a, b, together, round(together / greatest(na.n, nb.n), 3) AS confidence FROM p JOIN n na ON a = na.file JOIN n nb ON b = nb.file)"""
 
@@ -551,75 +552,135 @@ def edge_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 # Decision -----------------------------------------------------------------------------------------------------------
 
-_UNITS = """u AS (SELECT n_name AS family, 's' || s_suppkey AS unit, CASE WHEN s_acctbal > 5000 THEN 'persist' ELSE 'read' END AS kind, r_name || (s_suppkey % 3) AS module, s_suppkey
+_UNITS = """w AS (SELECT n_name AS family, 's' || s_suppkey AS unit, CASE WHEN s_acctbal > 5000 THEN 'repository' WHEN s_acctbal > 0 THEN 'validator' ELSE 'unknown' END AS kind,
+      r_name || s_suppkey % 3 AS module, 'f' || s_suppkey % 200 AS file, ['a' || s_suppkey % 2, 'b' || s_suppkey % 3, 'c' || s_suppkey % 4, 'd' || s_suppkey % 5] AS words
       FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
-    w AS (SELECT family, unit, kind, module, list_sort(list(DISTINCT p_brand)) AS words FROM u JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-      WHERE l_quantity > 45 GROUP BY 1, 2, 3, 4),
-    sym AS (SELECT x.family, x.unit AS from_unit, y.unit AS to_unit, (x.kind = y.kind)::INT * 0.45 + (x.module = y.module)::INT * 0.3
-      + 0.25::DOUBLE * len(list_intersect(x.words, y.words)) / len(list_distinct(list_concat(x.words, y.words))) AS raw
-      FROM w x JOIN w y ON x.family = y.family AND x.unit < y.unit WHERE list_has_any(x.words, y.words))"""
+    raw AS (SELECT x.family, x.unit AS from_unit, y.unit AS to_unit, x.kind = y.kind AND x.module = y.module AND x.kind <> 'unknown' AS hard, (x.kind = y.kind)::INT * 0.45::DOUBLE + (x.module = y.module)::INT * 0.3::DOUBLE
+      + len(list_intersect(x.words, y.words)) / len(list_distinct(list_concat(x.words, y.words))) * 0.25::DOUBLE AS score FROM w x JOIN w y ON x.family = y.family AND x.unit < y.unit),
+    sym AS (SELECT family, from_unit, to_unit, round(score, 3) AS score, CASE WHEN hard THEN 'hard' ELSE 'soft' END AS strength FROM raw WHERE hard OR score >= 0.55)"""
 
 
 def _units(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
     u = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    u = u.select(
-        F.col("n_name").alias("family"), F.concat(F.lit("s"), "s_suppkey").alias("unit"), F.when(F.col("s_acctbal") > 5000, "persist").otherwise("read").alias("kind"),
-        F.concat("r_name", (F.col("s_suppkey") % 3).cast("string")).alias("module"), "s_suppkey",
+    part = lambda letter, n: F.concat(F.lit(letter), (F.col("s_suppkey") % n).cast("string"))
+    return u.select(
+        F.col("n_name").alias("family"), F.concat(F.lit("s"), "s_suppkey").alias("unit"),
+        F.when(F.col("s_acctbal") > 5000, "repository").when(F.col("s_acctbal") > 0, "validator").otherwise("unknown").alias("kind"),
+        F.concat("r_name", (F.col("s_suppkey") % 3).cast("string")).alias("module"), part("f", 200).alias("file"),
+        F.array(part("a", 2), part("b", 3), part("c", 4), part("d", 5)).alias("words"),
     )
-    lines = t("lineitem").where("l_quantity > 45").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey").agg(F.sort_array(F.collect_set("p_brand")).alias("words"))
-    return u.join(lines, F.col("l_suppkey") == F.col("s_suppkey")).select("family", "unit", "kind", "module", "words")
 
 
-@query(f"WITH {_UNITS} SELECT family, from_unit, to_unit, round(raw, 3) AS score, CASE WHEN raw >= 0.55 THEN 'hard' ELSE 'soft' END AS strength FROM sym")
+@query(f"WITH {_UNITS} SELECT * FROM sym")
 def symmetry_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return decision.symmetry_edges(materialize(_units(spark, sf), "units"))
+    return decision.symmetry_edges(_units(spark, sf))
 
 
 @query(
-    f"""WITH {_UNITS}, {_COCHANGE}, one AS (SELECT from_unit AS target, to_unit AS unit, 1 AS priority, CASE WHEN raw >= 0.55 THEN 'must' ELSE 'should' END AS level, 'symmetry' AS reason FROM sym),
-    both_ AS (SELECT * FROM one UNION ALL SELECT unit, target, priority, level, reason FROM one),
-    m AS (SELECT DISTINCT least(x.module, y.module) AS a, greatest(x.module, y.module) AS b FROM w x JOIN w y ON x.kind = 'persist' AND y.kind = 'persist' AND x.family = y.family AND x.module < y.module),
-    mm AS (SELECT a, b FROM m UNION ALL SELECT b, a FROM m),
-    two AS (SELECT x.unit AS target, y.unit AS unit, 2 AS priority, 'should' AS level, 'cochange' AS reason FROM mm JOIN w x ON x.module = mm.a JOIN w y ON y.module = mm.b WHERE x.unit <> y.unit)
-    SELECT target, unit, level, reason FROM (SELECT * FROM both_ UNION ALL SELECT * FROM two) QUALIFY row_number() OVER (PARTITION BY target, unit ORDER BY priority, level, reason) = 1"""
+    f"""WITH {_UNITS}, c0 AS (SELECT DISTINCT l_orderkey AS "commit", 'f' || l_suppkey % 200 AS file FROM lineitem),
+    c AS (SELECT * FROM c0 WHERE "commit" IN (SELECT "commit" FROM c0 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 30)), n AS (SELECT file, count(*) AS n FROM c GROUP BY 1),
+    p AS (SELECT x.file AS a, y.file AS b, count(*) AS together FROM c x JOIN c y ON x."commit" = y."commit" AND x.file < y.file GROUP BY 1, 2 HAVING count(*) >= 2),
+    rules AS (SELECT a, b, round(together / greatest(na.n, nb.n), 3) AS confidence FROM p JOIN n na ON a = na.file JOIN n nb ON b = nb.file WHERE round(together / greatest(na.n, nb.n), 3) >= 0.04),
+    both_ AS (SELECT a, b, confidence FROM rules UNION ALL SELECT b, a, confidence FROM rules),
+    m AS (SELECT from_unit AS target, to_unit AS unit, 1 AS priority, CASE strength WHEN 'hard' THEN 'must_review' ELSE 'should_review' END AS level, 'symmetry' AS reason, score AS confidence FROM sym
+      UNION ALL SELECT to_unit, from_unit, 1, CASE strength WHEN 'hard' THEN 'must_review' ELSE 'should_review' END, 'symmetry', score FROM sym
+      UNION ALL SELECT x.unit, y.unit, 2, 'should_review', 'cochange', confidence FROM both_ JOIN w x ON x.file = a JOIN w y ON y.file = b WHERE x.unit <> y.unit
+      UNION ALL SELECT x.unit, y.unit, 3, 'must_change_if_strategy_selected', 'family', 0.5 FROM w x JOIN w y ON x.family = y.family AND x.unit <> y.unit)
+    SELECT target, unit, level, reason, confidence::DOUBLE AS confidence FROM m QUALIFY row_number() OVER (PARTITION BY target, unit ORDER BY priority, confidence DESC) = 1"""
 )
 def closure_members(spark: SparkSession, sf: str) -> DataFrame:
     units = materialize(_units(spark, sf), "units")
-    active = units.where("kind = 'persist'").select("family", "module").distinct()
-    rules = active.select("family", F.col("module").alias("a")).join(active.select("family", F.col("module").alias("b")), "family").where("a < b").select("a", "b").distinct()
-    return decision.closure_members(units, decision.symmetry_edges(units), rules)
+    commits = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("commit"), F.concat(F.lit("f"), (F.col("l_suppkey") % 200).cast("string")).alias("file"))
+    return decision.closure_members(units, decision.symmetry_edges(units), change.cochange(commits, confidence=0.04))
+
+
+#: Orders as flows of three steps; names, roles and contracts by their columns.
+_FLOWS = """o AS (SELECT o_orderkey AS flow, CASE o_orderstatus WHEN 'F' THEN 'createOrder' WHEN 'O' THEN 'listOrders' ELSE 'processOrder' END AS f0, 'check' || upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS f1,
+      'svc' || o_custkey % 3 AS m1, CASE left(o_orderpriority, 1) WHEN '1' THEN 'saveOrder' WHEN '2' THEN 'readStock' WHEN '3' THEN 'renderInvoice' WHEN '4' THEN 'notifyUser' ELSE 'storeEvent' END AS f2
+      FROM orders JOIN customer ON o_custkey = c_custkey),
+    p0 AS (SELECT flow, [f0, f1, f2] AS functions, ['api', m1, 'db'] AS modules, f0 AS entry, f2 AS sink, CASE WHEN m1 = 'svc1' THEN ['api--svc1', 'svc1--db'] WHEN m1 = 'svc2' THEN ['api--svc2'] ELSE [] END AS contracts FROM o),
+    st AS (SELECT flow, unnest(functions) AS name, unnest(modules) AS module FROM p0),
+    fn AS (SELECT module || '.' || name AS id, name, module, CASE module WHEN 'api' THEN 'prod_entrypoint' WHEN 'svc0' THEN 'peripheral' ELSE 'prod_core' END AS role,
+      CASE module WHEN 'api' THEN 3.0 ELSE 0.5 END::DOUBLE AS entry_score, count(*) AS callers FROM st GROUP BY 1, 2, 3, 4, 5),
+    act(w, generic) AS (SELECT unnest(string_split('auth authorize build commit create delete dispatch fetch get log persist post prepare put query read save send set start store sync trigger update validate write', ' ')), FALSE),
+    rw AS (SELECT name, unnest(list_filter(string_split(lower(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), ' '), lambda x: len(x) > 1)) AS word FROM (SELECT DISTINCT name FROM fn)),
+    rt AS (SELECT name, word, CASE WHEN word LIKE '%ing' AND left(word, -3) IN (SELECT w FROM act) THEN left(word, -3) ELSE word END AS root FROM rw),
+    g AS (SELECT root, count(*) AS everywhere FROM rt JOIN fn USING (name) GROUP BY 1),
+    sk AS (SELECT *, CASE WHEN sink IN ('saveOrder', 'storeEvent') OR entry = 'createOrder' THEN 'repository_write' WHEN sink = 'readStock' OR entry = 'listOrders' THEN 'repository_read' ELSE 'validation' END AS sink_role FROM p0),
+    sg AS (SELECT flow, unnest(list_distinct(list_concat([entry, sink], CASE WHEN modules[2] = 'svc0' THEN [] ELSE [functions[2]] END))) AS name FROM sk WHERE entry <> 'createOrder'),
+    sc AS (SELECT flow, root, count(*) AS here, any_value(everywhere) AS everywhere, root IN (SELECT w FROM act) AS specific FROM sg JOIN rt USING (name) JOIN g USING (root) WHERE len(root) >= 3 GROUP BY 1, 2),
+    hd AS (SELECT flow, root AS head FROM sc QUALIFY row_number() OVER (PARTITION BY flow ORDER BY specific DESC, round(here / everywhere + CASE WHEN specific THEN 0.4 ELSE 0 END, 9) DESC, here DESC, len(root) DESC, root) = 1),
+    pi0 AS (SELECT sk.*, coalesce(head, 'create') || ':' || sink_role AS family FROM sk LEFT JOIN hd USING (flow)),
+    pi AS (SELECT *, left(sha256('{"family":"' || family || '","flow":' || flow || ',"functions":["' || array_to_string(functions, '","') || '"],"modules":["' || array_to_string(modules, '","') || '"]}'), 8) AS id FROM pi0)"""
+
+
+def _flows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Steps of flows, functions, and paths."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    status, first = F.col("o_orderstatus"), F.left("o_orderpriority", F.lit(1))
+    f0 = F.when(status == "F", "createOrder").when(status == "O", "listOrders").otherwise("processOrder")
+    f1 = F.concat(F.lit("check"), F.upper(F.left("c_mktsegment", F.lit(1))), F.lower(F.expr("substring(c_mktsegment, 2)")))
+    f2 = F.when(first == "1", "saveOrder").when(first == "2", "readStock").when(first == "3", "renderInvoice").when(first == "4", "notifyUser").otherwise("storeEvent")
+    step = lambda k, f, m: F.struct(F.lit(k).alias("step"), f.alias("function"), m.alias("module"))
+    steps = F.array(step(0, f0, F.lit("api")), step(1, f1, F.concat(F.lit("svc"), (F.col("o_custkey") % 3).cast("string"))), step(2, f2, F.lit("db")))
+    flows = o.select(F.col("o_orderkey").alias("flow"), F.inline(steps))
+    role = F.when(F.col("module") == "api", "prod_entrypoint").when(F.col("module") == "svc0", "peripheral").otherwise("prod_core")
+    functions = flows.groupBy("module", F.col("function").alias("name")).agg(F.count("*").alias("callers")).select(
+        F.concat_ws(".", "module", "name").alias("id"), "name", "module", role.alias("role"), F.when(F.col("module") == "api", 3.0).otherwise(0.5).alias("entry_score"),
+        "callers", F.lit(True).alias("public"),
+    )
+    functions = materialize(functions, "functions")
+    contracts = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(f"{a}--{b}").alias("id"), F.lit(a).alias("consumer"), F.lit(b).alias("provider")) for a, b in (("api", "svc1"), ("svc1", "db"), ("api", "svc2"))
+    ])))
+    return flows, functions, materialize(families.path_instances(flows, functions, contracts), "paths")
 
 
-_FLOW_PATHS = """p AS (SELECT event_type AS family, user_id AS path, round(avg(value) / 100, 6) AS coverage, round(count(*) / 1000, 6) AS fan_in, round(count(*) FILTER (value > 50) / count(*), 6) AS contract,
-    (count(*) FILTER (value > 90) > 0)::INT::DOUBLE AS entry FROM events GROUP BY 1, 2)"""
+@query(f"WITH {_FLOWS} SELECT id, flow, family, functions, modules, contracts, entry, sink, sink_role FROM pi")
+def path_instances(spark: SparkSession, sf: str) -> DataFrame:
+    return _flows(spark, sf)[2]
 
 
-def _paths(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").groupBy(F.col("event_type").alias("family"), F.col("user_id").alias("path"))
-    return e.agg(
-        F.round(F.avg("value") / 100, 6).alias("coverage"), F.round(F.count("*") / 1000, 6).alias("fan_in"), F.round(F.count_if(F.col("value") > 50) / F.count("*"), 6).alias("contract"),
-        (F.count_if(F.col("value") > 90) > 0).cast("double").alias("entry"),
-    )
+@query(
+    f"""WITH {_FLOWS}, r AS (SELECT family, string_agg(DISTINCT word, ',' ORDER BY word) AS resources FROM (SELECT DISTINCT family, unnest(functions) AS name FROM pi) JOIN rt USING (name)
+      WHERE word NOT IN (SELECT w FROM act) AND word NOT IN ('add', 'check', 'execute', 'handle', 'init', 'list', 'load', 'process', 'run') GROUP BY 1)
+    SELECT family, replace(replace(family, ':', ' '), '_', ' ') AS name, any_value(sink_role) AS sink_role, count(*) AS n_paths, any_value(resources) AS resources,
+    round(least(0.95, 0.55 + 0.15 * (count(*) - 1)), 4)::DOUBLE AS confidence, CASE WHEN count(*) >= 2 THEN 'confirmed' ELSE 'candidate' END AS status FROM pi JOIN r USING (family) GROUP BY 1"""
+)
+def concern_families(spark: SparkSession, sf: str) -> DataFrame:
+    return families.concern_families(_flows(spark, sf)[2])
 
 
 @query(
-    f"""WITH {_FLOW_PATHS}, s AS (SELECT family, path, round(coverage * 0.5 + fan_in * 0.2 + contract * 0.15 + entry * 0.15, 6) AS confidence FROM p),
-    r AS (SELECT *, row_number() OVER w AS nth, lead(confidence) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY family ORDER BY confidence DESC, path))
-    SELECT family, path, confidence, CASE WHEN confidence - coalesce(nxt, 0) >= 0.05 THEN 'canonical' ELSE 'candidate' END AS status FROM r WHERE nth = 1"""
+    f"""WITH {_FLOWS}, s AS (SELECT id, family, unnest(functions) AS symbol, unnest(modules) AS module FROM pi)
+    SELECT module || ':' || symbol AS unit, arg_min(family, id || family) AS family, module, symbol,
+    CASE WHEN symbol LIKE 'check%' THEN 'validator' WHEN regexp_matches(symbol, '^(save|store|read)') THEN 'repository' ELSE 'unknown' END AS kind, count(DISTINCT id) AS n_paths FROM s GROUP BY 3, 4"""
 )
-def canonical_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return decision.canonical_paths(_paths(spark, sf))
+def operation_units(spark: SparkSession, sf: str) -> DataFrame:
+    return families.operation_units(_flows(spark, sf)[2])
 
 
-@query(f"WITH {_FLOW_PATHS} SELECT family, count(*) AS n_paths, round(least(0.95, 0.55 + 0.07 * count(*)), 4)::DOUBLE AS confidence FROM p GROUP BY 1 HAVING count(*) >= 3")
-def abstraction_opportunities(spark: SparkSession, sf: str) -> DataFrame:
-    return decision.abstractions(_paths(spark, sf))
+@query(
+    f"""WITH {_FLOWS}, fan AS (SELECT name AS sink, arg_max(callers, id) AS callers FROM fn GROUP BY 1), mx AS (SELECT max(callers) AS most FROM fn),
+    m AS (SELECT pi.*, array_to_string(modules, '>') || '|' || sink || '|' || sink_role || '|' || array_to_string(contracts, '>') AS signature FROM pi),
+    gr AS (SELECT family, signature, any_value(sink_role) AS sink_role, count(*) AS n_paths, max(callers / most) AS fan_in, max(CASE WHEN len(contracts) > 0 THEN 1.0::DOUBLE ELSE 0 END) AS contract_reuse, 0.75::DOUBLE AS entry_strength,
+      avg(list_sum([0.95::DOUBLE, CASE modules[2] WHEN 'svc0' THEN 0.45 ELSE 1 END, 1]) / 3) AS role_purity FROM m JOIN fan USING (sink) CROSS JOIN mx GROUP BY 1, 2),
+    al AS (SELECT family, count(*) AS n_all FROM pi GROUP BY 1),
+    s AS (SELECT *, n_paths / n_all AS coverage, round(n_paths / n_all * 0.5::DOUBLE + fan_in * 0.2::DOUBLE + contract_reuse * 0.15::DOUBLE + entry_strength * 0.15::DOUBLE, 9) AS score FROM gr JOIN al USING (family)),
+    r AS (SELECT *, row_number() OVER w AS nth, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY family ORDER BY score DESC, n_paths DESC, signature)),
+    v AS (SELECT *, round(greatest(0, least(1, score * 0.7::DOUBLE + role_purity * 0.3::DOUBLE - CASE WHEN split_part(family, ':', 1) IN ('process', 'build', 'set', 'run', 'add', 'check', 'misc', 'unknown') THEN 0.18::DOUBLE ELSE 0 END)), 3) AS visibility FROM r WHERE nth = 1)
+    SELECT family, signature, n_paths, round(coverage, 3) AS coverage, round(fan_in, 3) AS fan_in, round(contract_reuse, 3) AS contract_reuse, round(entry_strength, 3) AS entry_strength, round(role_purity, 3) AS role_purity, visibility,
+    round(score, 3) AS confidence, n_all - n_paths AS deviations, CASE WHEN n_paths >= 2 AND score >= 0.55 AND visibility >= 0.66 AND (nxt IS NULL OR round(score - nxt, 9) >= 0.05) THEN 'canonical' ELSE 'candidate' END AS status FROM v"""
+)
+def canonical_paths(spark: SparkSession, sf: str) -> DataFrame:
+    _, functions, paths = _flows(spark, sf)
+    return families.canonical_paths(paths, functions)
 
 
-@query(f"WITH {_UNITS} SELECT family, count(*) AS n_members, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, round(least(0.95, 0.55 + 0.15 * (count(*) - 1)), 4)::DOUBLE AS confidence FROM w GROUP BY 1")
-def concern_families(spark: SparkSession, sf: str) -> DataFrame:
-    return decision.families(_units(spark, sf))
+@query(f"WITH {_FLOWS} SELECT family, count(*) AS n_paths, round(least(0.95, 0.55 + 0.07 * count(*)), 4)::DOUBLE AS confidence FROM pi GROUP BY 1 HAVING count(*) >= 3")
+def abstraction_opportunities(spark: SparkSession, sf: str) -> DataFrame:
+    return decision.abstractions(_flows(spark, sf)[2])
 
 
 _SHAPE = """k AS (SELECT route, list(DISTINCT key) AS keys FROM props GROUP BY 1),
@@ -674,24 +735,26 @@ def lint_union(spark: SparkSession, sf: str) -> DataFrame:
 
 _RISK = (
     with_("snap", "trade")
-    + """, ch AS (SELECT id AS module, count(*) FILTER (changed) / count(*) AS change_ratio FROM transitions GROUP BY 1),
+    + """, ch AS (SELECT id AS module, count(*) FILTER (changed) / count(*) AS ratio FROM transitions GROUP BY 1),
     dep AS (SELECT dst_module AS module, count(DISTINCT src_module) AS in_degree FROM trade WHERE src_module <> dst_module GROUP BY 1),
-    cx AS (SELECT src_module AS module, count(DISTINCT dst) AS max_cyclomatic FROM trade WHERE name = 'Brand#3' GROUP BY 1),
+    cx AS (SELECT src_module AS module, count(DISTINCT name) AS max_nesting, count(DISTINCT dst) % 9 AS max_cyclomatic FROM trade GROUP BY 1),
     dn AS (SELECT src_module AS module, count(*) FILTER (name < 'Brand#2') / count(*) AS density FROM trade GROUP BY 1),
-    f AS (SELECT module, round(greatest(0, least(25, max_cyclomatic * 0.5)), 4)::DOUBLE AS complexity, round(greatest(0, least(25, change_ratio * 25)), 4) AS churn,
-      round(greatest(0, least(25, in_degree / 24 * 25)), 4) AS coupling, round(greatest(0, least(25, (1 - density) * 25)), 4) AS coverage
-      FROM ch JOIN dep USING (module) JOIN cx USING (module) JOIN dn USING (module))
-    SELECT *, round(complexity + churn + coupling + coverage, 3) AS risk, CASE WHEN round(complexity + churn + coupling + coverage, 3) <= 25 THEN 'LOW' WHEN round(complexity + churn + coupling + coverage, 3) <= 50 THEN 'MEDIUM' ELSE 'HIGH' END AS bucket FROM f"""
+    f AS (SELECT module, least(25, floor(max_nesting * max_cyclomatic / 30 * 25 + 0.5))::INT AS complexity, CASE WHEN ratio <= 0.2 THEN 5 WHEN ratio <= 0.5 THEN 15 ELSE 25 END AS churn,
+      least(25, floor(in_degree / greatest(25 * 0.5, 5) * 25 + 0.5))::INT AS coupling, CASE WHEN density > 0.4 THEN 12 ELSE floor((1 - density) * 25 + 0.5)::INT END AS coverage
+      FROM ch JOIN dep USING (module) JOIN cx USING (module) JOIN dn USING (module)),
+    t AS (SELECT *, complexity + churn + coupling + coverage AS risk FROM f)
+    SELECT *, CASE WHEN risk <= 25 THEN 'LOW' WHEN risk <= 50 THEN 'MEDIUM' WHEN risk <= 75 THEN 'HIGH' ELSE 'CRITICAL' END AS bucket FROM t"""
 )
 
 
 @query(_RISK)
 def risk_score(spark: SparkSession, sf: str) -> DataFrame:
     calls = materialize(A.trade(spark, sf), "trade")
-    ch = change.transitions(A.snapshots(spark, sf)).groupBy(F.col("id").alias("module")).agg((F.count_if("changed") / F.count("*")).alias("change_ratio"))
+    ch = change.churn(A.snapshots(spark, sf)).select(F.col("id").alias("module"), "stability")
     dep = calls.where("src_module <> dst_module").groupBy(F.col("dst_module").alias("module")).agg(F.count_distinct("src_module").alias("in_degree"))
-    cx = calls.where("name = 'Brand#3'").groupBy(F.col("src_module").alias("module")).agg(F.count_distinct("dst").alias("max_cyclomatic"))
-    dn = calls.groupBy(F.col("src_module").alias("module")).agg((F.count_if(F.col("name") < "Brand#2") / F.count("*")).alias("density"))
+    cx = calls.groupBy(F.col("src_module").alias("module")).agg(F.count_distinct("name").alias("max_nesting"), (F.count_distinct("dst") % 9).alias("max_cyclomatic"))
+    share = F.count_if(F.col("name") < "Brand#2") / F.count("*")
+    dn = calls.groupBy(F.col("src_module").alias("module")).agg(F.when(share <= 0.4, share).alias("density"))
     return decision.risk_score(ch.join(dep, "module").join(cx, "module").join(dn, "module").withColumn("n_modules", F.lit(25)))
 
 

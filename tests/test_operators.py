@@ -112,26 +112,6 @@ def test_shape_check(spark):
     assert got == {"/x": ("age", "MISMATCH"), "/y": ("", "OK")}
 
 
-def test_symmetry_and_closure(spark):
-    units = spark.createDataFrame(
-        [("f", "u1", "save", "m", ["a", "b"]), ("f", "u2", "save", "m", ["a", "b"]), ("f", "u3", "read", "n", ["b"]), ("g", "u4", "save", "m", ["a"])],
-        "family string, unit string, kind string, module string, words array<string>",
-    )
-    s = decision.symmetry_edges(units)
-    assert {(r.from_unit, r.to_unit): r.strength for r in s.collect()} == {("u1", "u2"): "hard", ("u1", "u3"): "soft", ("u2", "u3"): "soft"}
-    rules = spark.createDataFrame([("m", "n")], "a string, b string")
-    got = {(r.target, r.unit): (r.level, r.reason) for r in decision.closure_members(units, s, rules).collect()}
-    assert got["u1", "u2"] == ("must", "symmetry") and got["u4", "u3"] == ("should", "cochange")
-
-
-def test_risk_factors_stay_in_bounds(spark):
-    rows = [("low", 1.0, 0.0, 0, 1.0, 10), ("high", 900.0, 1.0, 9, None, 10), ("one", 0.0, 0.0, 0, 1.0, 1)]
-    df = spark.createDataFrame(rows, "module string, max_cyclomatic double, change_ratio double, in_degree int, density double, n_modules int")
-    got = {r.module: r for r in decision.risk_score(df).collect()}
-    assert got["low"].bucket == "LOW" and got["high"].bucket == "HIGH" and got["high"].coverage == 12.5
-    assert all(0 <= got[m][f] <= 25 for m in got for f in ("complexity", "churn", "coupling", "coverage"))
-
-
 def test_routes(spark):
     urls = spark.createDataFrame([(1, "/a/7"), (2, "/a/b/c"), (3, "/q"), (4, "/s/x/y"), (5, "/")], "url_id int, path string")
     routes = spark.createDataFrame([("/a/:id", 1), ("/:x", 2), ("/s/*", 3)], "route string, seq int")

@@ -92,7 +92,7 @@ def test_cache_and_supplement(spark):
 def test_names(spark):
     r = spark.range(1).select(
         names.kebab(F.lit("HTTPClient v2")).alias("k"), names.page_route(F.lit("src/pages/api/[id]/index.ts")).alias("p"), names.page_route(F.lit("app/x/[...all]/page.tsx")).alias("q"),
-        names.fetch_url(F.lit("https://h/api/${id}/?x=1")).alias("u"), names.is_test_file(F.lit("a/tests/b.py")).alias("t"), names.is_test_path(F.lit("a/b_test.go")).alias("t2"),
+        names.fetch_url(F.lit("https://h/api/${id}/?x=1")).alias("u"), names.is_test_file(F.lit("tests/b.py")).alias("t"), names.is_test_path(F.lit("a/b_test.go")).alias("t2"),
         names.reason_keys(F.lit("fetch|keys:b,a")).alias("r"), names.accessed_keys(F.lit("data.name; res.json(); result.id")).alias("a"), names.json_strings(F.lit('{"k": ["x", "y"], "z": "w"}')).alias("j"),
         names.starts_with_path(F.lit("./a/b"), F.lit("a/")).alias("s"), names.estimate_tokens(F.lit("abcde")).alias("e"),
     ).first()
@@ -106,7 +106,7 @@ def test_tools(spark):
     hunks = spark.createDataFrame([("y.py", 4, 6)], "file string, start long, end long")
     assert {(r.id, r.how) for r in api.detect_changes(hunks, n, e).collect()} == {("b", "changed"), ("a", "affected")}
     assert [(r.route, r.handlers) for r in api.route_map(n, e).collect()] == [("r", ["b"])]
-    assert {(r.id, r.risk) for r in api.impact(e, n.where("id = 'a'").select("id")).collect()} == {("b", "LOW"), ("gone", "LOW"), ("r", "LOW")}
+    assert {(r.id, r.risk) for r in api.impact(e, n.where("id = 'a'").select("id")).collect()} == {("b", "MEDIUM"), ("gone", "MEDIUM"), ("r", "MEDIUM")}
     old = spark.createDataFrame([("m", "1"), ("m", "2"), ("m", "3")], "module string, file string")
     new = spark.createDataFrame([("x", "1"), ("x", "2"), ("y", "3")], "module string, file string")
     assert [tuple(r) for r in api.migrate_annotations(old, new).collect()] == [("m", "x")]
