@@ -113,6 +113,11 @@ def scope_hint(module: Column, path: Column) -> Column:
     return F.when(F.coalesce(path, F.lit("")) == "", module).when(one == module, own).when(source, F.concat(one, F.lit("/"), two)).otherwise(module)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number of zero or more rounded by its binary value, not by its shortest decimal form, as :func:`round` of Spark does."""
+    return F.floor(value * 10**digits + 0.5) / 10**digits
+
+
 def infer_role(path: Column, module: Column, entry: Column, external_refs: Column, process_refs: Column, contract_refs: Column) -> Column:
     """Struct of ``role`` and ``confidence``: by the path first, then by how much of the system refers to a function.
 
@@ -123,7 +128,7 @@ def infer_role(path: Column, module: Column, entry: Column, external_refs: Colum
     score = share(external_refs, 6, 0.35) + share(process_refs, 4, 0.35) + share(contract_refs, 3, 0.2) + share(entry, 4, 0.1)
     hint = scope_hint(module, path)
     entrance = (entry > 1.3) | _any(hint, ("/server", "/client", "/cli")) | _any(low, MAIN_FILES, "endswith")
-    told = lambda role_, confidence: F.struct(F.lit(role_).alias("role"), F.round(confidence, 3).alias("confidence"))
+    told = lambda role_, confidence: F.struct(F.lit(role_).alias("role"), fixed(confidence, 3).alias("confidence"))
     return (
         F.when(is_test_path(path), told("test", F.lit(0.98)))
         .when(_any(between, GENERATED) | _any(low, GENERATED_ENDINGS, "endswith"), told("generated", F.lit(0.95)))

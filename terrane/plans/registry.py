@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from terrane.functions import extract, names
 from terrane.functions.scratch import materialize
-from terrane.operators import architecture, change, decision, families, graph, layers, planning, resolution, search, web
+from terrane.operators import architecture, change, decision, families, graph, index, layers, lint, processes as flows_, planning, resolution, search, web
 from terrane.plans import adapters as A
 from terrane.plans.adapters import with_
 from terrane.plans.cypher import Graph
@@ -984,3 +985,155 @@ def task_phases(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(0).alias("contradicted"),
     )
     return architecture.task_phase(tasks).groupBy("phase", "mode").agg(F.count("*").alias("n"))
+
+
+# Processes, labels, rules, changes and extraction -----------------------------------------------------------------------
+
+_TRACES = _PATHS + """, cut AS (SELECT path FROM done QUALIFY row_number() OVER (PARTITION BY path[1] ORDER BY len(path), path) <= 9),
+    ends AS (SELECT path FROM cut QUALIFY row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY len(path) DESC, path) = 1),
+    top AS (SELECT path, row_number() OVER (ORDER BY len(path) DESC, path) - 1 AS idx FROM ends QUALIFY idx < greatest(20, least(300, (SELECT floor(count(*) / 10 + 0.5) FROM part))))"""
+_PROCESSES = (
+    _TRACES
+    + """, cm AS (SELECT idx, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS communities, count(DISTINCT p_brand) AS n FROM (SELECT idx, unnest(path) AS id FROM top) JOIN part ON p_partkey = id GROUP BY 1),
+    pr AS (SELECT 'proc_' || idx || '_' || lower(left(regexp_replace(a.p_name, '[^A-Za-z0-9]+', '_', 'g'), 20)) AS process, upper(left(a.p_name, 1)) || substr(a.p_name, 2) || ' → ' || upper(left(b.p_name, 1)) || substr(b.p_name, 2) AS label,
+      CASE WHEN n > 1 THEN 'cross_community' ELSE 'intra_community' END AS kind, len(path)::INT AS step_count, communities, path[1] AS entry, path[-1] AS terminal, path AS trace
+      FROM top JOIN cm USING (idx) JOIN part a ON a.p_partkey = path[1] JOIN part b ON b.p_partkey = path[-1])"""
+)
+
+
+def _processes(spark: SparkSession, sf: str) -> DataFrame:
+    parts = materialize(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("community")), "parts")
+    found = flows_.traces(A.seq(spark, sf), parts.select("id"), depth=4, fan=3, least=3)
+    return flows_.processes(found, parts.select("id", "name"), parts.select("id", "community"), flows_.most_processes(parts.count()))
+
+
+@query(_PROCESSES + " SELECT * FROM pr")
+def processes(spark: SparkSession, sf: str) -> DataFrame:
+    return _processes(spark, sf)
+
+
+@query(_PROCESSES + " SELECT process, unnest(range(1, len(trace) + 1))::INT AS step, unnest(trace) AS id FROM pr")
+def process_steps(spark: SparkSession, sf: str) -> DataFrame:
+    return flows_.steps(_processes(spark, sf))
+
+
+@query(
+    """WITH m AS (SELECT p_size AS community, p_name AS name, CASE WHEN p_size % 3 = 0 THEN 'app/' || lower(p_type) || '/x.py' ELSE 'app/src/x.py' END AS path FROM part),
+    f AS (SELECT community, string_split(path, '/')[-2] AS folder, count(*) AS n FROM m WHERE string_split(path, '/')[-2] <> 'src' GROUP BY 1, 2),
+    b AS (SELECT community, folder FROM f QUALIFY row_number() OVER (PARTITION BY community ORDER BY n DESC, folder) = 1),
+    e AS (SELECT community, min(name) AS lo, max(name) AS hi, count(*) AS n FROM m GROUP BY 1),
+    p AS (SELECT community, n, left(lo, list_max(list_filter(range(0, 1 + least(length(lo), length(hi))), lambda k: left(lo, k) = left(hi, k)))) AS prefix FROM e),
+    t AS (SELECT community, coalesce(folder, CASE WHEN n > 2 AND length(prefix) > 2 THEN prefix END) AS told FROM p LEFT JOIN b USING (community))
+    SELECT community, coalesce(upper(left(told, 1)) || substr(told, 2), 'Cluster_' || community) AS label FROM t"""
+)
+def community_labels(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("app/"), F.lower("p_type"), F.lit("/x.py"))).otherwise("app/src/x.py")
+    return flows_.community_labels(table(spark, sf, "part").select(F.col("p_size").alias("community"), F.col("p_name").alias("name"), path.alias("path")))
+
+
+@query(
+    """WITH w AS (SELECT p_brand AS module, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part), n AS (SELECT module, word, count(*) AS n FROM w WHERE word NOT IN ('new', 'base', 'default', 'item', 'type') AND length(word) > 1 GROUP BY 1, 2)
+    SELECT module, word AS label FROM n QUALIFY row_number() OVER (PARTITION BY module ORDER BY n DESC, length(word) DESC, word) = 1"""
+)
+def module_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return flows_.module_labels(table(spark, sf, "part").select(F.col("p_brand").alias("module"), F.col("p_name").alias("name")))
+
+
+@query(
+    """WITH md AS (SELECT n_name AS id, n_nationkey AS k, n_regionkey AS r FROM nation), mf AS (SELECT id AS module, 's' || s_suppkey AS file FROM md JOIN supplier ON s_nationkey = k),
+    fl AS (SELECT 's' || s_suppkey AS file FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT 'c' || c_custkey FROM customer WHERE c_acctbal > 9000),
+    dp AS (SELECT a.id AS module, b.id AS "on" FROM md a JOIN md b ON a.r = b.r AND b.k = a.k + 5), miss AS (SELECT DISTINCT module, file FROM mf WHERE file NOT IN (SELECT file FROM fl)),
+    free AS (SELECT file, row_number() OVER (ORDER BY file) AS nth FROM fl WHERE file NOT IN (SELECT file FROM mf)),
+    cf AS (SELECT DISTINCT p_brand AS concept, 's' || p_partkey % 150 AS file FROM part),
+    ct AS (SELECT id || '--x' AS id, id AS provider, CASE WHEN k % 4 = 0 THEN 'gone' || k ELSE 'CHINA' END AS consumer FROM md), fs AS (SELECT event_type AS flow, CASE WHEN user_id % 9 = 0 THEN 'm' || user_id % 5 ELSE 'CHINA' END AS module FROM events)
+    SELECT 'ERROR' AS level, 'MISSING_FILE' AS type, module AS node_id, 'module' AS layer, 'Module "' || module || '" references missing file: ' || file AS message FROM miss
+    UNION ALL SELECT 'WARN', 'STALE_ENRICHMENT', id, 'module', 'Module "' || id || '" enrichment is stale (source_hash ' || k % 5 || ' ≠ struct_hash ' || r || ')' FROM md WHERE k % 5 <> r
+    UNION ALL SELECT 'WARN', 'STALE_ANNOTATION', id, 'module', 'Annotation 0 on "' || id || '" is stale: ' || CASE WHEN r > 1 THEN 'moved' ELSE 'unknown reason' END FROM md WHERE k % 7 = 0
+    UNION ALL SELECT 'INFO', 'ORPHAN_MODULE', id, 'module', 'Module "' || id || '" has no dependencies or dependents (isolated)' FROM md WHERE id IN (SELECT module FROM mf) AND id NOT IN (SELECT module FROM dp UNION SELECT "on" FROM dp)
+    UNION ALL SELECT 'INFO', 'UNCOVERED_FILE', file, 'module', 'Source file not claimed by any module: ' || file FROM free WHERE nth <= 20
+    UNION ALL SELECT 'INFO', 'UNCOVERED_FILE', '_summary', 'module', (count(*) - 20) || ' more uncovered source files (only first 20 shown)' FROM free HAVING count(*) > 20
+    UNION ALL SELECT 'WARN', 'MISSING_CONCEPT_REF', concept, 'concept', 'Concept "' || concept || '" references missing file: ' || file FROM cf WHERE file NOT IN (SELECT file FROM fl)
+    UNION ALL SELECT 'ERROR', 'CONTRACT_MODULE_MISSING', id, 'contract', 'Contract "' || id || '" references missing consumer module: ' || consumer FROM ct WHERE consumer NOT IN (SELECT id FROM md)
+    UNION ALL SELECT 'WARN', 'FLOW_MODULE_MISSING', flow, 'flow', 'Flow "' || flow || '" step references missing module: ' || min(module) FROM fs WHERE module NOT IN (SELECT id FROM md) GROUP BY flow
+    UNION ALL SELECT 'WARN', 'HIGH_STALENESS', '_map', 'module', 'Map staleness: HIGH (' || floor(100 * n / 25 + 0.5)::INT || '% of modules have missing files). Compile again.' FROM (SELECT count(DISTINCT module) AS n FROM miss) WHERE floor(100 * n / 25 + 0.5) > 30"""
+)
+def lint_rules(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: table(spark, sf, n)
+    s = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    md = t("nation").select(F.col("n_name").alias("id"), F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
+    nodes = md.select(F.lit("module").alias("layer"), "id", F.col("r").cast("string").alias("struct_hash"), (F.col("k") % 5).cast("string").alias("source_hash"))
+    notes = md.select(F.lit("module").alias("layer"), "id", F.lit(0).alias("nth"), (F.col("k") % 7 == 0).alias("stale"), F.when(F.col("r") > 1, "moved").alias("reason"))
+    mf = md.join(t("supplier"), F.col("s_nationkey") == F.col("k")).select(F.col("id").alias("module"), s("s", F.col("s_suppkey")).alias("file"))
+    files = t("supplier").where("s_acctbal > 0").select(s("s", F.col("s_suppkey")).alias("file")).union(t("customer").where("c_acctbal > 9000").select(s("c", F.col("c_custkey"))))
+    deps = md.select(F.col("id").alias("module"), "k", "r").join(md.select(F.col("id").alias("on"), (F.col("k") - 5).alias("k"), "r"), ["k", "r"]).select("module", "on")
+    cf = t("part").select(F.col("p_brand").alias("concept"), s("s", F.col("p_partkey") % 150).alias("file"))
+    ct = md.select(F.concat("id", F.lit("--x")).alias("id"), F.col("id").alias("provider"), F.when(F.col("k") % 4 == 0, s("gone", F.col("k"))).otherwise("CHINA").alias("consumer"))
+    fs = t("events").select(F.col("event_type").alias("flow"), F.when(F.col("user_id") % 9 == 0, s("m", F.col("user_id") % 5)).otherwise("CHINA").alias("module"))
+    return lint.lint(nodes, notes, mf, deps, files, cf, ct, fs)
+
+
+_LAYERS = """o AS (SELECT n_name AS id, count(*)::VARCHAR AS h, list('s' || s_suppkey) AS files, max(s_suppkey) % 3 AS entry FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 1000 GROUP BY 1),
+    n AS (SELECT n_name AS id, count(*)::VARCHAR AS h, list('s' || s_suppkey) AS files, max(s_suppkey) % 3 AS entry FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal < 8000 GROUP BY 1),
+    x AS (SELECT coalesce(o.id, n.id) AS id, o.h AS oh, n.h AS nh, o.entry AS oe, n.entry AS ne, len(list_filter(coalesce(n.files, []), lambda f: NOT list_contains(coalesce(o.files, []), f))) AS came,
+      len(list_filter(coalesce(o.files, []), lambda f: NOT list_contains(coalesce(n.files, []), f))) AS went FROM o FULL JOIN n ON o.id = n.id)"""
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    both = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+
+    def version(where: str) -> DataFrame:
+        return both.where(where).groupBy(F.col("n_name").alias("id")).agg(
+            F.count("*").cast("string").alias("struct_hash"), F.collect_list(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))).alias("files"), (F.max("s_suppkey") % 3).alias("entry")
+        )
+
+    return version("s_acctbal > 1000"), version("s_acctbal < 8000")
+
+
+@query(
+    f"""WITH {_LAYERS} SELECT id, 'module' AS layer, CASE WHEN oh IS NULL THEN 'added' WHEN nh IS NULL THEN 'removed' ELSE 'changed' END AS status,
+    CASE WHEN oh IS NOT NULL AND nh IS NOT NULL THEN 'structure changed' || CASE WHEN came > 0 THEN ', +' || came || ' files' ELSE '' END || CASE WHEN went > 0 THEN ', -' || went || ' files' ELSE '' END
+      || CASE WHEN oe IS DISTINCT FROM ne THEN ', entry changed' ELSE '' END END AS changes FROM x WHERE oh IS DISTINCT FROM nh"""
+)
+def layer_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return index.layer_changes(*_versions(spark, sf), "module")
+
+
+@query(f"WITH {_LAYERS} SELECT count(*) FILTER (oh IS DISTINCT FROM nh) AS n FROM x")
+def n_changed(spark: SparkSession, sf: str) -> DataFrame:
+    return index.n_changed(*_versions(spark, sf))
+
+
+@query(
+    """SELECT c_name AS path, 'prisma' AS orm, lower(c_mktsegment) AS model, 'findMany' AS method, 1 AS line FROM customer UNION ALL SELECT c_name, 'prisma', 'user', 'upsert', 3 FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_name, 'supabase', 't' || c_nationkey, 'insert', 2 FROM customer"""
+)
+def orm_queries(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(
+        F.lit("import x\nawait prisma."), F.lower("c_mktsegment"), F.lit(".findMany({})\nsupabase.from( 't"), F.col("c_nationkey").cast("string"), F.lit("' ).insert (\n"),
+        F.when(F.col("c_custkey") % 2 == 0, "prisma.user.upsert(x)").otherwise("myprisma.user.upsert(x)"),
+    )
+    return extract.orm_queries(table(spark, sf, "customer").select(F.col("c_name").alias("path"), text.alias("content")))
+
+
+@query(
+    """SELECT 'tool_' || p_size AS name, min('lib/tools/' || p_brand || '.ts') AS path, 'Does ' || p_size || ' things' AS description FROM part GROUP BY p_size"""
+)
+def tool_definitions(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("const t = [{ name: 'tool_"), F.col("p_size").cast("string"), F.lit("',\n  description: `Does "), F.col("p_size").cast("string"), F.lit("\nthings `, inputSchema: {} }]"))
+    return extract.tool_definitions(table(spark, sf, "part").select(F.concat(F.lit("lib/tools/"), "p_brand", F.lit(".ts")).alias("path"), text.alias("content")))
+
+
+@query(
+    """WITH x AS (SELECT o_orderkey % 7 AS e, c_nationkey AS x, o_orderkey % 5 AS p, c_custkey % 4 AS c, o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'src/server/a' WHEN 1 THEN 'src/core/a' WHEN 2 THEN 'tests/a' WHEN 3 THEN 'demo/x' WHEN 4 THEN 'src/gen/b' ELSE 'lib/scripts/c' END AS d
+      FROM orders JOIN customer ON o_custkey = c_custkey),
+    s AS (SELECT *, least(1, x / 6) * 0.35::DOUBLE + least(1, p / 4) * 0.35::DOUBLE + least(1, c / 3) * 0.2::DOUBLE + least(1, e / 4) * 0.1::DOUBLE AS score FROM x),
+    r AS (SELECT o_orderkey AS id, CASE WHEN d LIKE 'tests%' THEN ['test', '0.98'] WHEN d LIKE '%/gen/%' THEN ['generated', '0.95'] WHEN d LIKE 'demo%' THEN ['example', '0.92'] WHEN d LIKE '%/scripts/%' THEN ['dev_tool', '0.9']
+      WHEN (e > 1.3 OR d LIKE '%/server%') AND (score >= 0.25 OR e >= 1.5) THEN ['prod_entrypoint', round(0.65 + score * 0.3, 3)::VARCHAR] WHEN score >= 0.28 THEN ['prod_core', round(0.55 + score * 0.35, 3)::VARCHAR]
+      ELSE ['peripheral', round(0.45 + score * 0.2, 3)::VARCHAR] END AS r FROM s) SELECT id, r[1] AS role, r[2]::DOUBLE AS confidence FROM r"""
+)
+def inferred_roles(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    folder = F.when(k % 6 == 0, "src/server/a").when(k % 6 == 1, "src/core/a").when(k % 6 == 2, "tests/a").when(k % 6 == 3, "demo/x").when(k % 6 == 4, "src/gen/b").otherwise("lib/scripts/c")
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    role = names.infer_role(F.concat(folder, F.lit("/f.ts")), F.lit("src"), k % 7, F.col("c_nationkey"), k % 5, F.col("c_custkey") % 4)
+    return o.select(k.alias("id"), role.alias("r")).select("id", "r.role", "r.confidence")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrane.functions.scratch import scratch_root
+from terrane.functions.scratch import drop, scratch_root
 from terrane.operators.change import latest
 
 
@@ -39,6 +39,8 @@ def replay(spark: SparkSession, path: str, columns: list[str], key: str, version
         if number:
             rows = batch.unionByName(session.read.parquet(f"{root}/state/{number - 1}"))
         latest(rows, key, wanted).select(*columns).write.mode("overwrite").parquet(f"{root}/state/{number}")
+        if number > 1:  # the version before stays, as its batch may be run again
+            drop(session, f"{root}/state/{number - 2}")
 
     q = (
         _stream(spark, path)
@@ -49,17 +51,33 @@ def replay(spark: SparkSession, path: str, columns: list[str], key: str, version
         .start()
     )
     q.awaitTermination()
-    done = max((int(p["batchId"]) for p in q.recentProgress if p["numInputRows"]), default=None)
+    done = _last_version(spark, f"{root}/state")
     if done is None:
         return spark.read.parquet(path).select(*columns).limit(0)
     return spark.read.parquet(f"{root}/state/{done}")
 
 
+def _last_version(spark: SparkSession, folder: str) -> int | None:
+    """The largest number that names a finished table in ``folder``; a query's progress tells of its last batches only."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return None
+    found = [x.getPath() for x in files.listStatus(at)]
+    names = [p.getName() for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return max(map(int, names), default=None)
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def windows(spark: SparkSession, path: str, width: str, late: str = "10 minutes") -> DataFrame:
     """``start``, ``event_type``, ``n``, ``total`` by tumbling event-time windows of ``width``.
 
-    A window's row comes when the watermark has passed it; at the end of the input a last read of the state's input is
-    not needed, as the query runs in update mode and the latest row of every window is kept.
+    The query runs in update mode: each batch writes the windows that it has changed, and of each window the latest row
+    is kept, over all batches of the run. A stream without any row gives none.
     """
     root = _run_folder(spark)
     rows = _stream(spark, path).select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").withWatermark("ts", late)
@@ -67,10 +85,11 @@ def windows(spark: SparkSession, path: str, width: str, late: str = "10 minutes"
     flat = sums.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     q = flat.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = spark.read.parquet(*[f"{root}/out/batch={p['batchId']}" for p in q.recentProgress])
+    kind = "start timestamp, event_type string, n long, total double, batch int"
+    out = spark.read.schema(kind).parquet(f"{root}/out") if _exists(spark, f"{root}/out") else spark.createDataFrame([], kind)
     newest = out.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("x"))
     return newest.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "x.n", "x.total")
