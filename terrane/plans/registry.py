@@ -1137,3 +1137,44 @@ def inferred_roles(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     role = names.infer_role(F.concat(folder, F.lit("/f.ts")), F.lit("src"), k % 7, F.col("c_nationkey"), k % 5, F.col("c_custkey") % 4)
     return o.select(k.alias("id"), role.alias("r")).select("id", "r.role", "r.confidence")
+
+
+_BASES = """RECURSIVE inh AS (SELECT c_custkey AS class, c_custkey // 2 AS parent, 0 AS seq, 'EXTENDS' AS kind FROM customer WHERE c_custkey > 0
+      UNION ALL SELECT c_custkey, c_custkey // 3, 1, 'IMPLEMENTS' FROM customer WHERE c_custkey > 2 AND c_custkey // 3 <> c_custkey // 2),
+    walk AS (SELECT class, parent AS ancestor, [seq] AS key, kind FROM inh UNION ALL SELECT w.class, i.parent, list_append(w.key, i.seq), w.kind FROM walk w JOIN inh i ON w.ancestor = i.class),
+    one AS (SELECT class, ancestor, key, kind FROM walk QUALIFY row_number() OVER (PARTITION BY class, ancestor ORDER BY len(key), key) = 1),
+    anc AS (SELECT class, ancestor, kind, (row_number() OVER (PARTITION BY class ORDER BY len(key), key) - 1)::INT AS position FROM one)"""
+
+
+def _bases(spark: SparkSession, sf: str) -> DataFrame:
+    k = table(spark, sf, "customer").select(F.col("c_custkey").alias("class"))
+    half, third = F.floor(F.col("class") / 2), F.floor(F.col("class") / 3)
+    one = k.where("class > 0").select("class", half.alias("parent"), F.lit(0).alias("seq"), F.lit("EXTENDS").alias("kind"))
+    return one.union(k.where(third != half).where("class > 2").select("class", third, F.lit(1), F.lit("IMPLEMENTS")))
+
+
+@query(f"WITH {_BASES} SELECT * FROM anc")
+def class_ancestors(spark: SparkSession, sf: str) -> DataFrame:
+    return resolution.ancestors(_bases(spark, sf))
+
+
+@query(
+    f"""WITH {_BASES}, o AS (SELECT *, ['first-wins', 'leftmost-base', 'implements-split', 'qualified-syntax'][class % 4 + 1] AS strategy FROM anc),
+    mt AS (SELECT c_custkey AS class, 'm' || c_custkey % 5 AS name, c_custkey || '.m' AS id, CASE WHEN c_custkey % 7 = 0 THEN 'Property' ELSE 'Method' END AS label FROM customer),
+    d AS (SELECT o.*, mt.name, mt.id FROM o JOIN mt ON mt.class = o.ancestor AND label = 'Method' WHERE NOT EXISTS (SELECT 1 FROM mt own WHERE own.class = o.class AND own.name = mt.name)),
+    g AS (SELECT class, name, any_value(strategy) AS strategy, arg_min(id, position) AS first, arg_min(ancestor, position) AS first_of, arg_min(id, position) FILTER (kind = 'EXTENDS') AS own, arg_min(ancestor, position) FILTER (kind = 'EXTENDS') AS own_of
+      FROM d GROUP BY 1, 2 HAVING count(*) > 1)
+    SELECT class, name, CASE strategy WHEN 'qualified-syntax' THEN NULL WHEN 'implements-split' THEN own ELSE first END AS method, CASE WHEN strategy = 'qualified-syntax' OR (strategy = 'implements-split' AND own IS NULL) THEN 0.5
+    WHEN strategy = 'implements-split' THEN 0.95 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN strategy = 'qualified-syntax' THEN 'requires qualified syntax: ' || name WHEN strategy = 'implements-split' AND own IS NULL THEN 'ambiguous: ' || name
+    WHEN strategy = 'implements-split' THEN 'class method wins: ' || own_of || '::' || name WHEN strategy = 'leftmost-base' THEN 'leftmost base: ' || first_of || '::' || name ELSE 'first definition: ' || first_of || '::' || name END AS reason FROM g"""
+)
+def method_overrides(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("class") % 4
+    strategy = F.when(k == 0, "first-wins").when(k == 1, "leftmost-base").when(k == 2, "implements-split").otherwise("qualified-syntax")
+    order = resolution.ancestors(_bases(spark, sf)).withColumn("strategy", strategy)
+    c = F.col("c_custkey")
+    methods = table(spark, sf, "customer").select(
+        F.concat(c.cast("string"), F.lit(".m")).alias("id"), c.alias("class"), F.concat(F.lit("m"), (c % 5).cast("string")).alias("name"),
+        F.when(c % 7 == 0, "Property").otherwise("Method").alias("label"), F.lit(0).alias("seq"),
+    )
+    return resolution.method_overrides(order, methods)

@@ -107,3 +107,23 @@ def test_symbols(spark):
     ids = lambda df: sorted(r.id for r in df.collect())
     assert (ids(table.overloads(wanted)), ids(table.exact(wanted))) == (["1", "2"], ["1"])
     assert (ids(table.anywhere(wanted)), ids(table.callables(wanted)), ids(table.fields(wanted))) == (["1", "2", "3", "5"], ["1", "2", "3"], ["4"])
+
+
+def test_ancestors_and_overrides(spark):
+    from terrane.operators import resolution
+
+    rows = [("d", "b", 0, "EXTENDS"), ("d", "i", 1, "IMPLEMENTS"), ("b", "a", 0, "EXTENDS"), ("i", "a", 0, "EXTENDS"), ("i", "j", 1, "EXTENDS"), ("x", "y", 0, "EXTENDS"), ("y", "x", 0, "EXTENDS")]
+    got = resolution.ancestors(spark.createDataFrame(rows, "class string, parent string, seq int, kind string"))
+    order = {}
+    for r in got.orderBy("class", "position").collect():
+        order.setdefault(r["class"], []).append((r.ancestor, r.kind))
+    assert order["d"] == [("b", "EXTENDS"), ("i", "IMPLEMENTS"), ("a", "EXTENDS"), ("j", "IMPLEMENTS")] and [a for a, _ in order["x"]] == ["y", "x"]
+    rows = [("a.f", "a", "f", "Method", 0), ("b.f", "b", "f", "Method", 0), ("i.g", "i", "g", "Method", 0), ("j.g", "j", "g", "Method", 0), ("j.h", "j", "h", "Method", 0), ("d.k", "d", "k", "Property", 0), ("a.k", "a", "k", "Method", 0), ("b.k", "b", "k", "Method", 0)]
+    methods = spark.createDataFrame(rows, "id string, class string, name string, label string, seq int")
+    told = {}
+    for s in ("first-wins", "c3", "implements-split", "qualified-syntax"):
+        out = resolution.method_overrides(got.withColumn("strategy", F.lit(s)), methods)
+        told[s] = {r.name: (r.method, r.confidence, r.reason) for r in out.collect() if r["class"] == "d"}
+    assert told["first-wins"] == {"f": ("b.f", 0.9, "first definition: b::f"), "g": ("i.g", 0.9, "first definition: i::g")}
+    assert told["c3"]["f"][2] == "C3 MRO: b::f" and told["qualified-syntax"]["f"][:2] == (None, 0.5)
+    assert told["implements-split"] == {"f": ("b.f", 0.95, "class method wins: b::f"), "g": (None, 0.5, "ambiguous: g")}
