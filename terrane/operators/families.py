@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from terrane.functions.names import ACTIONS, role_weight, split_words, struct_hash
+from terrane.functions.scratch import materialize
 
 # Words of names by what they tell.
 GENERIC = "run handle process execute init setup register check add list load".split()
@@ -107,10 +108,14 @@ def path_instances(flows: DataFrame, functions: DataFrame, contracts: DataFrame)
         F.col("flow"), names.alias("functions"), F.col("s.module").alias("modules"), some("contract").alias("contracts"),
         F.get(names, F.lit(0)).alias("entry"), F.element_at(names, -1).alias("sink"), some("public").alias("public"),
     )
-    paths = paths.withColumn("sink_role", sink_role(F.col("functions"), F.col("modules")))
-    signals = F.array_distinct(F.concat(F.array("entry", "sink"), "public"))
-    heads = family_heads(paths.select(F.col("flow").alias("path"), signals.alias("signals")), functions)
-    out = paths.join(heads.withColumnRenamed("path", "flow"), "flow").withColumn("family", F.concat_ws(":", "head", "sink_role"))
+    # Many flows take the same way: what its words tell is worked out once for each.
+    paths = materialize(paths.withColumn("way", F.struct("functions", "modules", "public")), "flows")
+    ways = paths.select("way").distinct().select("way", sink_role(F.col("way.functions"), F.col("way.modules")).alias("sink_role"))
+    ways = materialize(ways, "ways")
+    ends = F.array(F.get("way.functions", F.lit(0)), F.element_at("way.functions", -1))
+    heads = family_heads(ways.select(F.col("way").alias("path"), F.array_distinct(F.concat(ends, "way.public")).alias("signals")), functions)
+    named = ways.join(heads.withColumnRenamed("path", "way"), "way").select("way", "sink_role", F.concat_ws(":", "head", "sink_role").alias("family"))
+    out = paths.join(named, "way")
     out = out.withColumn("id", struct_hash("flow", "family", "functions", "modules"))
     return out.select("id", "flow", "family", "functions", "modules", "contracts", "entry", "sink", "sink_role")
 
