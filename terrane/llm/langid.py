@@ -44,7 +44,11 @@ def ngrams(raw: bytes) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:
-    """An ``n`` x bits matrix of -1 and 1: all distinct splits for few languages, else random columns of a fixed seed."""
+    """An ``n`` x bits matrix of -1 and 1: all distinct splits for few languages, else random columns of a fixed seed.
+
+    Two or three languages have codewords that are 1 or 2 bits apart, so that no wrong bit is corrected there; four are
+    4 apart, and a single wrong bit does no harm.
+    """
     if n <= EXHAUSTIVE_UP_TO:
         columns = [[1, *(1 if m >> k & 1 else -1 for k in range(n - 1))] for m in range((1 << (n - 1)) - 1)]
     else:
@@ -133,7 +137,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """``doc_id``, ``held_out``, ``lang_pred``, ``score``, ``ambiguous``, ``second`` for every row, from the whole text alone.
 
     A text that is null or without any letter is ``und`` with score 0, as is every text if the model has no language.
-    A null id counts as not held out; repeated rows come back as they are; an empty table gives no rows; other columns
+    Languages that fit equally well are told in alphabetical order; very long texts are read whole, in parts. A null id counts as not held out; repeated rows come back as they are; an empty table gives no rows; other columns
     are ignored, whatever their names.
     """
 
