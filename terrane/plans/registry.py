@@ -832,7 +832,7 @@ _HEADINGS = """x AS (SELECT conv_id AS doc, turn AS line, CASE WHEN role = 'syst
     (SELECT max(line) FROM h b WHERE b.doc = a.doc AND b.line < a.line AND b.level < a.level) AS parent FROM h a"""
 )
 def section_tree(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where("turn is not null")
+    c = table(spark, sf, "conversations")
     level = F.when(F.col("role") == "system", 1).when(F.col("role") == "user", 2).otherwise(3).cast("long")
     rows = c.select(F.col("conv_id").alias("doc"), F.col("turn").alias("line"), level.alias("level"), F.max("turn").over(Window.partitionBy("conv_id")).alias("last"))
     return web.sections(rows)
