@@ -533,13 +533,13 @@ def tiered_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """WITH i AS (SELECT o_custkey AS file, l_suppkey AS target, min(l_orderkey) AS seq FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
     e AS (SELECT DISTINCT l_suppkey AS target, l_returnflag || l_linestatus || l_linenumber AS name FROM lineitem),
     f AS (SELECT file, name, seq, target FROM i JOIN e USING (target) QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY seq, target) = 1)
-    SELECT file, name, target AS symbol FROM f QUALIFY row_number() OVER (PARTITION BY file ORDER BY seq, name) <= 20"""
+    SELECT file, name, target AS symbol FROM f QUALIFY row_number() OVER (PARTITION BY file ORDER BY seq, name) <= 1000"""
 )
 def wildcard_bindings(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem")
     imports = lines.join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("file"), F.col("l_suppkey").alias("target"))
     exports = lines.select(F.col("l_suppkey").alias("target"), F.concat("l_returnflag", "l_linestatus", "l_linenumber").alias("name"), F.col("l_suppkey").alias("symbol")).distinct()
-    return change.wildcard_bindings(imports.agg(F.min("l_orderkey").alias("seq")), exports, most=20)
+    return change.wildcard_bindings(imports.agg(F.min("l_orderkey").alias("seq")), exports)
 
 
 @query(
@@ -1178,3 +1178,19 @@ def method_overrides(spark: SparkSession, sf: str) -> DataFrame:
         F.when(c % 7 == 0, "Property").otherwise("Method").alias("label"), F.lit(0).alias("seq"),
     )
     return resolution.method_overrides(order, methods)
+
+
+@query(
+    f"""{with_("seq", recursive=True)}, fn AS (SELECT p_partkey AS id, p_name AS name, p_brand AS module, ['prod_core', 'test', 'peripheral', 'example'][p_size % 4 + 1] AS role, [1, 0.05, 0.45, 0.18][p_size % 4 + 1]::DOUBLE AS weight FROM part),
+    step AS (SELECT src, dst FROM (SELECT DISTINCT src, dst FROM seq WHERE src IN (SELECT id FROM fn) AND dst IN (SELECT id FROM fn)) QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 3),
+    walk AS (SELECT [id] AS path, id AS tip, FALSE AS again FROM fn WHERE id % 5 = 0 UNION ALL SELECT list_append(path, dst), dst, list_contains(path, dst) FROM walk JOIN step ON tip = src WHERE len(path) < 4 AND NOT again),
+    done AS (SELECT path FROM walk WHERE again OR len(path) = 4 OR NOT EXISTS (SELECT 1 FROM step WHERE src = tip)),
+    ats AS (SELECT path, unnest(path) AS id, unnest(range(len(path))) AS nth FROM done WHERE len(path) >= 2),
+    p AS (SELECT path, list(name ORDER BY nth) AS functions, list(module ORDER BY nth) AS modules, avg(weight) AS w, count(DISTINCT module) AS n FROM ats JOIN fn USING (id) GROUP BY 1)
+    SELECT array_to_string(path, '>') AS flow, path, functions, modules FROM p WHERE n >= 2 AND w >= 0.28"""
+)
+def call_paths(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_size") % 4
+    role = F.when(k == 0, "prod_core").when(k == 1, "test").when(k == 2, "peripheral").otherwise("example")
+    functions = materialize(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("module"), role.alias("role")), "functions")
+    return families.call_paths(functions, A.seq(spark, sf), functions.where("id % 5 = 0").select("id"), most=4)
