@@ -108,6 +108,11 @@ def path_instances(flows: DataFrame, functions: DataFrame, contracts: DataFrame)
         F.col("flow"), names.alias("functions"), F.col("s.module").alias("modules"), some("contract").alias("contracts"),
         F.get(names, F.lit(0)).alias("entry"), F.element_at(names, -1).alias("sink"), some("public").alias("public"),
     )
+    return _told(paths, functions)
+
+
+def _told(paths: DataFrame, functions: DataFrame) -> DataFrame:
+    """Paths (``flow``, ``functions``, ``modules``, ``contracts``, ``entry``, ``sink``, ``public``) with their family, sink's role and id."""
     # Many flows take the same way: what its words tell is worked out once for each.
     paths = materialize(paths.withColumn("way", F.struct("functions", "modules", "public")), "flows")
     ways = paths.select("way").distinct().select("way", sink_role(F.col("way.functions"), F.col("way.modules")).alias("sink_role"))
@@ -120,6 +125,54 @@ def path_instances(flows: DataFrame, functions: DataFrame, contracts: DataFrame)
     return out.select("id", "flow", "family", "functions", "modules", "contracts", "entry", "sink", "sink_role")
 
 
+def call_paths(functions: DataFrame, calls: DataFrame, entries: DataFrame, most: int = 6, fan: int = 3, least_role: float = 0.28) -> DataFrame:
+    """``flow``, ``path`` (ids), ``functions``, ``modules``: paths along calls from each entry (``id``), through two modules or more.
+
+    ``functions``: ``id``, ``name``, ``module``, ``role``; ``calls``: ``src``, ``dst``. A function goes to its first ``fan`` callees by id. A path ends
+    where nothing known is called, at ``most`` functions, and at a function that it has been at, which it then names twice.
+    Paths whose roles weigh less than ``least_role`` in the mean are left out.
+    """
+    known = functions.select("id")
+    steps = calls.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").distinct()
+    nth = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    steps = materialize(steps.withColumn("nth", nth).where(F.col("nth") <= fan).select("src", "dst"), "calls")
+    open_ = entries.join(known, "id", "left_semi").distinct().select(F.array("id").alias("path"), F.col("id").alias("tip"))
+    done = None
+    for _ in range(most - 1):
+        tried = open_.join(steps, F.col("tip") == F.col("src"), "left")
+        ended = tried.where("dst IS NULL").select("path")
+        longer = tried.where("dst IS NOT NULL").select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tip"), F.array_contains("path", F.col("dst")).alias("again"))
+        longer = materialize(longer, "walk")
+        ended = ended.union(longer.where("again").select("path"))
+        done = ended if done is None else done.union(ended)
+        open_ = longer.where("not again").select("path", "tip")
+    done = done.union(open_.select("path")).where(F.size("path") >= 2)
+    at = done.select("path", F.posexplode("path").alias("step", "id")).join(functions.select("id", "name", "module", "role"), "id")
+    one = F.struct("step", "name", "module")
+    out = at.groupBy("path").agg(F.array_sort(F.collect_list(one)).alias("s"), F.avg(role_weight(F.col("role"))).alias("weight"), F.count_distinct("module").alias("n"))
+    out = out.where((F.col("n") >= 2) & (F.col("weight") >= least_role))
+    return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("flow"), "path", F.col("s.name").alias("functions"), F.col("s.module").alias("modules"))
+
+
+def call_path_instances(functions: DataFrame, calls: DataFrame, entries: DataFrame, contracts: DataFrame, covered: DataFrame) -> DataFrame:
+    """As :func:`path_instances`, of :func:`call_paths` whose entry no flow (``covered``: ``entry``) begins with.
+
+    ``contracts``: ``function`` (id), ``contract``: those that a function provides or consumes; a path has all of its functions'.
+    """
+    paths = materialize(call_paths(functions, calls, entries), "call-paths")
+    ids = paths.select("flow", F.explode("path").alias("function")).distinct()
+    hops = ids.join(contracts, "function").groupBy("flow").agg(F.array_sort(F.collect_set("contract")).alias("contracts"))
+    public = functions.where(F.col("public") & F.col("role").isin("prod_core", "prod_entrypoint")).select(F.col("id").alias("function"))
+    named = paths.select("flow", F.posexplode(F.arrays_zip("path", "functions")).alias("step", "x")).select("flow", "step", F.col("x.path").alias("function"), F.col("x.functions").alias("name"))
+    shown = named.join(public, "function", "left_semi").groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("step", "name"))).alias("p"))
+    none = F.array().cast("array<string>")
+    out = paths.join(hops, "flow", "left").join(shown, "flow", "left").select(
+        "flow", "functions", "modules", F.coalesce("contracts", none).alias("contracts"), F.get("functions", F.lit(0)).alias("entry"),
+        F.element_at("functions", -1).alias("sink"), F.array_distinct(F.coalesce("p.name", none)).alias("public"),
+    ).join(covered.select("entry").distinct(), "entry", "left_anti")
+    return _told(out, functions)
+
+
 def concern_families(paths: DataFrame) -> DataFrame:
     """``family``, ``name``, ``sink_role``, ``n_paths``, ``resources``, ``confidence`` = min(.95, .55 + .15 (n - 1)), ``status`` (confirmed from two)."""
     words = paths.select("family", F.explode("functions").alias("f")).distinct().select("family", F.explode(split_words(F.col("f"))).alias("w"))

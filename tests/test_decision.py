@@ -154,3 +154,18 @@ def test_canonical(flows):
     assert (best.n_paths, best.coverage, best.confidence, best.visibility, best.deviations, best.status) == (3, 0.75, 0.875, 0.908, 1, "canonical")
     assert got["misc:unknown"].status == "candidate" and got["misc:unknown"].role_purity == 0.4
     assert families.canonical_paths(paths.limit(0), functions).collect() == []
+
+
+def test_call_paths(spark):
+    fn = [("a", "handleSave", "api", "prod_entrypoint", True), ("b", "orderStore", "core", "prod_core", True), ("c", "saveRow", "db", "prod_core", False), ("d", "x1", "api", "test", True), ("e", "y1", "db", "test", True)]
+    functions = spark.createDataFrame(fn, "id string, name string, module string, role string, public boolean")
+    calls = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("b", "gone"), ("d", "e")], "src string, dst string")
+    entries = spark.createDataFrame([("a",), ("d",), ("gone",)], "id string")
+    got = [(r.flow, r.functions, r.modules) for r in families.call_paths(functions, calls, entries).collect()]
+    assert got == [("a>b>c>b", ["handleSave", "orderStore", "saveRow", "orderStore"], ["api", "core", "db", "core"])]  # d and e are tests
+    contracts = spark.createDataFrame([("b", "api--core"), ("c", "core--db"), ("e", "z")], "function string, contract string")
+    none = spark.createDataFrame([("other",)], "entry string")
+    r = families.call_path_instances(functions, calls, entries, contracts, none).first()
+    assert (r.family, r.contracts, r.entry, r.sink, r.sink_role) == ("save:repository_write", ["api--core", "core--db"], "handleSave", "orderStore", "repository_write")
+    covered = spark.createDataFrame([("handleSave",)], "entry string")
+    assert families.call_path_instances(functions, calls, entries, contracts, covered).collect() == []
