@@ -190,3 +190,49 @@ def json_strings(doc: Column) -> Column:
     """Every string value of a JSON text, in order; keys are none."""
     found = F.regexp_extract_all(doc, F.lit(r'"((?:[^"\\]|\\.)*)"\s*(?=[,\]}])'))
     return F.filter(found, lambda x: x != "")
+
+
+def impacted_ref(label: Column, name: Column, path: Column, route: Column, method: Column) -> Column:
+    """How a report names a node that a change reaches: a path, path#name, or kind:name. ``route`` and ``method`` are a route's, or null."""
+    clean = F.regexp_replace(F.regexp_replace(F.replace(F.coalesce(path, F.lit("")), F.lit("\\"), F.lit("/")), "/+$", ""), r"^\./", "")
+    named, kind = F.btrim(F.coalesce(name, F.lit(""))), F.lower(F.coalesce(label, F.lit("")))
+    to = F.coalesce(route, named)
+    told = F.when(to == "", "route").otherwise(F.concat(F.lit("route:"), F.when(F.coalesce(method, F.lit("")) != "", F.concat(method, F.lit(" "))).otherwise(""), to))
+    tagged = lambda tag: F.when(named == "", tag).otherwise(F.concat(F.lit(f"{tag}:"), named))
+    return (
+        F.when((label == "File") & (clean != ""), clean)
+        .when((label == "Folder") & (clean != ""), F.concat(clean, F.lit("/")))
+        .when(label == "Route", told)
+        .when(label == "Tool", tagged("tool"))
+        .when(label == "Process", tagged("process"))
+        .when((clean != "") & (named != ""), F.concat(clean, F.lit("#"), named))
+        .when(clean != "", clean)
+        .when(named != "", F.when(kind == "", named).otherwise(F.concat(kind, F.lit(":"), named)))
+        .otherwise(F.when(kind == "", "unknown-target").otherwise(kind))
+    )
+
+
+# Folders of a source root that tell its role.
+ROOT_SEGMENTS = (
+    ("generated", ("generated", ".generated", "gen", "__generated__")), ("example", ("example", "examples", "samples")),
+    ("test", ("test", "tests", "__tests__")), ("tooling", ("scripts", "tools", "tooling", "hack", "hacks", "bin")),
+)
+
+
+def root_role(path: Column, boundary: Column, boundary_path: Column) -> Column:
+    """Role of a source root: by its folders, then by where it begins, then by the kind of boundary that it lies in."""
+    parts = F.split(path, "/")
+    first = parts[0]
+    out = F.lit(None).cast("string")
+    for role_, names_ in reversed(ROOT_SEGMENTS):
+        out = F.when(F.arrays_overlap(parts, F.array(*[F.lit(x) for x in names_])), role_).otherwise(out)
+    deep = F.size(parts) > 1
+    begins = (
+        F.when(deep & first.isin("apps", "cmd"), "app")
+        .when(deep & first.isin("packages", "libs", "crates"), "package")
+        .when(first.isin("src", "internal", "pkg"), "repo-core")
+        .when(boundary == "nested-repo", "unknown")
+        .when(boundary.isin("package", "inferred-package"), F.when(boundary_path.startswith("apps/"), "app").otherwise("package"))
+        .otherwise("repo-core")
+    )
+    return F.coalesce(out, begins)

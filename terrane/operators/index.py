@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from terrane.functions.names import _any, _slashes
+from terrane.functions.names import _any, _slashes, split_words
 
 # Roles and folders that are not production.
 OTHER_ROLES = ("test", "generated", "example", "dev_tool")
@@ -113,6 +113,98 @@ def module_aliases(imports: DataFrame) -> DataFrame:
     return imports.withColumn("alias", alias).where("alias <> ''").groupBy("file", "alias").agg(F.max_by("target", "seq").alias("target"))
 
 
+def changed_files(diff: DataFrame, staged: DataFrame) -> DataFrame:
+    """``file`` of all files that differ or are staged, each once."""
+    return diff.select("file").union(staged.select("file")).where(F.coalesce("file", F.lit("")) != "").distinct()
+
+
+def freshness(has_meta: Column, has_git: Column, head: Column, compiled_head: Column, dirty: Column, compiled_dirty: Column) -> Column:
+    """Struct of ``fresh`` and ``reason``: whether an index still tells of the tree, by its commit and the fingerprint of what is not committed."""
+    told = lambda fresh, reason: F.struct(F.lit(fresh).alias("fresh"), F.lit(reason).cast("string").alias("reason"))
+    return (
+        F.when(~has_meta, told(False, "no-meta"))
+        .when(~has_git | compiled_head.isNull() | head.isNull(), told(True, "no-git"))
+        .when(head != compiled_head, told(False, "head-changed"))
+        .when(~dirty.eqNullSafe(compiled_dirty), told(False, "working-tree-dirty"))
+        .otherwise(told(True, None))
+    )
+
+
+def enrichment_targets(stale: DataFrame, affected: DataFrame, policy: str) -> DataFrame:
+    """``id`` of the stale nodes that are enriched anew: all under the policies stale-if-available and force-affected, else those that a change affects."""
+    once = stale.select("id").distinct()
+    return once if policy in ("stale-if-available", "force-affected") else once.join(affected.select("id").distinct(), "id", "left_semi")
+
+
+def closure_member_facts(closures: DataFrame) -> DataFrame:
+    """``closure``, ``unit``, ``level``, ``confidence``, ``reasons`` (joined by '; ') from ``id`` and ``members``, an array of structs, exploded."""
+    rows = closures.select(F.col("id").alias("closure"), F.explode("members").alias("m"))
+    return rows.select("closure", F.col("m.unit").alias("unit"), "m.level", "m.confidence", F.array_join("m.reasons", "; ").alias("reasons"))
+
+
+def describe_files(module_files: DataFrame) -> DataFrame:
+    """``module``, ``description`` of modules (``module``, ``file``) by the kinds of their files: the three commonest, and the first three files by name."""
+    kind = F.regexp_extract("file", r"\.([a-zA-Z0-9]+)$", 1)
+    rows = module_files.select("module", "file", F.lower(F.when(kind == "", "<none>").otherwise(kind)).alias("kind"))
+    n, many = F.col("n").cast("string"), F.when(F.col("n") > 1, "s").otherwise("")
+    label = (
+        F.when(F.col("kind") == "md", F.concat(n, F.lit(" markdown doc"), many))
+        .when(F.col("kind") == "json", F.concat(n, F.lit(" JSON config"), many))
+        .when(F.col("kind").isin("yaml", "yml"), F.concat(n, F.lit(" YAML file"), many))
+        .otherwise(F.concat(n, F.lit(" ."), "kind"))
+    )
+    counted = rows.groupBy("module", "kind").agg(F.count("*").alias("n")).withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy(F.desc("n"), "kind")))
+    kinds = counted.where("place <= 3").groupBy("module").agg(F.array_sort(F.collect_list(F.struct("place", label.alias("label")))).alias("k"))
+    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy("file")))
+    sample = first.groupBy("module").agg(F.count("*").alias("all"), F.array_sort(F.collect_list(F.when(F.col("place") <= 3, F.col("file")))).alias("s"))
+    told = F.concat(
+        F.col("all").cast("string"), F.lit(" file"), F.when(F.col("all") > 1, "s").otherwise(""), F.lit(" ("), F.array_join("k.label", ", "),
+        F.lit("). Sample: "), F.array_join("s", ", "),
+    )
+    return sample.join(kinds, "module").select("module", told.alias("description"))
+
+
+def describe_names(symbols: DataFrame, skip: tuple[str, ...] = ()) -> DataFrame:
+    """``module``, ``description`` by the five commonest words of three letters or more in the names of its exported symbols (``module``, ``name``, ``entry``)."""
+    words = symbols.select("module", F.explode(split_words(F.col("name"))).alias("word")).where(F.char_length("word") >= 3)
+    words = words.where(~F.col("word").isin(*skip)) if skip else words
+    counted = words.groupBy("module", "word").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("place", F.row_number().over(Window.partitionBy("module").orderBy(F.desc("n"), "word"))).where("place <= 5")
+    top = counted.groupBy("module").agg(F.array_sort(F.collect_list(F.struct("place", "word"))).alias("w"))
+    both = top.join(symbols.groupBy("module").agg(F.first("entry", True).alias("entry")), "module")
+    big = F.initcap(F.get("w.word", F.lit(0)))
+    ends = F.when(F.coalesce("entry", F.lit("")) != "", F.concat(F.lit(" (entry: "), "entry", F.lit(")"))).otherwise("")
+    return both.select("module", F.concat(big, F.lit(" operations: "), F.array_join("w.word", ", "), ends).alias("description"))
+
+
+def best_scopes(units: DataFrame) -> DataFrame:
+    """``module``, ``scope``, ``score``: the best score of each module and scope."""
+    return units.groupBy("module", "scope").agg(F.max("score").alias("score"))
+
+
+def surest_roots(candidates: DataFrame) -> DataFrame:
+    """Of the candidates (``path``, ``confidence``, ``seq`` and more) for each root, the surest; the first of equals."""
+    others = [c for c in candidates.columns if c != "path"]
+    best = candidates.groupBy("path").agg(F.max_by(F.struct(*others), F.struct("confidence", -F.col("seq"))).alias("x"))
+    return best.select("path", *[F.col(f"x.{c}").alias(c) for c in others])
+
+
+def within_budget(lines: DataFrame, most_chars: int) -> DataFrame:
+    """The first rows of ``lines`` (``nth`` from 1, ``line``) that a report of ``most_chars`` characters holds.
+
+    Where all do not fit, three quarters of the rows are tried, and three quarters of those, down to one. Each line counts its line break.
+    """
+    total = lines.agg(F.count("*").alias("n")).first().n
+    sizes, n = [total], total
+    while n > 1:
+        n = int(n * 0.75)
+        sizes.append(n)
+    upto = [F.sum(F.when(F.col("nth") <= k, F.char_length("line") + 1)).alias(f"c{i}") for i, k in enumerate(sizes)]
+    used = lines.agg(*upto).first()
+    fits = next((k for i, k in enumerate(sizes) if (used[f"c{i}"] or 0) <= most_chars), sizes[-1])
+    return lines.where(F.col("nth") <= fits)
+
+
 class Symbols:
     """Lookups in a table of symbols: ``id``, ``name``, ``file``, ``label``, ``owner``, ``seq`` (order of definition)."""
 

@@ -2,7 +2,8 @@
 
 Supported: MATCH with comma-separated patterns; node labels and property maps; relationship types, properties, either or
 no direction, and lengths ``*a..b``; WHERE with AND, OR, NOT, comparisons, IN, CONTAINS, STARTS WITH, ENDS WITH and
-NOT EXISTS { MATCH ... }; RETURN [DISTINCT] with aliases, count, count(DISTINCT), labels; ORDER BY; LIMIT. There is no
+NOT EXISTS { MATCH ... }; RETURN [DISTINCT] with aliases, labels, count, collect (as a sorted array), sum, avg, min and max, of
+DISTINCT values too; ORDER BY; SKIP; LIMIT. There is no
 production for a clause that writes, so a query that is accepted cannot write.
 """
 
@@ -16,7 +17,10 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F
 
 _LEX = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>\d+\.\d+|\d+)|(?P<word>[A-Za-z_]\w*)|(?P<op><>|<=|>=|\.\.|->|<-|[-\[\](){}:,.=<>*|]))""")
-_WORDS = {"MATCH", "WHERE", "RETURN", "DISTINCT", "AS", "ORDER", "BY", "LIMIT", "AND", "OR", "NOT", "IN", "CONTAINS", "STARTS", "ENDS", "WITH", "EXISTS", "DESC", "ASC", "TRUE", "FALSE", "NULL"}
+_WORDS = {"MATCH", "WHERE", "RETURN", "DISTINCT", "AS", "ORDER", "BY", "SKIP", "LIMIT", "AND", "OR", "NOT", "IN", "CONTAINS", "STARTS", "ENDS", "WITH", "EXISTS", "DESC", "ASC", "TRUE", "FALSE", "NULL"}
+
+
+AGGREGATES = ("count", "collect", "sum", "avg", "min", "max")
 
 
 class CypherError(ValueError):
@@ -214,7 +218,7 @@ class _Parser:
         if self.t[self.i][0] == "word":
             name = self.word()
             if self.take("("):
-                if name.lower() not in ("count", "labels"):
+                if name.lower() not in (*AGGREGATES, "labels"):
                     raise CypherError(f"no function {name}")
                 distinct = self.take("DISTINCT")
                 inner = ("all",) if self.take("*") else self.value()
@@ -247,10 +251,11 @@ class _Parser:
                 order.append((value, "".join(v for _, v in self.t[at : self.i]), self.take("DESC") or (self.take("ASC") and False)))
                 if not self.take(","):
                     break
+        skip = self.literal() if self.take("SKIP") else None
         limit = self.literal() if self.take("LIMIT") else None
         if self.i < len(self.t):
             raise CypherError(f"cannot read on at {self.t[self.i:self.i + 3]}")
-        return {"patterns": patterns, "where": where, "distinct": distinct, "items": items, "order": order, "limit": limit}
+        return {"patterns": patterns, "where": where, "distinct": distinct, "items": items, "order": order, "skip": skip, "limit": limit}
 
 
 def parse(text: str) -> dict[str, Any]:
@@ -331,6 +336,13 @@ class Graph:
             return F.col(f"{v[1]}__id")
         if kind == "labels":
             return F.col(f"{v[1][1]}__label")
+        if kind in AGGREGATES and kind != "count":
+            inner = self._value(v[1])
+            if kind == "collect":  # as a sorted array, so that reruns agree
+                return F.array_sort(F.collect_set(inner) if v[2] else F.collect_list(inner))
+            if v[2] and kind in ("sum", "avg"):
+                return F.sum_distinct(inner) / (F.count_distinct(inner) if kind == "avg" else F.lit(1))
+            return {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[kind](inner)
         if kind == "count":
             if v[1] == ("all",):
                 return F.count("*")
@@ -371,8 +383,8 @@ class Graph:
                 df = self._absent(df, seen, c[1], c[2])
             else:
                 df = df.where(self._test(c))
-        groups = [(v, a) for v, a in q["items"] if v[0] != "count"]
-        counts = [(v, a) for v, a in q["items"] if v[0] == "count"]
+        groups = [(v, a) for v, a in q["items"] if v[0] not in AGGREGATES]
+        counts = [(v, a) for v, a in q["items"] if v[0] in AGGREGATES]
         if counts:
             df = df.groupBy(*[self._value(v).alias(a) for v, a in groups]).agg(*[self._value(v).alias(a) for v, a in counts])
             df = df.select(*[F.col(f"`{a}`") for _, a in q["items"]])
@@ -389,6 +401,8 @@ class Graph:
                 order = [(F.col(n), d) for (n, _), (_, _, d) in zip(extra, sorts)]
         if order:
             df = df.orderBy(*[c.desc() if d else c.asc() for c, d in order])
+        if q["skip"]:
+            df = df.offset(q["skip"])
         if q["limit"] is not None:
             df = df.limit(q["limit"])
         return df.select(*[F.col(f"`{a}`") for _, a in q["items"]])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from terrane.functions import extract
+from terrane.functions import extract, names
 from terrane.operators import index, lint, processes
 
 
@@ -127,3 +127,46 @@ def test_ancestors_and_overrides(spark):
     assert told["first-wins"] == {"f": ("b.f", 0.9, "first definition: b::f"), "g": ("i.g", 0.9, "first definition: i::g")}
     assert told["c3"]["f"][2] == "C3 MRO: b::f" and told["qualified-syntax"]["f"][:2] == (None, 0.5)
     assert told["implements-split"] == {"f": ("b.f", 0.95, "class method wins: b::f"), "g": (None, 0.5, "ambiguous: g")}
+
+
+REFS = [
+    (("File", "x", "./a/b.py/", None, None), "a/b.py"), (("Folder", "x", "a\\b", None, None), "a/b/"), (("Route", "x", None, "/u", "GET"), "route:GET /u"), (("Route", "", None, None, None), "route"),
+    (("Tool", "t", "f", None, None), "tool:t"), (("Process", None, None, None, None), "process"), (("Function", " f ", "a.py", None, None), "a.py#f"), (("Class", "C", "", None, None), "class:C"),
+    (("Class", None, None, None, None), "class"), ((None, None, None, None, None), "unknown-target"), ((None, "n", None, None, None), "n"),
+]
+ROOTS = [
+    (("apps/web", "none", ""), "app"), (("packages/x/gen", "none", ""), "generated"), (("libs/x", "none", ""), "package"), (("cmd/tool", "none", ""), "app"), (("cmd", "none", ""), "repo-core"), (("src/a", "package", "x"), "repo-core"),
+    (("a/tests", "none", ""), "test"), (("tools", "none", ""), "tooling"), (("x/y", "nested-repo", "x"), "unknown"), (("x/y", "package", "apps/x"), "app"), (("x/y", "inferred-package", "x"), "package"), (("x", "root", ""), "repo-core"),
+]
+
+
+def test_refs_and_roots(spark):
+    df = spark.createDataFrame([x for x, _ in REFS], "label string, name string, path string, route string, method string")
+    assert [r.r for r in df.select(names.impacted_ref(*map(F.col, df.columns)).alias("r")).collect()] == [w for _, w in REFS]
+    df = spark.createDataFrame([x for x, _ in ROOTS], "path string, kind string, at string")
+    assert [r.r for r in df.select(names.root_role(*map(F.col, df.columns)).alias("r")).collect()] == [w for _, w in ROOTS]
+
+
+def test_freshness(spark):
+    rows = [(False, True, "a", "a", "x", "x"), (True, False, "a", "a", "x", "x"), (True, True, "a", None, "x", "x"), (True, True, "a", "b", "x", "x"), (True, True, "a", "a", "x", "y"), (True, True, "a", "a", None, None)]
+    df = spark.createDataFrame(rows, "m boolean, g boolean, h string, ch string, d string, cd string")
+    got = [(r.f.fresh, r.f.reason) for r in df.select(index.freshness(*map(F.col, df.columns)).alias("f")).collect()]
+    assert got == [(False, "no-meta"), (True, "no-git"), (True, "no-git"), (False, "head-changed"), (False, "working-tree-dirty"), (True, None)]
+
+
+def test_small_rules(spark):
+    d = spark.createDataFrame
+    assert sorted(r.file for r in index.changed_files(d([("a",), ("b",)], "file string"), d([("b",), ("",), (None,)], "file string")).collect()) == ["a", "b"]
+    stale, hit = d([("x",), ("y",), ("y",)], "id string"), d([("y",)], "id string")
+    assert [sorted(r.id for r in index.enrichment_targets(stale, hit, p).collect()) for p in ("force-affected", "affected-only")] == [["x", "y"], ["y"]]
+    closures = d([("k", [("u", "must", 0.5, ["a", "b"])]), ("e", [])], "id string, members array<struct<unit:string,level:string,confidence:double,reasons:array<string>>>")
+    assert [tuple(r) for r in index.closure_member_facts(closures).collect()] == [("k", "u", "must", 0.5, "a; b")]
+    files = d([("m", "b.py"), ("m", "a.py"), ("m", "r.md"), ("m", "x.json"), ("m", "y.yml"), ("n", "Makefile")], "module string, file string")
+    assert {r.module: r.description for r in index.describe_files(files).collect()} == {"m": "5 files (2 .py, 1 JSON config, 1 markdown doc). Sample: a.py, b.py, r.md", "n": "1 file (1 .<none>). Sample: Makefile"}
+    symbols = d([("m", "saveUser", "run"), ("m", "loadUser", "run"), ("n", "ab", None)], "module string, name string, entry string")
+    assert [tuple(r) for r in index.describe_names(symbols).collect()] == [("m", "User operations: user, load, save (entry: run)")]
+    roots = d([("a", 0.5, 1, "p"), ("a", 0.9, 2, "q"), ("a", 0.9, 3, "r")], "path string, confidence double, seq int, role string")
+    assert [(r.path, r.role) for r in index.surest_roots(roots).collect()] == [("a", "q")]
+    assert [tuple(r) for r in index.best_scopes(d([("m", "s", 1.0), ("m", "s", 3.0)], "module string, scope string, score double")).collect()] == [("m", "s", 3.0)]
+    lines = d([(k, "x" * 9) for k in range(1, 17)], "nth int, line string")
+    assert [index.within_budget(lines, n).count() for n in (160, 159, 100, 5)] == [16, 12, 9, 1]

@@ -140,6 +140,9 @@ def test_cypher(spark):
     assert rows("MATCH (n:Function) WHERE n.line > 3 OR n.name STARTS WITH 'sa' RETURN count(n) AS n") == [(2,)]
     assert rows("MATCH (n:Function) WHERE NOT EXISTS { MATCH (n)-[:CALLS]->(m) } RETURN n.id AS id") == [("b",)]
     assert rows("MATCH (n) WHERE n.name = 'delete me' RETURN n.id") == []
+    assert rows("MATCH (f:File)-[:DEFINES]->(x) RETURN f.id AS f, collect(x.name) AS xs, sum(x.line) AS s, min(x.line) AS lo, max(x.line) AS hi, avg(x.line) AS m") == [("f", ["load", "save"], 10, 1, 9, 5.0)]
+    assert rows("MATCH (n) RETURN n.id AS id ORDER BY id SKIP 1 LIMIT 1") == [("b",)]
+    assert rows("MATCH (a)-[r]->(b) RETURN b.id AS id, collect(DISTINCT r.type) AS t ORDER BY id DESC") == [("b", ["CALLS", "DEFINES"]), ("a", ["DEFINES"])]
 
 
 @pytest.mark.parametrize("text", ["CREATE (n:X)", "MATCH (n) DELETE n", "MATCH (n) SET n.x = 1 RETURN n.id", "MATCH (n) RETURN n.id; DROP TABLE x", "RETURN 1", "MATCH (n RETURN n.id"])
