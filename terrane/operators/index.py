@@ -108,9 +108,9 @@ def is_other_path(path: Column) -> Column:
 
 
 def module_aliases(imports: DataFrame) -> DataFrame:
-    """``file``, ``alias``, ``target``: the file stem under which each imported module is known in a file; the last import (``seq``) wins."""
+    """``file``, ``alias``, ``target``: the file stem under which each imported module is known in a file; the last import (``seq``) wins, of equals the larger target."""
     alias = F.regexp_replace(F.regexp_extract("target", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    return imports.withColumn("alias", alias).where("alias <> ''").groupBy("file", "alias").agg(F.max_by("target", "seq").alias("target"))
+    return imports.withColumn("alias", alias).where("alias <> ''").groupBy("file", "alias").agg(F.max_by("target", F.struct("seq", "target")).alias("target"))
 
 
 def changed_files(diff: DataFrame, staged: DataFrame) -> DataFrame:

@@ -895,6 +895,11 @@ _CYPHER = {
         "MATCH (n:Supplier) WHERE n.name <> 'x' RETURN n.name AS name, n.path AS path ORDER BY n.path DESC, n.name LIMIT 12",
         f"{_HIER} SELECT name, path FROM hier_nodes WHERE label = 'Supplier' AND name <> 'x' ORDER BY path DESC, name LIMIT 12",
     ),
+    "collected": (
+        "MATCH (r:Region)-[:CONTAINS]->(n:Nation) RETURN r.name AS region, collect(n.name) AS nations, max(n.path) AS last, count(*) AS n ORDER BY region SKIP 1 LIMIT 3",
+        f"""{_HIER} SELECT r.name AS region, list(n.name ORDER BY n.name) AS nations, max(n.path) AS last, count(*) AS n FROM hier_nodes r JOIN hier_edges e ON e.src = r.id AND e.type = 'CONTAINS'
+        JOIN hier_nodes n ON n.id = e.dst WHERE r.label = 'Region' AND n.label = 'Nation' GROUP BY 1 ORDER BY 1 LIMIT 3 OFFSET 1""",
+    ),
 }
 
 
@@ -1194,3 +1199,136 @@ def call_paths(spark: SparkSession, sf: str) -> DataFrame:
     role = F.when(k == 0, "prod_core").when(k == 1, "test").when(k == 2, "peripheral").otherwise("example")
     functions = materialize(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("module"), role.alias("role")), "functions")
     return families.call_paths(functions, A.seq(spark, sf), functions.where("id % 5 = 0").select("id"), most=4)
+
+
+# Index, descriptions and names ----------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT a.n_name AS module, b.n_name AS "on" FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey)
+    SELECT module AS "from", "on" AS "to", 'depends_on' AS relation FROM d UNION ALL SELECT CASE p_size % 3 WHEN 1 THEN p_brand WHEN 2 THEN p_type END, p_name, 'owns_concept' FROM part WHERE p_size % 3 > 0
+    UNION ALL SELECT n_name, r_name, 'contract' FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT event_id::VARCHAR, event_type, 'step_in_flow' FROM events UNION ALL SELECT s_name, s_nationkey::VARCHAR, 'affects' FROM supplier"""
+)
+def index_edges(spark: SparkSession, sf: str) -> DataFrame:
+    t = lambda n: table(spark, sf, n)
+    a, b = (t("nation").select(F.col("n_name").alias(x), "n_regionkey", F.col("n_nationkey").alias(f"k_{x}")) for x in ("module", "on"))
+    deps = a.join(b, "n_regionkey").where("k_module < k_on")
+    owner = F.when(F.col("p_size") % 3 == 1, F.col("p_brand")).when(F.col("p_size") % 3 == 2, F.col("p_type")).otherwise("")
+    contracts = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("consumer"), F.col("r_name").alias("provider"))
+    steps = t("events").select(F.col("event_id").alias("flow"), F.col("event_type").alias("module"))
+    concerns = t("supplier").select(F.col("s_name").alias("id"), F.col("s_nationkey").alias("module"))
+    return index.index_edges(deps, t("part").select(F.col("p_name").alias("id"), owner.alias("layer")), contracts, steps, concerns)
+
+
+@query("SELECT p_brand AS module, count(*) AS n FROM part WHERE p_brand <> 'Brand#3' GROUP BY 1")
+def concept_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return index.concept_counts(table(spark, sf, "part").select(F.when(F.col("p_brand") != "Brand#3", F.col("p_brand")).alias("layer")))
+
+
+@query(
+    """WITH f AS (SELECT p_brand AS module, 'f' || p_partkey || ['.py', '.md', '.json', '.yml', '', '.Py'][p_size % 6 + 1] AS file, ['py', 'md', 'json', 'yml', '<none>', 'py'][p_size % 6 + 1] AS kind FROM part),
+    k AS (SELECT module, kind, count(*) AS n FROM f GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY n DESC, kind) AS place FROM k),
+    l AS (SELECT module, string_agg(n || CASE kind WHEN 'md' THEN ' markdown doc' || CASE WHEN n > 1 THEN 's' ELSE '' END WHEN 'json' THEN ' JSON config' || CASE WHEN n > 1 THEN 's' ELSE '' END
+      WHEN 'yml' THEN ' YAML file' || CASE WHEN n > 1 THEN 's' ELSE '' END ELSE ' .' || kind END, ', ' ORDER BY place) AS kinds FROM t WHERE place <= 3 GROUP BY 1),
+    s AS (SELECT module, count(*) AS n, array_to_string(list(file ORDER BY file)[1:3], ', ') AS sample FROM f GROUP BY 1)
+    SELECT module, n || ' file' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' (' || kinds || '). Sample: ' || sample AS description FROM s JOIN l USING (module)"""
+)
+def file_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, (".py", ".md", ".json", ".yml", "", ".Py"))), (F.col("p_size") % 6 + 1).cast("int"))
+    return index.describe_files(table(spark, sf, "part").select(F.col("p_brand").alias("module"), F.concat(F.lit("f"), F.col("p_partkey").cast("string"), ending).alias("file")))
+
+
+@query(
+    """WITH w AS (SELECT p_type AS module, unnest(string_split(p_name, ' ')) AS word FROM part), n AS (SELECT module, word, count(*) AS n FROM w WHERE length(word) > 2 GROUP BY 1, 2),
+    t AS (SELECT *, row_number() OVER (PARTITION BY module ORDER BY n DESC, word) AS place FROM n)
+    SELECT module, upper(left(min_by(word, place), 1)) || substr(min_by(word, place), 2) || ' operations: ' || string_agg(word, ', ' ORDER BY place) || ' (entry: ' || lower(module) || ')' AS description FROM t WHERE place <= 5 GROUP BY 1"""
+)
+def name_descriptions(spark: SparkSession, sf: str) -> DataFrame:
+    return index.describe_names(table(spark, sf, "part").select(F.col("p_type").alias("module"), F.col("p_name").alias("name"), F.lower("p_type").alias("entry")))
+
+
+@query(
+    """WITH x AS (SELECT c_custkey AS id, ['apps/web', 'packages/a/gen', 'libs/b', 'cmd/t', 'src/core', 'a/tests', 'tools/x', 'q/r', 'examples/e', 'z'][c_custkey % 10 + 1] AS path, ['none', 'nested-repo', 'package'][c_custkey % 3 + 1] AS kind,
+      CASE WHEN c_custkey % 2 = 0 THEN 'apps/x' ELSE 'y' END AS place FROM customer)
+    SELECT id, CASE WHEN path LIKE '%/gen' THEN 'generated' WHEN path LIKE 'examples%' THEN 'example' WHEN path LIKE '%/tests' THEN 'test' WHEN path LIKE 'tools%' THEN 'tooling' WHEN path LIKE 'apps/%' OR path LIKE 'cmd/%' THEN 'app'
+    WHEN path LIKE 'libs/%' THEN 'package' WHEN path LIKE 'src%' THEN 'repo-core' WHEN kind = 'nested-repo' THEN 'unknown' WHEN kind = 'package' THEN CASE WHEN place LIKE 'apps/%' THEN 'app' ELSE 'package' END ELSE 'repo-core' END AS role FROM x"""
+)
+def root_roles(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    one = lambda items, n: F.element_at(F.array(*map(F.lit, items)), (k % n + 1).cast("int"))
+    path = one(("apps/web", "packages/a/gen", "libs/b", "cmd/t", "src/core", "a/tests", "tools/x", "q/r", "examples/e", "z"), 10)
+    kind, at = one(("none", "nested-repo", "package"), 3), F.when(k % 2 == 0, "apps/x").otherwise("y")
+    return table(spark, sf, "customer").select(k.alias("id"), names.root_role(path, kind, at).alias("role"))
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE o_orderkey % 6 WHEN 0 THEN 'src/o' || o_custkey WHEN 1 THEN 'src/' || lower(o_orderstatus) || '/' WHEN 2 THEN 'route:GET /orders/' || o_custkey WHEN 3 THEN 'tool:' || o_orderpriority
+    WHEN 4 THEN 'a.py#' || o_orderpriority ELSE 'class:' || o_orderpriority END AS ref FROM orders"""
+)
+def impacted_refs(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey") % 6
+    label = F.element_at(F.array(*map(F.lit, ("File", "Folder", "Route", "Tool", "Function", "Class"))), (k + 1).cast("int"))
+    path = F.when(k == 0, F.concat(F.lit("./src/o"), F.col("o_custkey").cast("string"))).when(k == 1, F.concat(F.lit("src\\"), F.lower("o_orderstatus"), F.lit("/"))).when(k == 4, "a.py")
+    route = F.when(k == 2, F.concat(F.lit("/orders/"), F.col("o_custkey").cast("string")))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), names.impacted_ref(label, F.col("o_orderpriority"), path, route, F.lit("GET")).alias("ref"))
+
+
+@query(
+    """SELECT event_id AS id, CASE WHEN user_id % 7 = 0 THEN FALSE WHEN user_id % 5 = 0 THEN TRUE WHEN event_type <> 'click' THEN FALSE WHEN value > 50 THEN FALSE ELSE TRUE END AS fresh,
+    CASE WHEN user_id % 7 = 0 THEN 'no-meta' WHEN user_id % 5 = 0 THEN 'no-git' WHEN event_type <> 'click' THEN 'head-changed' WHEN value > 50 THEN 'working-tree-dirty' END AS reason FROM events"""
+)
+def freshness(spark: SparkSession, sf: str) -> DataFrame:
+    u = F.col("user_id")
+    state = index.freshness(u % 7 != 0, u % 5 != 0, F.col("event_type"), F.lit("click"), F.when(F.col("value") > 50, "x").otherwise("y"), F.lit("y"))
+    return table(spark, sf, "events").select(F.col("event_id").alias("id"), state.alias("s")).select("id", "s.fresh", "s.reason")
+
+
+@query(
+    """SELECT p_brand AS path, max(p_retailprice) AS confidence, (list(p_partkey ORDER BY p_retailprice DESC, p_partkey))[1] AS seq, (list(p_type ORDER BY p_retailprice DESC, p_partkey))[1] AS role FROM part GROUP BY 1"""
+)
+def surest_roots(spark: SparkSession, sf: str) -> DataFrame:
+    return index.surest_roots(table(spark, sf, "part").select(F.col("p_brand").alias("path"), F.col("p_retailprice").alias("confidence"), F.col("p_partkey").alias("seq"), F.col("p_type").alias("role")))
+
+
+@query(
+    """SELECT p_partkey AS id, list_sort(list_distinct(list_concat(string_split(p_name, ' '), [lower(p_type), 'v2', 'url']))) AS tokens FROM part"""
+)
+def token_sets(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat("p_name", F.lit("/"), "p_type", F.lit(".v2:URL"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.array_sort(extract.token_set(text)).alias("tokens"))
+
+
+@query("""SELECT p_partkey AS id, list_sort(list_distinct(['src/' || lower(p_type) || '.ts', 'docs/p' || p_size % 3 || '.md'])) AS paths FROM part""")
+def referenced_paths(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("See (./src/"), F.lower("p_type"), F.lit(".ts), `docs/p"), (F.col("p_size") % 3).cast("string"), F.lit(".md`. Not x/src/y nor lib/http://z, but src/"), F.lower("p_type"), F.lit(".ts"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), extract.referenced_paths(text).alias("paths"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id AS id FROM documents WHERE n_chars > 500), a AS (SELECT doc_id AS id FROM labels WHERE quality = 1) SELECT DISTINCT id FROM s WHERE id IN (SELECT id FROM a)"""
+)
+def enrichment_targets(spark: SparkSession, sf: str) -> DataFrame:
+    stale = table(spark, sf, "documents").where("n_chars > 500").select(F.col("doc_id").alias("id"))
+    return index.enrichment_targets(stale, table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), "affected-only")
+
+
+@query(
+    """WITH s AS (SELECT s_suppkey AS id, 'm' || s_suppkey % 20 AS name, 'f' || s_suppkey % 30 AS file, CASE WHEN s_suppkey % 3 = 0 THEN 'Property' ELSE 'Method' END AS label, s_nationkey AS owner, s_suppkey AS seq FROM supplier)
+    SELECT id, name, file, label, owner, seq FROM s QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY seq) = 1"""
+)
+def symbol_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    s = table(spark, sf, "supplier").select(
+        k.alias("id"), F.concat(F.lit("m"), (k % 20).cast("string")).alias("name"), F.concat(F.lit("f"), (k % 30).cast("string")).alias("file"),
+        F.when(k % 3 == 0, "Property").otherwise("Method").alias("label"), F.col("s_nationkey").alias("owner"), k.alias("seq"),
+    )
+    return index.Symbols(s).exact(s.select("file", "name")).select("id", "name", "file", "label", "owner", "seq")
+
+
+@query(
+    """WITH i AS (SELECT l_orderkey % 500 AS file, 'lib' || l_suppkey % 4 || '/mod' || l_partkey % 50 || '.py' AS target, 'mod' || l_partkey % 50 AS alias, l_orderkey * 10 + l_linenumber AS seq, l_suppkey % 4 AS k FROM lineitem)
+    SELECT file, alias, target FROM i QUALIFY row_number() OVER (PARTITION BY file, alias ORDER BY seq DESC, target DESC) = 1"""
+)
+def module_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    target = F.concat(F.lit("lib"), (F.col("l_suppkey") % 4).cast("string"), F.lit("/mod"), (F.col("l_partkey") % 50).cast("string"), F.lit(".py"))
+    return index.module_aliases(table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("file"), target.alias("target"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")))
