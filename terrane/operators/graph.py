@@ -112,20 +112,23 @@ def topological_levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) ->
 
     Raises an error if nodes are still ready after ``most`` levels, as they would get a wrong one.
     """
-    left = materialize(drop_dangling(nodes, edges.where("src <> dst")).select("src", "dst").distinct(), "topo")
-    waiting, done, level = nodes.select("id").distinct(), None, 0
+    steps = materialize(drop_dangling(nodes, edges.where("src <> dst")).select("src", "dst").distinct(), "topo")
+    waits = steps.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("waits"))
+    # One table a level: those that still wait, and for how many predecessors.
+    state = materialize(nodes.select("id").distinct().join(waits, "id", "left").select("id", F.coalesce("waits", F.lit(0)).alias("waits")), "topo")
+    done, level = None, 0
     while True:
-        ready = waiting.join(left.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-        ready = materialize(ready.withColumn("level", F.lit(level)), "ready")
+        ready = state.where("waits = 0").select("id")
         if ready.isEmpty():
             break
         if level == most:
             raise RuntimeError(f"nodes are still ready after {most} levels")
-        done = ready if done is None else done.union(ready)
-        waiting = materialize(waiting.join(ready, "id", "left_anti"), "waiting")
-        left = materialize(left.join(ready.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"), "topo")
+        done = ready.withColumn("level", F.lit(level)) if done is None else done.union(ready.withColumn("level", F.lit(level)))
+        met = steps.join(ready.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met"))
+        later = state.where("waits > 0").join(met, "id", "left").select("id", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"))
+        state = materialize(later, "topo")
         level += 1
-    rest = waiting.withColumn("level", F.lit(level))
+    rest = state.select("id", F.lit(level).alias("level"))
     return rest if done is None else done.union(rest)
 
 

@@ -330,7 +330,11 @@ def dangling_gc(spark: SparkSession, sf: str) -> DataFrame:
     return graph.drop_dangling(nodes, A.hier_edges(spark, sf)).select("src", "dst", "type")
 
 
-@query()
+@query(
+    """WITH n AS (SELECT r_name AS h, n_name AS class FROM nation JOIN region ON n_regionkey = r_regionkey), c AS (SELECT class, [class, h || '.base', h || '.mixin', 'root'] AS o FROM n
+      UNION ALL SELECT r_name || '.base', [r_name || '.base', 'root'] FROM region UNION ALL SELECT r_name || '.mixin', [r_name || '.mixin', 'root'] FROM region UNION ALL SELECT 'root', ['root'] FROM region)
+    SELECT class, unnest(range(len(o))) AS position, unnest(o) AS ancestor, 'c3' AS strategy FROM c"""
+)
 def mro_c3(spark: SparkSession, sf: str) -> DataFrame:
     """Nation below region below a root, and a diamond in each region."""
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
