@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from terrane.functions.scratch import materialize
+from terrane.functions.scratch import drop, materialize, materialize_at
 from terrane.llm import decontaminate, linededup, mixing, nearcopies, qualityrules
 from terrane.sources.tables import table
 
@@ -88,8 +88,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and reread as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written as Parquet and reread as the next one's input, which is then deleted."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs, later = materialize_at(stage(spark, docs, sf_dir), name)
+        if path:
+            drop(spark, path)
+        path = later
     return STAGES[-1][1](spark, docs, sf_dir)
