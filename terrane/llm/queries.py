@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrane.llm import chat, decontaminate, htmltext, langid, licensescan, linededup, mixing, qualityrules, secretscan, simhash
+from terrane.llm import chat, chatrepair, decontaminate, filteraudit, htmltext, langid, licensescan, linededup, mixing, qualityrules, secretscan, simhash, topk
 from terrane.sources.tables import table
 
 
@@ -64,6 +65,18 @@ def op10_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chatrepair.repair(chatrepair.damage(table(spark, sf_dir, "conversations")))
+
+
 OPERATORS = (
     op1_license_scan,
     op2_language_id,
@@ -75,6 +88,9 @@ OPERATORS = (
     op8_decontamination,
     op9_quality_rules,
     op10_simhash_neardup,
+    op11_filter_audit,
+    op12_top_k,
+    op13_chat_repair,
 )
 
 
@@ -136,6 +152,73 @@ _LEAKS = f"""WITH raw AS (SELECT 'd' AS side, doc_id AS id, text FROM documents
   SELECT doc_id, item_id, n / m AS containment FROM hits JOIN size USING (item_id) WHERE n / m >= 0.8"""
 
 
+def _audit_sql(letters: str = "ABCDE") -> str:
+    """Documents by part and set of failed filters, then all orders by bit masks."""
+    bit = {x: 1 << k for k, x in enumerate(letters)}
+    steps = ", ".join(f"('{''.join(p)}', {k + 1}, {bit[x]}, {sum(bit[y] for y in p[:k])})" for p in permutations(letters) for k, x in enumerate(p))
+    return f"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+      l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+      f AS (SELECT part, (len(ws) < 50)::INT + 2 * (100 * len(list_distinct(ws)) < 65 * len(ws))::INT + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text))::INT
+        + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS mask, coalesce(good, false)::INT AS g, coalesce(toxic, false)::INT AS t
+        FROM w LEFT JOIN l USING (doc_id)),
+      m AS (SELECT part, mask, count(*) AS n, sum(g) AS g, sum(t) AS t FROM f GROUP BY 1, 2),
+      o(filter_order, step, b, before) AS (VALUES {steps}),
+      r AS (SELECT part, filter_order, step, b, sum(CASE WHEN mask & (before | b) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & before <> 0 AND mask & b <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN mask = b THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN g ELSE 0 END) AS good_lost, sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN t ELSE 0 END) AS toxic_lost FROM m CROSS JOIN o GROUP BY 1, 2, 3, 4)
+      SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+        toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, b)::BIGINT AS shapley FROM r"""
+
+
+_TOP = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+  SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def _repair_sql() -> str:
+    """The pass over rows as a recursion whose columns are the ways to the four states; CRC-32 bit by bit, then by its table."""
+
+    def best(*ways: str) -> str:
+        return f"list_sort(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))[1]"
+
+    def add(way: str, cost: str, letter: str, row: str, when: str = "true") -> str:
+        text = f"coalesce({way}.r || chr(10), '') || {row}" if row else f"{way}.r"
+        return f"CASE WHEN {way} IS NOT NULL AND {when} THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 'r': {text}}} END"
+
+    def move(source: str, to: str, initial: str) -> list[str]:
+        kept = add(source, "cut", "K", "role || ':' || text", f"free AND left(role, 1) = '{initial}'")
+        name = {"u": "user", "a": "assistant"}.get(initial)
+        return [kept, add(source, "1 + cut", "R", f"'{name}:' || text", "free")] if name else [kept]
+
+    def gone(way: str) -> str:
+        return add(way, "2", "D", "")
+
+    users = [m for source in ("s0", "s1", "s3") for m in move(source, "s2", "u")]
+    stepped = f"{gone('s0')} AS s0, {best(gone('s1'), *move('s0', 's1', 's'))} AS s1, {best(gone('s2'), *users)} AS s2, {best(gone('s3'), *move('s2', 's3', 'a'))} AS s3"
+    more = [add(w, "5", "I", "'user:'") for w in ("s0", "s1", "s3")]
+    closed = f"s0, s1, {best('s2', *more)} AS s2, {best('s3', add('s2', '5', 'I', chr(39) + 'assistant:' + chr(39)))} AS s3"
+    none = "{'c': 0, 'a': '', 'r': NULL::VARCHAR}"
+    return f"""WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+      h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+      d AS (SELECT h.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM h CROSS JOIN k),
+      e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM d WHERE kind <> 0),
+      f AS (SELECT *, trim(text, {_BLANK}) AS body, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth_same,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS was FROM e),
+      g AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN nth_same > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM f),
+      z AS (SELECT *, fault IN ('', 't') AS free, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS cut FROM g),
+      p AS (SELECT conv_id, 0::BIGINT AS n, s0, s1, s2, s3 FROM (SELECT conv_id, {closed} FROM (SELECT conv_id, {closed} FROM (SELECT DISTINCT conv_id, {none} AS s0,
+          CASE WHEN false THEN {none} END AS s1, CASE WHEN false THEN {none} END AS s2, CASE WHEN false THEN {none} END AS s3 FROM conversations)))
+        UNION ALL SELECT conv_id, n, s0, s1, s2, s3 FROM (SELECT conv_id, n, {closed} FROM (SELECT conv_id, n, {closed} FROM (SELECT p.conv_id, z.n, {stepped} FROM p JOIN z ON z.conv_id IS NOT DISTINCT FROM p.conv_id AND z.n = p.n + 1)))),
+      a AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (was IS NOT NULL AND left(was, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM z GROUP BY 1),
+      x AS (SELECT p.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, {best('s0', 's3')} AS way
+        FROM p LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM p.conv_id WHERE n = coalesce(rows, 0))
+      SELECT conv_id, gaps, blank, duplicate, truncated, illegal, way.c::BIGINT AS cost, way.a AS audit, sha256(coalesce(way.r, '')) AS repaired_sha256 FROM x"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others hash by XXH64, read regular expressions by offset, or decide by trained models; the tests hold them against brute force."""
-    return {"op4_line_dedup": _LINES, "op5_source_mix": _mix_sql(), "op7_chat_format": _CHATS, "op8_decontamination": _LEAKS}
+    return {"op4_line_dedup": _LINES, "op5_source_mix": _mix_sql(), "op7_chat_format": _CHATS, "op8_decontamination": _LEAKS} | {"op11_filter_audit": _audit_sql(), "op12_top_k": _TOP, "op13_chat_repair": _repair_sql()}
