@@ -22,10 +22,10 @@ from terrane.llm.textmap import map_texts
 
 # Elements of HTML by how they shape blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style template iframe head title textarea select".split())
+SKIPPED = frozenset("script style template iframe title textarea select datalist".split())
 RAW = frozenset("script style textarea title iframe".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup "
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt rtc ruby s samp small span strike strong sub sup "
     "time tt u var wbr img math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded menclose "
     "semantics annotation svg g path text tspan textpath use defs desc rect circle line polygon polyline ellipse symbol".split()
 )
@@ -34,15 +34,25 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav noscript object ol option p picture pre search section summary table tbody td "
     "tfoot th thead tr ul video".split()
 )
+#: What can stand in a head; the start of anything else ends it.
+IN_HEAD = frozenset("html head title base basefont bgsound link meta style script noscript template noframes".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: A start tag of the key closes open elements of the second, if the nearest is nearer than any of the third.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")),
     "dt": (("dt", "dd"), ("dl",)),
     "dd": (("dt", "dd"), ("dl",)),
-    "tr": (("tr", "td", "th"), ("table",)),
-    "td": (("td", "th"), ("tr", "table")),
-    "th": (("td", "th"), ("tr", "table")),
-    "option": (("option",), ("select",)),
+    "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "colgroup": (("caption", "colgroup"), ("table",)),
+    "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)),
+    "td": (("td", "th", "caption", "colgroup"), ("tr", "table")),
+    "th": (("td", "th", "caption", "colgroup"), ("tr", "table")),
+    "option": (("option",), ("select", "datalist")),
+    "optgroup": (("option", "optgroup"), ("select", "datalist")),
+    "rt": (("rt", "rp"), ("ruby",)),
+    "rp": (("rt", "rp"), ("ruby",)),
 }
 #: Parts of names (class, id, role and the like) that tell what an element is: these as a whole word, those anywhere in one.
 WHOLE = frozenset("ad ads adv top side post page main text body logo user tags tag meta alert list item box toc hero".split())
@@ -153,11 +163,19 @@ class Scanner:
 
 
 def hides(attributes: list[tuple[str, str]]) -> bool:
-    """Whether a start tag's attributes hide its element: by their names, never by words within other values."""
-    return any(
-        name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NONE.search(value) is not None
-        for name, value in attributes
-    )
+    """Whether a start tag's attributes hide its element from readers: by their names, never by words within other values.
+
+    What ``aria-hidden`` hides from screen readers is shown on the page; that is a feature, not a reason to skip.
+    """
+    return any(name == "hidden" or name == "style" and NONE.search(value) is not None for name, value in attributes)
+
+
+def names_of(attributes: list[tuple[str, str]]) -> frozenset[str] | set[str]:
+    """The telling parts of an element's names, and whether screen readers pass it over."""
+    named = " ".join(v for k, v in attributes if k in NAMING)
+    quiet = any(k == "aria-hidden" and v.strip().lower() == "true" for k, v in attributes)
+    found = parts_of(named) if named else NO_TAGS
+    return found | {"ariahidden"} if quiet else found
 
 
 def unescaped(text: str) -> str:
@@ -168,7 +186,8 @@ def unescaped(text: str) -> str:
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order: character references decoded, white space within a block one space.
 
-    Elements that are left open end where their parent does, or where the next of their kind begins. Time and memory
+    Elements that are left open end where their parent does, or where what cannot stand in them begins; a head ends with
+    the first element or text that does not belong there, whether or not it is closed. Time and memory
     are in proportion to the page, also where quotes or elements are left open or nested without end.
     """
     out: list[Block] = []
@@ -190,6 +209,8 @@ def blocks(page: str) -> list[Block]:
         nonlocal around
         if text and not skipping:
             blank = text.isspace()
+            if not blank and stack[-1].tag == "head":
+                pop_to(len(stack) - 1)
             if not blank and all(p.isspace() for p, _ in parts):
                 parts.clear()
                 around = stack[-1]
@@ -228,6 +249,8 @@ def blocks(page: str) -> list[Block]:
         closing, tag = m[1], m[2].lower()
         attributes, at = scan.attributes(m.end())
         if closing:
+            if tag in HEADINGS and not places[tag]:  # any end tag of a heading closes the one that is open
+                tag = max(HEADINGS, key=lambda h: places[h][-1] if places[h] else 0)
             if places[tag]:
                 pop_to(places[tag][-1])
             elif tag == "p":
@@ -239,10 +262,14 @@ def blocks(page: str) -> list[Block]:
             elif tag == "hr":
                 flush()
             continue
+        if places["head"] and tag not in IN_HEAD:
+            pop_to(places["head"][-1])
         if tag not in INLINE:
             flush()
             if places["p"]:
                 pop_to(places["p"][-1])
+        if tag in HEADINGS and stack[-1].tag in HEADINGS:
+            pop_to(len(stack) - 1)
         if tag in CLOSES:
             while (k := nearest(CLOSES[tag][0])) > nearest(CLOSES[tag][1]):
                 pop_to(k)
@@ -250,8 +277,7 @@ def blocks(page: str) -> list[Block]:
             stack[places["a"][-1]].links = False
             links -= 1
         up = stack[-1]
-        named = " ".join(v for k, v in attributes if k in NAMING)
-        names = parts_of(named) if named else ()
+        names = names_of(attributes)
         mine = Open(tag, up.own, up.tags, up.below, up.names if up.names.issuperset(names) else up.names | names, tag in SKIPPED or hides(attributes), tag == "a")
         if tag not in INLINE:
             known = tag if tag in BLOCKS or tag in SKIPPED else "other"
@@ -413,6 +439,10 @@ class PageMaker:
     def text(self) -> str:
         d, m = self.draw, _MARK
         kind = d.random()
+        if kind < 0.03:  # a formula or a letter that screen readers are told in another way
+            return f'<p>{m}{self.words(1, 20, "")} <span aria-hidden="true">{self.words(1, 4, "")}</span> {self.words(1, 20)}</p>'
+        if kind < 0.05:
+            return d.choice((f'<p aria-hidden="true">{m}{self.words(1, 20)}</p>', f'<p><span aria-hidden="true">{m}{self.words(1, 1, "")}</span>{self.words(5, 40)}</p>'))
         if kind < 0.62:
             body = self.words(1, d.choice((4, 12, 60, 160)))
             if d.random() < 0.2:
@@ -464,6 +494,7 @@ class PageMaker:
             f'<div id="{d.choice(("secondary", "sidebar", "right-sidebar", "widget-area"))}"><h3>{d.choice(("Archives", "Categories", "Recent posts", "Tags"))}</h3><ul>{self.links()}</ul></div>',
             f'<div class="{d.choice(("archives", "categories", "recent-posts", "popularposts"))}"><h2>{self.words(1, 2, "")}</h2><ul>{self.links()}</ul></div>',
             f'<noscript>{self.words(3, 12)}</noscript>',
+            f'<div class="{d.choice(("menu", "modal", "popup", "navbar", "share", "banner"))}" aria-hidden="true"><p>{self.words(2, 12)}</p></div>',
             f'<aside><h3>{self.words(1, 3, "")}</h3><p>{self.words(3, 40)}</p></aside>', f"<aside><ul>{self.links()}</ul></aside>",
             f'<div class="{name}"><h3>{self.words(1, 3, "")}</h3><ul>{self.links()}</ul></div>', f'<div class="{name}"><p>{self.words(3, 30)}</p></div>',
             f'<form action="/s"><label>{self.words(1, 3, "")}</label><input name="q"><button>{self.words(1, 1, "")}</button></form>',
@@ -482,7 +513,7 @@ class PageMaker:
                f'<header><div class="logo">{self.words(1, 2, "")}</div><nav>{self.links("span")}</nav></header>', f'<ul class="menu">{self.links()}</ul>']
         before = d.sample(top, d.randint(0, 2)) + [self.junk() for _ in range(d.choice((0, 0, 1, 1, 2)))]
         body = [self.text() for _ in range(d.choice((1, 1, 2, 4, 8, 14)))]
-        for _ in range(d.choice((0, 0, 0, 1, 2))):
+        for _ in range(d.choice((0, 0, 1, 1, 2))):
             body.insert(d.randint(0, len(body)), self.junk())
         head = f"<h1>{_MARK}{title}</h1>"
         if d.random() < 0.1:
@@ -494,6 +525,7 @@ class PageMaker:
             f"<article>{main}</article>", f"<article>{main}</article>", f"<main><article>{main}</article></main>", f"<main>{main}</main>",
             f'<div class="{d.choice(("content", "post", "entry-content", "article-body", "main-content", "story", "post-content"))}">{main}</div>',
             f'<div id="{d.choice(("content", "main", "article"))}">{main}</div>', f'<article class="post"><div class="entry-content">{main}</div></article>', f"<section>{main}</section>",
+            f'<div role="main"><article class="{d.choice(("story", "post", "blog-entry"))}">{main}</article></div>',
         ))
         if d.random() < 0.06:  # a fragment, maybe cut off
             alone = f"<p>{_MARK}{self.words(4, 60, '')}"
@@ -502,8 +534,9 @@ class PageMaker:
         foot = [f"<footer>&copy; {self.words(1, 3, '')} &middot; {self.words(2, 9)}</footer>", f"<footer><p>{self.words(2, 30)}</p><ul>{self.links()}</ul></footer>",
                 f'<div class="{d.choice(("footer", "site-footer", "copyright"))}">{d.choice(("&copy; ", ""))}{self.words(2, 15)}</div>', f'<div id="footer"><p>{self.words(2, 15)}</p></div>', ""]
         wrap = d.choice((("", ""), ("", ""), ('<div class="container">', "</div>"), ('<div id="page"><div class="wrapper">', "</div></div>")))
+        start = d.choice(("</head><body>", "</head><body>", "</head><body>", "<body>", "</head>", ""))
         return (
-            f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style></head><body>{wrap[0]}"
+            f"<!DOCTYPE html><html><head><title>{title}</title><style>p{{margin:0}}</style>{start}{wrap[0]}"
             + "".join(before) + main + "".join(after) + d.choice(foot) + wrap[1] + d.choice(("</body></html>", "</body></html>", ""))
         )
 

@@ -4,6 +4,7 @@ import time
 
 import pytest
 
+from tests.llm.hand_pages import PAGES
 from terrane.llm import htmltext
 
 BLOG = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header>
@@ -60,3 +61,23 @@ def test_a_megabyte_of_broken_markup_takes_seconds(model, name):
     began = time.process_time()
     htmltext.main_text(BROKEN[name], model)
     assert time.process_time() - began < 8
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_written_by_hand(model, name):
+    page, text = PAGES[name]
+    assert htmltext.main_text(page, model)[0] == text
+
+
+def test_optional_tags_make_the_same_blocks():
+    """A page without any tag that HTML lets one leave out, against the same page with all of them."""
+    bare = PAGES["no optional tag at all"][0]
+    full = (
+        bare.replace("<title>", "<html><head><title>").replace("<nav>", "</head><body><nav>").replace("<li><a href=/a>About</a></ul>", "</li><li><a href=/a>About</a></li></ul>")
+        .replace("<p>They", "</p><p>They").replace("<ul><li>Some freeze<li>Some do not</ul>", "</p><ul><li>Some freeze</li><li>Some do not</li></ul>")
+        .replace("<colgroup><col><col>", "<colgroup><col><col></colgroup>").replace("<tr><th>Lake<th>Metres", "<tr><th>Lake</th><th>Metres</th></tr></thead>")
+        .replace("<tr><td>Baikal<td>1642<tr><td>Tanganyika<td>1470", "<tr><td>Baikal</td><td>1642</td></tr><tr><td>Tanganyika</td><td>1470</td></tr></tbody>")
+        .replace("<tr><td>Mean<td>1556", "<tr><td>Mean</td><td>1556</td></tr></tfoot>").replace("<dt>Loch", "</dd><dt>Loch").replace("<dd>", "</dt><dd>").replace("lakes.</main>", "lakes.</p></main>") + "</footer></body></html>"
+    )
+    shape = lambda page: [(b.text, b.own, b.tags - {"html", "body"}, b.names) for b in htmltext.blocks(page)]
+    assert shape(bare) == shape(full) and len(shape(bare)) == 22
