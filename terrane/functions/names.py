@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# What a path looks like that holds tests (two rules, which differ), folders that tell a role, multipliers of entry
-# points by where a file lies, and weights of roles.
+# What a path looks like that holds tests (two rules, which differ), folders that tell a role,
+# and weights of roles.
 DENSITY_TESTS = r"\.test\.|\.spec\.|/__tests__/|^test/|^tests/|_test\.|test_.*\."
 TEST_PARTS = (".test.", ".spec.")
 TEST_FOLDERS = (
@@ -18,7 +18,6 @@ EXAMPLES = ("/example/", "/examples/", "/demo/", "/demos/", "/sample/", "/sample
 TOOLS = ("/scripts/", "/script/", "/xtask/", "/hack/", "/tooling/", "/benchmarks/")
 PLUGINS = ("/default-plugins/", "/plugins/")
 MAIN_FILES = ("/main.py", "/main.go", "/main.rs", "/__main__.py")
-ENTRY_PATHS = (("/pages/api/", 3.0), ("/app/api/", 3.0), ("/controllers/", 2.5), ("/routes/", 2.5), ("/handlers/", 2.0), ("/cli/", 2.0), ("/views/", 1.5), ("/commands/", 1.5))
 ROLE_WEIGHTS = {"prod_core": 1.0, "prod_entrypoint": 0.95, "peripheral": 0.45, "example": 0.18, "dev_tool": 0.14, "generated": 0.08, "test": 0.05}
 ACTIONS = (
     "add auth authorize build check commit create delete dispatch execute fetch get handle init list load log persist post prepare process put "
@@ -86,20 +85,6 @@ def is_test_path(path: Column) -> Column:
     return _any(low, TEST_PARTS) | _any(between, TEST_FOLDERS) | _any(low, TEST_ENDINGS, "endswith")
 
 
-def framework_multiplier(path: Column) -> Column:
-    """The first rule that holds; 1 if none does."""
-    out = F.lit(1.0)
-    for part, factor in reversed(ENTRY_PATHS):
-        out = F.when(F.concat(F.lit("/"), path).contains(part), factor).otherwise(out)
-    return out
-
-
-def entry_score(name: Column, exported: Column, callers: Column, callees: Column, path: Column) -> Column:
-    """callees / (callers + 1), times 2 if exported, 1.5 for handler-like and .3 for accessor-like names, and the path's factor."""
-    named = F.when(name.rlike("^(handle|on[A-Z]|main$|run$|serve|execute|process)"), 1.5).when(name.rlike("^(get|set|is|has)([A-Z_]|$)"), 0.3).otherwise(1.0)
-    return callees / (callers + 1) * F.when(exported, 2.0).otherwise(1.0) * named * framework_multiplier(path)
-
-
 def scope_hint(module: Column, path: Column) -> Column:
     """The module, or module and folder where the path tells it."""
     parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")

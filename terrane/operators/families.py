@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from terrane.functions.names import ACTIONS, role_weight, split_words, struct_hash
+from terrane.functions.names import ACTIONS, role_weight, split_words
 from terrane.functions.scratch import materialize
 
 # Words of names by what they tell.
@@ -87,7 +87,7 @@ def family_heads(paths: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def path_instances(flows: DataFrame, functions: DataFrame, contracts: DataFrame) -> DataFrame:
-    """``id``, ``flow``, ``family``, ``functions``, ``modules``, ``contracts``, ``entry``, ``sink``, ``sink_role`` of every flow.
+    """``id``, ``flow``, ``family``, ``functions``, ``modules``, ``contracts``, ``entry``, ``entry_kind``, ``sink``, ``sink_role`` of every flow.
 
     ``flows``: ``flow``, ``step``, ``function``, ``module``; ``functions``: ``id``, ``name``, ``module``, ``role``, ``public``;
     ``contracts``: ``id``, ``consumer``, ``provider``. Flows whose known functions weigh less than ``LEAST_ROLE`` in the mean are left out.
@@ -108,21 +108,33 @@ def path_instances(flows: DataFrame, functions: DataFrame, contracts: DataFrame)
         F.col("flow"), names.alias("functions"), F.col("s.module").alias("modules"), some("contract").alias("contracts"),
         F.get(names, F.lit(0)).alias("entry"), F.element_at(names, -1).alias("sink"), some("public").alias("public"),
     )
-    return _told(paths, functions)
+    return _told(paths, functions, "flow_trigger")
 
 
-def _told(paths: DataFrame, functions: DataFrame) -> DataFrame:
+def path_id(source: Column, family: Column, functions: Column, modules: Column) -> Column:
+    """8 hex digits of a path's canonical JSON. They are a label; what counts paths uses :func:`path_key`."""
+    joined = F.struct(family.alias("familyKey"), F.array_join(functions, ">").alias("functions"), F.array_join(modules, ">").alias("modules"), source.cast("string").alias("source"))
+    return F.substring(F.sha2(F.to_json(joined), 256), 1, 8)
+
+
+def path_key() -> Column:
+    """128 bits of all that tells one path from another."""
+    return F.md5(F.to_json(F.struct("flow", "family", "functions", "modules")))
+
+
+def _told(paths: DataFrame, functions: DataFrame, entry_kind: str) -> DataFrame:
     """Paths (``flow``, ``functions``, ``modules``, ``contracts``, ``entry``, ``sink``, ``public``) with their family, sink's role and id."""
     # Many flows take the same way: what its words tell is worked out once for each.
-    paths = materialize(paths.withColumn("way", F.struct("functions", "modules", "public")), "flows")
-    ways = paths.select("way").distinct().select("way", sink_role(F.col("way.functions"), F.col("way.modules")).alias("sink_role"))
-    ways = materialize(ways, "ways")
-    ends = F.array(F.get("way.functions", F.lit(0)), F.element_at("way.functions", -1))
-    heads = family_heads(ways.select(F.col("way").alias("path"), F.array_distinct(F.concat(ends, "way.public")).alias("signals")), functions)
+    way = F.struct("functions", "modules", "public")
+    paths = materialize(paths.withColumn("way", F.md5(F.to_json(way))), "flows")
+    ways = paths.groupBy("way").agg(F.first(way).alias("w")).select("way", "w.*")
+    ways = materialize(ways.withColumn("sink_role", sink_role(F.col("functions"), F.col("modules"))), "ways")
+    ends = F.array(F.get("functions", F.lit(0)), F.element_at("functions", -1))
+    heads = family_heads(ways.select(F.col("way").alias("path"), F.array_distinct(F.concat(ends, "public")).alias("signals")), functions)
     named = ways.join(heads.withColumnRenamed("path", "way"), "way").select("way", "sink_role", F.concat_ws(":", "head", "sink_role").alias("family"))
     out = paths.join(named, "way")
-    out = out.withColumn("id", struct_hash("flow", "family", "functions", "modules"))
-    return out.select("id", "flow", "family", "functions", "modules", "contracts", "entry", "sink", "sink_role")
+    out = out.withColumn("id", path_id(F.col("flow"), F.col("family"), F.col("functions"), F.col("modules")))
+    return out.select("id", "flow", "family", "functions", "modules", "contracts", "entry", F.lit(entry_kind).alias("entry_kind"), "sink", "sink_role")
 
 
 def call_paths(functions: DataFrame, calls: DataFrame, entries: DataFrame, most: int = 6, fan: int = 3, least_role: float = 0.28) -> DataFrame:
@@ -154,12 +166,13 @@ def call_paths(functions: DataFrame, calls: DataFrame, entries: DataFrame, most:
     return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("flow"), "path", F.col("s.name").alias("functions"), F.col("s.module").alias("modules"))
 
 
-def call_path_instances(functions: DataFrame, calls: DataFrame, entries: DataFrame, contracts: DataFrame, covered: DataFrame) -> DataFrame:
-    """As :func:`path_instances`, of :func:`call_paths` whose entry no flow (``covered``: ``entry``) begins with.
+def call_path_instances(functions: DataFrame, calls: DataFrame, entries: DataFrame, contracts: DataFrame, covered: DataFrame, most: int = 6) -> DataFrame:
+    """As :func:`path_instances`, of :func:`call_paths` whose entry's name no flow (``covered``: ``entry``) begins with; ``flow`` is the entry's id.
 
-    ``contracts``: ``function`` (id), ``contract``: those that a function provides or consumes; a path has all of its functions'.
+    ``contracts``: ``function`` (id), ``contract``: those that a function provides or consumes; a path has all of its functions', sorted.
+    Paths of one entry through functions of the same names and modules are one path, with the contracts of all.
     """
-    paths = materialize(call_paths(functions, calls, entries), "call-paths")
+    paths = materialize(call_paths(functions, calls, entries, most), "call-paths")
     ids = paths.select("flow", F.explode("path").alias("function")).distinct()
     hops = ids.join(contracts, "function").groupBy("flow").agg(F.array_sort(F.collect_set("contract")).alias("contracts"))
     public = functions.where(F.col("public") & F.col("role").isin("prod_core", "prod_entrypoint")).select(F.col("id").alias("function"))
@@ -167,21 +180,28 @@ def call_path_instances(functions: DataFrame, calls: DataFrame, entries: DataFra
     shown = named.join(public, "function", "left_semi").groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("step", "name"))).alias("p"))
     none = F.array().cast("array<string>")
     out = paths.join(hops, "flow", "left").join(shown, "flow", "left").select(
-        "flow", "functions", "modules", F.coalesce("contracts", none).alias("contracts"), F.get("functions", F.lit(0)).alias("entry"),
-        F.element_at("functions", -1).alias("sink"), F.array_distinct(F.coalesce("p.name", none)).alias("public"),
+        F.get("path", F.lit(0)).alias("flow"), "functions", "modules", F.coalesce("contracts", none).alias("contracts"),
+        F.array_distinct(F.coalesce("p.name", none)).alias("public"), F.get("functions", F.lit(0)).alias("entry"),
     ).join(covered.select("entry").distinct(), "entry", "left_anti")
-    return _told(out, functions)
+    one = out.groupBy("flow", "functions", "modules").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("contracts")))).alias("contracts"), F.max("public").alias("public"),
+        F.first("entry").alias("entry"), F.element_at("functions", -1).alias("sink"),
+    )
+    return _told(one, functions, "canonical_entry")
 
 
 def concern_families(paths: DataFrame) -> DataFrame:
-    """``family``, ``name``, ``sink_role``, ``n_paths``, ``resources``, ``confidence`` = min(.95, .55 + .15 (n - 1)), ``status`` (confirmed from two)."""
+    """``family``, ``name``, ``sink_role``, ``entry_kinds``, ``n_paths``, ``resources``, ``confidence`` = min(.95, .55 + .15 (n - 1)), ``status`` (confirmed from two).
+
+    A family's member paths are the rows of ``paths`` that name it.
+    """
     words = paths.select("family", F.explode("functions").alias("f")).distinct().select("family", F.explode(split_words(F.col("f"))).alias("w"))
     nouns = words.where(~F.col("w").isin(*ACTIONS)).groupBy("family").agg(F.array_join(F.array_sort(F.collect_set("w")), ",").alias("resources"))
-    out = paths.groupBy("family").agg(F.count("*").alias("n_paths"), F.first("sink_role").alias("sink_role")).join(nouns, "family", "left")
+    out = paths.groupBy("family").agg(F.count("*").alias("n_paths"), F.first("sink_role").alias("sink_role"), F.array_join(F.array_sort(F.collect_set("entry_kind")), ",").alias("entry_kinds")).join(nouns, "family", "left")
     return out.select(
         "family",
         F.replace(F.replace(F.replace("family", F.lit(":"), F.lit(" ")), F.lit("-"), F.lit(" ")), F.lit("_"), F.lit(" ")).alias("name"),
-        "sink_role", "n_paths", F.coalesce("resources", F.lit("")).alias("resources"),
+        "sink_role", "entry_kinds", "n_paths", F.coalesce("resources", F.lit("")).alias("resources"),
         F.round(F.least(F.lit(0.95), 0.55 + 0.15 * (F.col("n_paths") - 1)), 4).alias("confidence"),
         F.when(F.col("n_paths") >= 2, "confirmed").otherwise("candidate").alias("status"),
     )
@@ -189,9 +209,9 @@ def concern_families(paths: DataFrame) -> DataFrame:
 
 def operation_units(paths: DataFrame) -> DataFrame:
     """``unit``, ``family``, ``module``, ``symbol``, ``kind``, ``n_paths``: every function of a path once, with the family of its first path."""
-    steps = paths.select("id", "family", F.explode(F.arrays_zip("functions", "modules")).alias("s"))
-    steps = steps.select("id", "family", F.col("s.functions").alias("symbol"), F.coalesce("s.modules", F.lit("unknown")).alias("module"))
-    out = steps.groupBy("module", "symbol").agg(F.min_by("family", F.struct("id", "family")).alias("family"), F.count_distinct("id").alias("n_paths"))
+    steps = paths.select("id", path_key().alias("key"), "family", F.explode(F.arrays_zip("functions", "modules")).alias("s"))
+    steps = steps.select("id", "key", "family", F.col("s.functions").alias("symbol"), F.coalesce("s.modules", F.lit("unknown")).alias("module"))
+    out = steps.groupBy("module", "symbol").agg(F.min_by("family", F.struct("id", "family")).alias("family"), F.count_distinct("key").alias("n_paths"))
     return out.select(F.concat_ws(":", "module", "symbol").alias("unit"), "family", "module", "symbol", operation_kind(F.col("symbol"), F.col("module")).alias("kind"), "n_paths")
 
 

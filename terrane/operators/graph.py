@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from terrane.functions.scratch import materialize
+from terrane.functions.entrypoints import entry_score
+from terrane.functions.scratch import drop, materialize, materialize_at
+from terrane.operators.resolution import ancestors
 
 
 def oriented(edges: DataFrame, direction: str = "downstream") -> DataFrame:
@@ -107,29 +108,27 @@ def page_rank(
     return state.select("id", "rank")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id``, ``level``: 0 without incoming edges, else one more than the highest predecessor's; members of cycles, and what follows them, share the last level + 1.
 
-    Raises an error if nodes are still ready after ``most`` levels, as they would get a wrong one.
+    However many levels there are, each is one small table of those that still wait, dropped when the next is written, and an
+    addition to the table of levels.
     """
+    spark = nodes.sparkSession
     steps = materialize(drop_dangling(nodes, edges.where("src <> dst")).select("src", "dst").distinct(), "topo")
     waits = steps.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("waits"))
-    # One table a level: those that still wait, and for how many predecessors.
-    state = materialize(nodes.select("id").distinct().join(waits, "id", "left").select("id", F.coalesce("waits", F.lit(0)).alias("waits")), "topo")
-    done, level = None, 0
-    while True:
-        ready = state.where("waits = 0").select("id")
-        if ready.isEmpty():
-            break
-        if level == most:
-            raise RuntimeError(f"nodes are still ready after {most} levels")
-        done = ready.withColumn("level", F.lit(level)) if done is None else done.union(ready.withColumn("level", F.lit(level)))
+    state, at = materialize_at(nodes.select("id").distinct().join(waits, "id", "left").select("id", F.coalesce("waits", F.lit(0)).alias("waits")), "topo")
+    kind = nodes.select("id", F.lit(0).alias("level")).schema
+    _, folder = materialize_at(spark.createDataFrame([], kind), "levels")
+    level = 0
+    while not (ready := state.where("waits = 0").select("id")).isEmpty():
+        ready.withColumn("level", F.lit(level)).write.mode("append").parquet(folder)
         met = steps.join(ready.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("met"))
-        later = state.where("waits > 0").join(met, "id", "left").select("id", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits"))
-        state = materialize(later, "topo")
+        later, there = materialize_at(state.where("waits > 0").join(met, "id", "left").select("id", (F.col("waits") - F.coalesce("met", F.lit(0))).alias("waits")), "topo")
+        drop(spark, at)
+        state, at = later, there
         level += 1
-    rest = state.select("id", F.lit(level).alias("level"))
-    return rest if done is None else done.union(rest)
+    return spark.read.schema(kind).parquet(folder).union(state.select("id", F.lit(level).alias("level")))
 
 
 def top_callees(edges: DataFrame, n: int) -> DataFrame:
@@ -206,62 +205,82 @@ def containment_tree(paths: DataFrame) -> DataFrame:
 
 
 def entry_points(nodes: DataFrame, edges: DataFrame, top: int = 200) -> DataFrame:
-    """The ``top`` nodes by callees / (callers + 1), doubled if exported; nodes without callees and test files are out.
+    """The ``top`` nodes by entry score: ``id``, ``callers``, ``callees``, ``score``; nodes without callees and test files are out.
 
-    ``nodes``: ``id``, ``exported`` (boolean), ``is_test`` (boolean).
+    ``nodes``: ``id``, ``exported`` (boolean), ``is_test`` (boolean) and, where known, ``name``, ``path``, ``language`` and ``framework`` (a factor of
+    its own marks), which multiply the ratio of callees to callers.
     """
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
     both = nodes.where("not is_test").join(out, "id").join(into, "id", "left").fillna(0, ["callers"])
-    score = F.col("callees") / (F.col("callers") + 1) * F.when(F.col("exported"), 2.0).otherwise(1.0)
+    known = lambda c: F.col(c) if c in nodes.columns else F.lit(None)
+    score = entry_score(known("name").cast("string"), F.col("exported"), F.col("callers"), F.col("callees"), known("path").cast("string"), known("language").cast("string"), known("framework").cast("double"))
     return both.select("id", "callers", "callees", score.alias("score")).orderBy(F.desc("score"), "id").limit(top)
 
 
-def _c3(parents: dict[str, list[str]], of: str, known: dict[str, list[str] | None], open_: frozenset[str]) -> list[str] | None:
-    if of in open_:
-        return None
-    if of not in known:
-        ups = parents.get(of, [])
-        lists = [_c3(parents, u, known, open_ | {of}) for u in ups]
-        if any(x is None for x in lists):
-            known[of] = None
+def c3_merge(own: str, lists: list[list[str]]) -> list[str] | None:
+    """A class before the merge of its bases' orders and the list of its bases; None if no order suits all of them.
+
+    A base is next if it stands in no list but at its head. Heads move, and tails are counted, so the time is that of the lists' lengths.
+    """
+    tails: dict[str, int] = {}
+    for x in lists:
+        for name in x[1:]:
+            tails[name] = tails.get(name, 0) + 1
+    heads, out = [0] * len(lists), [own]
+    while True:
+        open_ = [(x, h) for x, h in zip(lists, heads) if h < len(x)]
+        if not open_:
+            return out
+        good = next((x[h] for x, h in open_ if not tails.get(x[h])), None)
+        if good is None:
             return None
-        todo, order = [list(x) for x in [*lists, ups]], [of]
-        while any(todo):
-            todo = [x for x in todo if x]
-            head = next((x[0] for x in todo if not any(x[0] in y[1:] for y in todo)), None)
-            if head is None:
-                known[of] = None
-                return None
-            order.append(head)
-            todo = [x[1:] if x[0] == head else x for x in todo]
-        known[of] = order
-    return known[of]
+        out.append(good)
+        for k, x in enumerate(lists):
+            if heads[k] < len(x) and x[heads[k]] == good:
+                heads[k] += 1
+                if heads[k] < len(x):
+                    tails[x[heads[k]]] -= 1
 
 
 def method_resolution_order(inherits: DataFrame) -> DataFrame:
     """``class``, ``position``, ``ancestor``, ``strategy`` from ``hierarchy``, ``class``, ``parent``, ``seq`` (order of bases).
 
-    C3 linearisation by hierarchy; where bases are cyclic or inconsistent, ancestors in breadth-first order instead.
-    A hierarchy is one group; unrelated classes belong in hierarchies of their own.
+    C3 linearisation, level by level: a class is worked out, in a row of its own, once all its bases are. Classes on a cycle, or whose
+    bases' orders cannot be reconciled, and all below them have their ancestors in breadth-first order instead (``bfs``). Names count
+    within their hierarchy; repeated rows count once. No hierarchy is gathered in one place, and its depth is not bounded.
     """
-
-    def linearise(rows: pd.DataFrame) -> pd.DataFrame:
-        parents: dict[str, list[str]] = {}
-        for r in rows.sort_values(["class", "seq", "parent"]).itertuples():
-            parents.setdefault(r[2], []).append(r.parent)
-        out, known = [], {}
-        for c in sorted(set(parents) | {p for ps in parents.values() for p in ps}):
-            order, how = _c3(parents, c, known, frozenset()), "c3"
-            if order is None:
-                order, how, todo = [c], "bfs", list(parents.get(c, []))
-                while todo:
-                    x = todo.pop(0)
-                    if x not in order:
-                        order.append(x)
-                        todo += parents.get(x, [])
-            out += [(c, k, a, how) for k, a in enumerate(order)]
-        return pd.DataFrame(out, columns=["class", "position", "ancestor", "strategy"])
-
-    rows = inherits.select("hierarchy", "class", "parent", "seq")
-    return rows.groupBy("hierarchy").applyInPandas(linearise, "class string, position long, ancestor string, strategy string")
+    spark = inherits.sparkSession
+    rows = inherits.select("hierarchy", "class", "parent", "seq").distinct()
+    up = rows.groupBy("hierarchy", "class", "parent").agg(F.min("seq").alias("seq"))
+    up = materialize(up.withColumn("n_bases", F.count("*").over(Window.partitionBy("hierarchy", "class"))), "bases")
+    bases = up.select("hierarchy", F.col("parent").alias("class")).join(up.select("hierarchy", "class").distinct(), ["hierarchy", "class"], "left_anti").distinct()
+    merge = F.udf(lambda own, found: c3_merge(own, [list(x) for x in found]), "array<string>")
+    done, folder = materialize_at(bases.select("hierarchy", "class", F.array("class").alias("order")), "c3")
+    kind = done.schema
+    fresh, at = materialize_at(done, "c3-level")
+    while not fresh.isEmpty():
+        # Classes below this level whose bases are all known by now.
+        near = up.join(fresh.select("hierarchy", F.col("class").alias("parent")), ["hierarchy", "parent"], "left_semi").select("hierarchy", "class").distinct()
+        known = spark.read.schema(kind).parquet(folder).select("hierarchy", F.col("class").alias("parent"), "order")
+        met = up.join(near, ["hierarchy", "class"], "left_semi").join(known, ["hierarchy", "parent"])
+        one = F.array_sort(F.collect_list(F.struct("seq", "parent", "order"))).alias("b")
+        ready = met.groupBy("hierarchy", "class").agg(one, F.max("n_bases").alias("n")).where(F.size("b") == F.col("n"))
+        merged = ready.select("hierarchy", "class", merge("class", F.concat(F.col("b.order"), F.array(F.col("b.parent")))).alias("order"))
+        later, there = materialize_at(merged.where("order IS NOT NULL"), "c3-level")
+        later.write.mode("append").parquet(folder)
+        drop(spark, at)
+        fresh, at = later, there
+    done = spark.read.schema(kind).parquet(folder)
+    good = done.select("hierarchy", "class", F.posexplode("order").alias("position", "ancestor"), F.lit("c3").alias("strategy"))
+    key = F.struct("hierarchy", F.col("class").alias("name"))
+    rest = up.join(done, ["hierarchy", "class"], "left_anti").select("hierarchy", "class").distinct()
+    if rest.isEmpty():
+        return good.select("class", F.col("position").cast("long").alias("position"), "ancestor", "strategy")
+    whole = up.select(key.alias("class"), F.struct("hierarchy", F.col("parent").alias("name")).alias("parent"), "seq", F.lit("EXTENDS").alias("kind"))
+    order = ancestors(whole).where(F.col("class") != F.col("ancestor")).join(rest.select(key.alias("class")), "class", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("class").orderBy("position"))
+    below = order.select(F.col("class.hierarchy").alias("hierarchy"), F.col("class.name").alias("class"), nth.alias("position"), F.col("ancestor.name").alias("ancestor"))
+    broken = rest.select("hierarchy", "class", F.lit(0).alias("position"), F.col("class").alias("ancestor")).union(below)
+    both = good.union(broken.withColumn("strategy", F.lit("bfs")))
+    return both.select("class", F.col("position").cast("long").alias("position"), "ancestor", "strategy")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from terrane.functions.names import sanitize, split_words
-from terrane.operators.graph import longest_per_ends, simple_paths
+from terrane.functions.scratch import materialize
+from terrane.operators.architecture import drop_contained
+from terrane.operators.graph import longest_per_ends, top_callees
 
 # Words that say nothing of a module.
 NOISE = (
@@ -23,10 +25,47 @@ def traces(edges: DataFrame, entries: DataFrame, depth: int = 10, fan: int = 4,
     """``start``, ``finish``, ``path`` of each entry's first ``3 * fan`` traces, the shorter first, then by the order of callees.
 
     A trace ends at a leaf, where all callees are on it already, or at ``depth`` nodes; each node goes to its first ``fan`` callees.
+    Level by level: shorter traces come first, so an entry that has its number is closed and its open ways are dropped.
     """
-    every = simple_paths(edges, entries, hops=depth - 1, fan=fan, least=least)
-    place = F.row_number().over(Window.partitionBy("start").orderBy(F.size("path"), "path"))
-    return every.withColumn("nth", place).where(F.col("nth") <= 3 * fan).drop("nth")
+    most = 3 * fan
+    steps = materialize(top_callees(edges, fan).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("callees")), "callees")
+    open_ = entries.select(F.col("id").alias("start"), F.array("id").alias("path"), F.col("id").alias("tip")).distinct()
+    done, first = None, Window.partitionBy("start").orderBy(F.size("path"), "path")
+    for n in range(1, depth + 1):
+        if n < depth:
+            tried = open_.join(steps, F.col("tip") == F.col("src"), "left")
+            onward = F.filter("callees", lambda x: ~F.array_contains("path", x))
+            tried = materialize(tried.select("start", "path", F.coalesce(onward, F.array()).alias("next")), "traced")
+            ended = tried.where(F.size("next") == 0).select("start", "path")
+        else:
+            ended = open_.select("start", "path")
+        if n >= least:
+            done = ended if done is None else done.union(ended)
+            done = materialize(done.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most).select("start", "path"), "traces")
+        if n < depth:
+            open_ = tried.select("start", F.explode("next").alias("tip"), "path").select("start", F.concat("path", F.array("tip")).alias("path"), "tip")
+            if done is not None:
+                full = done.groupBy("start").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+                open_ = open_.join(full, "start", "left_anti")
+    return done.select("start", F.element_at("path", -1).alias("finish"), "path")
+
+
+def first_traces(found: DataFrame, entries: DataFrame, most: int) -> DataFrame:
+    """The traces of the best entries (``id``, ``score``), one entry after the other, until there are twice ``most``; the entry that reaches it is whole.
+
+    ``entries`` are a report of at most some hundred rows, so their running total is one small window.
+    """
+    each = entries.select(F.col("id").alias("start"), "score").join(found.groupBy("start").agg(F.count("*").alias("n")), "start")
+    order = Window.orderBy(F.desc("score"), "start").rowsBetween(Window.unboundedPreceding, -1)
+    taken = each.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).where(F.col("before") < 2 * most)
+    return found.join(taken.select("start"), "start", "left_semi")
+
+
+def whole_traces(found: DataFrame) -> DataFrame:
+    """Traces that lie within no longer one, as :func:`architecture.drop_contained` compares them."""
+    named = found.select("start", "finish", "path", F.transform("path", lambda x: x.cast("string")).alias("named"))
+    kept = drop_contained(named.select(F.array_join("named", "->").alias("trace"), F.col("named").alias("path"))).select("trace")
+    return named.join(kept, F.array_join("named", "->") == F.col("trace"), "left_semi").select("start", "finish", "path").distinct()
 
 
 def most_processes(n_symbols: int) -> int:

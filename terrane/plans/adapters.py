@@ -22,6 +22,8 @@ SQL = {
       UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'CALLS', 0.5 FROM orders)""",
     "seq": """seq AS (SELECT DISTINCT l_partkey AS src, nxt AS dst FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt
       FROM lineitem) WHERE nxt IS NOT NULL AND nxt <> l_partkey)""",
+    "calls": """calls AS (SELECT l_partkey AS src, nxt AS dst, max(q) / 98.0::DOUBLE AS confidence FROM (SELECT l_partkey, l_quantity AS q, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS nxt
+      FROM lineitem) WHERE nxt IS NOT NULL AND nxt <> l_partkey GROUP BY 1, 2)""",
     "snap": """months AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS tag FROM orders),
       counted AS (SELECT n_name AS id, strftime(o_orderdate, '%Y-%m') AS tag, count(*) FILTER (o_orderpriority = '1-URGENT')::VARCHAR AS hash
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
@@ -90,6 +92,13 @@ def seq(spark: SparkSession, sf: str) -> DataFrame:
     return lines.where("dst is not null and src <> dst").distinct()
 
 
+def calls(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges of :func:`seq` as calls: ``src``, ``dst``, ``type``, ``confidence``, the surer the larger the greatest quantity."""
+    nxt = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), nxt.alias("dst"), F.col("l_quantity").alias("q")).where("dst is not null and src <> dst")
+    return lines.groupBy("src", "dst").agg(F.lit("CALLS").alias("type"), (F.max("q") / 98.0).alias("confidence"))
+
+
 def snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """Nations by month, densified: ``tag``, ``id``, ``hash`` (null where a nation has no order)."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("tag"))

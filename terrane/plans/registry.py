@@ -617,7 +617,7 @@ _FLOWS = """o AS (SELECT o_orderkey AS flow, CASE o_orderstatus WHEN 'F' THEN 'c
     sc AS (SELECT flow, root, count(*) AS here, any_value(everywhere) AS everywhere, root IN (SELECT w FROM act) AS specific FROM sg JOIN rt USING (name) JOIN g USING (root) WHERE len(root) >= 3 GROUP BY 1, 2),
     hd AS (SELECT flow, root AS head FROM sc QUALIFY row_number() OVER (PARTITION BY flow ORDER BY specific DESC, round(here / everywhere + CASE WHEN specific THEN 0.4 ELSE 0 END, 9) DESC, here DESC, len(root) DESC, root) = 1),
     pi0 AS (SELECT sk.*, coalesce(head, 'create') || ':' || sink_role AS family FROM sk LEFT JOIN hd USING (flow)),
-    pi AS (SELECT *, left(sha256('{"family":"' || family || '","flow":' || flow || ',"functions":["' || array_to_string(functions, '","') || '"],"modules":["' || array_to_string(modules, '","') || '"]}'), 8) AS id FROM pi0)"""
+    pi AS (SELECT *, left(sha256('{"familyKey":"' || family || '","functions":"' || array_to_string(functions, '>') || '","modules":"' || array_to_string(modules, '>') || '","source":"' || flow || '"}'), 8) AS id, 'flow_trigger' AS entry_kind FROM pi0)"""
 
 
 def _flows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -642,7 +642,7 @@ def _flows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     return flows, functions, materialize(families.path_instances(flows, functions, contracts), "paths")
 
 
-@query(f"WITH {_FLOWS} SELECT id, flow, family, functions, modules, contracts, entry, sink, sink_role FROM pi")
+@query(f"WITH {_FLOWS} SELECT id, flow, family, functions, modules, contracts, entry, entry_kind, sink, sink_role FROM pi")
 def path_instances(spark: SparkSession, sf: str) -> DataFrame:
     return _flows(spark, sf)[2]
 
@@ -650,7 +650,7 @@ def path_instances(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {_FLOWS}, r AS (SELECT family, string_agg(DISTINCT word, ',' ORDER BY word) AS resources FROM (SELECT DISTINCT family, unnest(functions) AS name FROM pi) JOIN rt USING (name)
       WHERE word NOT IN (SELECT w FROM act) AND word NOT IN ('add', 'check', 'execute', 'handle', 'init', 'list', 'load', 'process', 'run') GROUP BY 1)
-    SELECT family, replace(replace(family, ':', ' '), '_', ' ') AS name, any_value(sink_role) AS sink_role, count(*) AS n_paths, any_value(resources) AS resources,
+    SELECT family, replace(replace(family, ':', ' '), '_', ' ') AS name, any_value(sink_role) AS sink_role, any_value(entry_kind) AS entry_kinds, count(*) AS n_paths, any_value(resources) AS resources,
     round(least(0.95, 0.55 + 0.15 * (count(*) - 1)), 4)::DOUBLE AS confidence, CASE WHEN count(*) >= 2 THEN 'confirmed' ELSE 'candidate' END AS status FROM pi JOIN r USING (family) GROUP BY 1"""
 )
 def concern_families(spark: SparkSession, sf: str) -> DataFrame:
@@ -658,9 +658,9 @@ def concern_families(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_FLOWS}, s AS (SELECT id, family, unnest(functions) AS symbol, unnest(modules) AS module FROM pi)
+    f"""WITH {_FLOWS}, s AS (SELECT id, flow, family, unnest(functions) AS symbol, unnest(modules) AS module FROM pi)
     SELECT module || ':' || symbol AS unit, arg_min(family, id || family) AS family, module, symbol,
-    CASE WHEN symbol LIKE 'check%' THEN 'validator' WHEN regexp_matches(symbol, '^(save|store|read)') THEN 'repository' ELSE 'unknown' END AS kind, count(DISTINCT id) AS n_paths FROM s GROUP BY 3, 4"""
+    CASE WHEN symbol LIKE 'check%' THEN 'validator' WHEN regexp_matches(symbol, '^(save|store|read)') THEN 'repository' ELSE 'unknown' END AS kind, count(DISTINCT flow) AS n_paths FROM s GROUP BY 3, 4"""
 )
 def operation_units(spark: SparkSession, sf: str) -> DataFrame:
     return families.operation_units(_flows(spark, sf)[2])
@@ -785,9 +785,9 @@ def dirty_set(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH calls AS (SELECT o_orderkey AS call, o_orderpriority AS name, CASE WHEN o_orderstatus = 'F' THEN 'constructor' ELSE 'free' END AS form, o_custkey % 4 AS n_args FROM orders),
-    cand AS (SELECT DISTINCT o_orderpriority AS name, p_brand AS symbol, CASE WHEN p_size < 10 THEN 'Constructor' WHEN p_size < 20 THEN 'Class' ELSE 'Function' END AS label, p_size % 4 AS n_params, p_size % 2 AS n_required
-      FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 AND l_discount > 0.09 AND p_size < 30),
+    """WITH calls AS (SELECT o_orderkey AS call, o_custkey AS name, CASE WHEN o_orderstatus = 'F' THEN 'constructor' ELSE 'free' END AS form, o_orderkey % 4 AS n_args FROM orders),
+    cand AS (SELECT DISTINCT o_custkey AS name, p_brand AS symbol, CASE WHEN p_size < 10 THEN 'Constructor' WHEN p_size < 20 THEN 'Class' ELSE 'Function' END AS label, p_size % 4 AS n_params, p_size % 2 AS n_required
+      FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey),
     r AS (SELECT *, CASE WHEN form = 'constructor' AND label = 'Constructor' THEN 1 WHEN form = 'constructor' AND label = 'Class' THEN 2 WHEN label IN ('Function', 'Constructor') THEN 3 END AS rank FROM calls JOIN cand USING (name)),
     b AS (SELECT * FROM r WHERE rank IS NOT NULL QUALIFY rank = min(rank) OVER (PARTITION BY call)),
     f AS (SELECT * FROM b WHERE n_args BETWEEN n_required AND n_params) SELECT call, symbol FROM f QUALIFY count(*) OVER (PARTITION BY call) = 1"""
@@ -795,11 +795,11 @@ def dirty_set(spark: SparkSession, sf: str) -> DataFrame:
 def overload_resolution(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
     form = F.when(F.col("o_orderstatus") == "F", "constructor").otherwise("free")
-    calls = orders.select(F.col("o_orderkey").alias("call"), F.col("o_orderpriority").alias("name"), form.alias("form"), (F.col("o_custkey") % 4).alias("n_args"))
-    lines = table(spark, sf, "lineitem").where("l_quantity > 49 and l_discount > 0.09").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    lines = lines.join(table(spark, sf, "part").where("p_size < 30"), F.col("l_partkey") == F.col("p_partkey"))
+    calls = orders.select(F.col("o_orderkey").alias("call"), F.col("o_custkey").alias("name"), form.alias("form"), (F.col("o_orderkey") % 4).alias("n_args"))
+    lines = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     label = F.when(F.col("p_size") < 10, "Constructor").when(F.col("p_size") < 20, "Class").otherwise("Function")
-    candidates = lines.select(F.col("o_orderpriority").alias("name"), F.col("p_brand").alias("symbol"), label.alias("label"), (F.col("p_size") % 4).alias("n_params"), (F.col("p_size") % 2).alias("n_required"))
+    candidates = lines.select(F.col("o_custkey").alias("name"), F.col("p_brand").alias("symbol"), label.alias("label"), (F.col("p_size") % 4).alias("n_params"), (F.col("p_size") % 2).alias("n_required"))
     return resolution.overloads(calls, candidates.distinct())
 
 
@@ -998,22 +998,49 @@ def task_phases(spark: SparkSession, sf: str) -> DataFrame:
 
 # Processes, labels, rules, changes and extraction -----------------------------------------------------------------------
 
-_TRACES = _PATHS + """, cut AS (SELECT path FROM done QUALIFY row_number() OVER (PARTITION BY path[1] ORDER BY len(path), path) <= 9),
-    ends AS (SELECT path FROM cut QUALIFY row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY len(path) DESC, path) = 1),
-    top AS (SELECT path, row_number() OVER (ORDER BY len(path) DESC, path) - 1 AS idx FROM ends QUALIFY idx < greatest(20, least(300, (SELECT floor(count(*) / 10 + 0.5) FROM part))))"""
+_TRACES = (
+    with_("calls", recursive=True)
+    + """, c AS (SELECT src, dst FROM calls WHERE confidence >= 0.5), fn AS (SELECT p_partkey AS id, p_brand AS community, ['handle', 'get', 'load', 'on'][p_size % 4 + 1] || replace(p_brand, '#', '') AS name,
+      [1.5, 0.3, 1, 1.5][p_size % 4 + 1]::DOUBLE * [2.5, 3, 1][p_size % 3 + 1]::DOUBLE * CASE WHEN p_retailprice > 1000 THEN 2 ELSE 1 END AS factor, p_type LIKE 'PROMO%' AS is_test FROM part),
+    outs AS (SELECT src AS id, count(*) AS callees FROM c GROUP BY 1), ins AS (SELECT dst AS id, count(*) AS callers FROM c GROUP BY 1),
+    en AS (SELECT id, callees / (coalesce(callers, 0) + 1) * factor AS score FROM fn JOIN outs USING (id) LEFT JOIN ins USING (id) WHERE NOT is_test ORDER BY score DESC, id LIMIT 200),
+    step AS (SELECT src, dst FROM c QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 4),
+    walk AS (SELECT [id] AS path, id AS tip FROM en UNION ALL SELECT list_append(path, dst), dst FROM walk JOIN step ON tip = src WHERE len(path) < 10 AND NOT list_contains(path, dst)),
+    done AS (SELECT path FROM walk WHERE len(path) = 10 OR (len(path) >= 3 AND NOT EXISTS (SELECT 1 FROM step WHERE src = tip AND NOT list_contains(path, dst)))),
+    cut AS (SELECT path FROM done QUALIFY row_number() OVER (PARTITION BY path[1] ORDER BY len(path), path) <= 12), most AS (SELECT greatest(20, least(300, floor(count(*) / 10 + 0.5))) AS n FROM part),
+    each AS (SELECT id, score, count(*) AS n FROM en JOIN cut ON path[1] = id GROUP BY 1, 2),
+    lead_ AS (SELECT id FROM (SELECT id, coalesce(sum(n) OVER (ORDER BY score DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM each) WHERE before < 2 * (SELECT n FROM most)),
+    first_ AS (SELECT path, list_transform(path, lambda x: x::VARCHAR) AS p FROM cut WHERE path[1] IN (SELECT id FROM lead_)),
+    parts AS (SELECT DISTINCT list_slice(p, i, j - 1) AS stem, p[j] AS whole, p AS "outer" FROM first_, range(1, 11) a(i), range(1, 11) b(j) WHERE i <= j AND j <= len(p)),
+    gone AS (SELECT DISTINCT f.p FROM first_ f JOIN parts ON stem = list_slice(f.p, 1, len(f.p) - 1) AND "outer" <> f.p AND starts_with(whole, f.p[len(f.p)])),
+    ends AS (SELECT path FROM first_ WHERE p NOT IN (SELECT p FROM gone) QUALIFY row_number() OVER (PARTITION BY path[1], path[-1] ORDER BY len(path) DESC, path) = 1),
+    top AS (SELECT path, row_number() OVER (ORDER BY len(path) DESC, path) - 1 AS idx FROM ends QUALIFY idx < (SELECT n FROM most))"""
+)
 _PROCESSES = (
     _TRACES
-    + """, cm AS (SELECT idx, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS communities, count(DISTINCT p_brand) AS n FROM (SELECT idx, unnest(path) AS id FROM top) JOIN part ON p_partkey = id GROUP BY 1),
-    pr AS (SELECT 'proc_' || idx || '_' || lower(left(regexp_replace(a.p_name, '[^A-Za-z0-9]+', '_', 'g'), 20)) AS process, upper(left(a.p_name, 1)) || substr(a.p_name, 2) || ' → ' || upper(left(b.p_name, 1)) || substr(b.p_name, 2) AS label,
+    + """, cm AS (SELECT idx, string_agg(DISTINCT community, ',' ORDER BY community) AS communities, count(DISTINCT community) AS n FROM (SELECT idx, unnest(path) AS id FROM top) JOIN fn USING (id) GROUP BY 1),
+    pr AS (SELECT 'proc_' || idx || '_' || lower(left(a.name, 20)) AS process, upper(left(a.name, 1)) || substr(a.name, 2) || ' → ' || upper(left(b.name, 1)) || substr(b.name, 2) AS label,
       CASE WHEN n > 1 THEN 'cross_community' ELSE 'intra_community' END AS kind, len(path)::INT AS step_count, communities, path[1] AS entry, path[-1] AS terminal, path AS trace
-      FROM top JOIN cm USING (idx) JOIN part a ON a.p_partkey = path[1] JOIN part b ON b.p_partkey = path[-1])"""
+      FROM top JOIN cm USING (idx) JOIN fn a ON a.id = path[1] JOIN fn b ON b.id = path[-1])"""
 )
 
 
+def _functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as functions: ``id``, ``name``, ``community``, ``path``, ``exported``, ``is_test``."""
+    pick = lambda items: F.element_at(F.array(*map(F.lit, items)), (F.col("p_size") % len(items) + 1).cast("int"))
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("id"), F.concat(pick(("handle", "get", "load", "on")), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("name"), F.col("p_brand").alias("community"),
+        pick(("src/routes/x.ts", "src/main.go", "lib/a.rb")).alias("path"), (F.col("p_retailprice") > 1000).alias("exported"), F.col("p_type").startswith("PROMO").alias("is_test"),
+    )
+
+
 def _processes(spark: SparkSession, sf: str) -> DataFrame:
-    parts = materialize(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("community")), "parts")
-    found = flows_.traces(A.seq(spark, sf), parts.select("id"), depth=4, fan=3, least=3)
-    return flows_.processes(found, parts.select("id", "name"), parts.select("id", "community"), flows_.most_processes(parts.count()))
+    functions = materialize(_functions(spark, sf), "functions")
+    calls = materialize(flows_.calls(A.calls(spark, sf)), "calls")
+    entries = materialize(graph.entry_points(functions, calls), "entries")
+    most = flows_.most_processes(functions.count())
+    found = flows_.whole_traces(flows_.first_traces(flows_.traces(calls, entries), entries, most))
+    return flows_.processes(found, functions.select("id", "name"), functions.select("id", "community"), most)
 
 
 @query(_PROCESSES + " SELECT * FROM pr")
@@ -1192,8 +1219,8 @@ def method_overrides(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""{with_("seq", recursive=True)}, fn AS (SELECT p_partkey AS id, p_name AS name, p_brand AS module, ['prod_core', 'test', 'peripheral', 'example'][p_size % 4 + 1] AS role, [1, 0.05, 0.45, 0.18][p_size % 4 + 1]::DOUBLE AS weight FROM part),
     step AS (SELECT src, dst FROM (SELECT DISTINCT src, dst FROM seq WHERE src IN (SELECT id FROM fn) AND dst IN (SELECT id FROM fn)) QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 3),
-    walk AS (SELECT [id] AS path, id AS tip, FALSE AS again FROM fn WHERE id % 5 = 0 UNION ALL SELECT list_append(path, dst), dst, list_contains(path, dst) FROM walk JOIN step ON tip = src WHERE len(path) < 4 AND NOT again),
-    done AS (SELECT path FROM walk WHERE again OR len(path) = 4 OR NOT EXISTS (SELECT 1 FROM step WHERE src = tip)),
+    walk AS (SELECT [id] AS path, id AS tip, FALSE AS again FROM fn UNION ALL SELECT list_append(path, dst), dst, list_contains(path, dst) FROM walk JOIN step ON tip = src WHERE len(path) < 6 AND NOT again),
+    done AS (SELECT path FROM walk WHERE again OR len(path) = 6 OR NOT EXISTS (SELECT 1 FROM step WHERE src = tip)),
     ats AS (SELECT path, unnest(path) AS id, unnest(range(len(path))) AS nth FROM done WHERE len(path) >= 2),
     p AS (SELECT path, list(name ORDER BY nth) AS functions, list(module ORDER BY nth) AS modules, avg(weight) AS w, count(DISTINCT module) AS n FROM ats JOIN fn USING (id) GROUP BY 1)
     SELECT array_to_string(path, '>') AS flow, path, functions, modules FROM p WHERE n >= 2 AND w >= 0.28"""
@@ -1202,7 +1229,7 @@ def call_paths(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_size") % 4
     role = F.when(k == 0, "prod_core").when(k == 1, "test").when(k == 2, "peripheral").otherwise("example")
     functions = materialize(table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("module"), role.alias("role")), "functions")
-    return families.call_paths(functions, A.seq(spark, sf), functions.where("id % 5 = 0").select("id"), most=4)
+    return families.call_paths(functions, A.seq(spark, sf), functions.select("id"))
 
 
 # Index, descriptions and names ----------------------------------------------------------------------------------------
