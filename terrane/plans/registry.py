@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -30,11 +31,19 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
     return put
 
 
+def _all() -> None:
+    """Modules of further queries register theirs when they are imported; they use :func:`query` of this one."""
+    for name in ("structure",):
+        importlib.import_module(f"terrane.plans.{name}")
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)
 
 
