@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from terrane.operators import communities as C
+from terrane.operators import communities as C, modules as M
 from terrane.plans import adapters as A
 from terrane.plans.adapters import with_
 from terrane.plans.registry import query
@@ -91,3 +91,62 @@ def community_modularity(spark: SparkSession, sf: str) -> DataFrame:
 def community_nodes(spark: SparkSession, sf: str) -> DataFrame:
     found, links, _ = _communities(spark, sf)
     return C.community_nodes(found, links).withColumn("cohesion", F.round("cohesion", 9))
+
+
+#: Parts as functions of files in four folders, three quarters of them in communities; the words of a name are its camel humps.
+_FILES = f"""{with_("calls")}, nd AS (SELECT p_partkey AS id, string_split(p_name, ' ') AS w, p_retailprice > 950 AS exported, p_size, CASE WHEN p_partkey % 4 > 0 THEN p_name || p_size % 2 END AS community,
+      ['api', 'cli', 'db', 'web'][p_size % 4 + 1] AS dir, CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN 'core/' ELSE p_type || '/' END AS sub FROM part),
+    nn AS (SELECT *, w[1] || upper(left(w[2], 1)) || substr(w[2], 2) AS name, dir || '/' || sub || CASE WHEN p_size % 10 = 0 THEN 'misc' ELSE w[2] END || '_' || id % 1000 // 2 || CASE WHEN id % 11 = 0 THEN '_test.go' ELSE '.go' END AS path FROM nd)"""
+_FILE_MODULES = (
+    _FILES
+    + """, fi AS (SELECT DISTINCT path, dir FROM nn), bg AS (SELECT dir FROM fi GROUP BY 1 HAVING count(*) > 50), sp AS MATERIALIZED (SELECT * FROM nn WHERE dir IN (SELECT dir FROM bg)),
+    wd AS (SELECT id, dir, path, community, unnest(w) AS word FROM sp), gw AS (SELECT * FROM wd WHERE word NOT IN ('new')),
+    cl AS (SELECT dir, community, word AS label FROM gw WHERE community IS NOT NULL GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY dir, community ORDER BY count(*) DESC, length(word) DESC, word) = 1),
+    vo AS (SELECT sp.dir, path, label, count(*) AS n FROM sp JOIN cl ON cl.dir = sp.dir AND cl.community = sp.community GROUP BY 1, 2, 3),
+    bm AS MATERIALIZED (SELECT dir, path, label FROM vo QUALIFY row_number() OVER (PARTITION BY dir, path ORDER BY n DESC, label) = 1),
+    sf AS (SELECT dir, path, string_split(string_split(path, '/')[-1], '_')[1] AS stem FROM fi), st AS (SELECT bm.dir, stem, label, count(*) AS n FROM bm JOIN sf ON sf.path = bm.path GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY bm.dir, stem ORDER BY count(*) DESC, label) = 1),
+    rs AS (SELECT DISTINCT dir, path FROM sp WHERE path NOT IN (SELECT path FROM bm)), bs AS (SELECT rs.dir, rs.path, label FROM rs JOIN sf ON sf.path = rs.path LEFT JOIN st ON st.dir = rs.dir AND st.stem = sf.stem),
+    ow AS (SELECT dir, path, word AS label FROM gw WHERE path IN (SELECT path FROM bs WHERE label IS NULL) GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY dir, path ORDER BY count(*) DESC, length(word) DESC, word) = 1),
+    lb AS MATERIALIZED (SELECT * FROM bm UNION ALL SELECT * FROM bs WHERE label IS NOT NULL UNION ALL SELECT * FROM ow), sz AS (SELECT dir, label, count(*) AS n FROM lb GROUP BY 1, 2),
+    wh AS (SELECT id, sp.dir, label FROM sp JOIN lb ON lb.path = sp.path), me AS (SELECT x.dir, x.label AS f, y.label AS t, count(*) AS n FROM calls JOIN wh x ON x.id = src JOIN wh y ON y.id = dst WHERE x.dir = y.dir AND x.label <> y.label GROUP BY 1, 2, 3),
+    bo AS (SELECT dir, f AS small, t AS label, n FROM me UNION ALL SELECT dir, t, f, n FROM me),
+    ne AS (SELECT bo.dir, small, bo.label, sum(bo.n) AS n FROM bo JOIN sz s ON s.dir = bo.dir AND s.label = small AND s.n < 5 JOIN sz l ON l.dir = bo.dir AND l.label = bo.label AND l.n >= 5 GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY bo.dir, small ORDER BY sum(bo.n) DESC, bo.label) = 1),
+    wi AS (SELECT dir, label AS widest FROM sz WHERE n >= 5 QUALIFY row_number() OVER (PARTITION BY dir ORDER BY n DESC, label) = 1),
+    it AS (SELECT sz.dir, sz.label, coalesce(ne.label, widest) AS goes FROM sz JOIN wi ON wi.dir = sz.dir LEFT JOIN ne ON ne.dir = sz.dir AND ne.small = sz.label WHERE sz.n < 5),
+    mg AS (SELECT lb.dir, path, coalesce(goes, lb.label) AS label, CASE WHEN len(string_split(path, '/')) >= 3 THEN string_split(path, '/')[2] END AS folder FROM lb LEFT JOIN it ON it.dir = lb.dir AND it.label = lb.label),
+    wd2 AS (SELECT dir, label FROM mg GROUP BY 1, 2 HAVING count(*) > 100 AND count(DISTINCT coalesce(folder, '_flat')) >= 2),
+    fm AS MATERIALIZED (SELECT path, mg.dir || '/' || CASE WHEN wd2.label IS NOT NULL THEN coalesce(folder, mg.label) ELSE mg.label END AS module FROM mg LEFT JOIN wd2 ON wd2.dir = mg.dir AND wd2.label = mg.label
+      UNION ALL SELECT path, dir FROM fi WHERE dir NOT IN (SELECT dir FROM bg))"""
+)
+
+
+def _files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    key, size, words = F.col("p_partkey"), F.col("p_size"), F.split("p_name", " ")
+    second = F.get(words, F.lit(1))
+    name = F.concat(F.get(words, F.lit(0)), F.initcap(second))
+    folder = F.element_at(F.array(*map(F.lit, ("api", "cli", "db", "web"))), (size % 4 + 1).cast("int"))
+    sub = F.when(key % 3 == 0, "").when(key % 3 == 1, "core/").otherwise(F.concat("p_type", F.lit("/")))
+    ending = F.when(key % 11 == 0, "_test.go").otherwise(".go")
+    path = F.concat(folder, F.lit("/"), sub, F.when(size % 10 == 0, "misc").otherwise(second), F.lit("_"), F.floor(key % 1000 / 2).cast("string"), ending)
+    part = table(spark, sf, "part")
+    nodes = part.select(key.alias("id"), name.alias("name"), path.alias("path"), (F.col("p_retailprice") > 950).alias("exported"))
+    membership = part.where(key % 4 > 0).select(key.alias("id"), F.concat("p_name", (size % 2).cast("string")).alias("community"))
+    return nodes, A.calls(spark, sf), membership
+
+
+@query(_FILE_MODULES + " SELECT path, module FROM fm")
+def file_modules(spark: SparkSession, sf: str) -> DataFrame:
+    return M.file_modules(*_files(spark, sf))
+
+
+@query(
+    _FILE_MODULES
+    + """, pl AS MATERIALIZED (SELECT id, name, nn.path, module, exported FROM nn JOIN fm ON fm.path = nn.path), cr AS (SELECT x.module AS a, y.module AS b, dst FROM calls JOIN pl x ON x.id = src JOIN pl y ON y.id = dst WHERE x.module <> y.module),
+    ic AS (SELECT dst, count(*) AS n FROM cr GROUP BY 1), ce AS (SELECT module, name FROM pl LEFT JOIN ic ON dst = id WHERE exported AND path NOT LIKE '%_test.go' QUALIFY row_number() OVER (PARTITION BY module ORDER BY coalesce(n, 0) DESC, id) = 1),
+    fl AS (SELECT module, list_sort(list(DISTINCT path)) AS files FROM fm GROUP BY 1), dp AS (SELECT a AS module, string_agg(DISTINCT b, ',' ORDER BY b) AS l FROM cr GROUP BY 1), db_ AS (SELECT b AS module, string_agg(DISTINCT a, ',' ORDER BY a) AS l FROM cr GROUP BY 1)
+    SELECT fl.module, coalesce(ce.name, '') AS canonical_entry, len(files)::INT AS n_files, coalesce(dp.l, '') AS depends_on, coalesce(db_.l, '') AS depended_by,
+    left(sha256('{"canonical_entry":"' || coalesce(ce.name, '') || '","files":["' || array_to_string(files, '","') || '"],"id":"' || fl.module || '"}'), 8) AS struct_hash
+    FROM fl LEFT JOIN ce ON ce.module = fl.module LEFT JOIN dp ON dp.module = fl.module LEFT JOIN db_ ON db_.module = fl.module"""
+)
+def modules(spark: SparkSession, sf: str) -> DataFrame:
+    return M.modules(*_files(spark, sf))
