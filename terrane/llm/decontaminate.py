@@ -28,6 +28,8 @@ from terrane.llm.textmap import give_back, map_texts
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: The filter of sketch hashes: bits for each hash, at most 2 to the power of the second in all (32 MB), and probes.
 BITS_EACH, MOST_BITS, PROBES = 64, 28, 4
+#: Items that are verified on one copy of a document's text, in the mean; the rest has further copies.
+ITEMS_AT_ONCE = 256
 
 
 def tokens(raw: bytes | None) -> list[bytes]:
@@ -128,17 +130,29 @@ def contaminated(
     known = hash_map(entries, entries.count())
     suspects = materialize(_suspects(docs, lengths, known, id_col, text_col), "suspects")
     pairs = suspects.select("doc", F.inline("hits")).join(entries, ["length", "hash"]).select("doc", "item").distinct()
-    both = pairs.join(suspects.select("doc", "doc_id", F.col("raw").alias("text")), "doc").join(items.select("item", "item_id", "raw", "length"), "item")
+    pairs = materialize(pairs, "pairs")
+    # A document goes with as many items at once as fit a row, so that its text is copied and read once for each such part.
+    parts = pairs.groupBy("doc").agg(F.ceil(F.count("*") / ITEMS_AT_ONCE).alias("parts"))
+    given = pairs.join(parts, "doc").join(items.select("item", F.struct("item_id", "raw", "length").alias("i")), "item")
+    given = given.groupBy("doc", F.pmod(F.xxhash64("item"), F.col("parts")).alias("part")).agg(F.collect_list("i").alias("items"))
+    both = given.select("doc", "items").join(suspects.select("doc", "doc_id", F.col("raw").alias("text")), "doc")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, texts, item_ids, raws, sizes = batch.columns
-            shares = []
-            for text, raw, length in zip(texts, raws, sizes.to_pylist()):
-                item = set(shingles(tokens(raw.as_py()), length))
-                shares.append(len(item.intersection(shingles(tokens(text.as_py()), length))) / len(item))
-            found = pa.RecordBatch.from_arrays([doc_ids, item_ids, pa.array(shares, pa.float64())], names=["doc_id", "item_id", "containment"])
-            yield found.filter(pa.array([x >= threshold for x in shares], pa.bool_()))
+            found: list[tuple] = []
+            for doc_id, text, listed in zip(*batch.columns):
+                words, known = tokens(text.as_py()), {}
+                for entry in listed.as_py():
+                    length = entry["length"]
+                    if length not in known:
+                        known[length] = set(shingles(words, length))
+                    item = set(shingles(tokens(entry["raw"]), length))
+                    share = len(item & known[length]) / len(item)
+                    if share >= threshold:
+                        found.append((doc_id.as_py(), entry["item_id"], share))
+            if found:
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["doc_id", "item_id", "containment"])
         give_back()
 
-    return both.select("doc_id", "text", "item_id", "raw", "length").mapInArrow(verify, "doc_id long, item_id long, containment double")
+    return both.select("doc_id", "text", "items").mapInArrow(verify, "doc_id long, item_id long, containment double")
