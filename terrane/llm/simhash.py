@@ -28,6 +28,8 @@ BITS = 64
 PER_PATTERN = 1 << 21
 #: Variants that a task expands at once.
 EXPANDED = 1 << 23
+#: A pattern is dealt by so many more bits if it holds over so many fingerprints, and so many times what patterns hold on average.
+STEP, HOT, HOT_TIMES = 8, 1 << 16, 8
 
 
 def shingle_hashes(raw: bytes | None, shingle: int) -> np.ndarray:
@@ -166,6 +168,43 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return root[at], at
 
 
+def _flips(value: Column, bits: int, most: int) -> Column:
+    """The ``bits``-bit ``value`` with at most ``most`` bits flipped, in all ways."""
+    return F.transform(F.array(*[F.lit(int(m)) for m in _masks(bits, most)]), lambda m: value.bitwiseXOR(m))
+
+
+def _dealt(distinct: DataFrame, bits: int, half: int, most: int) -> DataFrame:
+    """``bits``, ``pattern``, ``fp``, ``rep``: each fingerprint once for every leading pattern that its ball reaches.
+
+    A pattern that more than ``most`` fingerprints reach is dealt again by ``STEP`` more of its bits, and again, so that a family of
+    any size is the work of many tasks. What a pattern holds follows from counts of leading bits, before anything is dealt.
+    """
+    out, open_ = None, distinct.select("fp", "rep", F.lit(half).alias("left"), F.lit(None).cast("long").alias("under"))
+    depth, step = bits, bits
+    while True:
+        rest = BITS - depth
+        head = F.shiftrightunsigned("fp", rest).bitwiseAND(F.lit((1 << step) - 1))
+        base = F.shiftleft(F.coalesce("under", F.lit(0).cast("long")), step)
+        # At first all bits may be flipped, then what the bits above have left.
+        reached = _flips(head, step, half) if out is None else F.get(F.array(*[_flips(head, step, n) for n in range(half + 1)]), F.col("left"))
+        made = lambda df, keep: df.select(*keep, "left", head.alias("head"), base.alias("base"), F.explode(reached).alias("low")).select(
+            F.lit(depth).alias("bits"), F.col("base").bitwiseOR(F.col("low")).alias("pattern"), *keep, (F.col("left") - F.bit_count(F.col("head").bitwiseXOR(F.col("low")))).alias("left")
+        )
+        tips = open_.groupBy(head.alias("h"), "under", "left").agg(F.count("*").alias("n"))
+        tips = tips.select("n", F.shiftleft(F.col("h"), rest).alias("fp"), "under", "left")
+        hot = made(tips, ["n"]).groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("pattern")
+        dealt = made(open_, ["fp", "rep"])
+        more = rest - STEP > 8 and not (hot := materialize(hot, "hot")).isEmpty()
+        cold = dealt.join(hot, "pattern", "left_anti") if more else dealt
+        cold = cold.select("bits", "pattern", "fp", "rep")
+        out = cold if out is None else out.union(cold)
+        if not more:
+            return out
+        again = dealt.join(hot, "pattern", "left_semi")
+        open_ = materialize(again.select("fp", "rep", "left", F.col("pattern").alias("under")), "dealt")
+        depth, step = depth + STEP, STEP
+
+
 def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     """Edges (``a``, ``b``: the ``rep`` of two fingerprints) that connect all of ``distinct`` (``fp``, ``rep``) within ``radius``.
 
@@ -177,9 +216,7 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
     half += odd  # an odd radius is met from the next even one; all pairs of a variant are verified
     bits = leading_bits(n, half)
     ball = sum(math.comb(BITS, r) for r in range(half + 1))
-    masks = F.array(*[F.lit(int(m)) for m in _masks(bits, half)])
-    dealt = distinct.select("fp", "rep", F.explode(masks).alias("mask"))
-    dealt = dealt.select(F.shiftrightunsigned("fp", BITS - bits).bitwiseXOR(F.col("mask")).alias("pattern"), "fp", "rep")
+    dealt = _dealt(distinct, bits, half, max(HOT, HOT_TIMES * n * len(_masks(bits, half)) >> bits))
     shuffle = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(shuffle, math.ceil(n * ball / (16 * PER_PATTERN)))
 
@@ -187,19 +224,19 @@ def links(distinct: DataFrame, n: int, radius: int = 4) -> DataFrame:
         read = [tuple(x.to_numpy(zero_copy_only=False) for x in batch.columns) for batch in batches]
         if not read:
             return
-        pattern, fp, rep = (np.concatenate(x) for x in zip(*read))
-        order = np.argsort(pattern, kind="stable")
-        pattern, fp, rep = pattern[order], fp[order].astype(np.int64).view(np.uint64), rep[order]
-        cuts = [*np.flatnonzero(np.r_[True, pattern[1:] != pattern[:-1]]).tolist(), len(pattern)]
+        depth, pattern, fp, rep = (np.concatenate(x) for x in zip(*read))
+        order = np.lexsort((pattern, depth))
+        depth, pattern, fp, rep = depth[order], pattern[order], fp[order].astype(np.int64).view(np.uint64), rep[order]
+        cuts = [*np.flatnonzero(np.r_[True, (pattern[1:] != pattern[:-1]) | (depth[1:] != depth[:-1])]).tolist(), len(pattern)]
         for i, j in zip(cuts, cuts[1:]):
             if j - i > 1:
-                x, y = _meet(int(pattern[i]), fp[i:j], bits, half, radius)
+                x, y = _meet(int(pattern[i]), fp[i:j], int(depth[i]), half, radius)
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(rep[i:j][x]), pa.array(rep[i:j][y])], names=["a", "b"])
-        del read, pattern, fp, rep, order
+        del read, depth, pattern, fp, rep, order
         give_back()
 
-    return dealt.repartition(parts, "pattern").mapInArrow(run, "a long, b long")
+    return dealt.repartition(parts, "bits", "pattern").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
