@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # What queries, tool definitions and references to paths look like.
 PRISMA = r"\bprisma\.(\w+)\.(findMany|findFirst|findUnique|findUniqueOrThrow|findFirstOrThrow|create|createMany|update|updateMany|delete|deleteMany|upsert|count|aggregate|groupBy)\s*\("
@@ -16,14 +16,22 @@ def _lines(text: Column) -> Column:
 
 
 def orm_queries(files: DataFrame) -> DataFrame:
-    """``path``, ``orm``, ``model``, ``method``, ``line`` (from 0) of every query call in ``files`` (``path``, ``content``). A null content has none."""
+    """``path``, ``orm``, ``model``, ``method``, ``line`` (from 0) of every query call in ``files`` (``path``, ``content``). A null content has none.
+
+    The text is taken apart once; what goes on is a number of line breaks for each call, summed along the file.
+    """
     out = None
     for orm, pattern in (("prisma", PRISMA), ("supabase", SUPABASE)):
-        some = files.where(F.col("content").contains(f"{orm}."))
+        # Files are numbered before their calls are taken out, so that repeated paths stay apart.
+        some = files.where(F.col("content").contains(f"{orm}.")).withColumn("file", F.monotonically_increasing_id())
         group = lambda k: F.regexp_extract_all("content", F.lit(pattern), F.lit(k))  # noqa: E731, B023
-        found = some.select("path", F.split("content", pattern, -1).alias("between"), F.posexplode(F.arrays_zip(group(0).alias("whole"), group(1).alias("model"), group(2).alias("method"))).alias("k", "m"), group(0).alias("all"))
-        before = F.concat(F.array_join(F.slice("between", 1, F.col("k") + 1), ""), F.array_join(F.slice("all", 1, F.col("k")), ""))
-        rows = found.select("path", F.lit(orm).alias("orm"), F.col("m.model").alias("model"), F.col("m.method").alias("method"), _lines(before).cast("int").alias("line"))
+        before = F.transform(F.split("content", pattern, -1), _lines)
+        within = F.transform(group(0), _lines)
+        calls = F.arrays_zip(group(1).alias("model"), group(2).alias("method"), within.alias("within"), F.slice(before, 1, F.size(group(0))).alias("before"))
+        found = some.select("path", "file", F.posexplode(calls).alias("k", "m"))
+        along = Window.partitionBy("file").orderBy("k")
+        line = F.sum("m.before").over(along.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("m.within").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = found.select("path", F.lit(orm).alias("orm"), F.col("m.model").alias("model"), F.col("m.method").alias("method"), line.cast("int").alias("line"))
         out = rows if out is None else out.union(rows)
     return out
 

@@ -65,6 +65,12 @@ def cochange(commits: DataFrame, least: int = 2, confidence: float = 0.5, most_f
     return out.where(F.col("confidence") >= confidence).select("a", "b", "together", "confidence")
 
 
+def ranked_rules(rules: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rules in their order: the surest first, of equals those of more commits, then by name; the first ``limit``, if given."""
+    ordered = rules.orderBy(F.desc("confidence"), F.desc("together"), "a", "b")
+    return ordered if limit is None else ordered.limit(limit)
+
+
 def merge_ranges(ranges: DataFrame, gap: int = 1) -> DataFrame:
     """``key``, ``start``, ``end`` with ranges that overlap or lie within ``gap`` made one; one sort per key."""
     order = Window.partitionBy("key").orderBy("start", "end")

@@ -79,6 +79,23 @@ def abstractions(paths: DataFrame, least: int = 3) -> DataFrame:
     return out.withColumn("confidence", F.round(F.least(F.lit(0.95), 0.55 + 0.07 * F.col("n_paths")), 4))
 
 
+def abstraction_details(families: DataFrame, units: DataFrame, canonical: DataFrame, least: int = 3) -> DataFrame:
+    """``family``, ``level``, ``owner``, ``n_units``, ``n_paths``, ``confidence``, ``status`` of what families of ``least`` paths or more could share.
+
+    ``families``: ``family``, ``sink_role``, ``n_paths``; ``units``: ``unit``, ``family``, ``module``; ``canonical``: ``family``, ``status``. A family that writes and has no canonical path is
+    lifted to one; else units of several modules suggest a service, of one a helper. The first unit's module owns it; from four paths it is recommended.
+    """
+    many = families.where(F.col("n_paths") >= least)
+    own = units.groupBy("family").agg(F.count("*").alias("n_units"), F.count_distinct("module").alias("n_modules"), F.min_by("module", "unit").alias("owner"))
+    told = canonical.where("status = 'canonical'").select("family", F.lit(True).alias("told")).distinct()
+    out = many.join(own, "family", "left").join(told, "family", "left").fillna(0, ["n_units", "n_modules"])
+    lift = F.col("told").isNull() & (F.col("sink_role") == "repository_write")
+    level = F.when(lift, "lift_to_canonical_path").when(F.col("n_modules") > 1, "extract_service").otherwise("extract_helper")
+    confidence = F.round(F.least(F.lit(0.95), 0.55 + F.col("n_paths") * 0.07), 3)
+    status = F.when(F.col("n_paths") >= 4, "recommended").otherwise("candidate")
+    return out.select("family", level.alias("level"), F.coalesce("owner", F.lit("unknown")).alias("owner"), "n_units", "n_paths", confidence.alias("confidence"), status.alias("status"))
+
+
 def shape_check(provided: DataFrame, accessed: DataFrame) -> DataFrame:
     """``route``, ``n_keys``, ``n_accessed``, ``missing``, ``status`` from (``route``, ``key``) of responses and of consumers."""
     keys = provided.where(F.col("key").isNotNull()).groupBy("route").agg(F.collect_set("key").alias("keys"))

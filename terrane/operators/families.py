@@ -215,6 +215,11 @@ def operation_units(paths: DataFrame) -> DataFrame:
     return out.select(F.concat_ws(":", "module", "symbol").alias("unit"), "family", "module", "symbol", operation_kind(F.col("symbol"), F.col("module")).alias("kind"), "n_paths")
 
 
+def signature() -> Column:
+    """What makes paths alike: modules, sink and contracts."""
+    return F.concat_ws("|", F.concat_ws(">", "modules"), "sink", "sink_role", F.concat_ws(">", "contracts"))
+
+
 def canonical_paths(paths: DataFrame, functions: DataFrame) -> DataFrame:
     """The best path of each family: ``family``, ``signature``, ``n_paths``, ``coverage``, ``fan_in``, ``contract_reuse``, ``entry_strength``,
     ``role_purity``, ``visibility``, ``confidence``, ``deviations``, ``status``.
@@ -228,8 +233,7 @@ def canonical_paths(paths: DataFrame, functions: DataFrame) -> DataFrame:
     most = functions.agg(F.greatest(F.lit(1), F.max("callers")).alias("most"))  # one row
     one = functions.groupBy("module", "name").agg(F.max_by(F.struct("entry_score", "role"), "id").alias("f"))
     entries = one.select(F.col("module").alias("at"), F.col("name").alias("entry"), F.col("f.entry_score").alias("entry_score"))
-    signature = F.concat_ws("|", F.concat_ws(">", "modules"), "sink", "sink_role", F.concat_ws(">", "contracts"))
-    members = paths.withColumn("signature", signature).withColumn("at", F.get("modules", F.lit(0)))
+    members = paths.withColumn("signature", signature()).withColumn("at", F.get("modules", F.lit(0)))
     members = members.join(entries, ["at", "entry"], "left").join(fan_in, "sink", "left").crossJoin(F.broadcast(most))
     groups = members.groupBy("family", "signature", "sink_role").agg(
         F.count("*").alias("n_paths"),
@@ -256,3 +260,35 @@ def canonical_paths(paths: DataFrame, functions: DataFrame) -> DataFrame:
     return out.select(
         "family", "signature", "n_paths", *rounded, "visibility", F.round("score", 3).alias("confidence"), (F.col("n_all") - F.col("n_paths")).alias("deviations"), "status"
     )
+
+
+def canonical_details(paths: DataFrame, canonical: DataFrame) -> DataFrame:
+    """``family``, ``canonical`` (id), ``owner``, ``entries``, ``model``, ``symbols``: what :func:`canonical_paths` (``canonical``) stands for.
+
+    The model is the group's path of the smallest id (ties: the smallest flow); its last module owns the path, and its functions are what
+    others are held against. Entries are the distinct first functions of the group, sorted: as many as a family has ways in.
+    """
+    group = paths.withColumn("signature", signature()).join(canonical.select("family", "signature"), ["family", "signature"], "left_semi")
+    first = F.struct("id", F.col("flow").cast("string").alias("flow"))
+    out = group.groupBy("family").agg(F.min_by(F.struct("id", "functions", "modules"), first).alias("m"), F.array_sort(F.collect_set("entry")).alias("entries"))
+    owner = F.coalesce(F.element_at("m.modules", -1), F.lit("unknown"))
+    return out.select("family", F.concat(F.lit("canonical:"), "family").alias("canonical"), owner.alias("owner"), "entries", F.col("m.id").alias("model"), F.col("m.functions").alias("symbols"))
+
+
+def canonical_members(paths: DataFrame, canonical: DataFrame) -> DataFrame:
+    """``family``, ``id``, ``flow`` of the paths that are their family's canonical one."""
+    group = paths.withColumn("signature", signature()).join(canonical.select("family", "signature"), ["family", "signature"], "left_semi")
+    return group.select("family", "id", "flow")
+
+
+def deviations(paths: DataFrame, canonical: DataFrame) -> DataFrame:
+    """``family``, ``id``, ``flow``, ``module``, ``symbol``, ``missing``, ``reason``: a row for every path that goes another way than its family's canonical one.
+
+    ``missing`` are the model's functions that the path does not have, in their order. A family with a third of all paths is joined with one row, which is small.
+    """
+    details = canonical_details(paths, canonical).select("family", "symbols")
+    named = paths.withColumn("signature", signature())
+    off = named.join(canonical.select("family", "signature"), ["family", "signature"], "left_anti").join(details, "family")
+    missing = F.filter("symbols", lambda x: ~F.array_contains("functions", x))
+    reason = F.concat(F.lit("deviates from "), F.element_at("symbols", -1))
+    return off.select("family", "id", "flow", F.coalesce(F.element_at("modules", -1), F.lit("unknown")).alias("module"), F.col("sink").alias("symbol"), missing.alias("missing"), reason.alias("reason"))

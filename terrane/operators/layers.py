@@ -44,15 +44,15 @@ def canonical_entry(symbols: DataFrame, calls: DataFrame) -> DataFrame:
     return best.select("module", F.col("best.id").alias("entry"), (-F.col("best.col1")).alias("in_calls"))
 
 
-def concepts(terms: DataFrame, stop_words: Iterable[str] = (), least: int = 3) -> DataFrame:
+def concepts(terms: DataFrame, stop_words: Iterable[str] = (), least: int = 3, once: bool = False) -> DataFrame:
     """``term``, ``n_symbols``, ``n_modules``, ``home`` from ``term``, ``symbol``, ``module``.
 
     Terms of at least ``least`` distinct symbols; home is the module with most of them, the smaller name of equals.
-    Counting by module first combines map-side, so a term that every symbol has makes one row per task and module.
+    Counting by module first combines map-side, so a term that every symbol has makes one row per task and module. ``once``: the rows are
+    distinct already, as those of a symbol's own distinct terms are, and are not shuffled to make them so.
     """
     kept = terms.where(~F.col("term").isin(list(stop_words))) if stop_words else terms
-    once = kept.distinct()
-    by_module = once.groupBy("term", "module").agg(F.count("*").alias("n"))
+    by_module = (kept if once else kept.distinct()).groupBy("term", "module").agg(F.count("*").alias("n"))
     out = by_module.groupBy("term").agg(
         F.sum("n").alias("n_symbols"), F.count("*").alias("n_modules"), F.min(F.struct(-F.col("n"), F.col("module"))).alias("best")
     )

@@ -93,7 +93,7 @@ def canonical_entry(spark: SparkSession, sf: str) -> DataFrame:
 )
 def concepts(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "source", F.explode(F.array_distinct(search.tokenize(F.col("text")))).alias("term"))
-    return layers.concepts(docs.select("term", F.col("doc_id").alias("symbol"), F.col("source").alias("module")), ["the", "of", "de", "der"])
+    return layers.concepts(docs.select("term", F.col("doc_id").alias("symbol"), F.col("source").alias("module")), ["the", "of", "de", "der"], once=True)
 
 
 @query(with_("flow") + " SELECT flow, step, module FROM flow")
@@ -464,6 +464,12 @@ def cochange_rules(spark: SparkSession, sf: str) -> DataFrame:
     return _cochange(spark, sf, 0.1)
 
 
+@query(f"WITH {_COCHANGE} SELECT * FROM rules WHERE confidence >= 0.1 ORDER BY confidence DESC, together DESC, a, b LIMIT 25")
+def first_cochange_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The report's first 25 rules."""
+    return change.ranked_rules(_cochange(spark, sf, 0.1), 25)
+
+
 _RANGES = """r AS (SELECT o_custkey AS key, o_orderkey AS a_id, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS s, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) + 30 AS e FROM orders)"""
 
 
@@ -692,6 +698,49 @@ def canonical_paths(spark: SparkSession, sf: str) -> DataFrame:
     return families.canonical_paths(paths, functions)
 
 
+_BEST = f"""WITH {_FLOWS}, fan AS (SELECT name AS sink, arg_max(callers, id) AS callers FROM fn GROUP BY 1), mx AS (SELECT max(callers) AS most FROM fn),
+    m AS (SELECT pi.*, array_to_string(modules, '>') || '|' || sink || '|' || sink_role || '|' || array_to_string(contracts, '>') AS signature FROM pi), al AS (SELECT family, count(*) AS n_all FROM pi GROUP BY 1),
+    gr AS (SELECT family, signature, any_value(sink_role) AS sink_role, count(*) AS n_paths, max(callers / most) AS fan_in, max(CASE WHEN len(contracts) > 0 THEN 1.0::DOUBLE ELSE 0 END) AS reuse, avg(list_sum([0.95::DOUBLE, CASE modules[2] WHEN 'svc0' THEN 0.45 ELSE 1 END, 1]) / 3) AS purity FROM m JOIN fan USING (sink) CROSS JOIN mx GROUP BY 1, 2),
+    s AS (SELECT *, round(n_paths / n_all * 0.5::DOUBLE + fan_in * 0.2::DOUBLE + reuse * 0.15::DOUBLE + 0.75::DOUBLE * 0.15::DOUBLE, 9) AS score FROM gr JOIN al USING (family)),
+    r AS (SELECT *, row_number() OVER w AS nth, lead(score) OVER w AS nxt FROM s WINDOW w AS (PARTITION BY family ORDER BY score DESC, n_paths DESC, signature)),
+    v AS (SELECT *, round(greatest(0, least(1, score * 0.7::DOUBLE + purity * 0.3::DOUBLE - CASE WHEN split_part(family, ':', 1) IN ('process', 'build', 'set', 'run', 'add', 'check', 'misc', 'unknown') THEN 0.18::DOUBLE ELSE 0 END)), 3) AS visibility FROM r WHERE nth = 1),
+    bs AS (SELECT *, n_paths >= 2 AND score >= 0.55 AND visibility >= 0.66 AND (nxt IS NULL OR round(score - nxt, 9) >= 0.05) AS canonical FROM v), gp AS (SELECT m.* FROM m JOIN bs ON bs.family = m.family AND bs.signature = m.signature),
+    md AS (SELECT family, arg_min(functions, id || flow::VARCHAR) AS symbols, arg_min(modules, id || flow::VARCHAR) AS modules, min(id) AS model, list_sort(list(DISTINCT entry)) AS entries FROM gp GROUP BY 1)"""
+
+
+@query(_BEST + " SELECT family, 'canonical:' || family AS canonical, modules[-1] AS owner, entries, model, symbols FROM md")
+def canonical_details(spark: SparkSession, sf: str) -> DataFrame:
+    _, functions, paths = _flows(spark, sf)
+    return families.canonical_details(paths, families.canonical_paths(paths, functions))
+
+
+@query(_BEST + " SELECT family, id, flow FROM gp")
+def canonical_members(spark: SparkSession, sf: str) -> DataFrame:
+    _, functions, paths = _flows(spark, sf)
+    return families.canonical_members(paths, families.canonical_paths(paths, functions))
+
+
+@query(
+    _BEST
+    + """ SELECT m.family, id, flow, m.modules[-1] AS module, sink AS symbol, list_filter(symbols, lambda x: NOT list_contains(functions, x)) AS missing, 'deviates from ' || symbols[-1] AS reason FROM m JOIN md ON md.family = m.family JOIN bs ON bs.family = m.family WHERE bs.signature <> m.signature"""
+)
+def path_deviations(spark: SparkSession, sf: str) -> DataFrame:
+    _, functions, paths = _flows(spark, sf)
+    return families.deviations(paths, families.canonical_paths(paths, functions))
+
+
+@query(
+    _BEST
+    + """, su AS (SELECT id, family, unnest(functions) AS symbol, unnest(modules) AS module FROM pi), un AS (SELECT module || ':' || symbol AS unit, module, arg_min(family, id || family) AS family FROM su GROUP BY 1, 2),
+    ow AS (SELECT family, count(*) AS n_units, count(DISTINCT module) AS n_modules, arg_min(module, unit) AS owner FROM un GROUP BY 1)
+    SELECT al.family, CASE WHEN NOT canonical AND al.family LIKE '%:repository_write' THEN 'lift_to_canonical_path' WHEN n_modules > 1 THEN 'extract_service' ELSE 'extract_helper' END AS level, coalesce(owner, 'unknown') AS owner, coalesce(n_units, 0) AS n_units, al.n_all AS n_paths,
+    round(least(0.95, 0.55 + al.n_all * 0.07), 3)::DOUBLE AS confidence, CASE WHEN al.n_all >= 4 THEN 'recommended' ELSE 'candidate' END AS status FROM al JOIN bs ON bs.family = al.family LEFT JOIN ow ON ow.family = al.family WHERE al.n_all >= 3"""
+)
+def abstraction_details(spark: SparkSession, sf: str) -> DataFrame:
+    _, functions, paths = _flows(spark, sf)
+    return decision.abstraction_details(families.concern_families(paths), families.operation_units(paths), families.canonical_paths(paths, functions))
+
+
 @query(f"WITH {_FLOWS} SELECT family, count(*) AS n_paths, round(least(0.95, 0.55 + 0.07 * count(*)), 4)::DOUBLE AS confidence FROM pi GROUP BY 1 HAVING count(*) >= 3")
 def abstraction_opportunities(spark: SparkSession, sf: str) -> DataFrame:
     return decision.abstractions(_flows(spark, sf)[2])

@@ -169,3 +169,28 @@ def test_call_paths(spark):
     assert (r.family, r.contracts, r.entry, r.sink, r.sink_role) == ("save:repository_write", ["api--core", "core--db"], "handleSave", "orderStore", "repository_write")
     covered = spark.createDataFrame([("handleSave",)], "entry string")
     assert families.call_path_instances(functions, calls, entries, contracts, covered).collect() == []
+
+
+def test_a_canonical_path_its_members_and_what_deviates(spark):
+    kind = "id string, flow string, family string, functions array<string>, modules array<string>, contracts array<string>, entry string, sink string, sink_role string"
+    rows = [("b", "1", "save:w", ["f", "g", "save"], ["api", "svc", "db"], [], "f", "save", "w"), ("a", "2", "save:w", ["h", "g", "save"], ["api", "svc", "db"], [], "h", "save", "w"), ("c", "3", "save:w", ["f", "keep"], ["api", "log"], [], "f", "keep", "w")]
+    paths = spark.createDataFrame(rows, kind)
+    best = spark.createDataFrame([("save:w", "api>svc>db|save|w|")], "family string, signature string")
+    [d] = families.canonical_details(paths, best).collect()
+    assert (d.canonical, d.owner, d.entries, d.model, d.symbols) == ("canonical:save:w", "db", ["f", "h"], "a", ["h", "g", "save"])
+    assert {r.flow for r in families.canonical_members(paths, best).collect()} == {"1", "2"}
+    assert [tuple(r) for r in families.deviations(paths, best).collect()] == [("save:w", "c", "3", "log", "keep", ["h", "g", "save"], "deviates from save")]
+
+
+def test_levels_of_abstraction(spark):
+    kinds = spark.createDataFrame([("a", "repository_write", 3), ("b", "repository_write", 4), ("c", "validation", 9), ("d", "validation", 2), ("e", "unknown", 3)], "family string, sink_role string, n_paths long")
+    units = spark.createDataFrame([("m:x", "a", "m"), ("n:y", "b", "n"), ("k:z", "b", "k"), ("m:c", "c", "m")], "unit string, family string, module string")
+    canonical = spark.createDataFrame([("b", "canonical"), ("a", "candidate")], "family string, status string")
+    got = {r.family: (r.level, r.owner, r.n_units, r.confidence, r.status) for r in decision.abstraction_details(kinds, units, canonical).collect()}
+    assert got == {"a": ("lift_to_canonical_path", "m", 1, 0.76, "candidate"), "b": ("extract_service", "k", 2, 0.83, "recommended"), "c": ("extract_helper", "m", 1, 0.95, "recommended"), "e": ("extract_helper", "unknown", 0, 0.76, "candidate")}
+
+
+def test_rules_in_order(spark):
+    rules = spark.createDataFrame([("b", "c", 2, 0.5), ("a", "z", 2, 0.5), ("a", "b", 9, 0.5), ("x", "y", 1, 1.0)], "a string, b string, together long, confidence double")
+    assert [(r.a, r.b) for r in change.ranked_rules(rules).collect()] == [("x", "y"), ("a", "b"), ("a", "z"), ("b", "c")]
+    assert change.ranked_rules(rules, 2).count() == 2
