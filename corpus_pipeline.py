@@ -27,7 +27,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that neither the base rules nor the learned list reject.
 
     Null, empty and blank texts are rejected; rows that repeat a document and rows without id are judged by their text; an
-    empty table gives no rows; without labels only the base rules hold. All columns come back, whatever their names.
+    empty table gives no rows; without labels only the base rules hold. Very long texts are judged whole. All columns come back,
+    whatever their names; the first rule that holds decides.
     """
     rules = qualityrules.train(docs, table(spark, sf_dir, "labels"))
     kept = qualityrules.apply_rules(_packed(docs), rules, keep=["text", "__rest"])
@@ -35,7 +36,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that other documents keep. A null text that loses nothing stays null."""
+    """Texts without the lines that other documents keep. A null text that loses nothing stays null.
+
+    The largest id that holds a line keeps it; rows that repeat that id all do. Rows without id lose nothing; very long texts are read whole, by
+    lines; an empty table gives no rows. All columns come back, whatever their names.
+    """
     out = linededup.dedup_lines(_packed(docs), keep=["__rest"])
     out = out.select("doc_id", F.when(~F.col("__rest.__null"), F.col("kept_text")).alias("text"), "__rest")
     fresh = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
@@ -45,7 +50,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Rows that repeat it, or its id, go; rows without id stay.
 
-    Texts without words are one group; of rows with one id the one whose text hashes smallest stays; an empty table gives no rows.
+    Very long texts are compared whole, by all of their shingles. Texts without words are one group; of rows with one id the one whose text hashes smallest stays; an empty table gives no rows.
     """
     found = nearcopies.near_copies(docs, shingle=5, similarity=0.8)
     stay = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "stay")
@@ -58,7 +63,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item.
 
-    Null and empty texts hold none. Of documents with one id, all go if one holds an item; rows without id stay, as they
+    Null and empty texts hold none; very long ones are read whole. Of documents with one id, all go if one holds an item; rows without id stay, as they
     cannot be told apart. Empty tables change nothing. All columns come back, whatever their names.
     """
     hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -70,7 +75,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix plan, in the order of training.
 
     A null text has no words and is not taken; a null source is a source, the last; rows without id and repeated rows
-    are documents of their own; an empty table gives no rows. Other columns than id, text and source are not read.
+    are documents of their own; of a very long text its number of words counts; an empty table gives no rows. Other columns than id, text and source are not read.
     """
     return mixing.mix(docs)
 
