@@ -72,7 +72,7 @@ def format_chats(
 
     ``state`` is the machine's after the turn, ``violation`` says which move was not allowed, else null. Conversations
     that break the order are formatted all the same. Rows are ordered by turn (null first), then role and text, so that
-    ties and repeated rows have one order; null roles and texts count as empty; rows with a null id are a conversation;
+    ties and repeated rows have one order; very long turns are whole segments, and conversations of any length stream; null roles and texts count as empty; rows with a null id are a conversation;
     an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     form = template or Template()

@@ -90,8 +90,9 @@ def duplicate_lines(
     A line's key is the line without ASCII white space at both ends and with A-Z in lower case. A key of at least
     ``min_chars`` code points that at least ``min_docs`` documents hold keeps its lines in the largest ``doc_id`` only.
     Keys are compared by two independent 64-bit hashes. Rows with a null id neither count nor lose lines; rows that
-    repeat an id count as one document and each loses its own lines; null and empty texts have no key; an empty table
-    gives no rows. Other columns of ``docs`` are ignored, whatever their names.
+    repeat an id count as one document and each loses its own lines; null and empty texts have no key; very long texts are
+    read whole, their lines being rows of their own. The largest id is unique, so there are no ties but of rows that repeat it,
+    which all keep the line; an empty table gives no rows. Other columns of ``docs`` are ignored, whatever their names.
     """
     seen = materialize(occurrences(docs, min_chars, id_col, text_col), "lines")
     by_span = first_occurrences(seen).groupBy("h1", "h2", "span").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper"))

@@ -103,7 +103,8 @@ def mix(
     Documents of a source are read in the order of their hash, again and again until its target is met; the last one
     is cut at the target. ``taken`` counts its words over all readings, never above ``max_epochs`` times its size;
     ``positions`` has a time in [0, 1] for each reading. A null text has no words and is never taken; a null source is
-    a source; null ids are kept, in the order of their texts' hash, and repeated rows are taken as separate documents; an empty table gives no rows. Other
+    a source; null ids are kept, in the order of their texts' hash, and repeated rows are taken as separate documents; of a
+    very long text only its number of words is carried on; documents whose hashes tie go by id, then by size; an empty table gives no rows. Other
     columns of ``docs`` are ignored, whatever their names.
     """
     text, doc_id = docs[text_col], docs[id_col].cast("long")

@@ -104,7 +104,8 @@ def learn(rows: list[tuple[dict[str, float], bool]], min_precision: float = 0.9,
     ``rows`` in a fixed order: every third prunes, the others grow. A rule grows by the condition of the largest FOIL
     gain until it covers no good row, then loses its last conditions as long as (bad - good) / (bad + good) on the
     pruning rows does not fall. It is kept if it covers ``min_cover`` bad rows and is right on ``min_precision`` of
-    all rows that it covers; the first rule that is not ends the list. One class only, or no rows: no rules.
+    all rows that it covers; the first rule that is not ends the list. Of equal gains the first counts, by the order of ``FEATURES``, then
+    from the smallest cut, below it before above. One class only, or no rows: no rules.
     """
     grow = [x for i, x in enumerate(rows) if i % 3 != 2]
     prune = [x for i, x in enumerate(rows) if i % 3 == 2]
@@ -191,7 +192,8 @@ def verdict(rules: list[Rule]) -> Column:
 def apply_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """:func:`statistics`, with ``base_failed``, ``rule`` (the first that holds, null if none) and ``kept``.
 
-    Every row comes back once. Null, empty and blank texts fail the base rules; a null id stays null; an empty table
+    Every row comes back once. Null, empty and blank texts fail the base rules; very long texts are read whole, within their row;
+    of several rules that hold the first is told; a null id stays null; an empty table
     gives no rows; columns of ``docs`` that are not in ``keep`` are ignored, whatever their names.
     """
     stats = statistics(docs, id_col, text_col, keep)

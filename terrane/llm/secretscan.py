@@ -169,8 +169,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``base_sha256``, ``spans``, ``n_weak``, ``n_linked`` for every row.
 
     Spans are kind:start:end in code points, end exclusive, ordered by start, then kind. A null text counts as empty
-    and has no spans; null ids and repeated rows come back as they are; an empty table gives no rows. Other columns
-    are ignored, whatever their names.
+    and has no spans; very long texts are read whole, in time in proportion to their length; null ids and repeated rows come back as
+    they are; an empty table gives no rows. Other columns are ignored, whatever their names.
     """
     i, s = pa.int64(), pa.string()
     return map_texts(

@@ -244,7 +244,8 @@ def near_duplicates(
 ) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id`` (smallest ``doc_id`` reachable over links of ``radius`` bits) for every row.
 
-    Exact copies share a fingerprint and are one node, so they are never paired. Null and blank texts have fingerprint
+    A bit is set if it is set in over half of the shingles' hashes: at exactly half it is not. Very long texts are read whole, their hashes
+    counted in parts. Exact copies share a fingerprint and are one node, so they are never paired. Null and blank texts have fingerprint
     zero, which links like any other. A row whose id is null takes the component of its fingerprint, null if no other
     row has that fingerprint; it links nothing itself. Repeated rows are returned as often as they come; an empty
     table gives no rows. Other columns of ``docs`` are ignored, whatever their names.
