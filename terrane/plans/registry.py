@@ -33,7 +33,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def _all() -> None:
     """Modules of further queries register theirs when they are imported; they use :func:`query` of this one."""
-    for name in ("structure", "web", "facts", "wholes", "inputs", "workspace", "decide"):
+    for name in ("structure", "web", "facts", "wholes", "inputs", "workspace", "decide", "rest"):
         importlib.import_module(f"terrane.plans.{name}")
 
 

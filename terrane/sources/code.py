@@ -54,20 +54,37 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("_bad").isNull(), "complete").otherwise("partial")).drop("_bad")
 
 
+#: Lines of a text that one task carries a value along.
+ALONG = 8192
+
+
+def carried(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """``lines`` (``seq``: whole numbers) with ``name``: the last ``value`` that is not null, up to and with each line.
+
+    In two levels: the last value of each stretch of lines, carried from stretch to stretch, and then along the lines of each; so
+    one long text is the work of many tasks, and only one row a stretch passes through one of them.
+    """
+    rows = lines.withColumns({"__stretch": F.floor(F.col("seq") / ALONG), "__value": value})
+    last = rows.where("__value IS NOT NULL").groupBy("__stretch").agg(F.max_by("__value", "seq").alias("__last"))
+    stretches = rows.select("__stretch").distinct().join(last, "__stretch", "left")
+    earlier = F.last("__last", ignorenulls=True).over(Window.orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
+    stretches = stretches.select("__stretch", earlier.alias("__before"))
+    along = Window.partitionBy("__stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    here = rows.withColumn("__here", F.last("__value", ignorenulls=True).over(along)).join(stretches, "__stretch")
+    return here.withColumn(name, F.coalesce("__here", "__before")).drop("__stretch", "__value", "__last", "__before", "__here")
+
+
 def git_log(lines: DataFrame, mark: str = "commit ") -> DataFrame:
     """``commit``, ``file`` from the text of ``git log --name-only`` (``value``, ``seq``), where a commit's line begins with ``mark``."""
     begins = F.col("value").startswith(mark)
-    order = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)  # one file of text: a log has one order
-    commit = F.last(F.when(begins, F.substring("value", len(mark) + 1, 40)), ignorenulls=True).over(order)
-    rows = lines.withColumn("commit", commit).where(~begins & (F.trim("value") != ""))
+    rows = carried(lines, F.when(begins, F.substring("value", len(mark) + 1, 40)), "commit").where(~begins & (F.trim("value") != ""))
     return rows.select("commit", F.trim("value").alias("file")).where("commit is not null").distinct()
 
 
 def diff_hunks(lines: DataFrame) -> DataFrame:
     """``file``, ``start``, ``end`` of the new side of each hunk of a unified diff (``value``, ``seq``); empty hunks are left out."""
-    order = Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     named = F.regexp_extract("value", r"^\+\+\+ b/(.*)$", 1)
-    rows = lines.withColumn("file", F.last(F.when(named != "", named), ignorenulls=True).over(order))
+    rows = carried(lines, F.when(named != "", named), "file")
     start = F.regexp_extract("value", r"^@@ -\S+ \+(\d+)", 1)
     size = F.regexp_extract("value", r"^@@ -\S+ \+\d+,(\d+)", 1)
     rows = rows.where(start != "").select("file", start.cast("long").alias("start"), F.when(size == "", 1).otherwise(F.try_to_number(size, F.lit("9999999999"))).cast("long").alias("n"))

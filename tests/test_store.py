@@ -115,3 +115,11 @@ def test_tools(spark):
     assert api.markdown(old.limit(1)) == "| module | file |\n| --- | --- |\n| m | 1 |"
     g = spark.createDataFrame([("a", "b", 2)], "source string, target string, weight int")
     assert api.mermaid(g) == 'graph LR\n  n0["a"]\n  n1["b"]\n  n0 -->|2| n1'
+
+
+def test_a_value_is_carried_along_any_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(code, "ALONG", 4)
+    rows = [(k, v) for k, v in enumerate([None, None, "a", None, None, None, None, None, None, None, "b", None, "c", None])] + [(40, None), (41, "d")]
+    lines = spark.createDataFrame(rows, "seq long, v string").repartition(3)
+    got = [r.x for r in code.carried(lines, F.col("v"), "x").orderBy("seq").collect()]
+    assert got == [None, None, *["a"] * 8, "b", "b", "c", "c", "c", "d"]
