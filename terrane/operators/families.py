@@ -137,56 +137,63 @@ def _told(paths: DataFrame, functions: DataFrame, entry_kind: str) -> DataFrame:
     return out.select("id", "flow", "family", "functions", "modules", "contracts", "entry", F.lit(entry_kind).alias("entry_kind"), "sink", "sink_role")
 
 
-def call_paths(functions: DataFrame, calls: DataFrame, entries: DataFrame, most: int = 6, fan: int = 3, least_role: float = 0.28) -> DataFrame:
-    """``flow``, ``path`` (ids), ``functions``, ``modules``: paths along calls from each entry (``id``), through two modules or more.
+def _walked(functions: DataFrame, calls: DataFrame, entries: DataFrame, most: int, fan: int, least_role: float) -> DataFrame:
+    """``path`` (ids) and ``fs`` (what ``functions`` (``id``, ``f``: a struct with ``name``, ``module``, ``weight``) say of each) of :func:`call_paths`.
 
-    ``functions``: ``id``, ``name``, ``module``, ``role``; ``calls``: ``src``, ``dst``. A function goes to its first ``fan`` callees by id. A path ends
-    where nothing known is called, at ``most`` functions, and at a function that it has been at, which it then names twice.
-    Paths whose roles weigh less than ``least_role`` in the mean are left out.
+    What is known of a function goes along with its step, so a finished path is whole and nothing is gathered by paths.
     """
-    known = functions.select("id")
-    steps = calls.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").distinct()
+    known = materialize(functions.select("id", "f"), "known")
+    ids = known.select("id")
+    steps = calls.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst").distinct()
     nth = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    steps = materialize(steps.withColumn("nth", nth).where(F.col("nth") <= fan).select("src", "dst"), "calls")
-    open_ = entries.join(known, "id", "left_semi").distinct().select(F.array("id").alias("path"), F.col("id").alias("tip"))
+    steps = steps.withColumn("nth", nth).where(F.col("nth") <= fan).select("src", "dst").join(known.select(F.col("id").alias("dst"), "f"), "dst")
+    steps = materialize(steps.select("src", "dst", "f"), "calls")
+    open_ = known.join(entries.select("id").distinct(), "id", "left_semi").select(F.array("id").alias("path"), F.array("f").alias("fs"), F.col("id").alias("tip"))
     done = None
     for _ in range(most - 1):
         tried = open_.join(steps, F.col("tip") == F.col("src"), "left")
-        ended = tried.where("dst IS NULL").select("path")
-        longer = tried.where("dst IS NOT NULL").select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tip"), F.array_contains("path", F.col("dst")).alias("again"))
+        ended = tried.where("dst IS NULL").select("path", "fs")
+        longer = tried.where("dst IS NOT NULL").select(
+            F.concat("path", F.array("dst")).alias("path"), F.concat("fs", F.array("f")).alias("fs"), F.col("dst").alias("tip"), F.array_contains("path", F.col("dst")).alias("again")
+        )
         longer = materialize(longer, "walk")
-        ended = ended.union(longer.where("again").select("path"))
+        ended = ended.union(longer.where("again").select("path", "fs"))
         done = ended if done is None else done.union(ended)
-        open_ = longer.where("not again").select("path", "tip")
-    done = done.union(open_.select("path")).where(F.size("path") >= 2)
-    at = done.select("path", F.posexplode("path").alias("step", "id")).join(functions.select("id", "name", "module", "role"), "id")
-    one = F.struct("step", "name", "module")
-    out = at.groupBy("path").agg(F.array_sort(F.collect_list(one)).alias("s"), F.avg(role_weight(F.col("role"))).alias("weight"), F.count_distinct("module").alias("n"))
-    out = out.where((F.col("n") >= 2) & (F.col("weight") >= least_role))
-    return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("flow"), "path", F.col("s.name").alias("functions"), F.col("s.module").alias("modules"))
+        open_ = longer.where("not again").select("path", "fs", "tip")
+    done = open_.select("path", "fs") if done is None else done.union(open_.select("path", "fs"))
+    mean = F.aggregate("fs.weight", F.lit(0.0), lambda x, y: x + y) / F.size("fs")
+    return done.where((F.size("path") >= 2) & (F.size(F.array_distinct("fs.module")) >= 2) & (mean >= least_role))
+
+
+def call_paths(functions: DataFrame, calls: DataFrame, entries: DataFrame, most: int = 6, fan: int = 3, least_role: float = 0.28) -> DataFrame:
+    """``flow``, ``path`` (ids), ``functions``, ``modules``: paths along calls from each entry (``id``), through two modules or more.
+
+    ``functions``: ``id``, ``name``, ``module``, ``role``; ``calls``: ``src``, ``dst``. A function goes to its first ``fan`` callees by id. A path ends
+    where nothing known is called, at ``most`` functions, and at a function that it has been at, which it then names twice.
+    Paths whose roles weigh less than ``least_role`` in the mean are left out.
+    """
+    known = functions.select("id", F.struct("name", "module", role_weight(F.col("role")).alias("weight")).alias("f"))
+    out = _walked(known, calls, entries, most, fan, least_role)
+    return out.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("flow"), "path", F.col("fs.name").alias("functions"), F.col("fs.module").alias("modules"))
 
 
-def call_path_instances(functions: DataFrame, calls: DataFrame, entries: DataFrame, contracts: DataFrame, covered: DataFrame, most: int = 6) -> DataFrame:
+def call_path_instances(functions: DataFrame, calls: DataFrame, entries: DataFrame, contracts: DataFrame, covered: DataFrame, most: int = 6, fan: int = 3, least_role: float = 0.28) -> DataFrame:
     """As :func:`path_instances`, of :func:`call_paths` whose entry's name no flow (``covered``: ``entry``) begins with; ``flow`` is the entry's id.
 
     ``contracts``: ``function`` (id), ``contract``: those that a function provides or consumes; a path has all of its functions', sorted.
     Paths of one entry through functions of the same names and modules are one path, with the contracts of all.
     """
-    paths = materialize(call_paths(functions, calls, entries, most), "call-paths")
-    ids = paths.select("flow", F.explode("path").alias("function")).distinct()
-    hops = ids.join(contracts, "function").groupBy("flow").agg(F.array_sort(F.collect_set("contract")).alias("contracts"))
-    public = functions.where(F.col("public") & F.col("role").isin("prod_core", "prod_entrypoint")).select(F.col("id").alias("function"))
-    named = paths.select("flow", F.posexplode(F.arrays_zip("path", "functions")).alias("step", "x")).select("flow", "step", F.col("x.path").alias("function"), F.col("x.functions").alias("name"))
-    shown = named.join(public, "function", "left_semi").groupBy("flow").agg(F.array_sort(F.collect_list(F.struct("step", "name"))).alias("p"))
+    own = contracts.groupBy(F.col("function").alias("id")).agg(F.collect_set("contract").alias("contracts"))
     none = F.array().cast("array<string>")
-    out = paths.join(hops, "flow", "left").join(shown, "flow", "left").select(
-        F.get("path", F.lit(0)).alias("flow"), "functions", "modules", F.coalesce("contracts", none).alias("contracts"),
-        F.array_distinct(F.coalesce("p.name", none)).alias("public"), F.get("functions", F.lit(0)).alias("entry"),
-    ).join(covered.select("entry").distinct(), "entry", "left_anti")
-    one = out.groupBy("flow", "functions", "modules").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("contracts")))).alias("contracts"), F.max("public").alias("public"),
-        F.first("entry").alias("entry"), F.element_at("functions", -1).alias("sink"),
+    shown = F.col("public") & F.col("role").isin("prod_core", "prod_entrypoint")
+    known = functions.join(own, "id", "left").select("id", F.struct("name", "module", role_weight(F.col("role")).alias("weight"), F.coalesce("contracts", none).alias("contracts"), F.coalesce(shown, F.lit(False)).alias("shown")).alias("f"))
+    begins = functions.join(entries.select("id").distinct(), "id", "left_semi").join(covered.select(F.col("entry").alias("name")).distinct(), "name", "left_anti").select("id")
+    out = _walked(known, calls, begins, most, fan, least_role).select(
+        F.get("path", F.lit(0)).alias("flow"), F.col("fs.name").alias("functions"), F.col("fs.module").alias("modules"), F.array_distinct(F.flatten("fs.contracts")).alias("contracts"),
+        F.array_distinct(F.transform(F.filter("fs", lambda x: x["shown"]), lambda x: x["name"])).alias("public"),
     )
+    one = out.groupBy("flow", "functions", "modules").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("contracts")))).alias("contracts"), F.max("public").alias("public"))
+    one = one.withColumns({"entry": F.get("functions", F.lit(0)), "sink": F.element_at("functions", -1)})
     return _told(one, functions, "canonical_entry")
 
 
