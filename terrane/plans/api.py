@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from terrane.functions.scratch import materialize
 from terrane.operators import change, decision, graph, search
 from terrane.plans.cypher import Graph
 
@@ -32,15 +33,40 @@ def processes_of(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return steps.join(ids.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("process"), "step")
 
 
-def detect_changes(hunks: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, most: int = 200) -> DataFrame:
-    """``id``, ``how`` (changed or affected), ``depth`` from diff hunks (``file``, ``start``, ``end``): merged, overlapped with nodes' lines, and followed."""
+#: Types by which a change of lines reaches others, and labels that no line change is told for.
+DIFF_TYPES = ("CALLS", "IMPORTS", "EXTENDS", "IMPLEMENTS", "HAS_METHOD", "HAS_PROPERTY", "ACCESSES", "HANDLES_ROUTE", "FETCHES", "HANDLES_TOOL", "STEP_IN_PROCESS")
+NO_LINES = ("File", "Folder", "Community", "Process")
+
+
+def changed_nodes(hunks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id`` of the nodes whose lines a hunk (``file``, ``start``, ``end``) touches; ``nodes`` may have a ``label``, by which files, folders and the like are left out."""
     ranges = change.merge_ranges(hunks.withColumnRenamed("file", "key")).withColumn("a_id", F.monotonically_increasing_id())
-    spans = nodes.where("endLine >= startLine and startLine > 0").select(F.col("filePath").alias("key"), F.col("id").alias("b_id"), F.col("startLine").alias("start"), F.col("endLine").alias("end"))
-    touched = change.overlaps(ranges, spans, 200).select(F.col("b_id").alias("id")).distinct()
+    some = nodes.where(~F.coalesce("label", F.lit("")).isin(*NO_LINES)) if "label" in nodes.columns else nodes
+    spans = some.where("endLine >= startLine and startLine > 0").select(F.col("filePath").alias("key"), F.col("id").alias("b_id"), F.col("startLine").alias("start"), F.col("endLine").alias("end"))
+    return change.overlaps(ranges, spans, 200).select(F.col("b_id").alias("id")).distinct()
+
+
+def detect_changes(hunks: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3, most: int = 200) -> DataFrame:
+    """``id``, ``how`` (changed or affected), ``depth`` from diff hunks: merged, overlapped with nodes' lines, and followed; the first ``most`` affected are told."""
+    touched = changed_nodes(hunks, nodes)
     reached = graph.k_hop(edges, touched, depth, "upstream", IMPACT_TYPES).orderBy("depth", "id").limit(most)
     return touched.select("id", F.lit("changed").alias("how"), F.lit(0).alias("depth")).union(reached.select("id", F.lit("affected"), "depth"))
 
 
+def diff_risk(affected: Column, processes: Column) -> Column:
+    """HIGH from 50 affected symbols or 10 steps of processes, MEDIUM from 10 or 1, else LOW."""
+    return F.when((affected >= 50) | (processes >= 10), "HIGH").when((affected >= 10) | (processes > 0), "MEDIUM").otherwise("LOW")
+
+
+def change_summary(hunks: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 3) -> DataFrame:
+    """One row: ``changed``, ``affected`` (all that is reached, not only what a report tells), ``processes`` (steps of processes that are changed symbols), ``risk``."""
+    touched = materialize(changed_nodes(hunks, nodes), "touched")
+    affected = graph.k_hop(edges, touched, depth, "upstream", DIFF_TYPES).agg(F.count("*").alias("affected"))
+    steps = processes_of(edges, touched).select("node", "process").distinct().agg(F.count("*").alias("processes"))
+    row = touched.agg(F.count("*").alias("changed")).crossJoin(affected).crossJoin(steps)  # one row each
+    return row.withColumn("risk", diff_risk(F.col("affected"), F.col("processes")))
+
+
 def route_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``route``, ``handlers``, ``consumers`` (sorted): one pass over the edges at routes."""
     at = edges.where("type in ('HANDLES_ROUTE', 'FETCHES')").join(nodes.where("label = 'Route'").select(F.col("id").alias("dst")), "dst")

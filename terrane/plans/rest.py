@@ -303,19 +303,39 @@ def route_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH h AS (SELECT o_custkey AS f, o_orderkey % 400 AS s, o_orderkey % 400 + o_orderkey % 9 AS e FROM orders WHERE o_orderkey % 3 = 0), n AS (SELECT 'c' || o_custkey || '.' || o_orderkey % 25 AS id, o_custkey AS f, min(o_orderkey % 25 * 20 + 1) AS s, min(o_orderkey % 25 * 20 + 10) AS e FROM orders GROUP BY 1, 2),
+    """WITH h AS (SELECT o_custkey AS f, o_orderkey % 400 AS s, o_orderkey % 400 + o_orderkey % 9 AS e FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT 'c' || o_custkey || '.' || o_orderkey % 25 AS id, o_custkey AS f, min(o_orderkey % 25 * 20 + 1) AS s, min(o_orderkey % 25 * 20 + 10) AS e FROM orders GROUP BY 1, 2),
     t AS (SELECT DISTINCT id FROM n JOIN h USING (f) WHERE n.s <= h.e AND n.e >= h.s) SELECT id, 'changed' AS how, 0 AS depth FROM t"""
 )
 def detected_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Hunks of files against the lines of their symbols; no calls lead on."""
     o, k = F.col("o_orderkey"), F.col("o_custkey")
     orders = table(spark, sf, "orders")
-    hunks = orders.where("o_orderkey % 3 = 0").select(k.alias("file"), (o % 400).alias("start"), (o % 400 + o % 9).alias("end"))
+    hunks = orders.where("o_orderstatus = 'F'").select(k.alias("file"), (o % 400).alias("start"), (o % 400 + o % 9).alias("end"))
     nodes = orders.select(_text("c", k, ".", o % 25).alias("id"), k.alias("filePath"), (o % 25 * 20 + 1).alias("startLine"), (o % 25 * 20 + 10).alias("endLine")).distinct()
     edges = spark.createDataFrame([], "src string, dst string, type string, confidence double")
     return api.detect_changes(hunks, nodes, edges)
 
 
+@query(
+    """WITH RECURSIVE h AS (SELECT o_custkey AS f, o_orderkey % 400 AS s, o_orderkey % 400 + o_orderkey % 9 AS e FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'), n AS (SELECT DISTINCT o_custkey AS f, o_orderkey % 25 AS k, ['Function', 'File', 'Method'][o_orderkey % 25 % 3 + 1] AS label FROM orders),
+    t AS (SELECT DISTINCT n.f, k FROM n JOIN h USING (f) WHERE label <> 'File' AND k * 20 + 1 <= h.e AND k * 20 + 10 >= h.s), c AS (SELECT a.f, a.k AS src, b.k AS dst FROM n a JOIN n b ON a.f = b.f AND b.k = a.k + 1),
+    w AS (SELECT f, k, 0 AS d FROM t UNION SELECT w.f, src, d + 1 FROM w JOIN c ON c.f = w.f AND c.dst = w.k WHERE d < 3), a AS (SELECT DISTINCT f, k FROM w WHERE (f, k) NOT IN (SELECT (f, k) FROM t)), p AS (SELECT * FROM t WHERE k % 5 = 0),
+    x AS (SELECT (SELECT count(*) FROM t) AS changed, (SELECT count(*) FROM a) AS affected, (SELECT count(*) FROM p) AS processes)
+    SELECT *, CASE WHEN affected >= 50 OR processes >= 10 THEN 'HIGH' WHEN affected >= 10 OR processes > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM x"""
+)
+def change_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Symbols of a file call the next one; some are steps of processes."""
+    o, k = F.col("o_orderkey"), F.col("o_custkey")
+    orders = table(spark, sf, "orders")
+    hunks = orders.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select(k.alias("file"), (o % 400).alias("start"), (o % 400 + o % 9).alias("end"))
+    n = materialize(orders.select(k.alias("f"), (o % 25).alias("k")).distinct(), "nodes")
+    nodes = n.select(_text("c", F.col("f"), ".", F.col("k")).alias("id"), _pick(F.col("k"), ("Function", "File", "Method")).alias("label"), F.col("f").alias("filePath"), (F.col("k") * 20 + 1).alias("startLine"), (F.col("k") * 20 + 10).alias("endLine"))
+    calls = n.join(n.select("f", (F.col("k") - 1).alias("k")), ["f", "k"]).select(_text("c", F.col("f"), ".", F.col("k")).alias("src"), _text("c", F.col("f"), ".", F.col("k") + 1).alias("dst"), F.lit("CALLS").alias("type"))
+    steps = n.where("k % 5 = 0").select(_text("c", F.col("f"), ".", F.col("k")), _text("p", F.col("f") % 10), F.lit("STEP_IN_PROCESS"))
+    edges = calls.union(steps).select("src", "dst", "type", F.lit(1.0).alias("confidence"), F.lit(1).alias("step"))
+    return api.change_summary(hunks, nodes, edges)
+
+
 @query(
     with_("trade")
     + """, m AS (SELECT DISTINCT src_module, dst_module FROM trade WHERE src_module <> dst_module), r AS (SELECT CASE src_module WHEN 'NATION_1' THEN 'RENAMED' ELSE src_module END AS a, CASE dst_module WHEN 'NATION_1' THEN 'RENAMED' ELSE dst_module END AS b FROM m)

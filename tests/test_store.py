@@ -123,3 +123,14 @@ def test_a_value_is_carried_along_any_number_of_lines(spark, monkeypatch):
     lines = spark.createDataFrame(rows, "seq long, v string").repartition(3)
     got = [r.x for r in code.carried(lines, F.col("v"), "x").orderBy("seq").collect()]
     assert got == [None, None, *["a"] * 8, "b", "b", "c", "c", "c", "d"]
+
+
+def test_a_change_with_all_that_it_reaches(spark):
+    t = spark.createDataFrame
+    hunks = t([("a.py", 1, 4), ("a.py", 3, 6), ("b.py", 90, 99)], "file string, start long, end long")
+    nodes = t([("f", "Function", "a.py", 5, 9), ("g", "Function", "a.py", 7, 9), ("File:a", "File", "a.py", 1, 99), ("x", "Method", "b.py", 1, 89)], "id string, label string, filePath string, startLine long, endLine long")
+    edges = t([("c1", "f", "CALLS", 1.0, 0), ("c2", "c1", "CALLS", 1.0, 0), ("c3", "c2", "QUERIES", 1.0, 0), ("f", "p", "STEP_IN_PROCESS", 1.0, 2)], "src string, dst string, type string, confidence double, step int")
+    row = api.change_summary(hunks, nodes, edges).first()
+    assert (row.changed, row.affected, row.processes, row.risk) == (1, 2, 1, "MEDIUM")
+    told = [r.r for r in t([(0, 0), (9, 0), (10, 0), (0, 9), (49, 9), (50, 0), (0, 10)], "a int, p int").select(api.diff_risk(F.col("a"), F.col("p")).alias("r")).collect()]
+    assert told == ["LOW", "LOW", "MEDIUM", "MEDIUM", "MEDIUM", "HIGH", "HIGH"]
