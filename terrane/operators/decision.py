@@ -54,7 +54,8 @@ def closure_members(units: DataFrame, symmetry: DataFrame, cochange: DataFrame)
     """``target``, ``unit``, ``level``, ``reason``, ``confidence``: what has to be looked at, or changed, with a unit.
 
     ``units``: ``family``, ``unit``, ``file``; ``cochange``: ``a``, ``b``, ``confidence`` of files. Symmetry outranks
-    co-change of files, which outranks a shared family; each member is told once.
+    co-change of files, which outranks a shared family; each member is told once. Of several rules for one pair of files the first in the order of
+    :func:`change.ranked_rules` counts: the surest.
     """
     ends = symmetry.select(F.col("from_unit").alias("target"), F.col("to_unit").alias("unit"), "strength", "score")
     ends = ends.union(symmetry.select("to_unit", "from_unit", "strength", "score"))
