@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from terrane.functions import names
 from terrane.functions.scratch import drop, materialize, scratch_root
-from terrane.operators import architecture, planning, resolution
+from terrane.operators import architecture, index, planning, resolution
 from terrane.plans import adapters as A, api
 from terrane.plans.adapters import with_
 from terrane.plans.registry import query
@@ -378,3 +378,66 @@ def stored_facts(spark: SparkSession, sf: str) -> DataFrame:
     out = materialize(out.union(added).union(told).union(hits.agg(F.lit("cached"), F.lit("files"), F.count("*"))), "facts")
     drop(spark, path)
     return out
+
+
+@query(
+    """SELECT c_custkey AS id, c_name AS label, ['added', 'changed', 'removed'][c_custkey % 3 + 1] AS status FROM customer WHERE c_custkey % 3 < 2 AND contains(lower(c_custkey || ' ' || c_name), '7')"""
+)
+def recent_matches(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return index.recent_matches(table(spark, sf, "customer").select(k.alias("id"), F.col("c_name").alias("label"), _pick(k, ("added", "changed", "removed")).alias("status")), "7")
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY s_suppkey) AS nth, s_name || ' of ' || s_nationkey AS line FROM supplier), n AS (SELECT count(*)::INT AS k FROM l UNION ALL SELECT floor(k * 0.75)::INT FROM n WHERE k > 1),
+    f AS (SELECT max(k) AS k FROM n WHERE (SELECT sum(length(line) + 1) FROM l WHERE nth <= k) <= 1000) SELECT nth, line FROM l WHERE nth <= coalesce((SELECT k FROM f), (SELECT min(k) FROM n))"""
+)
+def report_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers as the lines of a report of at most 1,000 characters: that limit is what the operator is for."""
+    lines = table(spark, sf, "supplier").select(F.row_number().over(Window.orderBy("s_suppkey")).cast("long").alias("nth"), _text(F.col("s_name"), " of ", F.col("s_nationkey")).alias("line"))
+    return index.within_budget(lines, 1000)
+
+
+@query(
+    """SELECT '/' || lower(p_type) || '/' || p_partkey AS path, CASE WHEN lower(p_type) IN ('promo', 'small') THEN list_concat(['auth', 'log'], list_filter(['own' || p_size % 3, 'log'], lambda x: x <> 'log')) ELSE ['own' || p_size % 3, 'log'] END AS middleware FROM part"""
+)
+def attached_middleware(spark: SparkSession, sf: str) -> DataFrame:
+    routes = table(spark, sf, "part").select(_text("/", F.lower("p_type"), "/", F.col("p_partkey")).alias("path"), F.array(_text("own", F.col("p_size") % 3), F.lit("log")).alias("middleware"))
+    return architecture.attach_middleware(routes, ["auth", "log"], ["/promo/.*", "/sma[lL]+/[0-9]+"])
+
+
+@query(
+    """WITH t AS (SELECT 't' || p_size AS tool, list_sort(list(DISTINCT p_brand)) AS handlers FROM part WHERE p_size % 4 > 0 GROUP BY 1) SELECT DISTINCT 't' || p_size AS tool, handlers FROM part LEFT JOIN t ON tool = 't' || p_size"""
+)
+def tool_map(spark: SparkSession, sf: str) -> DataFrame:
+    size = F.col("p_size")
+    part = table(spark, sf, "part")
+    nodes = part.select(_text("t", size).alias("id"), F.lit("Tool").alias("label")).distinct()
+    edges = part.where("p_size % 4 > 0").select(F.col("p_brand").alias("src"), _text("t", size).alias("dst"), F.lit("HANDLES_TOOL").alias("type"))
+    return api.tool_map(nodes, edges)
+
+
+@query(
+    """SELECT DISTINCT 's' || l_partkey AS node, 'o' || l_orderkey AS process, l_linenumber AS step FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'PROMO'"""
+)
+def processes_of_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    edges = table(spark, sf, "lineitem").select(_text("s", F.col("l_partkey")).alias("src"), _text("o", F.col("l_orderkey")).alias("dst"), F.lit("STEP_IN_PROCESS").alias("type"), F.col("l_linenumber").alias("step")).distinct()
+    return api.processes_of(edges, table(spark, sf, "part").where("p_type = 'PROMO'").select(_text("s", F.col("p_partkey")).alias("id")))
+
+
+@query(
+    with_("trade")
+    + """, f AS (SELECT 'dead-code' AS rule, 'INFO' AS severity, 's' || s_suppkey AS subject FROM supplier WHERE 's' || s_suppkey NOT IN (SELECT dst FROM trade WHERE name = 'Brand#3')
+      UNION ALL SELECT DISTINCT 'forbidden', 'ERROR', src_module || ' -> ' || dst_module FROM trade WHERE src_module <> dst_module AND src_module IN (SELECT n_name FROM nation WHERE n_regionkey = 2) AND dst_module IN (SELECT n_name FROM nation WHERE n_regionkey = 2)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY subject) AS nth, count(*) OVER (PARTITION BY rule) AS k FROM f)
+    SELECT rule, severity, subject FROM n WHERE nth <= 20 UNION ALL SELECT DISTINCT rule, severity, 'and ' || (k - 20) || ' more' FROM n WHERE k > 20"""
+)
+def lint_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 20 findings of each rule and the number of the others, as the tool reports them."""
+    n = table(spark, sf, "nation").where("n_regionkey = 2").select(F.col("n_name").alias("src_module"))
+    rules = n.join(n.select(F.col("src_module").alias("dst_module")), F.col("src_module") != F.col("dst_module"))  # five nations
+    calls = materialize(A.trade(spark, sf), "trade")
+    symbols = table(spark, sf, "supplier").select(_text("s", F.col("s_suppkey")).alias("id"))
+    dead = calls.where("name = 'Brand#3'")
+    found = api.lint(symbols, dead.union(calls.where("name <> 'Brand#3'").withColumn("dst", F.lit("elsewhere"))), rules)
+    return found
