@@ -77,7 +77,9 @@ def search_documents(index: tuple[DataFrame, DataFrame], query: str, limit: int
     for term, n in frequency.items():
         idf = F.log((F.lit(float(row.n)) - n + 0.5) / (F.lit(float(n)) + 0.5) + 1)
         score = F.when(F.col("term") == term, times[term] * idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + norm)).otherwise(score)
-    scored = found.groupBy("kind", "id").agg(F.sum(F.round(score, 12)).alias("score")).where((F.col("score") > 0) & (F.col("score") >= least))
+    # Summed as decimals: a sum of doubles depends on the order in which shuffled rows arrive, and copies of a text must score the same.
+    total = F.sum(F.round(score, 12).cast("decimal(28,12)")).cast("double")
+    scored = found.groupBy("kind", "id").agg(total.alias("score")).where((F.col("score") > 0) & (F.col("score") >= least))
     best = scored.orderBy(F.desc("score"), "kind", "id").limit(limit)
     return best if kind is None else best.where(F.col("kind") == kind)
 

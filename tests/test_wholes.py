@@ -133,3 +133,12 @@ def test_results_are_reused_for_the_same_rows(spark, tmp_path):
     assert run(edges, most=4)[1] is False
     assert run(edges.union(edges.limit(1)), most=4)[1] is False
     assert run(edges.withColumn("confidence", F.when(F.col("dst") == "b", 0.8).otherwise(F.col("confidence"))), most=4)[1] is False and len(made) == 4
+
+
+def test_copies_score_the_same_in_any_order(spark):
+    rows = [("d", f"{k:02}", t, tf, 40) for k in range(20) for t, tf in (("red", 1), ("blue", 3), ("green", 7), ("black", 2), ("white", 5), ("grey", 11))]
+    rows = [r for k in range(20) for r in (lambda x: x if k % 2 else x[::-1])([r for r in rows if r[1] == f"{k:02}"])]
+    posts = spark.createDataFrame(rows, "kind string, id string, term string, tf int, len int").coalesce(1)
+    for words in ("red blue green black white grey", "red blue green", "black white grey red", "grey blue white", "red red white green"):
+        got = D.search_documents((posts, spark.createDataFrame([(90, 31.7)], "n long, average double")), words, 10).collect()
+        assert [r.id for r in got] == [f"{k:02}" for k in range(10)] and len({r.score for r in got}) == 1
