@@ -80,3 +80,15 @@ def test_re_exports_and_imports(spark):
     imports = d([("src/m.ts", "./util"), ("src/m.ts", "b/util"), ("x.py", "lib.core")], "file string, raw string")
     assert {r.raw: r.target for r in resolution.import_targets(imports, files).collect()} == {"./util": "src/a/util.ts", "b/util": "src/b/util/index.ts", "lib.core": "lib/core.py"}
     assert resolution.gap_ratio(files.toDF("file"), d([("lib/core.py",)], "file string")) == 2 / 3
+
+
+def test_dispatch_shuffles_no_pairs(spark):
+    d = spark.createDataFrame
+    files, methods = d([("I", "f"), ("I", "g"), ("J", "g")], "interface string, file string"), d([("f", "m", "x"), ("g", "m", "x"), ("g", "m", "y"), ("g", "m", "y")], "file string, name string, symbol string")
+    calls = d([(1, "m", "I", "x"), (1, "m", "J", "x"), (2, "m", "I", None), (2, "m", "I", None), (3, "n", "I", None), (None, "m", "J", "y")], "call int, name string, receiver string, target string")
+    found = resolution.interface_dispatch(calls, files, methods)
+    assert sorted(((r.call, r.symbol) for r in found.collect()), key=str) == [(1, "y"), (2, "x"), (2, "y"), (None, "x")]
+    # Only calls that are given repeatedly are made distinct.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    head = plan[: plan.index("Aggregate [call")] if "Aggregate [call" in plan else plan
+    assert "Union" in head
