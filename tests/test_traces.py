@@ -96,3 +96,26 @@ def test_a_unit_counts_paths_and_not_their_short_ids(spark):
     two = ("aaaaaaaa", "2", "save:x", ["f", "g"], ["m", "n"])
     paths = spark.createDataFrame([one, two], "id string, flow string, family string, functions array<string>, modules array<string>")
     assert {r.n_paths for r in families.operation_units(paths).collect()} == {2}
+
+
+def test_a_walk_writes_less_than_its_paths(spark, monkeypatch):
+    n = 60
+    functions = spark.createDataFrame([(k, f"f{k}", f"m{k % 2}", "prod_core", True) for k in range(n)], "id long, name string, module string, role string, public boolean")
+    calls = spark.createDataFrame([(k, (k * 3 + j) % n) for k in range(n) for j in range(1, 4)], "src long, dst long")
+    written, write = [], families.materialize
+    monkeypatch.setattr(families, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    entries = functions.select("id")
+    paths = {tuple(r.path) for r in families.call_paths(functions, calls, entries).collect()}
+    assert sum(df.count() for df in written) < len(paths) / 2
+    to = {k: sorted({(k * 3 + j) % n for j in range(1, 4)}) for k in range(n)}
+
+    def walk(path):
+        if len(path) == 6 or path[-1] in path[:-1]:
+            return [path]
+        return [p for x in to[path[-1]] for p in walk((*path, x))]
+
+    assert paths == {p for k in range(n) for p in walk((k,)) if len({x % 2 for x in p}) > 1}
+    for most in (1, 2, 3, 5):
+        got = [tuple(r.path) for r in families.call_paths(functions, calls, entries, most).collect()]
+        cut = {p[:most] for k in range(n) for p in walk((k,))}
+        assert len(got) == len(set(got)) and set(got) == {p for p in cut if len({x % 2 for x in p}) > 1}
