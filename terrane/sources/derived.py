@@ -43,7 +43,7 @@ def refresh_embeddings(store: GraphStore, nodes: DataFrame, model: str, embed: E
     old = store.read("embeddings", EMBEDDINGS)
     before = old.count()
     usable = old.where((F.col("model") == model) & (F.col("struct_hash") != "") & F.lit(not force)).select("layer", "id", "struct_hash", "vector")
-    both = wanted.join(usable, ["layer", "id", "struct_hash"], "left")
+    both = wanted.join(usable.hint("merge"), ["layer", "id", "struct_hash"], "left")  # never a broadcast: vectors would go through the driver at each refresh
     misses = both.where("vector IS NULL").select("layer", "id", "struct_hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,3 +142,13 @@ def test_copies_score_the_same_in_any_order(spark):
     for words in ("red blue green black white grey", "red blue green", "black white grey red", "grey blue white", "red red white green"):
         got = D.search_documents((posts, spark.createDataFrame([(90, 31.7)], "n long, average double")), words, 10).collect()
         assert [r.id for r in got] == [f"{k:02}" for k in range(10)] and len({r.score for r in got}) == 1
+
+
+def test_refreshes_send_no_vectors_through_the_driver(spark, tmp_path, monkeypatch):
+    store, plans, write = GraphStore(spark, str(tmp_path)), [], GraphStore.write
+    nodes = spark.range(20).selectExpr("'m' AS layer", "id", "id AS struct_hash", "'x' AS text")
+    told = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(GraphStore, "write", lambda self, name, df, *rest, **more: plans.append(told(df)) or write(self, name, df, *rest, **more))
+    for embedded in (20, 0):
+        assert derived.refresh_embeddings(store, nodes, "a", derived.hashed_vectors)["embedded"] == embedded
+    assert len(plans) == 2 and not any("BroadcastExchange" in p for p in plans)
