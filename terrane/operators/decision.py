@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from terrane.functions.scratch import materialize
+
 KIND, MODULE, WORDS = 0.45, 0.3, 0.25
 SOFT_AT = 0.55
 
@@ -14,6 +16,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
 
 
+def _likeness() -> tuple[Column, Column]:
+    """The score and strength of two units with ``k1``, ``k2`` (kinds), ``m1``, ``m2`` (modules), ``w1``, ``w2`` (words)."""
+    alike_kind, alike_module = F.col("k1") == F.col("k2"), F.col("m1") == F.col("m2")
+    score = alike_kind.cast("int") * KIND + alike_module.cast("int") * MODULE + jaccard(F.col("w1"), F.col("w2")) * WORDS
+    score = F.when(alike_kind | alike_module, score)  # words alone are too little
+    return score, F.when(alike_kind & alike_module & (F.col("k1") != "unknown"), "hard").when(score >= SOFT_AT, "soft")
+
+
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _words() -> Column:
+    return F.array_sort(F.array_distinct(F.coalesce("words", F.array().cast("array<string>"))))
+
+
 def symmetry_edges(units: DataFrame) -> DataFrame:
     """``family``, ``from_unit``, ``to_unit``, ``score``, ``strength`` of the unordered pairs of a family that are alike.
 
@@ -21,42 +39,91 @@ def symmetry_edges(units: DataFrame) -> DataFrame:
     module are ``hard``; others are ``soft`` from a score of ``SOFT_AT``: .45 for the kind, .3 for the module, .25 times the words'
     Jaccard similarity. So pairs of one kind in two modules need a similarity of .4, and pairs of two kinds in one module
     equal words: they come from an index of each unit's rarest words, of which such a pair shares one, and from the words
-    as a whole; nothing else is paired.
+    as a whole; nothing else is paired. A pair that shares several of the rarest words is told at the first one, so pairs are neither shuffled nor held.
     """
-    units = units.withColumn("words", F.array_sort(F.array_distinct(F.coalesce("words", F.array().cast("array<string>")))))
-    b = units.select(F.col("family"), F.col("unit").alias("to_unit"), F.col("kind").alias("k2"), F.col("module").alias("m2"), F.col("words").alias("w2"))
-    a = units.select("family", F.col("unit").alias("from_unit"), F.col("kind").alias("k1"), F.col("module").alias("m1"), F.col("words").alias("w1"))
+    units = materialize(units.select("family", "unit", "kind", "module", _words().alias("words"), F.monotonically_increasing_id().alias("row")), "units")
+    parts = _parts(units)
+    side = lambda n, unit, *more: [F.col("unit").alias(unit), F.col("kind").alias(f"k{n}"), F.col("module").alias(f"m{n}"), F.col("words").alias(f"w{n}"), *more]
     ordered, cross = F.col("from_unit") < F.col("to_unit"), F.col("m1") != F.col("m2")
-    same = a.join(b, (a.family == b.family) & (F.col("k1") == F.col("k2")) & (F.col("m1") == F.col("m2")) & ordered).drop(b.family)
-    named = (F.col("m1") == F.col("m2")) & (F.col("k1") != F.col("k2")) & (F.col("w1") == F.col("w2")) & (F.size("w1") > 0)
-    equal = a.join(b, (a.family == b.family) & named & ordered).drop(b.family)
 
-    word = units.select("family", "kind", "unit", F.explode("words").alias("word"))
+    def met(rows: DataFrame, keys: list[str], *more: str) -> DataFrame:
+        """All ordered pairs of rows with equal keys, by a fixed number of tasks: few bytes make many pairs."""
+        a = rows.select(*keys, *side(1, "from_unit", *[F.col(c).alias(f"{c}1") for c in more])).repartition(parts, *keys)
+        b = rows.select(*keys, *side(2, "to_unit", *[F.col(c).alias(f"{c}2") for c in more]))
+        return a.join(b.hint("merge"), keys).where(ordered)
+
+    same = met(units.withColumns({"a": F.col("kind"), "b": F.col("module")}), ["family", "a", "b"])
+    equal = met(units.where(F.size("words") > 0).withColumns({"a": F.col("module"), "b": F.array_join("words", "\0")}), ["family", "a", "b"]).where((F.col("k1") != F.col("k2")) & (F.col("w1") == F.col("w2")))
+
+    word = units.select("family", "kind", "row", F.explode("words").alias("word"))
     often = word.groupBy("family", "kind", "word").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("family", "kind", "unit").orderBy("often", "word"))
-    size = F.count("*").over(Window.partitionBy("family", "kind", "unit"))
     least = (SOFT_AT - KIND) / WORDS
-    rare = word.join(often, ["family", "kind", "word"]).withColumn("place", place).withColumn("size", size)
-    rare = rare.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least - 1e-9) + 1).select("family", "kind", "word", "unit")
-    met = rare.withColumnRenamed("unit", "from_unit").join(rare.withColumnRenamed("unit", "to_unit"), ["family", "kind", "word"]).where(ordered)
-    near = met.select("family", "from_unit", "to_unit").distinct().join(a, ["family", "from_unit"]).join(b, ["family", "to_unit"]).where(cross)
+    ranked = word.join(often, ["family", "kind", "word"]).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("all"))
+    n = F.size("all")
+    rare = ranked.select("row", F.slice(F.col("all.word"), 1, (n - F.ceil(n * least - 1e-9) + 1).cast("int")).alias("rare"))
+    index = units.join(rare, "row").withColumns({"a": F.col("kind"), "b": F.explode("rare")})
+    near = met(index, ["family", "a", "b"], "rare").where(cross & (F.col("b") == F.element_at(F.array_intersect("rare1", "rare2"), 1)))
 
     columns = ["family", "from_unit", "to_unit", "k1", "k2", "m1", "m2", "w1", "w2"]
     both = same.select(columns).union(equal.select(columns)).union(near.select(columns))
-    alike_kind, alike_module = F.col("k1") == F.col("k2"), F.col("m1") == F.col("m2")
-    score = alike_kind.cast("int") * KIND + alike_module.cast("int") * MODULE + jaccard(F.col("w1"), F.col("w2")) * WORDS
-    strength = F.when(alike_kind & alike_module & (F.col("k1") != "unknown"), "hard").when(score >= SOFT_AT, "soft")
+    score, strength = _likeness()
     out = both.select("family", "from_unit", "to_unit", F.round(score, 3).alias("score"), strength.alias("strength"))
     return out.where(F.col("strength").isNotNull())
 
 
-def closure_members(units: DataFrame, symmetry: DataFrame, cochange: DataFrame) -> DataFrame:
+def closure_members(units: DataFrame, symmetry: DataFrame | None, cochange: DataFrame) -> DataFrame:
     """``target``, ``unit``, ``level``, ``reason``, ``confidence``: what has to be looked at, or changed, with a unit.
 
     ``units``: ``family``, ``unit``, ``file``; ``cochange``: ``a``, ``b``, ``confidence`` of files. Symmetry outranks
     co-change of files, which outranks a shared family; each member is told once. Of several rules for one pair of files the first in the order of
     :func:`change.ranked_rules` counts: the surest.
+
+    Without ``symmetry``, it is that of :func:`symmetry_edges` (``units`` then have ``kind``, ``module``, ``words`` too), told for each pair of a family where it
+    meets. All pairs of a family are members, so the result grows with the square of families; it is streamed: only pairs with a unit that is given
+    repeatedly are shuffled. Units are dealt evenly by their name, and each part meets its own copy of the others.
     """
+    if symmetry is not None:
+        return _members_by(units, symmetry, cochange)
+    rules = cochange.select("a", "b", "confidence").union(cochange.select("b", "a", "confidence")).where("a <> b")
+    rules = materialize(rules.groupBy("a", "b").agg(F.max("confidence").alias("confidence")), "rules")
+    by_file = rules.groupBy(F.col("a").alias("file")).agg(F.map_from_entries(F.collect_list(F.struct("b", "confidence"))).alias("rules"))
+    each = units.select("family", "unit", "file", "kind", "module", _words().alias("words"), (F.count("*").over(Window.partitionBy("unit")) > 1).alias("often"))
+    each = materialize(each.join(by_file, "file", "left"), "units")
+    parts = _parts(units)
+    deal = 4 * parts
+
+    def dealt(x: DataFrame, y: DataFrame, *on: str) -> DataFrame:
+        x = x.withColumn("part", F.pmod(F.xxhash64("target"), F.lit(deal))).repartition(parts, "part", *on)
+        y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(deal - 1))))
+        return x.join(y.hint("merge"), ["part", *on]).where("target <> unit")  # the copies are many: never a broadcast
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        mine = x.select("family", F.col("unit").alias("target"), F.col("kind").alias("k1"), F.col("module").alias("m1"), F.col("words").alias("w1"), "rules")
+        peer = y.select("family", "unit", "file", F.col("kind").alias("k2"), F.col("module").alias("m2"), F.col("words").alias("w2"))
+        score, strength = _likeness()
+        kin = dealt(mine, peer, "family").select("target", "unit", F.round(score, 3).alias("score"), strength.alias("strength"), F.element_at("rules", F.col("file")).alias("rule"))
+        alike, ruled = F.col("strength").isNotNull(), F.col("rule").isNotNull()
+        of = lambda first, second, third: F.when(alike, first).when(ruled, second).otherwise(third)
+        kin = kin.select(
+            "target", "unit", of(F.lit(1), F.lit(2), F.lit(3)).alias("priority"),
+            of(F.when(F.col("strength") == "hard", "must_review").otherwise("should_review"), F.lit("should_review"), F.lit("must_change_if_strategy_selected")).alias("level"),
+            of(F.lit("symmetry"), F.lit("cochange"), F.lit("family")).alias("reason"), of(F.col("score"), F.col("rule"), F.lit(0.5)).alias("confidence"),
+        )
+        ruled_by = x.select(F.col("family").alias("f1"), F.col("unit").alias("target"), F.explode("rules").alias("file", "confidence"))
+        far = dealt(ruled_by, y.select("family", "unit", "file"), "file").where(~F.coalesce(F.col("f1") == F.col("family"), F.lit(False)))
+        return kin.union(far.select("target", "unit", F.lit(2), F.lit("should_review"), F.lit("cochange"), "confidence"))
+
+    one, many = each.where("not often"), each.where("often")
+    repeated = pairs(many, each).union(pairs(one, many)).withColumn("weight", -F.col("confidence"))
+    return pairs(one, one).select("target", "unit", "level", "reason", "confidence").union(_best(repeated))
+
+
+def _best(every: DataFrame) -> DataFrame:
+    best = every.groupBy("target", "unit").agg(F.min(F.struct("priority", "weight", "level", "reason", "confidence")).alias("x"))
+    return best.select("target", "unit", "x.level", "x.reason", "x.confidence")
+
+
+def _members_by(units: DataFrame, symmetry: DataFrame, cochange: DataFrame) -> DataFrame:
     ends = symmetry.select(F.col("from_unit").alias("target"), F.col("to_unit").alias("unit"), "strength", "score")
     ends = ends.union(symmetry.select("to_unit", "from_unit", "strength", "score"))
     level = F.when(F.col("strength") == "hard", "must_review").otherwise("should_review")
@@ -70,8 +137,7 @@ def closure_members(units: DataFrame, symmetry: DataFrame, cochange: DataFrame)
     third = mine.join(peer, "family").where("target <> unit")
     third = third.select("target", "unit", F.lit(3).alias("priority"), F.lit("must_change_if_strategy_selected").alias("level"), F.lit("family").alias("reason"), F.lit(0.5).alias("confidence"))
     every = first.union(second).union(third).withColumn("weight", -F.col("confidence"))
-    best = every.groupBy("target", "unit").agg(F.min(F.struct("priority", "weight", "level", "reason", "confidence")).alias("x"))
-    return best.select("target", "unit", "x.level", "x.reason", "x.confidence")
+    return _best(every)
 
 
 def abstractions(paths: DataFrame, least: int = 3) -> DataFrame:

@@ -4,6 +4,7 @@ from itertools import product
 
 import pytest
 
+from terrane.operators import decision
 from terrane.plans.cypher import Graph
 
 
@@ -24,3 +25,38 @@ def test_patterns_of_a_hub_are_not_multiplied(spark, text, expected):
     assert {tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in df.collect()} == expected
     if "OR" not in text:  # a condition on both patterns needs both
         assert "LeftSemi" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _units(spark, rows):
+    return spark.createDataFrame(rows, "family string, unit string, kind string, module string, file string, words array<string>")
+
+
+def test_pairs_of_a_family_are_not_shuffled(spark):
+    rows = [("f", f"u{k}", "ab"[k % 2] if k % 7 else "unknown", f"m{k % 3}", f"x{k % 4}", [f"w{k % 2}", f"v{k % 3}", f"t{k % 5}"]) for k in range(24)]
+    rows += [("g", "u1", "a", "m0", "x9", ["w0"]), ("g", "z", "a", "m0", "x1", None), (None, "n", "a", "m0", "x2", ["w1"]), ("g", "z", "a", "m1", "x3", ["w0"]), ("g", None, "a", "m0", "x1", ["w0"]), ("g", "y", None, "m0", None, ["w0"])]
+    units, rules = _units(spark, rows), spark.createDataFrame([("x0", "x1", 0.7), ("x1", "x0", 0.9), ("x2", "x3", 0.6), ("x1", "x9", 0.8)], "a string, b string, confidence double")
+    got = decision.closure_members(units, None, rules)
+    want = decision.closure_members(units, decision.symmetry_edges(units), rules)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    reasons = {r.reason for r in got.collect()}
+    assert reasons == {"symmetry", "cochange", "family"}
+    once = got._jdf.queryExecution().executedPlan().toString().split("Aggregate(")[0]  # the branch of units that are given once comes first
+    assert "Exchange hashpartitioning(target" not in once and "Exchange hashpartitioning(part" in once
+
+
+def test_symmetry_pairs_are_not_made_distinct(spark):
+    rows = [("f", f"u{k % 28}", "ab"[k % 2], f"m{k % 3}", "x", [f"w{k % 2}", f"v{k % 3}", f"t{k % 5}", f"s{k % 7}"]) for k in range(40)]
+    rows += [("f", "e1", "a", "m1", "x", []), ("f", "e2", "a", "m2", "x", None), ("f", "e3", None, "m2", "x", ["w1"]), ("f", "q", "c", "m9", "x", ["a\0b"]), ("f", "r", "d", "m9", "x", ["a", "b"])]
+    units = _units(spark, rows)
+    found = decision.symmetry_edges(units)
+    want = []
+    for x, y in product(rows, rows):
+        if x[1] < y[1] and None not in (x[2], y[2]):
+            a, b = set(x[5] or ()), set(y[5] or ())
+            score = (x[2] == y[2]) * 0.45 + (x[3] == y[3]) * 0.3 + (len(a & b) / len(a | b) if a | b else 0.0) * 0.25
+            hard = x[2] == y[2] and x[3] == y[3]
+            if hard or score >= 0.55:
+                want.append(("f", x[1], y[1], round(score, 3), "hard" if hard else "soft"))
+    assert sorted((r.family, r.from_unit, r.to_unit, round(r.score, 2), r.strength) for r in found.collect()) == sorted((*w[:3], round(w[3], 2), w[4]) for w in want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("to_unit" in line for line in plan.splitlines() if "Aggregate [" in line)
