@@ -148,8 +148,13 @@ def affected(changed: DataFrame, files: DataFrame, calls: DataFrame) -> DataFram
 def wildcard_bindings(imports: DataFrame, exports: DataFrame, most: int = 1000) -> DataFrame:
     """``file``, ``name``, ``symbol``: the names that a file gets from all of its imports; the first import wins, up to ``most`` a file.
 
-    ``imports``: ``file``, ``target``, ``seq``; ``exports``: ``target``, ``name``, ``symbol``.
+    ``imports``: ``file``, ``target``, ``seq``; ``exports``: ``target``, ``name``, ``symbol``. Of a file's imports with the same names only the first,
+    and those that are equally early, can win; only they meet their names.
     """
-    found = imports.join(exports, "target").groupBy("file", "name").agg(F.min(F.struct("seq", "symbol")).alias("x"))
+    told = exports.groupBy("target", "name").agg(F.min(F.struct("symbol")).getField("symbol").alias("symbol"))
+    names = told.groupBy("target").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name")))), 256).alias("names"))
+    early = imports.join(names, "target").withColumn("early", F.rank().over(Window.partitionBy("file", "names").orderBy("seq")))
+    first = early.where("early = 1").select("file", "target", "seq")
+    found = first.join(told, "target").groupBy("file", "name").agg(F.min(F.struct("seq", "symbol")).alias("x"))
     nth = F.row_number().over(Window.partitionBy("file").orderBy("x.seq", "name"))
     return found.withColumn("nth", nth).where(F.col("nth") <= most).select("file", "name", F.col("x.symbol").alias("symbol"))

@@ -4,7 +4,7 @@ from itertools import product
 
 import pytest
 
-from terrane.operators import decision
+from terrane.operators import change, decision
 from terrane.plans.cypher import Graph
 
 
@@ -60,3 +60,16 @@ def test_symmetry_pairs_are_not_made_distinct(spark):
     assert sorted((r.family, r.from_unit, r.to_unit, round(r.score, 2), r.strength) for r in found.collect()) == sorted((*w[:3], round(w[3], 2), w[4]) for w in want)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any("to_unit" in line for line in plan.splitlines() if "Aggregate [" in line)
+
+
+def test_only_the_first_imports_of_the_same_names_meet_them(spark):
+    imports = [(f, t, (f * t) % 4 if t % 5 else None) for f in range(6) for t in range(12) if (f + t) % 3]
+    exports = [(t, f"n{k}", (t * 7 + k) % 11) for t in range(12) for k in range(3 + t % 2)] + [(t, None, t) for t in (1, 2, 4)] + [(3, "n0", None), (3, "n1", 0)]
+    best = {}
+    for (f, t, seq), (u, name, symbol) in product(imports, exports):
+        if t == u:
+            key, rank = (f, name), ((seq is not None, seq or 0), (symbol is not None, symbol or 0), symbol)
+            best[key] = min(best.get(key, rank), rank, key=lambda x: x[:2])
+    got = change.wildcard_bindings(spark.createDataFrame(imports, "file long, target long, seq long"), spark.createDataFrame(exports, "target long, name string, symbol long"))
+    assert {(r.file, r["name"]): r.symbol for r in got.collect()} == {k: v[2] for k, v in best.items()}
+    assert "rank(seq" in got._jdf.queryExecution().optimizedPlan().toString()
