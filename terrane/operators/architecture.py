@@ -68,18 +68,21 @@ def drop_contained(traces: DataFrame) -> DataFrame:
     in a comparison of joined names, but for paths of one name. Every path is expanded into its own parts, so it is an equi-join whose rows grow
     with the square of a path's length, which enumeration bounds, and not with the number of paths.
     """
-    once = traces.where(F.size("path") > 0).groupBy("path").agg(F.min("trace").alias("trace"))
-    key = lambda p: F.xxhash64(p)
-    size = F.size("path")
-    starts = once.select("path", F.explode(F.sequence(F.lit(1), size)).alias("at"))
-    spans = starts.select("path", "at", F.explode(F.sequence(F.lit(1), size - F.col("at") + 1)).alias("n"))
-    parts = spans.select(F.slice("path", F.col("at"), F.col("n") - 1).alias("stem"), F.element_at("path", F.col("at") + F.col("n") - 1).alias("whole"), F.col("path").alias("outer"))
-    parts = parts.withColumn("alone", F.when(F.size("stem") == 0, F.col("whole")).otherwise(""))
-    # Names that follow a stem, each once for the whole table but for the longest path that holds it; a path never removes itself.
-    wide = parts.groupBy("stem", "alone", "whole").agg(F.max(F.struct(F.size("outer"), key(F.col("outer")))).alias("in"))
-    own = once.select("trace", "path", F.slice("path", 1, size - 1).alias("stem"), F.element_at("path", size).alias("last"), F.when(size == 1, F.element_at("path", size)).otherwise("").alias("alone"), F.struct(size, key(F.col("path"))).alias("me"))
-    gone = own.join(wide, ["stem", "alone"]).where(F.startswith("whole", "last") & ((F.col("in") > F.col("me")) | (F.col("whole") != F.col("last"))))
-    return once.join(gone.select("path").distinct(), "path", "left_anti").select("trace", "path")
+    size, digest = F.size("path"), lambda p: [F.xxhash64(p), F.xxhash64(F.lit(1), p)]  # paths and stems are told apart by 128 bits
+    once = traces.where(size > 0).groupBy("path").agg(F.min("trace").alias("trace")).select("trace", "path", F.struct(size, F.xxhash64("path")).alias("me"))
+    h, g = digest(F.slice("path", 1, size - 1))
+    own = once.select("trace", F.xxhash64("path").alias("key"), "me", F.element_at("path", size).alias("last"), h.alias("h"), g.alias("g"))
+    starts = once.select("path", "me", F.explode(F.sequence(F.lit(1), size)).alias("at"))
+    # A path of one name lies in any longer one that has the name: each name once, with the longest path that holds it.
+    single = starts.groupBy(F.element_at("path", F.col("at")).alias("last")).agg(F.max("me").alias("in"))
+    alone = own.where("me.col1 = 1").join(single, "last").where(F.col("in") > F.col("me"))
+    spans = starts.where(F.col("at") < size).select("path", "me", "at", F.explode(F.sequence(F.lit(2), size - F.col("at") + 1)).alias("n"))
+    h, g = digest(F.slice("path", F.col("at"), F.col("n") - 1))
+    parts = spans.select(h.alias("h"), g.alias("g"), F.element_at("path", (F.col("at") + F.col("n") - 1).cast("int")).alias("whole"), F.col("me").alias("in"))
+    # Names that follow a stem; a path never removes itself.
+    later = own.where("me.col1 > 1").join(parts, ["h", "g"]).where(F.startswith("whole", "last") & ((F.col("in") > F.col("me")) | (F.col("whole") != F.col("last"))))
+    gone = alone.select("trace", "key").union(later.select("trace", "key")).distinct()
+    return once.withColumn("key", F.xxhash64("path")).join(gone, ["trace", "key"], "left_anti").select("trace", "path")
 
 
 def process_entries(processes: DataFrame, nodes: DataFrame, handlers: DataFrame) -> DataFrame:

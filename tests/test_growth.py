@@ -4,7 +4,7 @@ from itertools import product
 
 import pytest
 
-from terrane.operators import change, decision
+from terrane.operators import architecture, change, decision
 from terrane.plans.cypher import Graph
 
 
@@ -73,3 +73,15 @@ def test_only_the_first_imports_of_the_same_names_meet_them(spark):
     got = change.wildcard_bindings(spark.createDataFrame(imports, "file long, target long, seq long"), spark.createDataFrame(exports, "target long, name string, symbol long"))
     assert {(r.file, r["name"]): r.symbol for r in got.collect()} == {k: v[2] for k, v in best.items()}
     assert "rank(seq" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_of_traces_travel_as_hashes(spark):
+    names = ["a", "ab", "b", "ba", "c"]
+    paths = [[names[(k * m + m) % 5] for m in range(1, 2 + k % 5)] for k in range(60)] + [["zz"], ["zz", "q"], ["z"], ["q", "z"], ["q", "zz"]]
+    inside = lambda p, o: any(o[i : i + len(p) - 1] == p[:-1] and (o[i + len(p) - 1] == p[-1] if len(p) == 1 else o[i + len(p) - 1].startswith(p[-1])) for i in range(len(o) - len(p) + 1))
+    once = {tuple(p): k for k, p in reversed(list(enumerate(paths)))}
+    want = {k for p, k in once.items() if not any(o != p and inside(p, o) for o in once)}
+    df = architecture.drop_contained(spark.createDataFrame(list(enumerate(paths)), "trace int, path array<string>"))
+    assert {r.trace for r in df.collect()} == want
+    exchanged = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("stem" in line for line in exchanged)
