@@ -65,10 +65,13 @@ def context(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def drop_dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges both of whose ends are nodes."""
-    ids = nodes.select("id").distinct()
-    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-    return kept.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
+    """Edges both of whose ends are nodes.
+
+    Sorted rows take many times their shuffled bytes, by which adaptive execution puts partitions together: the number of these is fixed.
+    """
+    parts, ids = 4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.select("id")
+    kept = edges.repartition(parts, "src").join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    return kept.repartition(parts, "dst").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
 def page_rank(

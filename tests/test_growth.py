@@ -4,7 +4,7 @@ from itertools import product
 
 import pytest
 
-from terrane.operators import architecture, change, decision
+from terrane.operators import architecture, change, decision, graph
 from terrane.plans.cypher import Graph
 
 
@@ -85,3 +85,11 @@ def test_parts_of_traces_travel_as_hashes(spark):
     assert {r.trace for r in df.collect()} == want
     exchanged = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
     assert not any("stem" in line for line in exchanged)
+
+
+def test_edges_of_nodes_are_sorted_in_many_parts(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "b", 1), ("b", "a", 2), ("a", "z", 3), ("z", "a", 4), (None, "a", 5), ("b", "b", 6)], "src string, dst string, n int")
+    got = graph.drop_dangling(nodes, edges)
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "b", 1), ("a", "b", 1), ("b", "a", 2), ("b", "b", 6)]
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
