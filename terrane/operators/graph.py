@@ -186,11 +186,12 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> Da
 
 def cohesion(membership: DataFrame, edges: DataFrame) -> DataFrame:
     """``community``, ``members``, ``internal``, ``total``, ``cohesion``: the share of its members' neighbour edges that stay inside."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src"))
     a = membership.select(F.col("id").alias("src"), F.col("community").alias("community"))
     b = membership.select(F.col("id").alias("dst"), F.col("community").alias("other"))
-    ends = both.join(a, "src").join(b, "dst")
-    sums = ends.groupBy("community").agg(F.sum(F.when(F.col("community") == F.col("other"), 1).otherwise(0)).alias("internal"), F.count("*").alias("total"))
+    # Each edge meets its two ends once, for both directions; what is told twice is the pairs of communities.
+    ends = edges.select("src", "dst").join(a, "src").join(b, "dst").groupBy("community", "other").agg(F.count("*").alias("n"))
+    ends = ends.select(F.explode(F.array(F.struct("community", "other", "n"), F.struct(F.col("other").alias("community"), F.col("community").alias("other"), "n"))).alias("x")).select("x.*")
+    sums = ends.groupBy("community").agg(F.sum(F.when(F.col("community") == F.col("other"), F.col("n")).otherwise(0)).alias("internal"), F.sum("n").alias("total"))
     size = membership.groupBy("community").agg(F.count("*").alias("members"))
     out = size.join(sums, "community", "left").fillna(0, ["internal", "total"])
     return out.withColumn("cohesion", F.when(F.col("total") > 0, F.col("internal") / F.col("total")).otherwise(0.0))

@@ -93,3 +93,14 @@ def test_edges_of_nodes_are_sorted_in_many_parts(spark):
     got = graph.drop_dangling(nodes, edges)
     assert sorted(tuple(r) for r in got.collect()) == [("a", "b", 1), ("a", "b", 1), ("b", "a", 2), ("b", "b", 6)]
     assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 2
+
+
+def test_cohesion_meets_each_edge_once(spark):
+    members = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y"), ("d", "z"), ("a", "y")], "id string, community string")
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "c"), ("c", "c"), ("c", "q"), ("a", "c")], "src string, dst string")
+    got = graph.cohesion(members, edges)
+    both = [(s, d) for s, d in map(tuple, edges.collect())] + [(d, s) for s, d in map(tuple, edges.collect())]
+    ends = [(c, o) for s, d in both for i, c in map(tuple, members.collect()) for j, o in map(tuple, members.collect()) if (i, j) == (s, d)]
+    want = {c: (sum(e == (c, c) for e in ends), sum(e[0] == c for e in ends)) for c in "xyz"}
+    assert {r.community: (r.internal, r.total) for r in got.collect()} == want
+    assert got._jdf.queryExecution().analyzed().toString().count("Union") == 0
