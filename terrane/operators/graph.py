@@ -172,11 +172,14 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 3) -> Da
 
     Deterministic and synchronous; a node without neighbours keeps its own id.
     """
+    parts = 4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed, as in :func:`drop_dangling`
     both = edges.where("src <> dst").select("src", "dst")
-    both = materialize(both.union(both.select("dst", "src")).distinct(), "lpa-edges")
+    both = materialize(both.union(both.select("dst", "src")).repartition(parts, "src").distinct(), "lpa-edges")
     state = nodes.select("id").distinct().withColumn("community", F.col("id"))
     for _ in range(rounds):
-        votes = both.join(state.withColumnRenamed("id", "dst"), "dst").groupBy("src", "community").agg(F.count("*").alias("n"))
+        met = both.repartition(parts, "dst").join(state.withColumnRenamed("id", "dst"), "dst").select("src", "community")
+        # One shuffle by the node serves its votes and their commonest.
+        votes = met.repartition(parts, "src").groupBy("src", "community").agg(F.count("*").alias("n"))
         # The commonest is the largest count; of those, the smallest name: the least of (-count, name).
         best = votes.groupBy("src").agg(F.min(F.struct(-F.col("n"), "community")).getField("community").alias("vote"))
         state = state.join(best, state.id == best.src, "left").select("id", F.coalesce("vote", "community").alias("community"))

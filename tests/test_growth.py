@@ -104,3 +104,13 @@ def test_cohesion_meets_each_edge_once(spark):
     want = {c: (sum(e == (c, c) for e in ends), sum(e[0] == c for e in ends)) for c in "xyz"}
     assert {r.community: (r.internal, r.total) for r in got.collect()} == want
     assert got._jdf.queryExecution().analyzed().toString().count("Union") == 0
+
+
+def test_votes_of_a_node_are_shuffled_once(spark, tmp_path, monkeypatch):
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name))
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("d", "d")], "src string, dst string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "id string")
+    assert {r.id: r.community for r in graph.label_propagation(nodes, edges, 1).collect()} == {"a": "b", "b": "a", "c": "a", "d": "c", "e": "d", "f": "f"}
+    told = dict(plans)
+    assert "Exchange hashpartitioning(src#" in told["lpa"] and "REPARTITION_BY_NUM" in told["lpa"] and not any("hashpartitioning(src" in x and "community" in x for x in told["lpa"].splitlines())
