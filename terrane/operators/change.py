@@ -152,9 +152,11 @@ def wildcard_bindings(imports: DataFrame, exports: DataFrame, most: int = 1000)
     and those that are equally early, can win; only they meet their names.
     """
     told = exports.groupBy("target", "name").agg(F.min(F.struct("symbol")).getField("symbol").alias("symbol"))
-    names = told.groupBy("target").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name")))), 256).alias("names"))
-    early = imports.join(names, "target").withColumn("early", F.rank().over(Window.partitionBy("file", "names").orderBy("seq")))
+    names = told.groupBy("target").agg(F.unhex(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name")))), 256)).alias("names"))
+    # Sorted rows take many times their shuffled bytes, by which adaptive execution puts partitions together: the number of these is fixed.
+    parts = 4 * int(imports.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    early = imports.join(names, "target").repartition(parts, "file").withColumn("early", F.rank().over(Window.partitionBy("file", "names").orderBy("seq")))
     first = early.where("early = 1").select("file", "target", "seq")
-    found = first.join(told, "target").groupBy("file", "name").agg(F.min(F.struct("seq", "symbol")).alias("x"))
+    found = first.join(told, "target").repartition(parts, "file").groupBy("file", "name").agg(F.min(F.struct("seq", "symbol")).alias("x"))
     nth = F.row_number().over(Window.partitionBy("file").orderBy("x.seq", "name"))
     return found.withColumn("nth", nth).where(F.col("nth") <= most).select("file", "name", F.col("x.symbol").alias("symbol"))
