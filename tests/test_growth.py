@@ -4,7 +4,7 @@ from itertools import product
 
 import pytest
 
-from terrane.operators import architecture, change, decision, graph
+from terrane.operators import architecture, change, decision, graph, resolution
 from terrane.plans.cypher import Graph
 
 
@@ -114,3 +114,54 @@ def test_votes_of_a_node_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert {r.id: r.community for r in graph.label_propagation(nodes, edges, 1).collect()} == {"a": "b", "b": "a", "c": "a", "d": "c", "e": "d", "f": "f"}
     told = dict(plans)
     assert "Exchange hashpartitioning(src#" in told["lpa"] and "REPARTITION_BY_NUM" in told["lpa"] and not any("hashpartitioning(src" in x and "community" in x for x in told["lpa"].splitlines())
+
+
+def shuffled_rows(spark, run):
+    """What ``run`` returns, and the rows that its jobs shuffled."""
+    store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        told = store.stageList(None, False, False, none, None)
+        return {told.apply(k).stageId(): told.apply(k).shuffleWriteRecords() for k in range(told.size())}
+
+    before = stages()
+    out = run()
+    return out, sum(n for k, n in stages().items() if k not in before)
+
+
+def first_ways(rows, depth=60):
+    """Each class's ancestors in order, with their kinds, by walking all shortest ways."""
+    bases = {}
+    for c, p, seq, kind in rows:
+        bases.setdefault(c, []).append((p, seq, kind))
+    out = set()
+    for c in bases:
+        known, level = {}, {}
+        for p, seq, kind in bases[c]:
+            level[p] = min(level.get(p, ((seq,), kind)), ((seq,), kind))
+        for n in range(1, depth):
+            level = {a: x for a, x in level.items() if a not in known}
+            known |= {a: (n, *x) for a, x in level.items()}
+            onward = {}
+            for a, (key, kind) in level.items():
+                for p, seq, _ in bases.get(a, ()):
+                    onward[p] = min(onward.get(p, ((*key, seq), kind)), ((*key, seq), kind))
+            level = onward
+        order = sorted(known, key=lambda a: (*known[a][:2], a))
+        out |= {(c, a, known[a][2], k) for k, a in enumerate(order)}
+    return out
+
+
+def test_first_ways_to_ancestors(spark):
+    rows = [(k, k // 2, 0, "EXTENDS") for k in range(1, 90)] + [(k, k // 3, 1, "IMPLEMENTS") for k in range(3, 90)]
+    rows += [(0, 70, 0, "EXTENDS"), (100, 101, 0, "IMPLEMENTS"), (100, 102, 0, "EXTENDS"), (101, 103, 2, "EXTENDS"), (102, 104, 2, "EXTENDS"), (103, 105, 0, "EXTENDS"), (104, 105, 0, "EXTENDS"), (105, 100, 0, "EXTENDS")]
+    got = resolution.ancestors(spark.createDataFrame(rows, "class int, parent int, seq int, kind string"))
+    assert sorted(map(tuple, got.collect())) == sorted(first_ways(rows))
+    assert resolution.ancestors(spark.createDataFrame([], "class int, parent int, seq int, kind string")).count() == 0
+
+
+def test_ancestors_are_shuffled_as_lists(spark):
+    rows = spark.range(1, 401).selectExpr("id AS class", "id - 1 AS parent", "0 AS seq", "'EXTENDS' AS kind")
+    n, moved = shuffled_rows(spark, lambda: resolution.ancestors(rows).groupBy().count().first()[0])
+    assert n == 400 * 401 // 2
+    assert moved < n / 3
