@@ -165,3 +165,13 @@ def test_ancestors_are_shuffled_as_lists(spark):
     n, moved = shuffled_rows(spark, lambda: resolution.ancestors(rows).groupBy().count().first()[0])
     assert n == 400 * 401 // 2
     assert moved < n / 3
+
+
+def test_methods_are_not_shuffled_for_each_ancestor(spark):
+    rows = spark.range(1, 401).selectExpr("id AS class", "id - 1 AS parent", "0 AS seq", "'EXTENDS' AS kind")
+    methods = spark.range(401).selectExpr("concat(id, '.m') AS id", "id AS class", "concat('m', id % 5) AS name", "'Method' AS label", "0 AS seq")
+    order = resolution.ancestors(rows).selectExpr("*", "'c3' AS strategy")
+    got, moved = shuffled_rows(spark, lambda: resolution.method_overrides(order, methods).collect())
+    nearest = {(k, m): [j for j in range(k - 1, -1, -1) if j % 5 == m] for k in range(1, 401) for m in range(5) if k % 5 != m}
+    assert sorted((r["class"], r["name"], r.method) for r in got) == sorted((k, f"m{m}", f"{js[0]}.m") for (k, m), js in nearest.items() if len(js) > 1)
+    assert moved < 400 * 401 // 2 / 3  # pairs of class and ancestor
