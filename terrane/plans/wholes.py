@@ -97,7 +97,8 @@ def reused_results(spark: SparkSession, sf: str) -> DataFrame:
     """Dependencies of modules, computed, reused for the same rows in another order, and computed again for one row more."""
     calls = materialize(A.trade(spark, sf), "trade")
     store, path = _store(spark)
-    inputs = [calls, calls.orderBy(F.desc("dst"), F.desc("src")).repartition(5, "name"), calls.union(calls.limit(1))]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inputs = [calls, calls.repartition(parts, "dst", "src"), calls.union(calls.limit(1))]  # not by name: brands are few, and so would be the tasks
     out = None
     for k, given in enumerate(inputs):
         found, reused = derived.cached_result(store, "dependencies", {"calls": given}, {"least": 1}, lambda given=given: layers.module_dependencies(given))

@@ -41,11 +41,11 @@ def artifact_key(layer: str = "layer", id_: str = "id") -> Column:
 
 
 def projection_hash(df: DataFrame) -> str:
-    """32 hex digits that change with any row, and not with the rows' order or partitions: sums and xors of row hashes, no sort."""
+    """32 hex digits that change with any row, and not with the rows' order or partitions: the number of rows and two sums of their hashes, no sort."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
-    word = lambda k: F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")
-    got = df.agg(F.count("*").alias("n"), F.sum(word(0)).alias("a"), F.sum(word(1)).alias("b"), F.bit_xor(word(2).cast("long")).alias("c"))
-    return got.select(F.substring(F.sha2(F.concat_ws("|", "n", "a", "b", "c"), 256), 1, 32)).first()[0]
+    total = lambda h: F.sum(h.cast("decimal(20,0)"))
+    got = df.agg(F.count("*").alias("n"), total(F.xxhash64(row)).alias("a"), total(F.xxhash64(F.lit(1), row)).alias("b"))
+    return got.select(F.substring(F.sha2(F.concat_ws("|", "n", "a", "b"), 256), 1, 32)).first()[0]
 
 
 class GraphStore:

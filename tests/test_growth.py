@@ -5,7 +5,9 @@ from itertools import product
 import pytest
 
 from terrane.operators import architecture, change, decision, graph, resolution
+from terrane.plans import wholes
 from terrane.plans.cypher import Graph
+from terrane.sources.store import projection_hash
 
 
 @pytest.mark.parametrize(
@@ -175,3 +177,30 @@ def test_methods_are_not_shuffled_for_each_ancestor(spark):
     nearest = {(k, m): [j for j in range(k - 1, -1, -1) if j % 5 == m] for k in range(1, 401) for m in range(5) if k % 5 != m}
     assert sorted((r["class"], r["name"], r.method) for r in got) == sorted((k, f"m{m}", f"{js[0]}.m") for (k, m), js in nearest.items() if len(js) > 1)
     assert moved < 400 * 401 // 2 / 3  # pairs of class and ancestor
+
+
+def test_reused_inputs_are_hashed_in_all_parts(spark, sf, monkeypatch):
+    given, cached = [], wholes.derived.cached_result
+
+    def seen(store, name, inputs, settings, compute):
+        given.append(inputs["calls"])
+        return cached(store, name, inputs, settings, compute)
+
+    monkeypatch.setattr(wholes.derived, "cached_result", seen)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        out = wholes.reused_results(spark, sf)
+        sizes = given[1].rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert {(r.run, r.reused) for r in out.collect()} == {(1, False), (2, True), (3, False)}
+    assert len(sizes) == 24 and max(sizes) < sum(sizes) / 8
+
+
+def test_hash_of_rows_tells_repeats_and_nulls(spark):
+    kind = "a string, b string"
+    rows = [("x", None), ("y", "z"), ("y", "z")]
+    sets = [rows, rows[:2], [*rows, ("y", "z")], [(None, "x"), *rows[1:]], [("x", ""), *rows[1:]], [("x", None), ("z", "y"), ("z", "y")], [rows[0], rows[0], rows[1]], []]
+    assert len({projection_hash(spark.createDataFrame(s, kind)) for s in sets}) == len(sets)
+    assert projection_hash(spark.createDataFrame(rows, kind).coalesce(1)) == projection_hash(spark.createDataFrame(rows[::-1], kind).repartition(3).select("b", "a"))
