@@ -219,7 +219,7 @@ def entry_points(nodes: DataFrame, edges: DataFrame, top: int = 200) -> DataFram
     """
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("callees"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("callers"))
-    both = nodes.where("not is_test").join(out, "id").join(into, "id", "left").fillna(0, ["callers"])
+    both = nodes.where("not is_test").join(out.hint("merge"), "id").join(into.hint("merge"), "id", "left").fillna(0, ["callers"])  # never a broadcast of a row each node
     known = lambda c: F.col(c) if c in nodes.columns else F.lit(None)
     score = entry_score(known("name").cast("string"), F.col("exported"), F.col("callers"), F.col("callees"), known("path").cast("string"), known("language").cast("string"), known("framework").cast("double"))
     return both.select("id", "callers", "callees", score.alias("score")).orderBy(F.desc("score"), "id").limit(top)

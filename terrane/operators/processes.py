@@ -33,7 +33,7 @@ def traces(edges: DataFrame, entries: DataFrame, depth: int = 10, fan: int = 4,
     done, first = None, Window.partitionBy("start").orderBy(F.size("path"), "path")
     for n in range(1, depth + 1):
         if n < depth:
-            tried = open_.join(steps, F.col("tip") == F.col("src"), "left")
+            tried = open_.join(steps.hint("merge"), F.col("tip") == F.col("src"), "left")  # never a broadcast: all callees would go through the driver at each level
             onward = F.filter("callees", lambda x: ~F.array_contains("path", x))
             tried = materialize(tried.select("start", "path", F.coalesce(onward, F.array()).alias("next")), "traced")
             ended = tried.where(F.size("next") == 0).select("start", "path")
@@ -83,9 +83,9 @@ def processes(found: DataFrame, nodes: DataFrame, membership: DataFrame, most: i
     top = longest_per_ends(found).orderBy(F.size("path").desc(), "path").limit(most)
     place = F.row_number().over(Window.orderBy(F.size("path").desc(), "path")) - 1
     top = top.withColumn("idx", place)
-    steps = top.select("idx", F.explode("path").alias("id")).join(membership, "id").groupBy("idx").agg(F.array_sort(F.collect_set("community")).alias("communities"))
+    steps = top.select("idx", F.explode("path").alias("id")).join(membership.hint("merge"), "id").groupBy("idx").agg(F.array_sort(F.collect_set("community")).alias("communities"))
     a, b = nodes.select(F.col("id").alias("start"), F.col("name").alias("from_name")), nodes.select(F.col("id").alias("finish"), F.col("name").alias("to_name"))
-    both = top.join(steps, "idx", "left").join(a, "start", "left").join(b, "finish", "left")
+    both = top.join(steps, "idx", "left").join(a.hint("merge"), "start", "left").join(b.hint("merge"), "finish", "left")
     name, last = F.coalesce("from_name", F.lit("Unknown")), F.coalesce("to_name", F.lit("Unknown"))
     big = lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.substring(c, 2, 1 << 30))
     communities = F.coalesce("communities", F.array().cast("array<string>"))

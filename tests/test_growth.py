@@ -4,7 +4,7 @@ from itertools import product
 
 import pytest
 
-from terrane.operators import architecture, change, decision, graph, resolution
+from terrane.operators import architecture, change, decision, graph, processes, resolution
 from terrane.plans import wholes
 from terrane.plans.cypher import Graph
 from terrane.sources.store import projection_hash
@@ -118,13 +118,13 @@ def test_votes_of_a_node_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert "Exchange hashpartitioning(src#" in told["lpa"] and "REPARTITION_BY_NUM" in told["lpa"] and not any("hashpartitioning(src" in x and "community" in x for x in told["lpa"].splitlines())
 
 
-def shuffled_rows(spark, run):
-    """What ``run`` returns, and the rows that its jobs shuffled."""
+def shuffled_rows(spark, run, told=lambda stage: stage.shuffleWriteRecords()):
+    """What ``run`` returns, and the rows that its jobs shuffled, or the sum of another figure of their stages."""
     store, none = spark._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
 
     def stages():
-        told = store.stageList(None, False, False, none, None)
-        return {told.apply(k).stageId(): told.apply(k).shuffleWriteRecords() for k in range(told.size())}
+        found = store.stageList(None, False, False, none, None)
+        return {found.apply(k).stageId(): told(found.apply(k)) for k in range(found.size())}
 
     before = stages()
     out = run()
@@ -204,3 +204,20 @@ def test_hash_of_rows_tells_repeats_and_nulls(spark):
     sets = [rows, rows[:2], [*rows, ("y", "z")], [(None, "x"), *rows[1:]], [("x", ""), *rows[1:]], [("x", None), ("z", "y"), ("z", "y")], [rows[0], rows[0], rows[1]], []]
     assert len({projection_hash(spark.createDataFrame(s, kind)) for s in sets}) == len(sets)
     assert projection_hash(spark.createDataFrame(rows, kind).coalesce(1)) == projection_hash(spark.createDataFrame(rows[::-1], kind).repartition(3).select("b", "a"))
+
+
+def test_callees_and_nodes_are_not_sent_to_the_driver(spark, tmp_path):
+    n = 100_000
+    spark.range(n).selectExpr("id AS src", "id + 1 AS dst").write.parquet(f"{tmp_path}/edges")
+    spark.range(n + 1).selectExpr("id", "concat('name', id) AS name", "concat('c', id % 7) AS community", "false AS exported", "false AS is_test").write.parquet(f"{tmp_path}/nodes")
+    edges, nodes = spark.read.parquet(f"{tmp_path}/edges"), spark.read.parquet(f"{tmp_path}/nodes")
+
+    def run():
+        entries = graph.entry_points(nodes, edges, 2)
+        found = processes.traces(edges, entries)
+        return found.collect(), processes.processes(found, nodes.select("id", "name"), nodes.select("id", "community"), 20).collect()
+
+    (found, told), sent = shuffled_rows(spark, run, lambda stage: stage.resultSize())
+    assert sorted((r.start, r.finish, tuple(r.path)) for r in found) == [(0, 9, tuple(range(10))), (1, 10, tuple(range(1, 11)))]
+    assert sorted((r.process, r.label, r.entry, r.terminal) for r in told) == [("proc_0_name0", "Name0 → Name9", 0, 9), ("proc_1_name1", "Name1 → Name10", 1, 10)]
+    assert sent < 5_000_000
