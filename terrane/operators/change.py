@@ -72,8 +72,11 @@ def ranked_rules(rules: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def merge_ranges(ranges: DataFrame, gap: int = 1) -> DataFrame:
-    """``key``, ``start``, ``end`` with ranges that overlap or lie within ``gap`` made one; one sort per key."""
-    order = Window.partitionBy("key").orderBy("start", "end")
+    """``key``, ``start``, ``end`` with ranges that overlap or lie within ``gap`` made one; one sort per key.
+
+    Ranges without a start come last, as in SQL: they join a key's last range, and stand by themselves only where a key has no other.
+    """
+    order = Window.partitionBy("key").orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("start") > reach + gap), 1).otherwise(0)
     marked = ranges.withColumn("fresh", fresh)

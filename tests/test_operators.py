@@ -149,3 +149,17 @@ def test_cypher(spark):
 def test_cypher_reads_only(text):
     with pytest.raises((CypherError, IndexError)):
         parse(text)
+
+
+def test_ranges_without_a_start_come_last_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from terrane.plans import registry
+
+    rows = "(1, 1, '1995-01-05'), (2, 1, NULL), (3, 1, '1995-03-20'), (4, 2, NULL), (5, 2, NULL), (6, NULL, '1995-01-05'), (7, NULL, NULL), (8, 3, '1995-01-05'), (9, 3, '1995-02-01')"
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE orders AS SELECT k::BIGINT AS o_orderkey, c::BIGINT AS o_custkey, d::TIMESTAMP AS o_orderdate FROM (VALUES {rows}) t(k, c, d)")
+    con.execute(f"COPY orders TO '{tmp_path}/orders.parquet'")
+    want = con.execute(registry.oracle_sql()["range_merge"]).fetchall()
+    got = [tuple(r) for r in registry.queries()["range_merge"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 6
