@@ -92,3 +92,12 @@ def test_dispatch_shuffles_no_pairs(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     head = plan[: plan.index("Aggregate [call")] if "Aggregate [call" in plan else plan
     assert "Union" in head
+
+
+def test_dispatch_sends_no_copies_through_the_driver(spark):
+    d = spark.createDataFrame
+    files, methods = d([("I", "f"), ("I", "g")], "interface string, file string"), d([("f", "m", "x"), ("g", "m", "y")], "file string, name string, symbol string")
+    calls = d([(1, "m", "I", "x"), (2, "m", "I", "z")], "call int, name string, receiver string, target string")
+    found = resolution.interface_dispatch(calls, files, methods)
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.call, r.symbol) for r in found.collect()) == [(1, "y"), (2, "x"), (2, "y")]
