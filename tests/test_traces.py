@@ -119,3 +119,29 @@ def test_a_walk_writes_less_than_its_paths(spark, monkeypatch):
         got = [tuple(r.path) for r in families.call_paths(functions, calls, entries, most).collect()]
         cut = {p[:most] for k in range(n) for p in walk((k,))}
         assert len(got) == len(set(got)) and set(got) == {p for p in cut if len({x % 2 for x in p}) > 1}
+
+
+def test_only_paths_with_twin_steps_are_held_against_others(spark):
+    rows = [(k, f"f{k}", f"m{k % 3}", "prod_core", True) for k in range(8)] + [(8, "f1", "m1", "prod_core", True), (9, "f5", "m2", "prod_core", False), (10, "z", None, "prod_core", True), (11, "z", None, "prod_core", True)]
+    functions = spark.createDataFrame(rows, "id long, name string, module string, role string, public boolean")
+    pairs = [(0, 1), (0, 8), (0, 2), (1, 3), (8, 3), (8, 4), (2, 5), (2, 9), (3, 6), (4, 7), (5, 7), (9, 7), (6, 0), (7, 10), (7, 11), (10, 1), (11, 1)]
+    calls = spark.createDataFrame(pairs, "src long, dst long")
+    contracts = spark.createDataFrame([(8, "c8"), (9, "c9"), (5, "c5"), (11, "c11"), (1, "c1")], "function long, contract string")
+    none, entries = spark.createDataFrame([], "entry string"), functions.select("id")
+    known, after, own = {r[0]: r for r in rows}, {}, {8: "c8", 9: "c9", 5: "c5", 11: "c11", 1: "c1"}
+    for a, b in sorted(pairs):
+        after.setdefault(a, []).append(b)
+    for most in (2, 3, 4, 6):
+        want = {}
+        ways = [[k] for k in known]
+        while ways:
+            way = ways.pop()
+            if len(way) < most and way[-1] in after and way[-1] not in way[:-1]:
+                ways += [[*way, b] for b in after[way[-1]][:3]]
+            elif len(way) > 1 and len({known[k][2] for k in way}) > 1:
+                want.setdefault((way[0], tuple(known[k][1] for k in way), tuple(known[k][2] for k in way)), set()).update(own[k] for k in way if k in own)
+        found = families.entry_paths(functions, calls, entries, contracts, none, most=most)
+        got = [((r.flow, tuple(r.functions), tuple(r.modules)), r.contracts) for r in found.collect()]
+        assert len(got) == len(want) and dict(got) == {k: sorted(v) for k, v in want.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan[: plan.index("Aggregate")] and "RepartitionByExpression" not in plan
